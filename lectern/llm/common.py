@@ -37,7 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: later steps and retries start from there."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def delete(df: DataFrame) -> None:
+    """Remove a table that stored() wrote, when no later step reads it."""
+    spark, path = df.sparkSession, df._stored_at
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
 
 
 def exists(spark: SparkSession, uri: str) -> bool:
