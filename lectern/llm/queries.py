@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup, quality_rules, simhash, substring_dedup, token_counts, token_files
+from lectern.llm import exact_dedup, language_id, mixing, packing, quality_rules, simhash, substring_dedup, token_counts, token_files, warc
 from lectern.llm.common import scratch_path
 
 
@@ -17,6 +18,15 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), scratch_path(spark, "token-cache"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.predict_language(docs, language_id.train(docs))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(_read(spark, sf_dir, "documents"), capacity=8192)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     token_files.write_token_files(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
@@ -27,6 +37,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    warc.write_archives(_read(spark, sf_dir, "pages"), folder, least=0)
+    return warc.read_archives(spark, folder)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), k=3, max_bits=2)
 
@@ -39,7 +55,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_token_files, op5_exact_dedup, op7_simhash, op8_substring_dedup, op9_quality_rules)}
+#: Wanted shares of the tokens by quality and toxicity of a document.
+TARGETS = {"clean": 0.94, "poor": 0.04, "toxic": 0.02}
+
+
+def domains(labels: DataFrame) -> DataFrame:
+    """doc_id and domain of labelled documents: toxic, else poor, else clean."""
+    return labels.select("doc_id", F.expr("case when toxic = 1 then 'toxic' when quality = 0 then 'poor' when quality = 1 then 'clean' end").alias("domain"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_read(spark, sf_dir, "documents"), domains(_read(spark, sf_dir, "labels")), TARGETS)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_packing, op4_token_files, op5_exact_dedup, op6_warc, op7_simhash, op8_substring_dedup, op9_quality_rules, op10_mixing)}
 
 ORACLES = {
     "op5_exact_dedup": r"""

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import stored, text_or_empty
+from lectern.llm.common import sliced, stored, text_or_empty
 from lectern.llm.components import components
 
 SEED = 42
@@ -132,3 +132,85 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 2, id_col: str
     named = classes.join(found, classes["rep"] == found["node"], "left").join(degree, classes["rep"] == degree["u"], "left")
     named = named.select("fp", F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return prints.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+
+
+#: Sampled sub-documents of a document, and shingles of each.
+SAMPLES, DRAWS = 16, 3
+_ODD = np.random.default_rng(97).integers(0, 1 << 63, SAMPLES * DRAWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _sampler(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fingerprints of SAMPLES sub-documents: the majority bits of DRAWS shingles drawn by smallest mixed hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, "text", 1 << 20):
+                sets = [shingle_hashes(x.as_py(), k) for x in part.column("text")]
+                full = [i for i, s in enumerate(sets) if len(s)]
+                prints = np.zeros((len(full), SAMPLES), np.uint64)
+                if full:
+                    flat, start = np.concatenate([sets[i] for i in full]), np.cumsum([0, *(len(sets[i]) for i in full)])[:-1]
+                    drawn = []
+                    for odd in _ODD:
+                        mixed = flat * odd
+                        mixed ^= mixed >> np.uint64(29)
+                        mixed *= np.uint64(0x9FB21C651E98DF25)
+                        mixed ^= mixed >> np.uint64(32)
+                        drawn.append(np.minimum.reduceat(mixed, start))
+                    for s in range(SAMPLES):
+                        a, b, c = drawn[DRAWS * s : DRAWS * s + DRAWS]
+                        prints[:, s] = (a & b) | (a & c) | (b & c)
+                yield pa.record_batch([part.column("id").take(pa.array(full, pa.int64())), pa.array(prints.view(np.int64).tolist(), pa.list_(pa.int64()))], ["id", "prints"])
+
+    return run
+
+
+def _shingle_sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique((shingle_hashes(x.as_py(), k) >> np.uint64(32)).astype("<u4")).tobytes() for x in batch.column("text")]
+            yield pa.record_batch([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return run
+
+
+def _alike(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("su"), batch.column("sv"), strict=True):
+                a, b = np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(shared >= similarity * (len(a) + len(b) - shared))
+            yield pa.record_batch([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_pairs(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Verified links (u, v) of documents whose sets of k-word shingles have that Jaccard similarity or more.
+
+    At this similarity whole fingerprints differ in up to a quarter of their bits, too many for any bound on
+    bit counts to prune. So fingerprints of sampled sub-documents are taken, which are equal with the
+    similarity to the power DRAWS: documents that share one of SAMPLES are candidates. In each set of equal
+    ones all are compared with one of its members, another one in each of four ways of choosing, so the work
+    grows with the rows, not with their pairs; shingle sets (32 bits each) are then compared as they are.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
+    prints = stored(rows.mapInArrow(_sampler(k), "id bigint, prints array<bigint>"), "sample-prints")
+    buckets = prints.select("id", F.posexplode("prints").alias("sample", "print"))
+    rank = F.struct(F.xxhash64("id", F.pmod(F.col("sample"), F.lit(4))).alias("order"), F.col("id").alias("id"))
+    centres = buckets.groupBy("sample", "print").agg(F.min(rank).alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sample", "print", F.col("centre.id").alias("centre"))
+    met = buckets.join(centres, ["sample", "print"]).where("id <> centre")
+    pairs = stored(met.select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct(), "candidates")
+    nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+    sets = stored(rows.join(nodes, "id", "left_semi").mapInArrow(_shingle_sets(k), "id bigint, shingles binary"), "shingle-sets").dropDuplicates(["id"])
+    with_u = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
+    with_v = with_u.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v")
+    return stored(with_v.select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u bigint, v bigint"), "similar")
+
+
+def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document, that of the smallest id, of each component of similar_pairs; all columns."""
+    dropped = components(similar_pairs(docs, k, similarity, id_col, text_col)).where("node <> component").select(F.col("node").alias(id_col))
+    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import accumulate, chain
 
 import numpy as np
@@ -18,18 +20,20 @@ from pyspark.sql import functions as F
 from lectern.llm.common import open_fs, sliced, text_or_empty
 
 #: Bytes of text encoded at once, documents returned at once by the reader.
-STEP, READ_STEP = 4 << 20, 4096
-#: Distinct words, and bytes of them, whose ids a task remembers.
-WORDS, WORD_BYTES = 200_000, 16 << 20
+STEP, READ_STEP = 1 << 20, 4096
+#: Words whose ids a worker remembers at most between batches, and code points of the longest of them.
+WORDS, LONG = 250_000, 64
+_STOP = re.compile(r"(?<=[a-z])[,.](?= )")
 #: Stands for a null document id in the .doc files.
 NO_ID = -(1 << 63)
 
 
 class WordEncoder:
-    """Encodes texts through the tokenizers library, each distinct word once.
+    """Encodes texts through the tokenizers library, remembering the ids of words seen most.
 
-    Valid for tokenizers whose pre-tokens never span a space or line feed, as those whose pre-tokenizer drops
-    white space; checked when it is made.
+    Words are cut at spaces and line feeds, which is exact for tokenizers whose pre-tokens never span them;
+    that is tested when it is made. ASCII texts are put in lower case first where the tokenizer does so
+    itself, and a comma or stop after a letter stands alone, which fewer distinct words result from.
     """
 
     def __init__(self, path: str) -> None:
@@ -39,24 +43,38 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.by_word = self._ids(["a b\nc"]) == [list(chain.from_iterable(self._ids(["a", "b", "c"])))]
-        self._forget()
+        same = lambda text, words: self._ids([text])[0] == list(chain.from_iterable(self._ids(words)))
+        self.by_word = same("a bc\nthe, of.", ["a", "bc", "the", ",", "of", "."])
+        self.lower = self.by_word and same("A THE Of", ["a", "the", "of"])
+        self.known: dict[str, int] = {}
+        self.starts, self.sizes, self.seen, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts, self.sizes, self.pool, self.held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
-
     def _learn(self, words: list[str]) -> None:
         ids = self._ids(words)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.seen = np.concatenate([self.seen, np.zeros(len(ids), np.int64)])
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.held += sum(map(len, words))
+
+    def _forget(self) -> None:
+        """Keep the half of the words that was seen most, none of them long."""
+        words = list(self.known)
+        best = np.argsort(-self.seen, kind="stable")[: WORDS // 2]
+        best = best[[len(words[i]) <= LONG for i in best]]
+        pool = self.pool[_ragged(self.starts[best], self.sizes[best])]
+        self.sizes, self.seen, self.pool = self.sizes[best], self.seen[best] // 2, pool
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.known = {words[i]: n for n, i in enumerate(best)}
+
+    def _words(self, text: str) -> list[str]:
+        if self.lower and text.isascii() and "<|" not in text:
+            text = _STOP.sub(r" \g<0>", text.lower())
+        return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and their number in each text."""
@@ -64,18 +82,28 @@ class WordEncoder:
             ids = self._ids(texts)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
-        if len(self.known) > WORDS or self.held > WORD_BYTES:
+        if len(self.known) > WORDS:
             self._forget()
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+        words = [self._words(t) for t in texts]
         flat = list(chain.from_iterable(words))
-        if new := list(dict.fromkeys(w for w in flat if w not in self.known)):
+        if new := list(set(flat).difference(self.known)):
             self._learn(new)
         codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        self.seen += np.bincount(codes, minlength=len(self.seen))
         sizes = self.sizes[codes]
-        before = np.cumsum(sizes) - sizes
-        ids = self.pool[np.repeat(self.starts[codes] - before, sizes) + np.arange(int(sizes.sum()))]
         first = np.cumsum([0, *map(len, words)])[:-1]
-        return ids, np.add.reduceat(sizes, first)
+        return self.pool[_ragged(self.starts[codes], sizes)], np.add.reduceat(sizes, first)
+
+
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of all runs that begin at starts."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+@cache
+def encoder(path: str) -> WordEncoder:
+    """A worker's encoder of a tokenizer file, which later tasks find with its words."""
+    return WordEncoder(path)
 
 
 def _with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> np.ndarray:
@@ -87,14 +115,13 @@ def _writer(tokenizer: str, folder: str, end_id: int, dtype: str) -> Callable[[I
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}"
         system, path = open_fs(folder)
-        encoder, out, ids, sizes = None, None, [], []
+        out, ids, sizes = None, [], []
         for batch in batches:
             for part in sliced(batch, "text", STEP):
                 if out is None:
-                    encoder = WordEncoder(tokenizer)
                     system.create_dir(path, recursive=True)
                     out = system.open_output_stream(f"{path}/{name}.bin")
-                tokens, counts = encoder.encode(part.column("text").to_pylist())
+                tokens, counts = encoder(tokenizer).encode(part.column("text").to_pylist())
                 out.write(_with_end(tokens, counts, end_id).astype(dtype).tobytes())
                 ids.append(part.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8"))
                 sizes.append(counts + 1)
