@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
-from itertools import accumulate, chain
+from itertools import accumulate, chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,11 @@ from lectern.llm.common import open_fs, sliced, text_or_empty
 #: Bytes of text encoded at once, documents returned at once by the reader.
 STEP, READ_STEP = 1 << 20, 4096
 #: Words whose ids a worker remembers at most between batches, and code points of the longest of them.
-WORDS, LONG = 250_000, 64
+WORDS, LONG = 600_000, 64
+#: The pre-token pattern whose cuts are known below: letters, single digits, English endings, other marks.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_PLAIN, _PRINTABLE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+"), re.compile(r"(?!.*<\|)[!-@\[-~]+")
 _STOP = re.compile(r"(?<=[a-z])[,.](?= )")
 #: Stands for a null document id in the .doc files.
 NO_ID = -(1 << 63)
@@ -45,15 +50,51 @@ class WordEncoder:
         self.tokenizer.no_padding()
         same = lambda text, words: self._ids([text])[0] == list(chain.from_iterable(self._ids(words)))
         self.by_word = same("a bc\nthe, of.", ["a", "bc", "the", ",", "of", "."])
-        self.lower = self.by_word and same("A THE Of", ["a", "the", "of"])
+        parts = json.loads(self.tokenizer.to_str())
+        cut = ((parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern")
+        kinds = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        self.lower = self.by_word and kinds == ["NFC", "Replace", "Lowercase"] and cut == {"Regex": _CUT}
+        if self.lower:  # how the pre-tokenizer writes the bytes of the letters in _PLAIN
+            self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100)) if _PLAIN.fullmatch(c)}
+            self.model = self.tokenizer.model
+            self.marks: dict[str, list[int]] = {}
         self.known: dict[str, int] = {}
         self.starts, self.sizes, self.seen, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _marks(self, word: str) -> list[int]:
+        """Ids of a lower-case word of printable ASCII: those of its pre-tokens."""
+        found: list[int] = []
+        for mark in _ASCII_CUT.findall(word):
+            ids = self.marks.get(mark)
+            if ids is None:
+                ids = [x.id for x in self.model.tokenize(mark)]
+                if len(self.marks) < WORDS // 10:
+                    self.marks[mark] = ids
+            found += ids
+        return found
+
+    def _ids_of_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words: straight from the model where a word's pre-tokens are plain to see."""
+        if not self.lower:
+            return self._ids(words)
+        ids: list = [None] * len(words)
+        rest = []
+        for i, word in enumerate(words):
+            if _PLAIN.fullmatch(word):
+                ids[i] = [x.id for x in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
+            elif _PRINTABLE.fullmatch(word):
+                ids[i] = self._marks(word)
+            else:
+                rest.append(i)
+        for i, found in zip(rest, self._ids([words[i] for i in rest]), strict=True):
+            ids[i] = found
+        return ids
+
     def _learn(self, words: list[str]) -> None:
-        ids = self._ids(words)
+        ids = self._ids_of_words(words)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
@@ -72,7 +113,7 @@ class WordEncoder:
         self.known = {words[i]: n for n, i in enumerate(best)}
 
     def _words(self, text: str) -> list[str]:
-        if self.lower and text.isascii() and "<|" not in text:
+        if self.lower and "<|" not in text and (text.isascii() or _is_latin(text)):
             text = _STOP.sub(r" \g<0>", text.lower())
         return text.replace("\n", " ").split(" ")
 
@@ -86,15 +127,26 @@ class WordEncoder:
             self._forget()
         words = [self._words(t) for t in texts]
         flat = list(chain.from_iterable(words))
-        if new := list(set(flat).difference(self.known)):
-            self._learn(new)
-        codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        codes = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missed = np.flatnonzero(codes < 0).tolist()
+        if missed:
+            missing = [flat[i] for i in missed]
+            self._learn(list(dict.fromkeys(missing)))
+            codes[missed] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
         self.seen += np.bincount(codes, minlength=len(self.seen))
         sizes = self.sizes[codes]
         first = np.cumsum([0, *map(len, words)])[:-1]
         return self.pool[_ragged(self.starts[codes], sizes)], np.add.reduceat(sizes, first)
 
 
+def _is_latin(text: str) -> bool:
+    """Whether all code points are below 256, where lower case is the same everywhere."""
+    try:
+        return text.encode("latin-1") is not None
+    except UnicodeEncodeError:
+        return False
+
+
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places of all runs that begin at starts."""
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
@@ -103,6 +155,7 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 @cache
 def encoder(path: str) -> WordEncoder:
     """A worker's encoder of a tokenizer file, which later tasks find with its words."""
+    gc.set_threshold(200_000, 50, 50)  # lists of ids are many and hold no cycles
     return WordEncoder(path)
 
 
