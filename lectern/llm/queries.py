@@ -56,7 +56,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Wanted shares of the tokens by quality and toxicity of a document.
-TARGETS = {"clean": 0.94, "poor": 0.04, "toxic": 0.02}
+TARGETS = {"clean": 0.92, "poor": 0.04, "toxic": 0.04}
 
 
 def domains(labels: DataFrame) -> DataFrame:

@@ -35,6 +35,9 @@ GRAM, WINDOW, STEP = 16, 256, 1 << 20
 NO_ID = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _PLACE = np.uint64((1 << 24) - 1)
+_SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+#: Dictionary entries of a key that are compared with one another; of fuller keys all strings are hashed.
+BLOCK = 64
 
 
 @cache
@@ -131,17 +134,20 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("id"), part.column("tag"), pa.array([pack(x.encode()) for x in part.column("text").to_pylist()], pa.binary())], ["id", "tag", "packed"])
 
 
-def _cutter(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Hashes of every string of the dictionary entries that come with a text."""
+def _cutter(length: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the dictionary entries that come with a text, the bytes and the trigger's place if whole, else the hash of each string."""
 
-    def strings(entries: list[tuple[int, int, int]], cuts: list[bytes]) -> pa.RecordBatch:
+    def rows(entries: list[tuple[int, int]], cuts: list[bytes]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(cuts), np.uint8)
         size = np.array([len(x) for x in cuts])
         count, first = size - length + 1, np.cumsum(size) - size
+        ids = [np.array([e[i] for e in entries], np.int64) for i in (0, 1)]
+        if whole:
+            trigger = parse(data, first, count, length)["x"] - first
+            return pa.record_batch([*map(pa.array, ids), pa.array(trigger.astype(np.int32)), pa.array(cuts, pa.binary())], ["key", "phrase", "trigger", "cut"])
         start = _ranges(first, count)
-        key, phrase = (np.repeat(np.array([e[i] for e in entries], np.int64), count) for i in (0, 1))
         hashes = [pa.array(Hashes(data, i).of(start, start + length).view(np.int64)) for i in (0, 1)]
-        return pa.record_batch([*hashes, pa.array(key), pa.array(phrase), pa.array(_ranges(np.zeros_like(count), count).astype(np.int32))], ["h1", "h2", "key", "phrase", "place"])
+        return pa.record_batch([*hashes, *(pa.array(np.repeat(x, count)) for x in ids), pa.array(_ranges(np.zeros_like(count), count).astype(np.int32))], ["h1", "h2", "key", "phrase", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -154,10 +160,60 @@ def _cutter(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     cuts.append(text[e["lo"] : e["hi"] + length])
                     held += len(cuts[-1])
                     if held > STEP // 4:
-                        yield strings(entries, cuts)
+                        yield rows(entries, cuts)
                         entries, cuts, held = [], [], 0
             if entries:
-                yield strings(entries, cuts)
+                yield rows(entries, cuts)
+
+    return run
+
+
+def shared(cuts: list[bytes], triggers: list[int], length: int) -> list[list[tuple[int, int]]]:
+    """Of each dictionary entry, the places (first, last) of strings that another entry holds as well.
+
+    Two entries share the strings that lie within what agrees before and after their triggers.
+    """
+    sides = []
+    for part in ([np.frombuffer(c, np.uint8)[:t][::-1] for c, t in zip(cuts, triggers, strict=True)], [np.frombuffer(c, np.uint8)[t:] for c, t in zip(cuts, triggers, strict=True)]):
+        size = np.array([len(x) for x in part])
+        table = np.zeros((len(part), size.max() + 1), np.uint8)
+        for i, x in enumerate(part):
+            table[i, : len(x)] = x
+        sides.append((table, size))
+    found = []
+    for i, (cut, trigger) in enumerate(zip(cuts, triggers, strict=True)):
+        agree = []
+        for table, size in sides:
+            differ = table != table[i]
+            differ[:, -1] = True
+            agree.append(np.minimum(np.minimum(differ.argmax(1), size), size[i]))
+        low, high = np.maximum(0, trigger - agree[0]), np.minimum(len(cut) - length, trigger + agree[1] - length)
+        low[i], high[i] = 1, 0
+        found.append([(int(p), int(q)) for p, q in set(zip(low, high, strict=True)) if p <= q])
+    return found
+
+
+def _matcher(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Compares the entries of each key with one another; rows come sorted by key."""
+
+    def rows(group: list[dict]) -> list[dict]:
+        places = shared([r["cut"] for r in group], [r["trigger"] for r in group], length)
+        return [{"key": r["key"], "phrase": r["phrase"], "places": [{"a": a, "b": b} for a, b in merged([(a, b + 1) for a, b in p])]} for r, p in zip(group, places, strict=True) if p]
+
+    schema = pa.schema([("key", pa.int64()), ("phrase", pa.int64()), ("places", _SPANS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if group and r["key"] != group[0]["key"]:
+                    out += rows(group)
+                    group = []
+                group.append(r)
+            yield pa.RecordBatch.from_pylist(out, schema)
+        if group:
+            yield pa.RecordBatch.from_pylist(rows(group), schema)
 
     return run
 
@@ -187,8 +243,7 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest.update(text[at:])
             rows.append((len(text), sum(b - a for a, b in runs), len(runs), digest.hexdigest(), [{"a": a, "b": b} for a, b in runs]))
         columns = list(zip(*rows, strict=True)) or [[]] * 5
-        span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), span)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), _SPANS)
         yield pa.record_batch([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
@@ -211,18 +266,26 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     delete(parsed)
     one = F.struct("id", "tag", "lo", "hi")
     entries = stored(alike.groupBy("key", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("at")), "dictionary")
-    mixed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1").select("key")
-    cut = entries.join(mixed, "key").select("at.id", "at.tag", F.struct("key", "phrase", "at.lo", "at.hi").alias("entry"))
+    mixed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1")
+    cut = entries.join(mixed, "key").select("at.id", "at.tag", F.struct("key", "phrase", "at.lo", "at.hi").alias("entry"), "phrases")
+    few = lambda x: F.collect_list(F.when((F.col("phrases") <= BLOCK) == F.lit(x), F.col("entry")))
     packed = texts.mapInArrow(_packer, "id bigint, tag int, packed binary")
-    by_text = packed.dropDuplicates(["id", "tag"]).join(cut.groupBy("id", "tag").agg(F.collect_list("entry").alias("entries")), ["id", "tag"])
-    strings = stored(by_text.select("packed", "entries").mapInArrow(_cutter(length), "h1 bigint, h2 bigint, key bigint, phrase bigint, place int"), "strings")
+    by_text = packed.dropDuplicates(["id", "tag"]).join(cut.groupBy("id", "tag").agg(few(True).alias("few"), few(False).alias("many")), ["id", "tag"])
+    by_text = stored(by_text.select("packed", "few", "many"), "entry-texts")
+    cuts = by_text.where("size(few) > 0").select("packed", F.col("few").alias("entries")).mapInArrow(_cutter(length, True), "key bigint, phrase bigint, trigger int, cut binary")
+    spanned = "key bigint, phrase bigint, places array<struct<a:int,b:int>>"
+    of_few = cuts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInArrow(_matcher(length), spanned)
+    strings = stored(by_text.where("size(many) > 0").select("packed", F.col("many").alias("entries")).mapInArrow(_cutter(length, False), "h1 bigint, h2 bigint, key bigint, phrase bigint, place int"), "strings")
+    twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    of_many = strings.join(twice, ["h1", "h2"]).groupBy("key", "phrase").agg(F.collect_set(F.struct(F.col("place").alias("a"), (F.col("place") + 1).alias("b"))).alias("places"))
+    some = stored(of_few.union(of_many), "shared-strings")
+    for done in (by_text, strings):
+        delete(done)
     gc.collect()
     spark._jvm.System.gc()  # shuffles of finished steps go from disk
-    twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    some = strings.join(twice, ["h1", "h2"]).groupBy("key", "phrase").agg(F.collect_set("place").alias("places"))
-    known = entries.join(some, ["key", "phrase"], "left").where("n > 1 or places is not null").select("key", "phrase", (F.col("n") > 1).alias("whole"), "places")
     span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
-    parts = F.transform("places", lambda p: span(F.col("lo") + p, F.col("lo") + p + length))
+    known = entries.join(some, ["key", "phrase"], "left").where("n > 1 or places is not null").select("key", "phrase", (F.col("n") > 1).alias("whole"), "places")
+    parts = F.transform("places", lambda p: span(F.col("lo") + p["a"], F.col("lo") + p["b"] + (length - 1)))
     spans = alike.join(known, ["key", "phrase"]).select("id", "tag", F.when(F.col("whole"), F.array(span(F.col("lo"), F.col("hi") + length))).otherwise(parts).alias("own"))
     spans = spans.groupBy("id", "tag").agg(F.flatten(F.collect_list("own")).alias("spans"))
     left = packed.join(spans, ["id", "tag"], "left").select("id", "packed", "spans")
