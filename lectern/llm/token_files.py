@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import open_fs, sliced, text_or_empty
 
 #: Bytes of text encoded at once, documents returned at once by the reader.
-STEP, READ_STEP = 1 << 20, 4096
+STEP, READ_STEP = 2 << 20, 4096
 #: Words whose ids a worker remembers at most between batches, and code points of the longest of them.
 WORDS, LONG = 600_000, 64
 #: The pre-token pattern whose cuts are known below: letters, single digits, English endings, other marks.
@@ -59,6 +59,7 @@ class WordEncoder:
             self.model = self.tokenizer.model
             self.marks: dict[str, list[int]] = {}
         self.known: dict[str, int] = {}
+        self.base: dict[str, int] = {}
         self.starts, self.sizes, self.seen, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -98,19 +99,22 @@ class WordEncoder:
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.seen = np.concatenate([self.seen, np.zeros(len(ids), np.int64)])
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
 
     def _forget(self) -> None:
-        """Keep the half of the words that was seen most, none of them long."""
-        words = list(self.known)
-        best = np.argsort(-self.seen, kind="stable")[: WORDS // 2]
-        best = best[[len(words[i]) <= LONG for i in best]]
-        pool = self.pool[_ragged(self.starts[best], self.sizes[best])]
-        self.sizes, self.seen, self.pool = self.sizes[best], self.seen[best] // 2, pool
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.known = {words[i]: n for n, i in enumerate(best)}
+        """Back to the words that the first WORDS words showed to be frequent, the more seen half of them."""
+        if not self.base:
+            words = list(self.known)
+            best = [i for i in np.argsort(-self.seen, kind="stable")[: WORDS // 2].tolist() if len(words[i]) <= LONG]
+            self.pool = self.pool[_ragged(self.starts[best], self.sizes[best])]
+            self.sizes = self.sizes[best]
+            self.starts = np.cumsum(self.sizes) - self.sizes
+            self.base = {words[i]: n for n, i in enumerate(best)}
+        self.known = self.base.copy()
+        n = len(self.base)
+        self.starts, self.sizes = self.starts[:n], self.sizes[:n]
+        self.pool = self.pool[: int(self.sizes.sum())]
 
     def _words(self, text: str) -> list[str]:
         if self.lower and "<|" not in text and (text.isascii() or _is_latin(text)):
@@ -133,7 +137,10 @@ class WordEncoder:
             missing = [flat[i] for i in missed]
             self._learn(list(dict.fromkeys(missing)))
             codes[missed] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
-        self.seen += np.bincount(codes, minlength=len(self.seen))
+        if not self.base:
+            seen = np.bincount(codes, minlength=len(self.known))
+            seen[: len(self.seen)] += self.seen
+            self.seen = seen
         sizes = self.sizes[codes]
         first = np.cumsum([0, *map(len, words)])[:-1]
         return self.pool[_ragged(self.starts[codes], sizes)], np.add.reduceat(sizes, first)
