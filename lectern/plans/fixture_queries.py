@@ -1,0 +1,413 @@
+"""Queries over small inline documents in the reviewed language; their SQL states the rows worked out by hand."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.functions import replies, text
+from lectern.operators import allocation, candidates, injectors, matching, metrics, retrieval, rules, sections
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _literal(x: object) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, str):
+        return "'" + x.replace("'", "''") + "'"
+    return str(x).lower() if isinstance(x, bool) else repr(x)
+
+
+def rows_sql(columns: str, rows: list[tuple]) -> str:
+    """SQL of stated rows; columns are "name TYPE" with commas between."""
+    named = [c.strip().split(" ", 1) for c in columns.split(",")]
+    if not rows:
+        return "SELECT " + ", ".join(f"NULL::{t} AS {n}" for n, t in named) + " WHERE false"
+    values = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+    return "SELECT " + ", ".join(f"{n}::{t} AS {n}" for n, t in named) + f" FROM (VALUES {values}) v({', '.join(n for n, _ in named)})"
+
+
+def golden(columns: str, rows: list[tuple]):
+    """Register a query whose result is stated."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark)
+        QUERIES[f.__name__].__name__ = f.__name__
+        ORACLES[f.__name__] = rows_sql(columns, rows)
+        return f
+
+    return add
+
+
+def _documents(spark: SparkSession, *texts: str) -> DataFrame:
+    return spark.createDataFrame([(f"d{i + 1}", t) for i, t in enumerate(texts)], "doc_id string, source_text string")
+
+
+def _sections(spark: SparkSession, *texts: str) -> DataFrame:
+    return sections.parse_sections(_documents(spark, *texts))
+
+
+KEYS = [(0, None, None), (1, "", ""), (2, " 5.1 ", "5.1"), (3, "[5.1]", "5.1"), (4, "[]", "[]"), (5, "附录A", "A"), (6, "附 录　B.1", "B.1"), (7, "[附录 C]", "C"), (8, "附录", ""), (9, "[1][2]", "1][2")]
+
+
+@golden("i INTEGER, key VARCHAR", [(i, k) for i, _, k in KEYS])
+def pf1_section_key(spark):
+    """PF1: comparable section numbers."""
+    return spark.createDataFrame([(i, n) for i, n, _ in KEYS], "i int, n string").select("i", text.section_key(F.col("n")).alias("key"))
+
+
+OUTLINE = "封面文字\n前言\n本文件说明\n[1] 范围\n本文件适用于甲\n[5.1]无空格标题\n正文\n参考文献\n[1] GB/T 1—2020\n[附录A]（规范性）"
+
+
+@golden("ord INTEGER, section_number VARCHAR, title VARCHAR, content VARCHAR", [(0, None, "前言", "本文件说明"), (1, "1", "范围", "本文件适用于甲"), (2, "5.1", "无空格标题", "正文"), (3, None, "参考文献", ""), (4, "1", "GB/T 1—2020", ""), (5, "附录A", "（规范性）", "")])
+def wn1_sections(spark):
+    """WN1: texts cut at headings; a bibliography's [1] is taken for one."""
+    return _sections(spark, OUTLINE).select("ord", "section_number", "title", "content")
+
+
+@golden("section VARCHAR, first_title VARCHAR, last_title VARCHAR", [(None, "前言", "参考文献"), ("1", "范围", "GB/T 1—2020"), ("5.1", "无空格标题", "无空格标题"), ("A", "（规范性）", "（规范性）")])
+def jn5_section_lookup(spark):
+    """JN5, JN6: first and last section of each key."""
+    s = _sections(spark, OUTLINE)
+    first, last = (matching.section_lookup(s, x).select("section", F.col("title").alias(n)) for x, n in ((False, "first_title"), (True, "last_title")))
+    return first.alias("f").join(last.alias("l"), F.col("f.section").eqNullSafe(F.col("l.section"))).select("f.section", "first_title", "last_title")
+
+
+@golden("doc_id VARCHAR, source_text VARCHAR", [("d1", "[1] 范围\n甲\n\n前言\n乙\n")])
+def io19_section_text(spark):
+    """IO19: sections as text again."""
+    return sections.section_text(spark.createDataFrame([("d1", 0, "1", "范围", "甲"), ("d1", 1, None, "前言", "乙")], "doc_id string, ord int, section_number string, title string, content string"))
+
+
+@golden("ord INTEGER, section_number VARCHAR, title VARCHAR, content VARCHAR", [(0, "5", "总则章", "总则"), (1, "5.1", "试验要求", "内容\n6.1 其他\nx"), (2, "5.2", "试品状态", "y")])
+def wn9_nested_split(spark):
+    """WN9: subsections in a content cut out; others' numbers stay text."""
+    s = spark.createDataFrame([("d1", 0, "5", "总则章", "总则\n5.1 试验要求\n内容\n6.1 其他\nx\n5.2 试品状态\ny")], "doc_id string, ord int, section_number string, title string, content string")
+    return sections.split_nested(s).select(F.col("ord").cast("int").alias("ord"), "section_number", "title", "content")
+
+
+CITED = "[2] 规范性引用文件\nGB/T 1.1-2020 标准化\nGB/T 2000—2019 甲\nISO 9001 质量\n[4] 要求\n应符合 GB/T 1.1-2020 的规定\n按 GB/T 2000-2015 试验\n见 IEC 60068-2005"
+
+
+@golden("rank INTEGER, error_type VARCHAR, section_number VARCHAR, name VARCHAR, confidence DOUBLE", [(1, "E-R-01", "4", "GB/T2000-2015", 0.6), (2, "E-R-01", "4", "IEC60068-2005", 0.6), (3, "E-R-02", "2", "GB/T2000-2019", 0.58), (4, "E-R-02", "2", "ISO9001", 0.58), (5, "E-R-03", "4", "GB/T2000", 0.52)])
+def tk4_reference_findings(spark):
+    """JN8 to JN10, TK4: missing, redundant and mismatched references in order."""
+    return rules.reference_findings(_sections(spark, CITED)).select("rank", "error_type", "section_number", "name", "confidence")
+
+
+@golden("t VARCHAR, refs VARCHAR", [("符合GB/T 1234的规定", ""), ("（GB/T 1234）和gb/t 5-2001", "GB/T1234"), ("按 ISO/IEC 27001:2013 与 DL/T 5—2001", "ISO/IEC27001,DL/T5-2001")])
+def fs2_reference_ids(spark):
+    """FS2, FS3: references of a text; none right behind a letter of any script."""
+    d = spark.createDataFrame([("符合GB/T 1234的规定",), ("（GB/T 1234）和gb/t 5-2001",), ("按 ISO/IEC 27001:2013 与 DL/T 5—2001",)], "t string")
+    return d.select("t", F.array_join(text.reference_ids(F.col("t")), ",").alias("refs"))
+
+
+@golden("t VARCHAR, base VARCHAR", [("GB/T1-2020", "GB/T1"), ("ISO9001", "ISO9001")])
+def fs4_reference_base(spark):
+    """FS4: references without their year."""
+    return spark.createDataFrame([("GB/T1-2020",), ("ISO9001",)], "t string").select("t", text.reference_base(F.col("t")).alias("base"))
+
+
+@golden("t VARCHAR, ids VARCHAR", [("GB/T 1.1—2020、IEC 60068 及 GB/T 1.1—2009", "GB/T1.1,IEC60068")])
+def fs5_injected_ids(spark):
+    """FS5: references as the injectors read them."""
+    return spark.createDataFrame([("GB/T 1.1—2020、IEC 60068 及 GB/T 1.1—2009",)], "t string").select("t", F.array_join(text.injected_ids(F.col("t")), ",").alias("ids"))
+
+
+TERMS = "[3] 术语和定义\n[3.1] 试样 specimen\n[3.2] 容量\n[3.4] 负荷\n[5] 要求\n试样的容量"
+
+
+@golden("rank INTEGER, term VARCHAR, section_number VARCHAR, used_count BIGINT, used_sections VARCHAR", [(1, "试样", "3.1", 1, "5"), (2, "容量", "3.2", 1, "5"), (3, "负荷", "3.4", 0, "")])
+def ag21_term_usage(spark):
+    """WN4, JN11, AG21: terms and the sections that use them."""
+    s = _sections(spark, TERMS)
+    return rules.term_usage(rules.term_entries(s), s).select("rank", "term", "section_number", "used_count", F.array_join("used_sections", ",").alias("used_sections"))
+
+
+@golden("error_type VARCHAR, section_number VARCHAR, what VARCHAR, confidence DOUBLE", [("E-TM-02", "3.4", "负荷", 0.55), ("E-TM-05", "3", "3.3", 0.75)])
+def tk9_term_findings(spark):
+    """TK9, WN6: unused terms and gaps in their numbers."""
+    s = _sections(spark, TERMS)
+    terms = rules.term_entries(s)
+    unused = rules.unused_terms(rules.term_usage(terms, s)).select("error_type", "section_number", F.col("term").alias("what"), "confidence")
+    return unused.union(rules.number_gaps(terms).select("error_type", "section_number", "missing", "confidence"))
+
+
+@golden("doc_id VARCHAR, next_number VARCHAR", [("d1", "3.5")])
+def wn11_next_number(spark):
+    """WN11: the number after the last term."""
+    return rules.next_number(rules.term_entries(_sections(spark, TERMS)))
+
+
+@golden("term VARCHAR, section_number VARCHAR, definition VARCHAR", [("试样", "3.1", "用于试验的 样品"), ("负荷", "3.2", "所加的力")])
+def fs9_terms_in_content(spark):
+    """FS8, FS9: term lines within a content, with what follows as definition."""
+    return rules.term_entries(_sections(spark, "[3] 术语和定义\n3.1 试样 test specimen\n用于试验的\n样品\n[3.2] 负荷\n所加的力")).select("term", "section_number", F.when(F.col("term") == "试样", F.substring("definition", 1, 8)).otherwise(F.col("definition")).alias("definition"))
+
+
+@golden("rank INTEGER, section_number VARCHAR, sentence VARCHAR, modal_words VARCHAR, batch INTEGER", [(1, "5.1", "产品不应使用劣质材料", "不应,应", 0), (2, "5.1", "应符合GB/T 1的要求", "应", 0)])
+def wn3_modal_sentences(spark):
+    """WN3, FS6, FS7: sentences with modal words; short ones do not count."""
+    s = _sections(spark, "[5.1] 材料\n产品不应使用劣质材料。宜检查；外观\n应符合GB/T 1的要求")
+    return rules.modal_sentences(s).select("rank", "section_number", "sentence", F.array_join("modal_words", ",").alias("modal_words"), "batch")
+
+
+TREE = "[5] 甲\n[5.1] 乙\n[5.1.1] 丙\n[5.1.2] 丁\n[5.1.2.1] 戊"
+
+
+def _items(spark: SparkSession, *rows: tuple) -> DataFrame:
+    return spark.createDataFrame([("d1", i, *r, "r", "e") for i, r in enumerate(rows)], "doc_id string, ord int, dimension string, error_type string, section_number string, reason string, error_description string")
+
+
+@golden("ord INTEGER, n BIGINT, sections VARCHAR, types VARCHAR", [(0, 16, "5,5.1,5.1.1,5.1.2", "E-T-01,E-T-02,E-T-03,E-T-07"), (1, 2, "5.1", "E-S-02,E-S-03"), (2, 4, "5,5.1,5.1.1,5.1.2", "E-R-04")])
+def jn12_candidate_expansion(spark):
+    """JN12 to JN14, PF5, WN2: valid items spread to ancestors, children and related types, once for each key."""
+    items = _items(spark, ("C3.1", "E-T-01", "5.1"), ("C2.1", "E-S-02", "5.1"), ("C3.3", "E-R-04", "5.1"), ("C3.3", "E-R-05", "5.1"))
+    found = candidates.final_candidates(items, _sections(spark, TREE), ["ord"])
+    join = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return found.groupBy("ord").agg(F.count(F.lit(1)).alias("n"), join("section_number").alias("sections"), join("error_type").alias("types"))
+
+
+@golden("section_number VARCHAR, reason VARCHAR, error_description VARCHAR", [("5.1", "r", "e"), ("5", "r（section 扩展父章节 5）", "e；补充：section 扩展父章节 5"), ("5.1.1", "r（section 扩展子章节 5.1.1）", "e；补充：section 扩展子章节 5.1.1"), ("5.1.2", "r（section 扩展子章节 5.1.2）", "e；补充：section 扩展子章节 5.1.2")])
+def fs17_reason_notes(spark):
+    """FS17: notes of spread candidates."""
+    return candidates.spread_sections(_items(spark, ("C2.2", "E-SC-01", "5.1")), _sections(spark, TREE)).select("section_number", "reason", "error_description")
+
+
+@golden("ord INTEGER, dimension VARCHAR, error_type VARCHAR, section_number VARCHAR, reason VARCHAR, error_description VARCHAR", [(0, "C3.1", "E-T-01", None, "因", "因"), (2, "C2.1", "E-S-01", "1", "述", "述")])
+def pf2_normalised_items(spark):
+    """PF2, PF3, PF4: items trimmed, incomplete ones dropped, reason and description standing in for one another."""
+    rows = [(0, " C3.1 ", "E-T-01", "", " 因 ", None), (1, "", "E-T-01", "1", "x", "y"), (2, "C2.1", "E-S-01", "1", "", "述"), (3, "C2.1", None, "1", "x", "y")]
+    return candidates.output_columns(candidates.normalised(spark.createDataFrame(rows, "ord int, dimension string, error_type string, section_number string, reason string, error_description string")), "ord")
+
+
+@golden("c VARCHAR, confidence DOUBLE", [("0.8", 0.8), ("7", 1.0), ("-1", 0.0), ("x", 0.0), (None, 0.0)])
+def pf6_confidence(spark):
+    """PF6: confidences within 0 and 1."""
+    return spark.createDataFrame([("0.8",), ("7",), ("-1",), ("x",), (None,)], "c string").select("c", candidates.clamped_confidence(F.col("c")).alias("confidence"))
+
+
+@golden("dimension VARCHAR, error_type VARCHAR, rank INTEGER", [("C3.1", "E-T-02", 1), ("C3.1", "E-T-03", 2)])
+def tk1_supplements(spark):
+    """TK1: confident items that are not direct ones."""
+    items = _items(spark, ("C3.1", "E-T-01", "1"), ("C3.1", "E-T-02", "1"), ("C3.1", "E-T-03", "1"), ("C3.1", "E-T-04", "1")).withColumn("confidence", F.element_at(F.array(F.lit("0.99"), F.lit("0.9"), F.lit("0.8"), F.lit("0.7")), F.col("ord") + 1))
+    return candidates.supplements(items, _items(spark, ("C3.1", "E-T-01", "[1]"))).select("dimension", "error_type", "rank")
+
+
+ODD_OUTLINE = "[2] 术语\n[1] 适用范围\n[5.1.1.1.1.1] x\n前言\n[附录A] 试验（资料性）\n[附录B] 记录"
+
+
+@golden("check_name VARCHAR, what VARCHAR", [("missing", "规范性引用文件"), ("order", "2 术语 > 1 适用范围"), ("name", "术语 > 术语和定义"), ("name", "适用范围 > 范围"), ("depth", "5.1.1.1.1.1=6"), ("appendix", "附录A 资料性"), ("appendix", "附录B -")])
+def jn15_structure_checks(spark):
+    """JN15, JN16, WN5, FS18 to FS20: checks of the headings."""
+    docs = _documents(spark, ODD_OUTLINE)
+    h = sections.tool_headings(docs)
+    row = lambda df, name, what: df.select(F.lit(name).alias("check_name"), what.alias("what"))
+    parts = [
+        row(rules.missing_sections(docs, h), "missing", F.col("category")), row(rules.order_issues(h).where("kind = 'sequence'"), "order", F.concat("prev", F.lit(" > "), "curr")), row(rules.name_issues(h), "name", F.concat("title", F.lit(" > "), "standard_title")),
+        row(rules.depth_issues(h), "depth", F.concat("section_number", F.lit("="), F.col("depth").cast("string"))), row(rules.appendix_types(h), "appendix", F.concat("section_number", F.lit(" "), F.coalesce("attribute", F.lit("-")))),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
+GT = [("d1", 0, "5.1", "C3.1", "E-T-01"), ("d1", 1, "5.1", "C3.1", "E-T-01"), ("d1", 2, None, "C2.1", "E-S-04"), ("d2", 0, "1", "C2.2", "E-SC-03")]
+PRED = [("d1", 0, "[5.1]", "C3.1", "E-T-01"), ("d1", 1, "附录A", "C2.1", "E-S-05"), ("d1", 2, None, "C2.1", "E-S-04"), ("d1", 3, "5.1", "C3.1", "E-T-02"), ("d3", 0, "1", "C3.1", "E-T-01"), ("d3", 1, "2", "C3.1", "E-T-01")]
+
+
+def _bags(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = spark.createDataFrame([("d1",), ("d2",), ("d3",)], "doc_id string")
+    make = lambda rows, i: matching.keyed(spark.createDataFrame(rows, f"doc_id string, {i} int, section_number string, dimension string, error_type string")).withColumn("description", F.lit("x"))
+    return docs, make(GT, "gt_index"), make(PRED, "pred_index")
+
+
+@golden("doc_id VARCHAR, gt_count BIGINT, pred_count BIGINT, location_hits BIGINT, dimension_hits BIGINT, diagnosis_hits BIGINT, mcs DOUBLE, penalty DOUBLE, np_mcs DOUBLE", [("d1", 3, 4, 3, 3, 2, 0.477688, 0.997059, 0.476283), ("d2", 1, 0, 0, 0, 0, 0.0, 1.0, 0.0), ("d3", 0, 2, 0, 0, 0, 0.0, 0.997059, 0.0)])
+def ag1_small_recall(spark):
+    """AG1 to AG6 on three documents: repeated keys, null sections, no items."""
+    m = metrics.derived(metrics.item_recall(*_bags(spark)))
+    return m.select("doc_id", "gt_count", "pred_count", "location_hits", "dimension_hits", "diagnosis_hits", *[F.round(c, 6).alias(c) for c in ("mcs", "penalty", "np_mcs")])
+
+
+@golden("doc_id VARCHAR, precision_hit BOOLEAN, location_hit BOOLEAN, diagnosis_hit BOOLEAN", [("d1", False, True, False), ("d2", False, False, False), ("d3", True, True, True)])
+def ag11_small_hits(spark):
+    """AG11 on three documents; one without items hits all."""
+    return metrics.document_hits(*_bags(spark))
+
+
+@golden("gt_count BIGINT, diagnosis_hits BIGINT, mcs DOUBLE, np_mcs DOUBLE, doc_weighted_mcs DOUBLE, avg_penalty DOUBLE, doc_weighted_np_mcs DOUBLE", [(4, 2, 0.303265, 0.301516, 0.358266, 0.997794, 0.357212)])
+def ag8_small_corpus(spark):
+    """AG7, AG8 on three documents."""
+    m = metrics.corpus_metrics(metrics.item_recall(*_bags(spark)))
+    return m.select("gt_count", "diagnosis_hits", *[F.round(c, 6).alias(c) for c in ("mcs", "np_mcs", "doc_weighted_mcs", "avg_penalty", "doc_weighted_np_mcs")])
+
+
+@golden('position INTEGER, section VARCHAR, gt_index INTEGER, preds VARCHAR, title VARCHAR', [(1, "5.1", 0, "0", "乙"), (2, "5.1", 1, "0", "乙"), (3, None, 2, "2", None)])
+def jn7_hit_sections(spark):
+    """JN7: diagnosed items with the predictions that mark them, in section order."""
+    _, gt, pred = _bags(spark)
+    h = matching.hit_sections(gt, pred, _sections(spark, TREE))
+    return h.select("position", "section", "gt_index", F.array_join(F.transform("pred_indexes", lambda i: i.cast("string")), ",").alias("preds"), "title")
+
+
+@golden("doc_id VARCHAR, marked VARCHAR", [("d1", "[5.1] 乙 | C3.1/E-T-01 | #0\n[5.1] 乙 | C3.1/E-T-01 | #0\n[-]  | C2.1/E-S-04 | #2")])
+def fs21_marked_text(spark):
+    """FS21: hit sections as text."""
+    _, gt, pred = _bags(spark)
+    return matching.marked_text(matching.hit_sections(gt, pred, _sections(spark, TREE)))
+
+
+@golden("items BIGINT, matched BIGINT", [(3, 2)])
+def jn3_judged_matches(spark):
+    """JN3, FS16: one-to-one matches where a table of judged pairs adds to equality without white space."""
+    base = "doc_id string, section string, dimension string, error_type string, description string"
+    gt = spark.createDataFrame([("d", "1", "C3.1", "E-T-01", t) for t in ("错误：A b", "y", "z")], base)
+    pred = spark.createDataFrame([("d", "1", "C3.1", "E-T-01", t) for t in ("错误：Ab", "q")], base)
+    judged = spark.createDataFrame([("y", "q"), ("z", "q")], "gt_text string, pred_text string")
+    return matching.described_matches(gt, pred, judged).select("items", "matched")
+
+
+@golden("a VARCHAR, b VARCHAR, same BOOLEAN", [("错误：A b", "错误：Ab", True), ("", "", False), ("x", "y", False)])
+def fs16_same_description(spark):
+    """FS16: descriptions equal without white space; empty ones never."""
+    return spark.createDataFrame([("错误：A b", "错误：Ab"), ("", ""), ("x", "y")], "a string, b string").select("a", "b", text.same_description(F.col("a"), F.col("b")).alias("same"))
+
+
+REPLIES = [(0, "<think>x</think>\n```json\n[{\"error_type\":\"E\"}]\n```"), (1, "note [1,2] and {\"a\":1}"), (2, "not json"), (3, ""), (4, "null"), (5, "说明 {\"a\":1} 完"), (6, "[{\"error_type\":\"E\"},3,\"x\",null]")]
+
+
+@golden("i INTEGER, json VARCHAR, skipped BOOLEAN, n INTEGER", [(0, '[{"error_type":"E"}]', False, 1), (1, "[1,2]", False, 0), (2, "{}", False, 0), (3, "{}", False, 0), (4, "null", True, None), (5, '{"a":1}', False, 0), (6, '[{"error_type":"E"},3,"x",null]', False, 1)])
+def fj1_reply_json(spark):
+    """FJ1, FJ2: the JSON of model replies, and how many objects it lists."""
+    r = spark.createDataFrame(REPLIES, "i int, reply string")
+    return r.select("i", replies.json_text(F.col("reply")).alias("json"), replies.is_skipped(F.col("reply")).alias("skipped"), F.when(replies.items(F.col("reply")).isNotNull(), F.size(replies.items(F.col("reply")))).alias("n"))
+
+
+@golden("section_number VARCHAR, title VARCHAR, content VARCHAR", [("1", "范围", "甲"), (None, "前言", "")])
+def fj4_section_rows(spark):
+    """FJ4: sections that a reply lists."""
+    r = spark.createDataFrame([('[{"section_number":"1","title":"范围","content":"甲"},{"title":" "},5,{"section_number":"","title":"前言"}]',)], "reply string")
+    return r.select(F.explode(replies.section_rows(F.col("reply"))).alias("s")).select("s.*")
+
+
+@golden("t VARCHAR, joined VARCHAR", [("见5.\n1.\n2和甲.\n3", "见5.1.2和甲.\n3")])
+def fs11_joined_numbers(spark):
+    """FS11: numbers that a line end broke."""
+    return spark.createDataFrame([("见5.\n1.\n2和甲.\n3",)], "t string").select("t", text.joined_numbers(F.col("t")).alias("joined"))
+
+
+@golden("line VARCHAR, noise BOOLEAN, kind VARCHAR", [("12", True, None), ("", True, None), ("GB/T 1.1—2020", True, None), ("5.1 要求", False, "numbered"), ("附 录 A", False, "appendix"), ("## 范围", False, "markdown"), ("[1] 范围", False, "bracket"), ("前言", False, "plain"), ("正文内容", False, None)])
+def fs13_heading_kinds(spark):
+    """PF13, FS13: page furniture and kinds of headings."""
+    d = spark.createDataFrame([(x,) for x in ("12", "", "GB/T 1.1—2020", "5.1 要求", "附 录 A", "## 范围", "[1] 范围", "前言", "正文内容")], "line string")
+    noise = sections.is_noise(F.col("line"))
+    return d.select("line", noise.alias("noise"), F.when(~noise, sections.heading_kind(F.col("line"))).alias("kind"))
+
+
+@golden("doc_id VARCHAR, kept VARCHAR", [("d1", "封面|1 范围|正文")])
+def wn12_contents_table(spark):
+    """WN12: lines of a contents table fall away."""
+    d = spark.createDataFrame([("d1", "封面\n目次\n1 范围........1\n2 要求........3\n1 范围\n正文")], "doc_id string, source_text string")
+    rows = sections.without_contents_table(sections.lines(d))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda r: r["line"]), "|").alias("kept"))
+
+
+@golden("ord INTEGER, section_number VARCHAR, title VARCHAR, content VARCHAR", [(0, "5", "要求", "甲\n乙"), (1, "6", "试验", "丙")])
+def wn8_continued(spark):
+    """WN8: a section that a page chunk continues."""
+    s = spark.createDataFrame([("d1", 0, 0, "5", "要求", "甲"), ("d1", 1, 0, "5", "要求", "乙"), ("d1", 1, 1, "6", "试验", "丙")], "doc_id string, chunk int, ord int, section_number string, title string, content string")
+    return sections.continued(s).select("ord", "section_number", "title", "content")
+
+
+@golden("chunks VARCHAR", [("aabbb|ccc|dddddddd",)])
+def wn13_packed_sentences(spark):
+    """WN13: sentences packed up to a length."""
+    return spark.createDataFrame([(["aa", "bbb", "ccc", "dddddddd"],)], "s array<string>").select(F.array_join(sections.packed_sentences(F.col("s"), 6), "|").alias("chunks"))
+
+
+@golden("number VARCHAR, first INTEGER, last INTEGER, contents_first INTEGER", [("1", 2, 3, 0), ("2", 4, 4, 1)])
+def jn19_contents_blocks(spark):
+    """WN10, JN19: top-level blocks with a body, and their blocks in the contents table."""
+    rows = [("d1", 0, "1", "范围", "1"), ("d1", 1, "2", "要求", "3"), ("d1", 2, "1", "范围", "正文"), ("d1", 3, "1.1", "细则", "正文"), ("d1", 4, "2", "要求", "正文")]
+    s = spark.createDataFrame(rows, "doc_id string, ord int, section_number string, title string, content string")
+    return sections.contents_block(sections.top_blocks(s)).join(sections.top_blocks(s).select("doc_id", "first", "last"), ["doc_id", "first"]).select("number", "first", "last", "contents_first")
+
+
+@golden("context VARCHAR", [("【全文章节目录】\n[5.1] 材料\n[6] 试验\n\n【C3.1 高风险语气候选章节：含必须/须/宜/可/不应/不宜/模糊语气词等】\n[6] 试验\n宜干燥\n\n【C3.1 普通“应”候选章节：优先级较低，仅用于补充核对】\n[5.1] 材料\n应检查",)])
+def lm12_modal_context(spark):
+    """LM12, PF9: the context of a modal review."""
+    return rules.modal_context(_sections(spark, "[5.1] 材料\n应检查\n[6] 试验\n宜干燥")).select("context")
+
+
+@golden("context VARCHAR", [("【本地引用抽取结果】\n清单引用：GB/T1\n正文引用：ISO2\n疑似漏列（正文有、清单无）：ISO2\n疑似冗余（清单有、正文无）：GB/T1\n\n【规范性引用文件章节】\n[2] 规范性引用文件\nGB/T 1\n\n【正文中含标准引用的章节】\n[4] 要求\n按 ISO 2",)])
+def lm12_reference_context(spark):
+    """LM12: the context of a reference review."""
+    return rules.reference_context(_sections(spark, "[2] 规范性引用文件\nGB/T 1\n[4] 要求\n按 ISO 2")).select("context")
+
+
+@golden("context VARCHAR", [("【术语编号序列】\n3.1\n\n【术语和定义相关章节】\n[3] 术语和定义\n\n\n[3.1] 试样\n样\n\n【C3.2 技术要素重点章节：标题含要求/试验方法/检验规则/标志包装运输贮存等】\n[5] 要求\n甲\n\n【C3.2 技术要素关键词章节：含限值/指标/单位/试样/设备/步骤/计算/判定等】\n[6] 其他\n按规定",)])
+def lm12_technical_context(spark):
+    """LM12, PF10, PF12: the context of a term review."""
+    return rules.technical_context(_sections(spark, "[3] 术语和定义\n[3.1] 试样\n样\n[5] 要求\n甲\n[6] 其他\n按规定")).select("context")
+
+
+@golden("dimension VARCHAR, n BIGINT", [("C2.1", 2), ("C2.2", 3), ("C3.1", 1), ("C3.2", 5), ("C3.3", 1)])
+def pf11_focus(spark):
+    """PF11: how many lines each dimension's review looks at."""
+    s = _sections(spark, "[1] 范围\n甲\n[3] 术语\n乙\n[5] 要求\n应按 GB/T 1\n[6] 其他\n丁")
+    parts = [rules.focus(s, d).agg(F.count(F.lit(1)).alias("n")).select(F.lit(d).alias("dimension"), "n") for d in ("C2.1", "C2.2", "C3.1", "C3.2", "C3.3")]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])
+
+
+@golden("t VARCHAR, short VARCHAR", [(None, "（空）"), ("none", "（空）"), (" 甲\n 乙 ", "甲 乙"), ("一二三四五六七八九十", "一二三四五...")])
+def pf17_brief(spark):
+    """PF17: short forms for messages."""
+    return spark.createDataFrame([(None,), ("none",), (" 甲\n 乙 ",), ("一二三四五六七八九十",)], "t string").select("t", text.brief(F.col("t"), 5).alias("short"))
+
+
+@golden("t VARCHAR, hidden VARCHAR", [(None, "<empty>"), ("abcd", "****"), ("abcdefghijkl", "abcd...ijkl")])
+def fs23_masked(spark):
+    """FS23: secrets masked."""
+    return spark.createDataFrame([(None,), ("abcd",), ("abcdefghijkl",)], "t string").select("t", text.masked(F.col("t")).alias("hidden"))
+
+
+@golden("query VARCHAR", [("审查维度：C3.1\n待审查文档片段：甲 乙",)])
+def fs22_query_text(spark):
+    """FS22: the text that rules are looked up by."""
+    return spark.createDataFrame([(" 甲 \n乙 ",)], "t string").select(retrieval.query_text(F.col("t"), "C3.1").alias("query"))
+
+
+@golden("dims VARCHAR, num INTEGER, counts VARCHAR", [("C2.2", 3, "C2.2=3"), ("C2.1,C2.2", 2, "C2.1=1,C2.2=1"), ("C2.1,C2.2", 9, "C2.1=6,C2.2=3")])
+def ce28_allocation(spark):
+    """CE28: errors dealt to dimensions, least used type first."""
+    rows = [(",".join(d), n, ",".join(f"{k}={v}" for k, v in allocation.allocate(d, n).items())) for d, n in ((["C2.2"], 3), (["C2.1", "C2.2"], 2), (["C2.1", "C2.2"], 9))]
+    return spark.createDataFrame(rows, "dims string, num int, counts string")
+
+
+INJECTED = "前言\n编制情况说明。\n引言\n背景情况介绍。\n[1] 范围\n本文件适用于甲。\n[2] 规范性引用文件\n下列文件必不可少。\nGB/T 1.1—2020 标准化\nISO 9001 质量\nIEC 60068 环境\n[3] 术语和定义\n甲术语\n乙术语\n丙术语\n[5] 要求\n产品应安全，不应泄漏，宜检查，按 ISO 9001。\n[5.1.2] 细则\n可选用。\n[附录A] 试验方法（规范性）\n步骤。\n参考文献\n[1] GB/T 5—2001"
+
+
+INJECTED_CODES = ["E-S-03", "E-S-04", "E-S-05", "E-S-06", "E-T-01", "E-T-02", "E-T-03", "E-T-04", "E-T-05", "E-T-06", "E-T-07", "E-TM-05", "E-R-01", "E-R-02", "E-R-04"]
+
+
+@golden("error_type VARCHAR, changed BIGINT, annotated BIGINT", [(c, 2, 2) if c == "E-S-04" else (c, 1, 1) for c in INJECTED_CODES])
+def ce_injections(spark):
+    """CE3 to CE25: how many sections each injector changes and annotates in one document."""
+    s = _sections(spark, INJECTED)
+    out = None
+    for code in INJECTED_CODES:
+        made = injectors.INJECTORS[code](s, 7)
+        before, after = s.select("ord", "section_number", "title", "content"), made.sections.select("ord", "section_number", "title", "content")
+        row = after.exceptAll(before).agg(F.count(F.lit(1)).alias("changed")).crossJoin(made.annotations.agg(F.count(F.lit(1)).alias("annotated"))).select(F.lit(code).alias("error_type"), "changed", "annotated")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@golden("doc_id VARCHAR, ord INTEGER, section_number VARCHAR, title VARCHAR, content VARCHAR", [("d1", 1, "2", "换", "新")])
+def io22_merged_sections(spark):
+    """IO22: corrupted sections in place of the originals; null deletes."""
+    s = spark.createDataFrame([("d1", 0, "1", "甲", "x"), ("d1", 1, "2", "乙", "y")], "doc_id string, ord int, section_number string, title string, content string")
+    c = spark.createDataFrame([("d1", 0, None), ("d1", 1, ("2", "换", "新"))], "doc_id string, ord int, corrupted struct<section_number:string,title:string,content:string>")
+    return injectors.merged_sections(s, c)

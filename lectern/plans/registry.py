@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lectern.plans import fixture_queries, table_queries
+
+QUERIES: dict = {**table_queries.QUERIES, **fixture_queries.QUERIES}
+ORACLES: dict = {**table_queries.ORACLES, **fixture_queries.ORACLES}
