@@ -10,6 +10,8 @@ from lectern.llm.common import SPACE, stored, text_or_empty
 #: Runs that meet in one merge, and rounds of merging; FAN ** ROUNDS runs begin.
 FAN, ROUNDS = 8, 2
 KEY = ["digest", "size", "check"]
+#: Stands for a null id while rows are joined.
+NO_ID = -(1 << 63)
 
 
 def normalised(text: Column) -> Column:
@@ -23,7 +25,7 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A text's key is the SHA-256 digest of its normalised form, verified by that form's length and an
     independent 64-bit hash. row_id tells repeated rows apart.
     """
-    short = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("t"), F.length(text_or_empty(text_col)).alias("points"))
+    short = docs.select(F.col(id_col).cast("bigint").alias("id"), normalised(F.col(text_col)).alias("t"), F.length(text_or_empty(text_col)).alias("points"))
     slim = short.select(
         "id", "points", F.unhex(F.sha2("t", 256)).alias("digest"), F.octet_length("t").alias("size"), F.xxhash64("t").alias("check"), F.monotonically_increasing_id().alias("row_id"),
     )
@@ -60,7 +62,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup drops, with all their columns."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select("doc_id", "text_sha256")
-    same = packed["id"].eqNullSafe(kept["doc_id"]) & (packed["sha"] == kept["text_sha256"])
-    return packed.join(kept, same, "left_semi").dropDuplicates(["id", "sha"]).select("row.*")
+    own = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_sha256").alias("sha"))
+    # One exchange of texts: repeated rows of one id meet under the join's own keys, sorted already.
+    return packed.join(kept.hint("merge"), ["id", "sha"], "left_semi").dropDuplicates(["id", "sha"]).select("row.*")

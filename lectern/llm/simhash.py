@@ -204,7 +204,7 @@ def similar_pairs(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col:
     met = buckets.join(centres, ["sample", "print"]).where("id <> centre")
     pairs = stored(met.select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct(), "candidates")
     nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = stored(rows.join(nodes, "id", "left_semi").mapInArrow(_shingle_sets(k), "id bigint, shingles binary"), "shingle-sets").dropDuplicates(["id"])
+    sets = stored(rows.join(nodes.hint("merge"), "id", "left_semi").mapInArrow(_shingle_sets(k), "id bigint, shingles binary"), "shingle-sets").dropDuplicates(["id"])
     with_u = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
     with_v = with_u.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v")
     return stored(with_v.select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u bigint, v bigint"), "similar")
@@ -213,4 +213,4 @@ def similar_pairs(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col:
 def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document, that of the smallest id, of each component of similar_pairs; all columns."""
     dropped = components(similar_pairs(docs, k, similarity, id_col, text_col)).where("node <> component").select(F.col("node").alias(id_col))
-    return docs.join(dropped, id_col, "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("merge"), id_col, "left_anti").select(*docs.columns)
