@@ -93,7 +93,7 @@ def swapped_blocks(sections: DataFrame, seed: int) -> Injection:
     renumber = lambda old, new: F.when(F.col("section_number") == old, new).when(F.col("section_number").startswith(F.concat(old, F.lit("."))), F.concat(new, F.substr("section_number", F.length(old) + 1))).otherwise(F.col("section_number"))
     place, number = F.struct(F.col("ord").alias("slot"), F.lit(0).alias("sub"), F.col("ord").alias("o")), F.col("section_number")
     for i in (0, 1):
-        x, y = F.col("m")[i]["x"], F.col("m")[i]["y"]
+        x, y = F.get("m", F.lit(i))["x"], F.get("m", F.lit(i))["y"]
         there = F.coalesce(F.size("m") > i, F.lit(False))
         place = F.when(there & inside(x), F.struct(y["first"].alias("slot"), F.lit(0).alias("sub"), F.col("ord").alias("o"))).when(there & inside(y), F.struct(x["first"].alias("slot"), F.lit(0).alias("sub"), F.col("ord").alias("o"))).otherwise(place)
         number = F.when(there & inside(x), renumber(x["number"], y["number"])).when(there & inside(y), renumber(y["number"], x["number"])).otherwise(number)

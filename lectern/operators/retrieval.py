@@ -41,7 +41,8 @@ def query_text(text: Column, dimension: str, limit: int = 5000) -> Column:
 
 
 def context(found: DataFrame) -> DataFrame:
-    """Numbered text of the rules that a query found, in rank order."""
-    line = F.format_string("%d. [%s] %s\n%s", "rank", F.coalesce("dimension", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
-    rows = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    """Text of the rules (text, title, error_type, source) that a query found, numbered in rank order."""
+    filled = lambda c, other: F.coalesce(F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit("")), F.lit(other))
+    head = F.array_join(F.array_compact(F.array(F.concat(F.lit("知识"), F.col("rank").cast("string")), filled("title", "审查规则"), F.nullif(F.trim(F.coalesce("error_type", F.lit(""))), F.lit("")), filled("source", "local"))), " / ")
+    rows = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), head, F.lit("]\n"), F.trim(F.coalesce("text", F.lit("")))).alias("line"))))
     return found.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n\n").alias("context"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from lectern.functions.text import WS, compact, depth, has_any, label, modal_words, reference_base, reference_ids, section_key, section_line, sentences, term_text, is_term_section
 from lectern.taxonomy import MANDATORY, MAX_DEPTH, MODALS, RISKY_MODALS, STANDARD_ORDER, TECHNICAL_TITLES, TECHNICAL_WORDS, TERM_WORDS, WRONG_TITLES
 
-NULL = F.lit(None).cast("string")
 
 
 def _whole(title: str = "title", content: str = "content") -> Column:

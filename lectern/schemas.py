@@ -2,21 +2,12 @@
 
 SECTION = "section_number string, title string, content string"
 SECTIONS = f"doc_id string, ord int, {SECTION}"
-EXAMPLE = f"dimension string, error_type string, original struct<{SECTION.replace(' string', ':string')}>, corrupted struct<{SECTION.replace(' string', ':string')}>, error_description string"
+EXAMPLE = f"dimension string, error_type string, original struct<{SECTION}>, corrupted struct<{SECTION}>, error_description string"
 USAGE = "requests bigint, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint"
 
 
-def _struct(ddl: str) -> str:
-    """A column list as the inside of struct<>."""
-    out = []
-    for part in ddl.split(", "):
-        name, kind = part.split(" ", 1)
-        out.append(f"{name}:{kind}")
-    return ",".join(out)
-
-
-DOCUMENT = f"record_index int, example_count int, file_name string, file_stem string, parse_token_usage struct<{_struct(USAGE)}>, source_text string, examples array<struct<{_struct(EXAMPLE)}>>"
-BENCHMARK = f"total_files int, documents array<struct<{_struct(DOCUMENT)}>>, total_examples int, error_type_counts map<string,int>"
+DOCUMENT = f"record_index int, example_count int, file_name string, file_stem string, parse_token_usage struct<{USAGE}>, source_text string, examples array<struct<{EXAMPLE}>>"
+BENCHMARK = f"total_files int, documents array<struct<{DOCUMENT}>>, total_examples int, error_type_counts map<string,int>"
 ITEMS = "doc_id string, gt_index int, section_number string, dimension string, error_type string, title string, content string, error_description string"
 PREDICTIONS = "doc_id string, pred_index int, section_number string, dimension string, error_type string, reason string, error_description string, evidence string, confidence string, critic_note string"
 RULES = "id string, text string, metadata map<string,string>, embedding array<float>"
