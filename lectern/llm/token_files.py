@@ -23,7 +23,7 @@ from lectern.llm.common import open_fs, sliced, text_or_empty
 #: Bytes of text encoded at once, documents returned at once by the reader.
 STEP, READ_STEP = 2 << 20, 4096
 #: Words whose ids a worker remembers at most between batches, and code points of the longest of them.
-WORDS, LONG = 600_000, 64
+WORDS, LONG = 1_000_000, 64
 #: The pre-token pattern whose cuts are known below: letters, single digits, English endings, other marks.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
