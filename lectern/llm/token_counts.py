@@ -71,4 +71,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 4096,
     misses = digests.groupBy("digest").agg(F.min("id").alias("first_id")).join(_cached(spark, cache, version), "digest", "left_anti")
     missing = whole.join(misses, whole["id"].eqNullSafe(misses["first_id"]) & (whole["digest"] == misses["digest"]), "left_semi").select("digest", "text")
     missing.mapInArrow(_encode(tokenizer), "digest binary, n_tokens bigint").write.mode("append").parquet(f"{cache}/tokenizer={version}")
-    return digests.join(_cached(spark, cache, version), "digest").select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # Stored, so that the last join has an exchange on either side and splits a digest with many rows.
+    counts = stored(digests.select("digest").distinct().join(_cached(spark, cache, version), "digest"), "token-counts")
+    return digests.join(counts, "digest").select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
