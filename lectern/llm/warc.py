@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import open_fs
+from lectern.llm.common import open_fs, stored
 
 #: Runs that one merge reads; keys that a run names to divide the key space; entries per Arrow batch.
 FAN, NAMED, ENTRIES = 64, 16, 2000
@@ -185,7 +185,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> None:
     spark = pages.sparkSession
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", body.alias("html"), F.sha2(body, 256).alias("sha"))
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
+    first = stored(rows.groupBy("sha").agg(F.min("page_id").alias("first")), "first-captures")  # so that the join splits a payload with many rows
     revisit = ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least)
     marked = rows.join(first, "sha").select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("first_id"))
     named = marked.mapInArrow(_writer(folder), "run string, key string, ts string, page bigint").collect()
