@@ -262,11 +262,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     texts = texts.select("id", F.hash("text").alias("tag"), "text")
     parsed = stored(texts.mapInArrow(_parser(length), "id bigint, tag int, lo int, hi int, key bigint, phrase bigint"), "parse")
     again = parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    again = stored(again, "again")  # here and below: so that a join splits a key with many rows
     alike = stored(parsed.join(again, "key"), "repeated-keys")
     delete(parsed)
     one = F.struct("id", "tag", "lo", "hi")
     entries = stored(alike.groupBy("key", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("at")), "dictionary")
-    mixed = entries.groupBy("key").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1")
+    mixed = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1"), "mixed-keys")
     cut = entries.join(mixed, "key").select("at.id", "at.tag", F.struct("key", "phrase", "at.lo", "at.hi").alias("entry"), "phrases")
     few = lambda x: F.collect_list(F.when((F.col("phrases") <= BLOCK) == F.lit(x), F.col("entry")))
     packed = texts.mapInArrow(_packer, "id bigint, tag int, packed binary")
@@ -276,7 +277,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     spanned = "key bigint, phrase bigint, places array<struct<a:int,b:int>>"
     of_few = cuts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInArrow(_matcher(length), spanned)
     strings = stored(by_text.where("size(many) > 0").select("packed", F.col("many").alias("entries")).mapInArrow(_cutter(length, False), "h1 bigint, h2 bigint, key bigint, phrase bigint, place int"), "strings")
-    twice = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
+    twice = stored(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "twice")
     of_many = strings.join(twice, ["h1", "h2"]).groupBy("key", "phrase").agg(F.collect_set(F.struct(F.col("place").alias("a"), (F.col("place") + 1).alias("b"))).alias("places"))
     some = stored(of_few.union(of_many), "shared-strings")
     for done in (by_text, strings):
@@ -285,6 +286,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     spark._jvm.System.gc()  # shuffles of finished steps go from disk
     span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     known = entries.join(some, ["key", "phrase"], "left").where("n > 1 or places is not null").select("key", "phrase", (F.col("n") > 1).alias("whole"), "places")
+    known = stored(known, "known")
     parts = F.transform("places", lambda p: span(F.col("lo") + p["a"], F.col("lo") + p["b"] + (length - 1)))
     spans = alike.join(known, ["key", "phrase"]).select("id", "tag", F.when(F.col("whole"), F.array(span(F.col("lo"), F.col("hi") + length))).otherwise(parts).alias("own"))
     spans = spans.groupBy("id", "tag").agg(F.flatten(F.collect_list("own")).alias("spans"))
