@@ -14,7 +14,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     Large: those above the node, for each node with all its neighbours. Small: those below and the node itself.
     """
     both = edges.union(edges.select("v", "u")).toDF("u", "v") if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    lowest = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")  # so that the join splits a node of many edges
     if large:
         linked = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

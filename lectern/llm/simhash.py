@@ -102,7 +102,7 @@ def links(classes: DataFrame, max_bits: int) -> DataFrame:
     for _ in range(half):
         cells = _around(cells)
     placed = classes.where("rep is not null").select("rep", "fp", F.explode(cells).alias("cell"))
-    full = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    full = stored(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "full-cells")  # so that the join splits a full cell
     met = stored(placed.join(full, "cell"), "grid")
     few = met.where(F.col("n") <= BLOCK)
     a, b = few.select("cell", F.col("rep").alias("u"), F.col("fp").alias("fu")), few.select("cell", F.col("rep").alias("v"), F.col("fp").alias("fv"))
@@ -200,11 +200,13 @@ def similar_pairs(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col:
     prints = stored(rows.mapInArrow(_sampler(k), "id bigint, prints array<bigint>"), "sample-prints")
     buckets = prints.select("id", F.posexplode("prints").alias("sample", "print"))
     rank = F.struct(F.xxhash64("id", F.pmod(F.col("sample"), F.lit(4))).alias("order"), F.col("id").alias("id"))
-    centres = buckets.groupBy("sample", "print").agg(F.min(rank).alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sample", "print", F.col("centre.id").alias("centre"))
+    centres = buckets.groupBy("sample", "print").agg(F.min(rank).alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    centres = stored(centres.select("sample", "print", F.col("centre.id").alias("centre")), "centres")
     met = buckets.join(centres, ["sample", "print"]).where("id <> centre")
     pairs = stored(met.select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct(), "candidates")
     nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    sets = stored(rows.join(nodes.hint("merge"), "id", "left_semi").mapInArrow(_shingle_sets(k), "id bigint, shingles binary"), "shingle-sets").dropDuplicates(["id"])
+    own = rows.join(nodes.hint("merge"), "id", "left_semi").dropDuplicates(["id"])  # in the join's own partitions
+    sets = stored(own.mapInArrow(_shingle_sets(k), "id bigint, shingles binary"), "shingle-sets")
     with_u = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
     with_v = with_u.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v")
     return stored(with_v.select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u bigint, v bigint"), "similar")
