@@ -14,6 +14,8 @@ from lectern.llm.common import exists, sliced, stored, text_or_empty
 
 #: Bytes of text that are encoded at once.
 STEP = 4 << 20
+#: Stands for a null id while texts are looked up.
+NO_ID = -(1 << 63)
 
 
 def load_encoder(path: str) -> Callable[[list[str]], list[int]]:
@@ -66,11 +68,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 4096,
     empty table gives no rows; other columns are not read.
     """
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer)
-    whole = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    whole = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     digests = stored(whole.select("id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes")), "text-digests")
-    misses = digests.groupBy("digest").agg(F.min("id").alias("first_id")).join(_cached(spark, cache, version), "digest", "left_anti")
-    missing = whole.join(misses, whole["id"].eqNullSafe(misses["first_id"]) & (whole["digest"] == misses["digest"]), "left_semi").select("digest", "text")
-    missing.mapInArrow(_encode(tokenizer), "digest binary, n_tokens bigint").write.mode("append").parquet(f"{cache}/tokenizer={version}")
+    first = digests.groupBy("digest").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("id"))
+    misses = first.join(_cached(spark, cache, version), "digest", "left_anti")
+    here = whole.withColumn("id", F.coalesce("id", F.lit(NO_ID))).join(misses.hint("merge"), ["id", "digest"], "left_semi")
+    missing = here.dropDuplicates(["id", "digest"])  # repeated rows, in the join's own partitions
+    missing.select("digest", "text").mapInArrow(_encode(tokenizer), "digest binary, n_tokens bigint").write.mode("append").parquet(f"{cache}/tokenizer={version}")
     # Stored, so that the last join has an exchange on either side and splits a digest with many rows.
     counts = stored(digests.select("digest").distinct().join(_cached(spark, cache, version), "digest"), "token-counts")
     return digests.join(counts, "digest").select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
