@@ -5,9 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime, timedelta
-from itertools import accumulate
+from itertools import accumulate, islice
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -107,9 +107,14 @@ class LoserTree:
             self._play(i)
 
 
-def _write_run(system, path: str, entries: list[tuple]) -> None:
+def _write_run(system, path: str, entries: Iterable[tuple]) -> int:
+    """Write entries, ENTRIES at a time, and tell how many there were."""
+    n, source = 0, iter(entries)
     with system.open_output_stream(path) as f:
-        f.write("".join("\t".join(map(str, e)) + "\n" for e in entries).encode())
+        while some := list(islice(source, ENTRIES)):
+            f.write("".join("\t".join(map(str, e)) + "\n" for e in some).encode())
+            n += len(some)
+    return n
 
 
 def _read_run(system, path: str) -> Iterator[tuple]:
@@ -166,10 +171,10 @@ def _merger(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     if low is None or e[:3] >= low:
                         yield e
 
-            entries = list(LoserTree([within(x) for x in job["runs"]]))
+            system.create_dir(path, recursive=True)
             name = f"merged-{job['level']}-{job['group']:06d}-{job['part']:06d}-{TaskContext.get().taskAttemptId()}.run"
-            _write_run(system, f"{path}/{name}", entries)
-            yield pa.record_batch([pa.array([job["group"]]), pa.array([job["part"]]), pa.array([name]), pa.array([len(entries)])], ["group", "part", "run", "n"])
+            n = _write_run(system, f"{path}/{name}", LoserTree([within(x) for x in job["runs"]]))
+            yield pa.record_batch([pa.array([job["group"]]), pa.array([job["part"]]), pa.array([name]), pa.array([n])], ["group", "part", "run", "n"])
 
     return run
 
