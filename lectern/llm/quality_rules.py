@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import raw_bytes, sliced, text_or_empty
 
 #: Bytes of text looked at at once; words of a repeated window.
-STEP, SPAN = 2 << 20, 8
+STEP, SPAN = 1 << 20, 8
 #: Labelled documents of each class that the field is fitted on, and lines of each that count.
 SAMPLE, SAMPLE_LINES = 300, 64
 #: Labels of lines, and the least share of words in content lines that a document needs.
