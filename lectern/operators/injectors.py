@@ -8,6 +8,7 @@ has no annotation. A choice is the candidate of the smallest seeded hash.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial, reduce
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import INJECTED_REFERENCE, WS, brief, error_text, has_any, injected_ids, is_term_section, replace_first, trimmed
-from lectern.operators.sections import is_body, top_blocks
+from lectern.operators.sections import has_text, is_body, top_blocks
 from lectern.taxonomy import ERROR_TYPES, FAKE_STANDARDS, INJECTED_MANDATORY, INJECTED_TITLES, SAFETY, VAGUE
 
 SECTION = ["section_number", "title", "content"]
@@ -117,7 +118,7 @@ def wrong_title(sections: DataFrame, seed: int) -> Injection:
 def swapped_foreword(sections: DataFrame, seed: int) -> Injection:
     """Foreword and introduction exchange their contents."""
     name = F.regexp_replace(F.coalesce("title", F.lit("")), f"{WS}+", "")
-    ends = sections.where(name.isin("前言", "引言") & is_body(F.col("content"))).groupBy("doc_id", name.alias("name")).agg(F.min(F.struct("ord", *SECTION)).alias("s"))
+    ends = sections.where(name.isin("前言", "引言") & has_text(F.col("content"))).groupBy("doc_id", name.alias("name")).agg(F.min(F.struct("ord", *SECTION)).alias("s"))
     pair = ends.groupBy("doc_id").agg(*[F.max(F.when(F.col("name") == n, F.col("s"))).alias(c) for n, c in (("前言", "f"), ("引言", "i"))]).where("f is not null and i is not null")
     rows = pair.select("doc_id", F.explode(F.array(F.struct("f.*", F.col("i.content").alias("new_content")), F.struct("i.*", F.col("f.content").alias("new_content")))).alias("r")).select("doc_id", "r.*")
     return _changed(sections, rows, "E-S-04", "内容互换的章节")
@@ -252,20 +253,30 @@ INJECTORS: dict[str, Callable[[DataFrame, int], Injection]] = {
 }
 
 
-def inject(sections: DataFrame, choices: DataFrame, seed: int) -> Injection:
-    """One error for each document of choices (doc_id, error_type); the others stay as they are."""
+def inject(sections: DataFrame, choices: DataFrame, seed: int, types: list[str] | None = None) -> Injection:
+    """One error for each document of choices (doc_id, error_type), of types if named; the others stay as they are."""
+    types = types or list(INJECTORS)
     marked = sections.join(choices.select("doc_id", "error_type"), "doc_id", "left")
-    done = [INJECTORS[code](marked.where(F.col("error_type") == code).drop("error_type"), seed) for code in INJECTORS]
-    rest = marked.where(~F.coalesce(F.col("error_type").isin(list(INJECTORS)), F.lit(False))).select("doc_id", "ord", *SECTION)
+    done = [INJECTORS[code](marked.where(F.col("error_type") == code).drop("error_type"), seed) for code in types]
+    rest = marked.where(~F.coalesce(F.col("error_type").isin(types), F.lit(False))).select("doc_id", "ord", *SECTION)
     parts = [rest, *(d.sections.select("doc_id", F.col("ord").cast("int").alias("ord"), *SECTION) for d in done)]
     return Injection(reduce(DataFrame.unionByName, (d.annotations for d in done)), reduce(DataFrame.unionByName, parts))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df stored in the checkpoint folder; a temporary one where none is set and the session is local."""
+    context = df.sparkSession.sparkContext
+    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()) and context.master.startswith("local"):
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lectern-"))
+    return df.checkpoint()
+
+
 def inject_balanced(sections: DataFrame, rounds: int, seed: int, types: list[str] | None = None) -> Injection:
     """rounds errors for each document; over the corpus each type is tried about as often.
 
     Documents are ranked by a seeded hash and dealt to the types in turn, from round to round one type on, so
-    the corpus needs no sequential counter. A later error meets the sections that the earlier ones left.
+    the corpus needs no sequential counter. A later error meets the sections that the earlier ones left. Needs a
+    checkpoint folder (spark.checkpoint.dir).
     """
     types = types or list(INJECTORS)
     docs = sections.select("doc_id").distinct()
@@ -273,9 +284,9 @@ def inject_balanced(sections: DataFrame, rounds: int, seed: int, types: list[str
     notes = []
     for i in range(rounds):
         kind = F.element_at(F.array(*map(F.lit, types)), F.pmod(turn + i, F.lit(len(types))).cast("int") + 1)
-        step = inject(sections, docs.select("doc_id", kind.alias("error_type")), seed + i)
-        sections = step.sections
+        step = inject(sections, docs.select("doc_id", kind.alias("error_type")), seed + i, types)
         notes.append(step.annotations.withColumn("round", F.lit(i)))
+        sections = cut(step.sections) if i + 1 < rounds else step.sections  # else a round's plan holds all before it, many times
     return Injection(reduce(DataFrame.unionByName, notes), sections)
 
 

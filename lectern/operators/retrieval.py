@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import compact
 
+#: Rows of a block of queries and of a part of the rules.
+QUERIES, RULES = 1024, 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -21,18 +28,46 @@ def distance(a: Column, b: Column, space: str = "cosine") -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
+def _nearest(k: int, space: str, by_group: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The k nearest rules of a part for each query of a block (and group)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for queries, rules in zip(batch["queries"], batch["rules"], strict=True):
+                q, r = (np.array([np.asarray(x["v"], np.float64) for x in rows]) for rows in (queries, rules))
+                ids, groups = np.array([x["id"] for x in rules]), np.array([str(x["g"]) for x in rules])
+                if space == "l2":
+                    far = np.stack([((r - x) ** 2).sum(1) for x in q])
+                else:
+                    far = 1 - q @ r.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1) if space == "cosine" else 1)
+                for x, d in zip(queries, far, strict=True):
+                    for g in sorted(set(groups)) if by_group else [None]:
+                        own = np.flatnonzero(groups == g) if by_group else np.arange(len(ids))
+                        best = own[np.lexsort((ids[own], d[own]))[:k]]
+                        yield pd.DataFrame({"query_id": x["id"], "group_value": g, "id": ids[best], "distance": d[best]})
+
+    return run
+
+
 def top_k(queries: DataFrame, rules: DataFrame, k: int, space: str = "cosine", group: str | None = None) -> DataFrame:
     """For each query (query_id, vector) its k nearest rules (id, embedding), by distance and id; by group if named.
 
-    queries are a stated set (a filter's worth of lookups), broadcast against all rules; a rank window keeps k
-    rows for each before they are shuffled. None for k below 1.
+    Exact: the stated queries go against all rules in blocks of about QUERIES by RULES rows, each one matrix
+    product whose k best by query are kept before anything is shuffled. None for k below 1.
     """
+    spark, kind = rules.sparkSession, f", {group} string" if group else ""
     if k < 1:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, distance double, rank int" + (f", {group} string" if group else ""))
-    pairs = rules.crossJoin(F.broadcast(queries)).withColumn("distance", distance(F.col("embedding"), F.col("vector"), space))
-    by = ["query_id"] + ([group] if group else [])
+        return spark.createDataFrame([], f"query_id bigint{kind}, id bigint, distance double, rank int")
+    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERIES), (rules, RULES)))
+    q = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(F.col("query_id").alias("id"), F.col("vector").alias("v"))).alias("queries"))
+    member = F.struct("id", F.col("embedding").alias("v"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"))
+    r = rules.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(member).alias("rules"))
+    met = r.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(q, "block").select("queries", "rules")
+    found = met.mapInPandas(_nearest(k, space, bool(group)), "query_id bigint, group_value string, id bigint, distance double")
+    by = ["query_id", *(["group_value"] if group else [])]
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("distance", "id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, "id", "distance", "rank")
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return best.select("query_id", *([F.col("group_value").alias(group)] if group else []), "id", "distance", "rank")
 
 
 def query_text(text: Column, dimension: str, limit: int = 5000) -> Column:

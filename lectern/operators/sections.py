@@ -9,10 +9,16 @@ from lectern.functions.text import WS, joined_numbers, label, trimmed
 from lectern.taxonomy import PLAIN_HEADINGS, TOOL_HEADINGS
 
 #: Line ends as text tools see them.
+# Titles of general sections; page numbers.
+GENERAL_TITLES = ["范围", "前言", "引言", "目录", "目次", "规范性引用文件", "术语和定义", "参考文献", "索引"]
+PAGE = "^[0-9IVXLCDMⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ]+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 NUMBERED = r"^\[([^\]]+)\]" + WS + r"*(.*)$"
-#: Lines that are page furniture.
-NOISE = r"^(?:\d{1,4}|(?:GB|GB/T|ICS|CCS)" + WS + r"*[\d./—-]+|—" + WS + r"*\d+" + WS + r"*—)$"
+# Lines that are page furniture, and forms of headings.
+NOISE = r"^\d{1,4}$|^(?:GB/?T\s*\d+(?:\.\d+)?(?:[-—]\d{4})?|ICS\s+\S+|CCS\s+.+)\s*$|版权|©|All rights reserved"
+NUMBERED_HEADING = r"^(\d{1,2}(?:\.\d{1,2})*)" + WS + r"+([\x{4e00}-\x{9fff}A-Za-z].{0,60})$"
+PLAIN_HEADING = f"^(前{WS}*言|引{WS}*言|参{WS}*考{WS}*文{WS}*献|索{WS}*引|附{WS}*录{WS}*[A-Z].{{0,30}})$"
+CONTENTS_LINE = r"[…\.]{3,}" + WS + r"*\d+" + WS + r"*$"
 
 
 def lines(docs: DataFrame, text: str = "source_text") -> DataFrame:
@@ -88,19 +94,18 @@ def heading_kind(line: Column) -> Column:
     bare = trimmed(line)
     return (
         F.when(bare.rlike(r"^#{1,6}\s+\S"), "markdown").when(bare.rlike(r"^\[[^\]]+\]"), "bracket").when(bare.rlike(f"^附{WS}*录{WS}*[A-Z]"), "appendix")
-        .when(bare.rlike(r"^\d+(?:\.\d+)*" + WS + r"+\S{1,60}$"), "numbered").when(bare.isin(PLAIN_HEADINGS), "plain")
+        .when(bare.rlike(NUMBERED_HEADING), "numbered").when(bare.rlike(PLAIN_HEADING), "plain")
     )
 
 
 def without_contents_table(rows: DataFrame) -> DataFrame:
-    """Lines without those from a contents heading up to the next line that neither leads to a page nor is blank."""
+    """Lines without those that lead to a page, and those from a contents heading up to the next other heading."""
     bare = trimmed(F.col("line"))
     upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    starts = bare.isin("目次", "目录", "目  次")
-    leads = bare.rlike(r"[.…·]{2,}\s*[0-9IVXivx]+$") | (bare == "") | starts
-    opened = F.max(F.when(starts, F.col("pos"))).over(upto)
-    ended = F.max(F.when(~leads, F.col("pos"))).over(upto)
-    return rows.withColumn("skipped", F.coalesce(opened > F.coalesce(ended, F.lit(-1)), F.lit(False))).where("not skipped").drop("skipped")
+    starts, leads = bare.rlike(f"^目{WS}*次$"), bare.rlike(CONTENTS_LINE)
+    heads = (bare.rlike(NUMBERED_HEADING) | bare.rlike(PLAIN_HEADING)) & ~leads
+    opened, closed = (F.coalesce(F.max(F.when(x, F.col("pos"))).over(upto), F.lit(-1)) for x in (starts, heads))
+    return rows.withColumn("skipped", starts | leads | (opened > closed)).where("not skipped").drop("skipped")
 
 
 def top_blocks(sections: DataFrame) -> DataFrame:
@@ -117,10 +122,58 @@ def contents_block(blocks: DataFrame) -> DataFrame:
     return near.groupBy("doc_id", "number", "first").agg(F.max("o_first").alias("contents_first"))
 
 
+def has_text(content: Column) -> Column:
+    """More than blanks, a bare none, continuation marks and dots."""
+    bare = trimmed(F.coalesce(content, F.lit("")))
+    return (bare != "") & (F.lower(bare) != "none") & (F.regexp_replace(F.replace(bare, F.lit("[续]"), F.lit("")), f"[…．。]|{WS}", "") != "")
+
+
 def is_body(content: Column) -> Column:
-    """Text of a body, not of a contents table."""
+    """Text of a body: has_text, and neither leaders nor a page number alone."""
     bare = trimmed(F.coalesce(content, F.lit("")))
-    return (bare != "") & (F.lower(bare) != "none") & ~bare.rlike(r"^[.…·\s]*[0-9IVXivx]+$") & ~bare.rlike(r"^[.…·\s]+$") & (bare != "[续]")
+    return has_text(content) & ~bare.rlike(r"^[.…·•\-—\s]+$") & ~bare.rlike(PAGE + "$")
+
+
+def is_scope_body(content: Column) -> Column:
+    """As is_body, and no page number behind leaders."""
+    return is_body(content) & ~trimmed(F.coalesce(content, F.lit(""))).rlike(r"^[.…·•\-—\s]*" + PAGE[1:] + "$")
+
+
+def is_top_level(number: Column) -> Column:
+    return (F.coalesce(number, F.lit("")) != "") & ~F.contains(F.coalesce(number, F.lit("")), F.lit("."))
+
+
+def bare_title(title: Column) -> Column:
+    return F.regexp_replace(F.coalesce(title, F.lit("")), f"{WS}+", "")
+
+
+def scope_section(sections: DataFrame) -> DataFrame:
+    """By document the first scope section with a body."""
+    return first_match(sections, (bare_title(F.col("title")) == "范围") & is_scope_body(F.col("content")))
+
+
+def term_section(sections: DataFrame) -> DataFrame:
+    """By document the first section on terms with text."""
+    return first_match(sections, F.coalesce("title", F.lit("")).contains("术语") & has_text(F.col("content")))
+
+
+def body_sections(sections: DataFrame, least: int = 30) -> DataFrame:
+    """Titled sections with more than least code points, but for the term section."""
+    terms = term_section(sections).select("doc_id", F.col("ord").alias("term_ord"))
+    rows = sections.where((F.coalesce("title", F.lit("")) != "") & (F.length(F.coalesce("content", F.lit(""))) > least)).join(terms, "doc_id", "left")
+    return rows.where("term_ord is null or ord <> term_ord").drop("term_ord")
+
+
+def technical_sections(sections: DataFrame) -> DataFrame:
+    """Numbered sections with a body whose title is none of the general ones."""
+    return sections.where(F.coalesce("section_number", F.lit("")).rlike(r"^\d") & is_scope_body(F.col("content")) & ~bare_title(F.col("title")).isin(GENERAL_TITLES))
+
+
+def first_difference(a: Column, b: Column) -> Column:
+    """Place, from 0, of the first code point in which two texts differ within their common length; 0 without one."""
+    n = F.least(F.length(a), F.length(b))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substr(a, i, F.lit(1)) != F.substr(b, i, F.lit(1))))
+    return F.coalesce(F.get(places, F.lit(0)) - 1, F.lit(0))
 
 
 def carried(column: str, partition: list[str], order: list[str]) -> Column:
@@ -156,8 +209,15 @@ def budgeted(sections: DataFrame, limit: int = 6000) -> DataFrame:
     return sections.withColumn("running", run).where(F.col("running") <= limit)
 
 
+def sentence_parts(text: Column, limit: int) -> Column:
+    """Trimmed sentences of a text with their end marks; longer ones cut at limit."""
+    parts = F.filter(F.transform(F.split(text, r"(?<=[。！？.!?；;])"), trimmed), lambda s: s != "")
+    cut = lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / limit).cast("int")), lambda i: F.substr(s, i * limit + 1, F.lit(limit)))
+    return F.flatten(F.transform(parts, cut))
+
+
 def packed_sentences(parts: Column, limit: int) -> Column:
-    """Sentences joined greedily into chunks of at most limit code points; a longer one stands alone."""
+    """Sentences joined greedily into chunks of at most limit code points."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
     add = lambda acc, s: F.when((acc["open"] == "") | (F.length(acc["open"]) + F.length(s) <= limit), F.struct(acc["done"].alias("done"), F.concat(acc["open"], s).alias("open"))).otherwise(F.struct(F.array_append(acc["done"], acc["open"]).alias("done"), s.alias("open")))
     return F.aggregate(parts, start, add, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import replies, text
-from lectern.operators import allocation, candidates, injectors, matching, metrics, retrieval, rules, sections
+from lectern.operators import allocation, candidates, injectors, matching, metrics, retrieval, review, rules, sections
+from lectern.sources import benchmark, config, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -321,10 +322,11 @@ def wn8_continued(spark):
     return sections.continued(s).select("ord", "section_number", "title", "content")
 
 
-@golden("chunks VARCHAR", [("aabbb|ccc|dddddddd",)])
+@golden("chunks VARCHAR", [("一二。三。|四五六七八九|十。",)])
 def wn13_packed_sentences(spark):
     """WN13: sentences packed up to a length."""
-    return spark.createDataFrame([(["aa", "bbb", "ccc", "dddddddd"],)], "s array<string>").select(F.array_join(sections.packed_sentences(F.col("s"), 6), "|").alias("chunks"))
+    parts = sections.sentence_parts(F.col("t"), 6)
+    return spark.createDataFrame([("一二。 三。四五六七八九十。",)], "t string").select(F.array_join(sections.packed_sentences(parts, 6), "|").alias("chunks"))
 
 
 @golden("number VARCHAR, first INTEGER, last INTEGER, contents_first INTEGER", [("1", 2, 3, 0), ("2", 4, 4, 1)])
@@ -411,3 +413,172 @@ def io22_merged_sections(spark):
     s = spark.createDataFrame([("d1", 0, "1", "甲", "x"), ("d1", 1, "2", "乙", "y")], "doc_id string, ord int, section_number string, title string, content string")
     c = spark.createDataFrame([("d1", 0, None), ("d1", 1, ("2", "换", "新"))], "doc_id string, ord int, corrupted struct<section_number:string,title:string,content:string>")
     return injectors.merged_sections(s, c)
+
+
+@golden("gt_index INTEGER, section_number VARCHAR, title VARCHAR", [(0, "1", "范围"), (1, None, "新")])
+def pf7_ground_truth(spark):
+    """PF7: items of examples; a deletion keeps its original's place, another takes the corrupted one's whole."""
+    kind = "array<struct<dimension:string,error_type:string,original:struct<section_number:string,title:string,content:string>,corrupted:struct<section_number:string,title:string,content:string>,error_description:string>>"
+    rows = [("d1", [("C2.1", "E-S-01", ("1", "范围", "甲"), None, "x"), ("C2.1", "E-S-03", ("2", "旧", "乙"), (None, "新", "乙"), "y")])]
+    return benchmark.ground_truth(spark.createDataFrame(rows, f"doc_id string, examples {kind}")).select("gt_index", "section_number", "title")
+
+
+@golden("doc_id VARCHAR", [("d1",)])
+def pf8_scored_documents(spark):
+    """PF8: documents with text and an answer."""
+    docs = _documents(spark, "甲", "  ", "乙")
+    return benchmark.scored_documents(docs, spark.createDataFrame([("d1", True), ("d2", True), ("d3", False)], "doc_id string, reviewed boolean")).select("doc_id")
+
+
+@golden("t VARCHAR, garbled BOOLEAN", [("本标准规定", False), ("\u25a1\u25a1 abc", True), (None, True)])
+def pf14_garbled(spark):
+    """PF14: text layers without any expected word."""
+    return spark.createDataFrame([("本标准规定",), ("\u25a1\u25a1 abc",), (None,)], "t string").select("t", files.is_garbled(F.col("t")).alias("garbled"))
+
+
+BODIES = [(0, None, False, False, False), (1, "none", False, False, False), (2, "……", False, False, False), (3, "12", True, False, False), (4, "…… 12", True, True, False), (5, "[续]", False, False, False), (6, "正文", True, True, True), (7, "IV", True, False, False)]
+
+
+@golden("i INTEGER, has_text BOOLEAN, body BOOLEAN, scope_body BOOLEAN", [(i, a, b, c) for i, _, a, b, c in BODIES])
+def pf15_bodies(spark):
+    """PF15: three degrees of what counts as a body."""
+    c = F.col("c")
+    return spark.createDataFrame([(i, t) for i, t, *_ in BODIES], "i int, c string").select("i", sections.has_text(c).alias("has_text"), sections.is_body(c).alias("body"), sections.is_scope_body(c).alias("scope_body"))
+
+
+@golden("what VARCHAR, ord INTEGER", [("scope", 1), ("term", 2), ("body", 3), ("technical", 3)])
+def pf20_section_lookups(spark):
+    """PF16, PF20, PF21: first scope and term sections, body and technical ones."""
+    rows = [("d1", 0, "1", "范围", "…… 1"), ("d1", 1, "1", "范 围", "本文件适用于甲"), ("d1", 2, "3", "术语和定义", "甲术语" * 12), ("d1", 3, "5", "要求", "应符合" * 12), ("d1", 4, None, "前言", "短")]
+    s = spark.createDataFrame(rows, "doc_id string, ord int, section_number string, title string, content string")
+    found = {"scope": sections.scope_section(s), "term": sections.term_section(s), "body": sections.body_sections(s), "technical": sections.technical_sections(s).where("ord = 3")}
+    parts = [df.select(F.lit(name).alias("what"), "ord") for name, df in found.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+@golden("t VARCHAR, clean VARCHAR", [("GB/T 1.1—2020\n 5.\n1 要求 \n12\n\n正文", "5.1 要求\n正文")])
+def fs12_preprocessed(spark):
+    """FS12: numbers repaired, lines trimmed, furniture dropped."""
+    return spark.createDataFrame([("GB/T 1.1—2020\n 5.\n1 要求 \n12\n\n正文",)], "t string").select("t", sections.preprocessed(F.col("t")).alias("clean"))
+
+
+@golden("t VARCHAR, replaced VARCHAR, place INTEGER", [("不应用，应检查", "不宜用，应检查", 1), ("无", "无", 0)])
+def fs14_replace_first(spark):
+    """FS14, WN15: the first occurrence replaced, and where the texts then differ."""
+    new = text.replace_first(F.col("t"), F.lit("应"), F.lit("宜"))
+    return spark.createDataFrame([("不应用，应检查",), ("无",)], "t string").select("t", new.alias("replaced"), sections.first_difference(F.col("t"), new).alias("place"))
+
+
+@golden("parts VARCHAR", [("下列文件必不可少。以下|GB/T 1—2020 甲|ISO 2 乙",), ("|IEC 3",)])
+def fs15_reference_lines(spark):
+    """FS15: introduction and standards of a list of references."""
+    d = spark.createDataFrame([("下列文件必不可少。\nGB/T 1—2020 甲\n以下\nISO 2 乙",), ("IEC 3",)], "c string")
+    return d.select(F.array_join(injectors.reference_lines(F.col("c")), "|").alias("parts"))
+
+
+@golden("number VARCHAR, title VARCHAR, line VARCHAR", [("5.1", "要求", "[5.1] 要求\n甲 乙"), (None, "前言", "前言\n")])
+def fs10_section_line(spark):
+    """FS1, FS10: a section as two lines."""
+    d = spark.createDataFrame([("5.1", "要求", " 甲 \n 乙"), (None, "前言", None)], "number string, title string, content string")
+    return d.select("number", "title", text.section_line(F.col("number"), F.col("title"), F.col("content")).alias("line"))
+
+
+@golden("ord INTEGER, section_number VARCHAR, title VARCHAR", [(0, "4", "乙"), (1, "5", "甲"), (2, "5.1", "甲一")])
+def ce2_swapped_blocks(spark):
+    """CE2: two blocks change places and numbers."""
+    return injectors.swapped_blocks(_sections(spark, "[4] 甲\n正文甲\n[4.1] 甲一\n正文\n[5] 乙\n正文乙"), 1).sections.select("ord", "section_number", "title")
+
+
+@golden("titles VARCHAR, gone VARCHAR", [("总则", "文件一,文件一,规范性引用文件,规范性引用文件")])
+def ce1_missing_section(spark):
+    """CE1, JN17: a mandatory section goes with what is numbered below it; this one stands for two categories."""
+    made = injectors.missing_mandatory(_sections(spark, "[2] 规范性引用文件\n甲\n[2.1] 文件一\n乙\n[9] 总则\n丙"), 1)
+    join = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    return made.sections.agg(join("title").alias("titles")).crossJoin(made.annotations.agg(join("original.title").alias("gone")))
+
+
+@golden("listed VARCHAR, books VARCHAR", [("GB/T 1\nGB/T 5—2001", "")])
+def ce24_informative_reference(spark):
+    """CE24: a line of the bibliography moves to the list."""
+    s = spark.createDataFrame([("d1", 0, "2", "规范性引用文件", "GB/T 1"), ("d1", 1, None, "参考文献", "[1] GB/T 5—2001")], "doc_id string, ord int, section_number string, title string, content string")
+    out = injectors.informative_reference(s, 1).sections
+    return out.agg(F.max(F.when(F.col("ord") == 0, F.col("content"))).alias("listed"), F.max(F.when(F.col("ord") == 1, F.col("content"))).alias("books"))
+
+
+@golden("n BIGINT, low INTEGER, high INTEGER", [(1000, 5, 8)])
+def ce29_target_counts(spark):
+    """CE29: 0 to 3 more than the base."""
+    n = spark.range(1000).select(allocation.target_count(F.col("id"), 5, 7).alias("n"))
+    return n.agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("low"), F.max("n").alias("high"))
+
+
+@golden("round INTEGER, n BIGINT", [(0, 6), (1, 6)])
+def ce27_balanced_rounds(spark):
+    """CE27: one error for each document in each of two rounds, dealt to types."""
+    s = _sections(spark, *[INJECTED] * 6)
+    made = injectors.inject_balanced(s, 2, 5, ["E-T-01", "E-S-06", "E-R-04"])
+    return made.annotations.groupBy("round").agg(F.countDistinct("doc_id").alias("n"))
+
+
+@golden("total_files BIGINT, total_examples BIGINT, kinds VARCHAR", [(2, 3, "E-S-01=2,UNKNOWN=1")])
+def io5_construction_totals(spark):
+    """IO5, IO6, AG14: totals of a construction."""
+    records = spark.createDataFrame([("d1", [("E-S-01",), ("",)]), ("d2", [("E-S-01",)])], "doc_id string, examples array<struct<error_type:string>>")
+    t = benchmark.construction_totals(records)
+    return t.select("total_files", "total_examples", F.array_join(F.transform(F.map_entries("error_type_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("kinds"))
+
+
+@golden("doc_id VARCHAR, section_count INTEGER", [("d1", 2), ("d2", 0)])
+def io7_source_records(spark):
+    """IO7: texts with their number of sections."""
+    docs = _documents(spark, "[1] 甲\n[2] 乙", "无")
+    return benchmark.source_records(sections.parse_sections(docs), docs).select("doc_id", "section_count")
+
+
+@golden("annotation VARCHAR", [("# 反例标注清单\n\n## [1] 维度: C2.1  错误类型: E-S-01\n位置: [1] 范围\n说明: 缺\n",)])
+def io21_annotation_text(spark):
+    """IO21: annotations as text."""
+    a = spark.createDataFrame([("d", 0, "C2.1", "E-S-01", ("1", "范围", "甲"), "缺")], "doc_id string, ord int, dimension string, error_type string, original struct<section_number:string,title:string,content:string>, error_description string")
+    return benchmark.annotation_text(a).select("annotation")
+
+
+@golden("section_number VARCHAR, title VARCHAR, content VARCHAR", [("1", "范围", "甲"), ("1.1", "细则", "乙"), (None, "附录A 方法", "丙")])
+def io10_page_sections(spark):
+    """IO10, WN12, PF13: sections of page texts."""
+    pages = spark.createDataFrame([("d", 0, "封面"), ("d", 1, "目次\n1 范围.....1\n1 范围\n甲\n1.1 细则\n乙\n附录A 方法\n丙")], "doc_id string, page int, text string")
+    return files.sections_of_pages(pages).select("section_number", "title", "content")
+
+
+@golden("section_number VARCHAR, title VARCHAR, content VARCHAR", [("1", "范围", "甲"), ("附录A", "方法", "乙")])
+def io14_markdown_sections(spark):
+    """IO14: sections of Markdown."""
+    return files.sections_of_markdown(spark.createDataFrame([("d", "前文\n# 1 范围\n甲\n## 附录A 方法\n乙")], "doc_id string, markdown string")).select("section_number", "title", "content")
+
+
+@golden("backend VARCHAR, model_id VARCHAR", [("a", "x"), ("b", "y")])
+def io24_capable_models(spark):
+    """IO24: models with a capability."""
+    m = spark.createDataFrame([("b", "y", {"chat": True}), ("a", "x", {"chat": True}), ("a", "z", {"chat": False})], "backend string, model_id string, capabilities map<string,boolean>")
+    return config.capable_models(m, "chat").select("backend", "model_id")
+
+
+@golden("tool VARCHAR, n INTEGER", [("check_mandatory_sections", 1), ("check_section_order", 1), ("check_section_names", 2), ("check_appendix_types", 2), ("check_section_depth", 1)])
+def ud1_rule_tools(spark):
+    """UD1, UD2: results of all rule tools by name."""
+    found = review.tool_findings(_documents(spark, ODD_OUTLINE))
+    return found.select("tool", F.json_array_length("result").alias("n"))
+
+
+@golden("source_agent VARCHAR, error_type VARCHAR, n BIGINT", [("direct", "E-T-01", 2), ("direct", "E-T-02", 2), ("direct", "E-T-03", 2), ("direct", "E-T-07", 2), ("reference_rules", "E-R-01", 2), ("reference_rules", "E-R-02", 1)])
+def lm9_high_recall(spark):
+    """LM9, ST1, PF19: streams and rule reviewers combined, spread and deduplicated."""
+    docs = _documents(spark, "[2] 规范性引用文件\nGB/T 1\n[5] 要求\n按 ISO 2\n[5.1] 细则\n宜检查")
+    direct = spark.createDataFrame([("d1", 0, "C3.1", "E-T-01", "5.1", "r", "e"), ("d1", 1, "C3.1", "E-X", "5.1", "r", "e")], "doc_id string, pred_index int, dimension string, error_type string, section_number string, reason string, error_description string")
+    return review.high_recall(docs, {"direct": direct}).groupBy("source_agent", "error_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@golden("context VARCHAR", [("[知识1 / 标题 / E-T-01 / 源]\n甲\n\n[知识2 / 审查规则 / local]\n乙",)])
+def fs22_rule_context(spark):
+    """FS22: rules as numbered text."""
+    d = spark.createDataFrame([(1, 1, "标题", "E-T-01", "源", " 甲 "), (1, 2, None, None, None, "乙")], "query_id int, rank int, title string, error_type string, source string, text string")
+    return retrieval.context(d).select("context")

@@ -319,12 +319,12 @@ def wn10_blocks(spark, sf_dir):
     return b.groupBy("user_id", F.col("sid").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.bool_or(F.col("value") > 100).alias("any_large"))
 
 
-@query("SELECT doc_id, rank, floor((rank - 1) / 70)::INT AS batch FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM documents)")
+@query("SELECT conv_id, turn, rank, floor((rank - 1) / 2)::INT AS batch FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rank FROM conversations)")
 def wn14_batches(spark, sf_dir):
-    """WN14: batches of 70 in order."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    d = read(spark, sf_dir, "documents").withColumn("rank", rank)
-    return d.select("doc_id", F.col("rank").cast("bigint").alias("rank"), F.floor((F.col("rank") - 1) / 70).cast("int").alias("batch"))
+    """WN14: batches of two turns in order."""
+    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    d = read(spark, sf_dir, "conversations").withColumn("rank", rank)
+    return d.select("conv_id", "turn", F.col("rank").cast("bigint").alias("rank"), F.floor((F.col("rank") - 1) / 2).cast("int").alias("batch"))
 
 
 @query("""WITH c AS (SELECT c_custkey, (n_regionkey || '.' || n_nationkey || '.' || c_custkey) AS key FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -379,23 +379,23 @@ def jn11_term_usage(spark, sf_dir):
     return terms.join(words, "term", "left").groupBy("term").agg(F.count("doc_id").alias("used_count"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 5),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
     d AS (SELECT query_id, vec_id AS id, label, 1 - list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS distance FROM embeddings, q)
     SELECT query_id, id, round(distance, 6) AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5""")
 def tk2_vector_top_k(spark, sf_dir):
-    """TK2: the five nearest vectors of five stated queries, exactly."""
+    """TK2: the five nearest vectors of each query (ids divisible by 20), exactly."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    found = retrieval.top_k(e.where("id < 5").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), e, 5)
+    found = retrieval.top_k(e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), e, 5)
     return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 3),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
     d AS (SELECT query_id, vec_id AS id, label, 1 - list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS distance FROM embeddings, q)
-    SELECT query_id, label, id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, id) AS rank FROM d) WHERE rank <= 2""")
+    SELECT query_id, label::VARCHAR AS label, id, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY distance, id) AS rank FROM d) WHERE rank <= 2""")
 def tk3_top_k_by_group(spark, sf_dir):
     """TK3: the two nearest vectors of each group."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    return retrieval.top_k(e.where("id < 3").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), e, 2, group="label").select("query_id", "label", "id", "rank")
+    return retrieval.top_k(e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), e, 2, group="label").select("query_id", "label", "id", "rank")
 
 
 @query("""SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders WHERE o_totalprice >= 1000) WHERE rank <= 5""")

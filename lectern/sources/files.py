@@ -11,11 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import WS, trimmed
-from lectern.operators.sections import carried, is_noise, islands, preprocessed, split_nested, without_contents_table
+from lectern.operators.sections import NUMBERED_HEADING, PLAIN_HEADING, carried, is_noise, islands, preprocessed, split_nested, without_contents_table
 
 # Words of which a readable first part of a standard holds one.
-READABLE = ["标准", "范围", "规范", "前言", "要求", "方法", "定义"]
+READABLE = ["前言", "引言", "范围", "规范性", "标准", "要求", "术语"]
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -54,20 +53,19 @@ def page_texts(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataF
 
 
 def sections_of_pages(pages: DataFrame) -> DataFrame:
-    """Sections of page texts by patterns: furniture and contents table dropped, numbered and appendix headings cut."""
+    """Sections of page texts by patterns: furniture and contents table dropped, cut at headings."""
     rows = F.array_sort(F.collect_list(F.struct("page", "text")))
     docs = pages.groupBy("doc_id").agg(preprocessed(F.array_join(F.transform(rows, lambda r: r["text"]), "\n")).alias("text"))
     line = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(~is_noise(F.col("line")))
     line = without_contents_table(line)
-    number = F.regexp_extract("line", f"^(\\d+(?:\\.\\d+)*){WS}+\\S{{1,40}}$", 1)
-    appendix = F.regexp_replace(F.regexp_extract("line", f"^(附{WS}*录{WS}*[A-Z])", 1), f"{WS}+", "")
-    plain = F.col("line").isin("前言", "引言", "参考文献")
-    row = islands(line.withColumns({"number": number, "appendix": appendix, "head": (number != "") | (appendix != "") | plain}), F.col("head"))
-    head = F.struct("number", "appendix", "line")
+    number, title = (F.regexp_extract("line", NUMBERED_HEADING, i) for i in (1, 2))
+    row = line.withColumns({"number": number, "title": F.trim(title), "head": (number != "") | F.col("line").rlike(PLAIN_HEADING)})
+    row = islands(row, F.col("head"))
+    head = F.max(F.when(F.col("head"), F.struct("number", "title", "line"))).alias("h")
     body = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line"))))
-    made = row.groupBy("doc_id", "sid").agg(F.max(F.when(F.col("head"), head)).alias("h"), F.array_join(F.transform(body, lambda r: r["line"]), "\n").alias("content"))
-    bare = F.when(F.col("h.number") != "", F.regexp_replace("h.line", f"^[\\d.]+{WS}+", "")).when(F.col("h.appendix") != "", trimmed(F.regexp_replace("h.line", f"^附{WS}*录{WS}*[A-Z]", ""))).otherwise(F.col("h.line"))
-    return made.select("doc_id", (F.col("sid") - 1).cast("int").alias("ord"), F.coalesce(F.nullif("h.number", F.lit("")), F.nullif("h.appendix", F.lit(""))).alias("section_number"), bare.alias("title"), "content")
+    made = row.groupBy("doc_id", "sid").agg(head, F.array_join(F.transform(body, lambda r: r["line"]), "\n").alias("content"))
+    bare = F.when(F.col("h.number") != "", F.col("h.title")).otherwise(F.col("h.line"))
+    return made.select("doc_id", (F.col("sid") - 1).cast("int").alias("ord"), F.nullif("h.number", F.lit("")).alias("section_number"), bare.alias("title"), "content")
 
 
 def sections_of_markdown(docs: DataFrame, text: str = "markdown") -> DataFrame:

@@ -85,7 +85,7 @@ def test_docx(spark, tmp_path):
 def test_pdf_route(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes("封面\f目次\n1 范围.....1\n1 范围\n甲\n1.1 细则\n乙\n附录A 方法\n丙".encode())
     pages = files.page_texts(files.scan(spark, str(tmp_path)), lambda b: b.decode().split("\f"))
-    assert [(r["section_number"], r["title"], r["content"]) for r in files.sections_of_pages(pages).orderBy("ord").collect()] == [("1", "范围", "甲"), ("1.1", "细则", "乙"), ("附录A", "方法", "丙")]
+    assert [(r["section_number"], r["title"], r["content"]) for r in files.sections_of_pages(pages).orderBy("ord").collect()] == [("1", "范围", "甲"), ("1.1", "细则", "乙"), (None, "附录A 方法", "丙")]
     assert files.page_chunks(pages, 1).count() == 2
     assert spark.range(1).select(files.strategy(F.lit("本标准"), True), files.strategy(F.lit("????"), True), files.strategy(F.lit("x"), False)).first()[:] == ("text", "vision", "regex")
 
