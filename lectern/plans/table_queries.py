@@ -381,12 +381,12 @@ def jn11_term_usage(spark, sf_dir):
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
     d AS (SELECT query_id, vec_id AS id, label, 1 - list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS distance FROM embeddings, q)
-    SELECT query_id, id, round(distance, 6) AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5""")
+    SELECT query_id, id, round(distance, 6) + 0.0 AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5""")
 def tk2_vector_top_k(spark, sf_dir):
     """TK2: the five nearest vectors of each query (ids divisible by 20), exactly."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
     found = retrieval.top_k(e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), e, 5)
-    return found.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+    return found.select("query_id", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
