@@ -126,7 +126,7 @@ def jn3_described_matches(spark, sf_dir):
 def jn4_best_match(spark, sf_dir):
     """JN4: the item that each prediction marks, diagnosis before location."""
     _, gt, pred = bags(spark, sf_dir)
-    return matching.best_match(gt, pred)
+    return matching.best_match(gt, pred).withColumns({c: F.col(c).cast("bigint") for c in ("pred_index", "gt_index")})
 
 
 @query(f"WITH {_RECALL} SELECT * FROM recall")
