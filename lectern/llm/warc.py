@@ -7,7 +7,7 @@ import hashlib
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime, timedelta
-from itertools import accumulate, islice
+from itertools import accumulate, islice, takewhile
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
@@ -19,6 +19,8 @@ from lectern.llm.common import open_fs, stored
 
 #: Runs that one merge reads; keys that a run names to divide the key space; entries per Arrow batch.
 FAN, NAMED, ENTRIES = 64, 16, 2000
+#: Bytes of a run that are read at once.
+BLOCK = 1 << 16
 #: Capture time of page 0; a page's own is page_id seconds later, within EPOCH_SECONDS.
 EPOCH, EPOCH_SECONDS = datetime(2020, 1, 1, tzinfo=UTC), 10**9
 _INDEX = "key string, ts string, page bigint, file string, at bigint, size bigint"
@@ -117,14 +119,37 @@ def _write_run(system, path: str, entries: Iterable[tuple]) -> int:
     return n
 
 
-def _read_run(system, path: str) -> Iterator[tuple]:
-    with system.open_input_stream(path) as f:
+def _entry(line: bytes) -> tuple:
+    key, ts, page, file, at, size = line.decode().split("\t")
+    return key, ts, int(page), file, int(at), int(size)
+
+
+def _seek(file, low: tuple) -> int:
+    """A place in a sorted run from which less than BLOCK bytes lie before the first entry from low on."""
+    begin, end = 0, file.size()
+    while end - begin > BLOCK:
+        middle = (begin + end) // 2
+        file.seek(middle)
+        some = file.read(BLOCK)
+        line = some.find(b"\n") + 1
+        stop = some.find(b"\n", line)
+        if not line or stop < 0 or _entry(some[line:stop])[:3] >= low:
+            end = middle
+        else:
+            begin = middle + line
+    return begin
+
+
+def _read_run(system, path: str, low: tuple | None = None) -> Iterator[tuple]:
+    """Entries of a sorted run, from key low on."""
+    with system.open_input_file(path) as f:
+        f.seek(_seek(f, low) if low else 0)
         rest = b""
-        while block := f.read(1 << 18):
+        while block := f.read(BLOCK):
             *lines, rest = (rest + block).split(b"\n")
-            for line in lines:
-                key, ts, page, file, at, size = line.decode().split("\t")
-                yield key, ts, int(page), file, int(at), int(size)
+            for e in map(_entry, lines):
+                if low is None or e[:3] >= low:
+                    yield e
 
 
 def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -165,11 +190,7 @@ def _merger(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             low, high = (tuple(v.values()) if v else None for v in (job["low"], job["high"]))
 
             def within(name: str, low=low, high=high) -> Iterator[tuple]:
-                for e in _read_run(system, f"{path}/{name}"):
-                    if high is not None and e[:3] >= high:
-                        return
-                    if low is None or e[:3] >= low:
-                        yield e
+                return takewhile(lambda e: high is None or e[:3] < high, _read_run(system, f"{path}/{name}", low))
 
             system.create_dir(path, recursive=True)
             name = f"merged-{job['level']}-{job['group']:06d}-{job['part']:06d}-{TaskContext.get().taskAttemptId()}.run"
@@ -195,24 +216,26 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> None:
     marked = rows.join(first, "sha").select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("first_id"))
     named = marked.mapInArrow(_writer(folder), "run string, key string, ts string, page bigint").collect()
     keys = sorted({(r["key"], r["ts"], r["page"]) for r in named})
-    runs = sorted({r["run"] for r in named})
-    parts = max(1, min(len(runs), len(keys)))
-    cuts = [None, *(keys[i * len(keys) // parts] for i in range(1, parts)), None]
-    own: list[dict[int, str]] = [dict.fromkeys(range(parts), r) for r in runs]
+    own = [[(None, r)] for r in sorted({r["run"] for r in named})]  # runs, each of segments with the key where they begin
     level = 0
     while len(own) > 1 or not level:
-        jobs = [(level, g, p, [o[p] for o in own[g * FAN : g * FAN + FAN]], cuts[p], cuts[p + 1]) for g in range(max(1, -(-len(own) // FAN))) for p in range(parts)]
+        groups = max(1, -(-len(own) // FAN))
+        parts = max(1, min(len(keys), FAN**level if groups > 1 else max(FAN**level, len(own))))  # as many merges on each level as runs go in
+        cuts = [None, *(keys[i * len(keys) // parts] for i in range(1, parts)), None]
+        meet = lambda o, low, high: [n for (a, n), b in zip(o, [*(x for x, _ in o[1:]), None]) if (high is None or a is None or a < high) and (low is None or b is None or b > low)]
+        jobs = [(level, g, p, [n for o in own[g * FAN : g * FAN + FAN] for n in meet(o, cuts[p], cuts[p + 1])], cuts[p], cuts[p + 1]) for g in range(groups) for p in range(parts)]
         triple = "struct<key:string,ts:string,page:bigint>"
         work = spark.createDataFrame(jobs, f"level int, group bigint, part bigint, runs array<string>, low {triple}, high {triple}").repartition(len(jobs))
         made = work.mapInArrow(_merger(folder), "group bigint, part bigint, run string, n bigint").collect()
-        own = [{r["part"]: r["run"] for r in made if r["group"] == g} for g in range(max(r["group"] for r in made) + 1)]
+        names = {(r["group"], r["part"]): r["run"] for r in made}
+        own = [[(cuts[p], names[g, p]) for p in range(parts)] for g in range(groups)]
         level += 1
     counts = {r["part"]: r["n"] for r in made}
     bases = accumulate((counts[p] for p in range(parts)), initial=0)
     system, path = open_fs(folder)
     system.create_dir(path, recursive=True)
     with system.open_output_stream(f"{path}/index.txt") as f:
-        f.write("".join(f"{own[0][p]}\t{b}\n" for p, b in zip(range(parts), bases)).encode())
+        f.write("".join(f"{own[0][p][1]}\t{b}\n" for p, b in zip(range(parts), bases)).encode())
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
