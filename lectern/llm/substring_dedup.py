@@ -102,25 +102,29 @@ def parse(data: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -
     return {"of": of[begins], "x": x, "lo": lo, "hi": hi, "key": key.view(np.int64), "phrase": whole.view(np.int64)}
 
 
-def _parser(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _parser(length: int, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Phrases of texts, step bytes at a time; a longer text comes in pieces, which share no start."""
+
+    def pieces(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Bytes, and of each text in them: its row, first start, number of starts, and what its places begin at."""
+        data, offsets = raw_bytes(part.column("text"))
+        own = np.flatnonzero(np.diff(offsets) >= length)
+        if len(part) > 1:
+            yield data, own, offsets[own], np.diff(offsets)[own] - length + 1, offsets[own]
+        elif len(own):
+            for at in range(0, len(data) - length + 1, step):
+                yield data[at : at + step + length], own, np.zeros(1, np.int64), np.array([min(step, len(data) - length + 1 - at)]), np.array([-at])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "text", STEP):
-                data, offsets = raw_bytes(part.column("text"))
+            for part in sliced(batch, "text", step):
                 ids, tags = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag"))
-                for at in range(0, len(data), STEP) if len(part) == 1 else (0,):  # a very long text in pieces, which share no start
-                    size = np.diff(offsets)
-                    own, first = np.flatnonzero(size >= length), offsets[:-1]
-                    count = size[own] - length + 1
-                    if len(part) == 1:
-                        first, count = np.zeros(1, np.int64), np.minimum(STEP, count - at)
-                        count, own = count[count > 0], own[count > 0]
+                for data, own, first, count, zero in pieces(part):
                     if not len(own):
                         continue
-                    found = parse(data[at : at + STEP + length] if len(part) == 1 else data, first[own], count, length)
-                    row = own[found["of"]]
-                    shift = at - (0 if len(part) == 1 else offsets[row])
-                    columns = [pa.array(ids[row]), pa.array(tags[row]), *(pa.array((found[k] + shift).astype(np.int32)) for k in ("lo", "hi")), pa.array(found["key"]), pa.array(found["phrase"])]
+                    found = parse(data, first, count, length)
+                    row, shift = own[found["of"]], zero[found["of"]]
+                    columns = [pa.array(ids[row]), pa.array(tags[row]), *(pa.array((found[k] - shift).astype(np.int32)) for k in ("lo", "hi")), pa.array(found["key"]), pa.array(found["phrase"])]
                     yield pa.record_batch(columns, ["id", "tag", "lo", "hi", "key", "phrase"])
 
     return run
@@ -247,20 +251,20 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", step: int = STEP) -> DataFrame:
     """What is left of each text without the bytes that strings of length bytes cover which start elsewhere too.
 
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (the spans). Texts are UTF-8 bytes
     (null: empty, shorter than length: whole); strings are judged on the input. Repeated rows repeat each
     other's strings. Null ids stay; an empty table gives no rows; other columns are not read. length is at
-    least 2 * GRAM.
+    least 2 * GRAM; step is the number of bytes parsed at once.
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} or more")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
     texts = texts.select("id", F.hash("text").alias("tag"), "text")
-    parsed = stored(texts.mapInArrow(_parser(length), "id bigint, tag int, lo int, hi int, key bigint, phrase bigint"), "parse")
+    parsed = stored(texts.mapInArrow(_parser(length, step), "id bigint, tag int, lo int, hi int, key bigint, phrase bigint"), "parse")
     again = parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     again = stored(again, "again")  # here and below: so that a join splits a key with many rows
     alike = stored(parsed.join(again, "key"), "repeated-keys")
