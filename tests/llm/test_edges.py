@@ -159,6 +159,18 @@ def test_loser_tree():
         assert list(warc.LoserTree([iter(r) for r in runs])) == sorted(x for r in runs for x in r)
 
 
+def test_runs_are_read_from_a_key_on(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    monkeypatch.setattr(warc, "BLOCK", 128)
+    rng = np.random.default_rng(8)
+    entries = sorted((f"k{rng.integers(0, 40):03d}" * int(rng.integers(1, 9)), "2020", int(rng.integers(0, 9)), "f", i, 1) for i in range(300))
+    system, path = fs.LocalFileSystem(), str(tmp_path / "run")
+    assert warc._write_run(system, path, entries) == 300
+    for low in [None, ("", "", 0), ("z", "", 0), *(e[:3] for e in entries[::17]), ("k01", "2020", 3)]:
+        assert list(warc._read_run(system, path, low)) == [e for e in entries if low is None or e[:3] >= low]
+
+
 def test_merges_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(warc, "FAN", 2)
     pages = spark.range(40).selectExpr("id as page_id", "concat('http://h', id % 7, '.example/') as url", "cast(id as string) as html").repartition(7)
@@ -233,12 +245,11 @@ def test_substrings(spark, docs, none, monkeypatch, block):
         assert substring_dedup.remove_repeats(docs).count() == len(ROWS) and substring_dedup.remove_repeats(none).count() == 0
 
 
-def test_very_long_text_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "STEP", 1000)
+def test_very_long_text_in_pieces(spark):
     rng = np.random.default_rng(6)
     t = "".join(rng.choice(list("abcd"), 5000))
     d = spark.createDataFrame([(1, t), (2, t[700:3100])], "doc_id bigint, text string")
-    got = {r["doc_id"]: r["removed"] for r in substring_dedup.remove_repeats(d, 400).collect()}
+    got = {r["doc_id"]: r["removed"] for r in substring_dedup.remove_repeats(d, 400, step=1000).collect()}
     assert [tuple(x) for x in got[1]] == [(700, 3100)] and [tuple(x) for x in got[2]] == [(0, 2400)]
 
 
