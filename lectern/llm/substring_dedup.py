@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import delete, raw_bytes, sliced, stored, text_or_empty
 
 #: Bytes of a trigger's rolling hash; places in which a string's trigger can start; bytes parsed at once.
-GRAM, WINDOW, STEP = 16, 256, 1 << 20
+GRAM, WINDOW, STEP = 16, 256, 1 << 19
 #: Stands for a null id while texts are joined.
 NO_ID = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
@@ -134,7 +134,7 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed, for the way to where their spans are."""
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        for part in sliced(batch, "text", 4 * STEP):
+        for part in sliced(batch, "text", 4 << 20):
             yield pa.record_batch([part.column("id"), part.column("tag"), pa.array([pack(x.encode()) for x in part.column("text").to_pylist()], pa.binary())], ["id", "tag", "packed"])
 
 
@@ -163,7 +163,7 @@ def _cutter(length: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], It
                     entries.append((e["key"], e["phrase"]))
                     cuts.append(text[e["lo"] : e["hi"] + length])
                     held += len(cuts[-1])
-                    if held > STEP // 4:
+                    if held > STEP // 2:
                         yield rows(entries, cuts)
                         entries, cuts, held = [], [], 0
             if entries:
