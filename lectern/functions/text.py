@@ -24,7 +24,8 @@ def empty_to_null(x: Column) -> Column:
 def section_key(x: Column) -> Column:
     """Comparable form of a section number: without outer brackets, appendix prefix and outer space; null stays null."""
     bare = F.regexp_replace(trimmed(x), r"^\[(.+)\]$", "$1")
-    return trimmed(F.regexp_replace(trimmed(bare), f"^附{WS}*录{WS}*", ""))
+    full = trimmed(F.regexp_replace(trimmed(bare), f"^附{WS}*录{WS}*", ""))
+    return F.when(x.rlike(r"^[0-9A-Z.]+$"), x).otherwise(full)  # most keys need no more than one look
 
 
 def compact(x: Column, limit: int | None = None) -> Column:
