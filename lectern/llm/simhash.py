@@ -134,42 +134,58 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 2, id_col: str
     return prints.join(named, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
-#: Sampled sub-documents of a document, and shingles of each.
-SAMPLES, DRAWS = 16, 3
-_ODD = np.random.default_rng(97).integers(0, 1 << 63, SAMPLES * DRAWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows that frequent shingles are looked for in, and most of those that are kept. They only decide an order.
+ORDERED, COMMON = 4000, 1 << 16
+#: Members of a key that are compared in pairs; members of fuller keys are compared SIDE by SIDE at once.
+PAIRED, SIDE = 16, 256
 
 
-def _sampler(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Fingerprints of SAMPLES sub-documents: the majority bits of DRAWS shingles drawn by smallest mixed hash."""
-
+def _distinct_shingles(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, "text", 1 << 20):
-                sets = [shingle_hashes(x.as_py(), k) for x in part.column("text")]
-                full = [i for i, s in enumerate(sets) if len(s)]
-                prints = np.zeros((len(full), SAMPLES), np.uint64)
-                if full:
-                    flat, start = np.concatenate([sets[i] for i in full]), np.cumsum([0, *(len(sets[i]) for i in full)])[:-1]
-                    drawn = []
-                    for odd in _ODD:
-                        mixed = flat * odd
-                        mixed ^= mixed >> np.uint64(29)
-                        mixed *= np.uint64(0x9FB21C651E98DF25)
-                        mixed ^= mixed >> np.uint64(32)
-                        drawn.append(np.minimum.reduceat(mixed, start))
-                    for s in range(SAMPLES):
-                        a, b, c = drawn[DRAWS * s : DRAWS * s + DRAWS]
-                        prints[:, s] = (a & b) | (a & c) | (b & c)
-                yield pa.record_batch([part.column("id").take(pa.array(full, pa.int64())), pa.array(prints.view(np.int64).tolist(), pa.list_(pa.int64()))], ["id", "prints"])
+            for x in batch.column("text"):
+                yield pa.record_batch([pa.array(np.unique(shingle_hashes(x.as_py(), k)).view(np.int64))], ["shingle"])
 
     return run
 
 
-def _shingle_sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ORDERED rows have, in order, and how many of those rows have each."""
+    share = min(1.0, ORDERED / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share * (1 << 30)).select("text")
+    seen = some.mapInArrow(_distinct_shingles(k), "shingle bigint").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 2")
+    found = sorted((r["shingle"] % (1 << 64), r["n"]) for r in seen.orderBy(F.desc("n"), "shingle").limit(COMMON).collect())
+    return np.array([x for x, _ in found], np.uint64), np.array([n for _, n in found], np.int64)
+
+
+def _shingle_sets(k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each text with words: a hash of its shingle set, the set, and the prefix of it in an order that is the same for all texts, rare shingles first.
+
+    Sets of that similarity share so many shingles that their prefixes have one in common.
+    """
+    names, counts = common
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique((shingle_hashes(x.as_py(), k) >> np.uint64(32)).astype("<u4")).tobytes() for x in batch.column("text")]
-            yield pa.record_batch([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            for part in sliced(batch, "text", 1 << 20):
+                ids, nodes, sizes, prefixes, sets = [], [], [], [], []
+                for i, x in zip(part.column("id").to_pylist(), part.column("text"), strict=True):
+                    own = np.unique(shingle_hashes(x.as_py(), k))
+                    if not len(own):
+                        continue
+                    rank = np.zeros(len(own), np.int64)
+                    if len(names):
+                        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                        rank = np.where(names[at] == own, counts[at], 0)
+                    least = int(np.ceil(similarity * len(own) - 1e-6))  # shingles that a similar set shares
+                    ids.append(i)
+                    nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                    prefixes.append(own[np.lexsort((own, rank))][: len(own) - max(1, least) + 1].view(np.int64))
+                    small = np.unique((own >> np.uint64(32)).astype("<u4"))
+                    sizes.append(len(small))
+                    sets.append(small.tobytes())
+                columns = [pa.array(ids, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
+                yield pa.record_batch(columns, ["id", "node", "size", "prefix", "shingles"])
 
     return run
 
@@ -187,29 +203,109 @@ def _alike(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+def _side_by_side(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Compares all sets of a group with one another and returns only a forest of the links, no pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        sets = [np.frombuffer(x.as_py(), "<u4") for x in table.column("shingles")]
+        size = np.array([len(x) for x in sets])
+        _, codes, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        number = np.cumsum(seen > 1) - 1
+        of, keep = np.repeat(np.arange(len(sets)), size), seen[codes] > 1
+        of, codes = of[keep], number[codes[keep]]
+        order = np.argsort(codes, kind="stable")
+        of, codes, shared, step = of[order], codes[order], np.zeros((len(sets), len(sets))), 4096
+        for low in range(0, int(codes[-1]) + 1 if len(codes) else 0, step):
+            a, b = np.searchsorted(codes, (low, low + step))
+            has = np.zeros((len(sets), step), np.float32)
+            has[of[a:b], codes[a:b] - low] = 1
+            shared += has @ has.T
+        alike = shared >= similarity * (size[:, None] + size - shared)
+        u, v, left = [], [], np.ones(len(sets), bool)
+        for i in range(len(sets)):
+            reached = np.array([i]) if left[i] else np.zeros(0, np.int64)
+            left[reached] = False
+            while len(reached):
+                reached = np.flatnonzero(alike[reached].any(0) & left)
+                left[reached] = False
+                u += [nodes[i]] * len(reached)
+                v += nodes[reached].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of members whose key has nodes that links do not connect yet."""
+    linked = components(links)
+    of = members.join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    keys = stored(of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "open-keys")
+    return stored(members.join(keys, "key", "left_semi"), "open-members")
+
+
+def _linked_sets(classes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of nodes that connect the same sets as all pairs of that similarity do.
+
+    Similar sets share a key of their prefixes; keys with equal members are taken once. The members of a key
+    are compared in pairs up to PAIRED. In fuller keys all are first compared with one member. Keys whose
+    members that leaves unconnected are then compared as a whole, in squares of SIDE by SIDE: each node's
+    fullest key first, as it often connects the group of many keys, and in the end all that are left.
+    """
+    keyed = classes.select("node", "size", F.explode("prefix").alias("key"))
+    stats = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.min("node").alias("z")).where("n > 1")
+    keys = stored(stats.groupBy("n", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "n"), "keys")
+    members = stored(keyed.join(keys, "key"), "members")
+    small = F.col("n") <= PAIRED
+    few, many = members.where(small), members.where(~small)
+    sets = stored(shingles.join(members.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "member-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = pairs.where(F.least("nu", "nv") >= F.greatest("nu", "nv") * (similarity - 0.01)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        near = stored(near.distinct(), "candidates")
+        with_u = near.join(sets.toDF("u", "su"), "u")
+        return stored(with_u.join(sets.toDF("v", "sv"), "v").select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u bigint, v bigint"), "similar")
+
+    a, b = few.select("key", F.col("node").alias("u"), F.col("size").alias("nu")), few.select("key", F.col("node").alias("v"), F.col("size").alias("nv"))
+    links = verified(a.join(b, "key").where("u < v"))
+    if many.isEmpty():
+        return links
+    rank = F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("node"), F.col("size").alias("size"))
+    centres = stored(many.groupBy("key").agg(F.min(rank).alias("centre")).select("key", F.col("centre.node").alias("v"), F.col("centre.size").alias("nv")), "centres")
+    links = links.union(verified(many.join(centres, "key").where("node <> v").select(F.col("node").alias("u"), "v", F.col("size").alias("nu"), "nv")))
+    left = many.select("key", "n", "node")
+    for fullest in (True, True, False):
+        left = _open(left, links)
+        if left.isEmpty():
+            break
+        now = left
+        if fullest:
+            chosen = stored(left.groupBy("node").agg(F.max(F.struct("n", "key")).alias("top")).select(F.col("top.key").alias("key")).distinct(), "fullest-keys")
+            now, left = left.join(chosen, "key", "left_semi"), left.join(chosen, "key", "left_anti")
+        last = F.ceil(F.col("n") / SIDE) - 1  # number of the last side
+        sided = now.select("key", "node", last.alias("last"), F.pmod(F.xxhash64("node", F.lit(3)), last + 1).alias("side"))
+        squares = sided.select("key", "node", "side", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("other"))
+        squares = stored(squares.select("key", "node", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b")), "squares")
+        full = squares.join(sets, "node").select("key", "a", "b", "node", "shingles")
+        links = links.union(stored(full.groupBy("key", "a", "b").applyInArrow(_side_by_side(similarity), "u bigint, v bigint").distinct(), "similar"))
+    return links
+
+
 def similar_pairs(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Verified links (u, v) of documents whose sets of k-word shingles have that Jaccard similarity or more.
+    """Links (u, v) that connect the same documents as all pairs whose sets of k-word shingles have that Jaccard similarity or more.
 
     At this similarity whole fingerprints differ in up to a quarter of their bits, too many for any bound on
-    bit counts to prune. So fingerprints of sampled sub-documents are taken, which are equal with the
-    similarity to the power DRAWS: documents that share one of SAMPLES are candidates. In each set of equal
-    ones all are compared with one of its members, another one in each of four ways of choosing, so the work
-    grows with the rows, not with their pairs; shingle sets (32 bits each) are then compared as they are.
+    bit counts to prune, so candidates come from an exact prefix filter on the shingles. Documents of equal
+    sets are one node.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
-    prints = stored(rows.mapInArrow(_sampler(k), "id bigint, prints array<bigint>"), "sample-prints")
-    buckets = prints.select("id", F.posexplode("prints").alias("sample", "print"))
-    rank = F.struct(F.xxhash64("id", F.pmod(F.col("sample"), F.lit(4))).alias("order"), F.col("id").alias("id"))
-    centres = buckets.groupBy("sample", "print").agg(F.min(rank).alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    centres = stored(centres.select("sample", "print", F.col("centre.id").alias("centre")), "centres")
-    met = buckets.join(centres, ["sample", "print"]).where("id <> centre")
-    pairs = stored(met.select(F.least("id", "centre").alias("u"), F.greatest("id", "centre").alias("v")).distinct(), "candidates")
-    nodes = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-    own = rows.join(nodes.hint("merge"), "id", "left_semi").dropDuplicates(["id"])  # in the join's own partitions
-    sets = stored(own.mapInArrow(_shingle_sets(k), "id bigint, shingles binary"), "shingle-sets")
-    with_u = pairs.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
-    with_v = with_u.join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("sv")), "v")
-    return stored(with_v.select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u bigint, v bigint"), "similar")
+    schema = "id bigint, node bigint, size bigint, prefix array<bigint>, shingles binary"
+    sets = stored(rows.mapInArrow(_shingle_sets(k, similarity, _common(rows, k)), schema), "shingle-sets")
+    classes = stored(sets.groupBy("node").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "prefix")]), "set-classes")
+    named = classes.select("node", "rep")
+    links = _linked_sets(classes, sets.select("node", "shingles"), similarity).join(named.toDF("u", "ru"), "u").join(named.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    equal = sets.select("id", "node").join(named, "node").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    return stored(links.union(equal).distinct(), "similar-documents")
 
 
 def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

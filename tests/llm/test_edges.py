@@ -225,6 +225,29 @@ def test_similar_groups(spark):
     assert sorted(r["doc_id"] for r in simhash.without_near_copies(d).collect()) == [1, 3, 4]
 
 
+@pytest.mark.parametrize("side", [256, 40])
+def test_similar_groups_are_whole(spark, monkeypatch, side):
+    """Edited copies of one text, a family with a shared passage and small groups keep what brute force keeps."""
+    monkeypatch.setattr(simhash, "SIDE", side, raising=False)
+    rng, fresh = np.random.default_rng(7), iter(range(10**6))
+    edited = lambda words, n: [f"e{next(fresh)}" if i in at else w for at in [set(rng.choice(len(words), n, replace=False).tolist())] for i, w in enumerate(words)]
+    base, shared = [f"w{i}" for i in range(200)], [f"p{i}" for i in range(90)]
+    texts = [edited(base, 4) for _ in range(120)] + [base]
+    family = [shared + [f"f{next(fresh)}" for _ in range(60)] for _ in range(60)]
+    texts += family + [edited(x, 2) for x in family[:15]] + [edited(edited(base, 60), 3) for _ in range(5)]
+    texts += [texts[3], *[[f"s{next(fresh)}" for _ in range(50)]] * 2]
+    order = rng.permutation(len(texts)).tolist()
+    sets = {d: set(simhash.shingle_hashes(" ".join(texts[i]), 5).tolist()) for d, i in enumerate(order)}
+    group = {d: d for d in sets}
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {d: low if g == high else g for d, g in group.items()}
+    d = spark.createDataFrame([(d, " ".join(texts[i])) for d, i in enumerate(order)], "doc_id bigint, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.without_near_copies(d).collect()) == sorted(set(group.values()))
+
+
 @pytest.mark.parametrize("block", [64, 1])
 def test_substrings(spark, docs, none, monkeypatch, block):
     monkeypatch.setattr(substring_dedup, "BLOCK", block)
