@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -19,8 +20,9 @@ from lectern.llm.common import sliced, stored, text_or_empty
 FEATURES, WORDS, STEP = 1 << 14, 150_000, 1 << 20
 #: Labelled documents of each domain that the classifier is fitted on, and steps of fitting.
 SAMPLE, EPOCHS = 800, 80
-#: Weight of staying near rate 1; most gradient steps; least change of a residual share that goes on.
-RIDGE, ROUNDS, ENOUGH = 0.05, 30, 1e-4
+#: Weight of staying near rate 1, which only breaks ties; most Newton steps; miss of an optimal share that is small enough; tried lengths of a step.
+RIDGE, ROUNDS, ENOUGH, LENGTHS = 1e-6, 60, 1e-7, 0.5 ** np.arange(12)
+_log = logging.getLogger(__name__)
 _EDGES = b".,;:!?()\"'"
 _LETTER = re.compile(rb"[A-Za-z\x80-\xff]+")
 
@@ -106,15 +108,12 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, id_col: st
     return Classifier(domains).fit([r["text"].encode() for r in rows], gold, weight)
 
 
-def rates(posterior: np.ndarray, history: list[np.ndarray], step: float) -> np.ndarray:
-    """Rates after projected gradient steps whose weighted residuals are history, from rate 1.
+def rates(posterior: np.ndarray, dual: np.ndarray) -> np.ndarray:
+    """Rates nearest to 1 under the domains' prices in dual.
 
-    A document's step depends on its own posteriors and the residuals only, so any task can redo it.
+    A document's rate depends on its own posteriors and the prices only, so any task can redo it.
     """
-    r = np.ones(len(posterior))
-    for residual in history:
-        r = np.maximum(0.0, r - step * (posterior @ residual + RIDGE * (r - 1)))
-    return r
+    return np.maximum(0.0, 1.0 - posterior @ dual)
 
 
 @cache
@@ -134,47 +133,56 @@ def _classifier_stage(model: Classifier) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _sums(history: list[np.ndarray], step: float, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each task, the expected tokens of each domain under the current rates."""
+def _sums(duals: list[np.ndarray], size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each task and each of duals: the tokens, expected ones of each domain, half the squared rates' tokens, and the Gram matrix of rows with a rate above 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
+        total = np.zeros((len(duals), size * size + size + 2))
         for batch in batches:
-            p = np.array(batch.column("posterior").flatten()).reshape(-1, size)
-            total += (rates(p, history, step) * np.array(batch.column("n_tokens"))) @ p
-        yield pa.record_batch([pa.array(np.arange(size)), pa.array(total)], ["domain", "tokens"])
+            p, n = np.array(batch.column("posterior").flatten()).reshape(-1, size), np.array(batch.column("n_tokens"))
+            for i, dual in enumerate(duals):
+                r = rates(p, dual)
+                total[i] += np.concatenate([[n.sum(), n @ (r * r) / 2], (n * r) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel()])
+        yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "value"])
 
     return run
 
 
-def fit_rates(members: DataFrame, size: int, targets: np.ndarray) -> tuple[list[np.ndarray], float]:
-    """Residual history and step length of the projected gradient descent over all rows of members.
+def fit_rates(members: DataFrame, size: int, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prices of the domains, and by how much the expected shares of tokens then miss the targets, over all rows of members.
 
     Minimises the squared misses of the targets (token shares) plus RIDGE times the token-weighted squared
-    distance of the rates from 1. A round is one pass over the stored posteriors; only
-    one number per domain comes back.
+    distance of the rates from 1, by Newton steps on the dual, which has one number per domain. A round is one
+    pass over the stored posteriors, for all LENGTHS of a step; only a few numbers per length come back.
     """
 
-    def tokens(history: list[np.ndarray], step: float) -> np.ndarray:
-        got = members.mapInArrow(_sums(history, step, size), "domain bigint, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect()
-        total = np.zeros(size)
+    def tried(duals: list[np.ndarray]) -> list[tuple]:
+        width = size * size + size + 2
+        got = members.mapInArrow(_sums(duals, size), "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
+        total = np.zeros(len(duals) * width)
         for r in got:
-            total[r["domain"]] = r["tokens"]
-        return total
-
-    now = tokens([], 0.0)
-    if not now.sum():
-        return [], 0.0
-    whole = now.sum()
-    step = 1 / (RIDGE + (now / whole).max())  # the Gram matrix's rows sum to the domains' shares
-    history: list[np.ndarray] = []
+            total[r["place"]] = r["value"]
+        found = []
+        for dual, x in zip(duals, total.reshape(-1, width), strict=True):
+            whole = max(1.0, x[0])
+            miss, gram = x[2 : size + 2] / whole - targets, x[size + 2 :].reshape(size, size) / whole
+            found.append((x[1] / whole + targets @ dual + RIDGE / 2 * dual @ dual, dual, miss, gram, x[0]))
+        return found
+
+    value, dual, miss, gram, whole = tried([np.zeros(size)])[0]
+    if not whole:
+        return dual, np.zeros(size)
     for _ in range(ROUNDS):
-        history.append(now / whole - targets)
-        after = tokens(history, step)
-        moved, now = np.abs(after - now).max() / whole, after
-        if moved < ENOUGH:
+        slope = RIDGE * dual - miss
+        if np.abs(slope).max() < ENOUGH:
             break
-    return history, step
+        way = np.linalg.solve(gram + RIDGE * np.eye(size), -slope)
+        best = min(tried([dual + x * way for x in LENGTHS]), key=lambda x: x[0])
+        if best[0] > value:
+            break  # no length improves beyond rounding
+        value, dual, miss, gram, _ = best
+    (_log.warning if np.abs(miss).max() > 1e-3 else _log.info)("expected shares miss the targets by %s", miss.tolist())
+    return dual, miss
 
 
 def copies_of(rate: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -197,16 +205,17 @@ def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_
     Columns: doc_id, n_tokens (words), posterior (by domain, in alphabetical order), rate, copies. targets are
     the wanted shares of the corpus's tokens by domain; a domain without one has target 0. Null text is empty
     and has the classifier's prior; repeated rows get equal rates; null ids stay; an empty table gives no
-    rows; other columns are not read. Without labels there is one domain, and all rates are 1.
+    rows; other columns are not read. Without labels there is one domain, and all rates are 1. Targets that no
+    rates reach are missed as little as can be, which is logged as a warning.
     """
     model = train(docs, labelled, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), _uniform(id_col, text_col), text_or_empty(text_col).alias("text"))
     members = stored(rows.mapInArrow(_classifier_stage(model), "id bigint, row_key double, n_tokens bigint, posterior array<double>"), "posteriors")
-    history, step = fit_rates(members, len(model.domains), _shares(model.domains, targets))
+    dual, _ = fit_rates(members, len(model.domains), _shares(model.domains, targets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate = rates(np.array(batch.column("posterior").flatten()).reshape(-1, len(model.domains)), history, step)
+            rate = rates(np.array(batch.column("posterior").flatten()).reshape(-1, len(model.domains)), dual)
             columns = [batch.column(c) for c in ("id", "n_tokens", "posterior")]
             yield pa.record_batch([*columns, pa.array(rate), pa.array(copies_of(rate, np.array(batch.column("row_key"))))], ["doc_id", "n_tokens", "posterior", "rate", "copies"])
 
@@ -219,13 +228,13 @@ def mixed_rows(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     key = "__row_key"
     slim = docs.select(F.lit(0).cast("bigint").alias("id"), _uniform(id_col, text_col), text_or_empty(text_col).alias("text"))
     members = stored(slim.mapInArrow(_classifier_stage(model), "id bigint, row_key double, n_tokens bigint, posterior array<double>"), "posteriors")
-    history, step = fit_rates(members, len(model.domains), _shares(model.domains, targets))
+    dual, _ = fit_rates(members, len(model.domains), _shares(model.domains, targets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, text_col, STEP):
                 codes, sizes = words().codes([(x or "").encode() for x in part.column(text_col).to_pylist()])
-                copies = copies_of(rates(model.posteriors(words().pairs, codes, sizes), history, step), np.array(part.column(key)))
+                copies = copies_of(rates(model.posteriors(words().pairs, codes, sizes), dual), np.array(part.column(key)))
                 yield part.take(pa.array(np.repeat(np.arange(len(part)), copies))).drop_columns([key])
 
     return docs.withColumn(key, _uniform(id_col, text_col)).mapInArrow(run, docs.schema)

@@ -306,6 +306,22 @@ def test_mixing(docs, none, labels):
     assert {r["rate"] for r in mixing.mixture(docs, domains(labels).where("false"), {}).collect()} == {1.0}
 
 
+@pytest.mark.parametrize("shares", [(0.767, 0.113, 0.12), (0.985, 0.01, 0.005)])
+def test_mixing_meets_targets(spark, monkeypatch, shares):
+    """Domain totals are within 1e-4 of the targets, for nearly one-hot posteriors of small domains too."""
+    rng, targets = np.random.default_rng(11), {"a": 0.92, "b": 0.04, "c": 0.04}
+    kind = rng.choice(3, 4000, p=shares)
+    made = 0.98 * np.eye(3)[kind] + 0.02 * rng.dirichlet([1, 1, 1], 4000)
+    fixed = mixing.Classifier(sorted(targets))
+    monkeypatch.setattr(mixing, "train", lambda *a, **b: fixed)
+    rows = [(i, 0.5, int(n), p.tolist()) for i, (n, p) in enumerate(zip(rng.integers(20, 2000, 4000), made, strict=True))]
+    members = spark.createDataFrame(rows, "id bigint, row_key double, n_tokens bigint, posterior array<double>").repartition(3)
+    monkeypatch.setattr(mixing, "stored", lambda df, name: members)
+    got = mixing.mixture(spark.createDataFrame([], DOCS), None, targets).collect()
+    p, n, r = (np.array([x[c] for x in got]) for c in ("posterior", "n_tokens", "rate"))
+    assert len(got) == 4000 and (r >= 0).all() and np.abs((n * r) @ p / n.sum() - np.array([0.92, 0.04, 0.04])).max() < 1e-4
+
+
 def test_pipeline(spark, sf_dir, duck):
     from lectern.llm.common import stored
 
