@@ -69,20 +69,19 @@ class Classifier:
         score = np.exp((z := sums + self.bias) - z.max(1, keepdims=True))
         return score / score.sum(1, keepdims=True)
 
-    def fit(self, texts: list[bytes], gold: np.ndarray, weight: np.ndarray, rate: float = 0.2, decay: float = 1e-4) -> Classifier:
-        """Adaptive gradient steps on the weighted mean cross entropy; weight (by domain) undoes the sampling."""
-        words = Words()
-        codes, sizes = words.codes(texts)
-        of = np.repeat(np.arange(len(texts)), sizes)
-        share = 1 / np.sqrt(2 * np.maximum(1, sizes))[of]
+    def fit(self, features: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rate: float = 0.2, decay: float = 1e-4) -> Classifier:
+        """Adaptive gradient steps on the weighted mean cross entropy of texts given by their features, how often each occurs, and their numbers of words; weight (by domain) undoes the sampling."""
+        of, flat, domains = np.repeat(np.arange(len(features)), [len(f) for f in features]), np.concatenate(features), range(len(self.domains))
+        share = np.concatenate(counts) / np.sqrt(2 * np.maximum(1, sizes))[of]
         own = weight[gold] / weight[gold].sum()
         squares, square = np.full_like(self.weights, 1e-8), np.full_like(self.bias, 1e-8)
         for _ in range(EPOCHS):
-            error = self.posteriors(words.pairs, codes, sizes)
+            sums = np.stack([np.bincount(of, self.weights[flat, k] * share, len(gold)) for k in domains], 1) + self.bias
+            error = np.exp(sums - sums.max(1, keepdims=True))
+            error /= error.sum(1, keepdims=True)
             error[np.arange(len(gold)), gold] -= 1
             error *= own[:, None]
-            by_word = [np.bincount(codes, error[of, k] * share, len(words.pairs)) for k in range(len(self.domains))]
-            step = np.stack([sum(np.bincount(words.pairs[:, i], w, FEATURES) for i in (0, 1)) for w in by_word], 1) + decay * self.weights / FEATURES
+            step = np.stack([np.bincount(flat, error[of, k] * share, FEATURES) for k in domains], 1) + decay * self.weights / FEATURES
             squares += step * step
             self.weights -= rate * step / np.sqrt(squares)
             square += error.sum(0) ** 2
@@ -90,8 +89,18 @@ class Classifier:
         return self
 
 
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each whole text, its number of words, its features and how often each occurs: no more than FEATURES of them."""
+    for batch in batches:
+        for text, doc_id, domain in zip(*[batch.column(c) for c in ("text", "doc_id", "domain")], strict=True):
+            codes, sizes = words().codes([text.as_py().encode()])
+            features, counts = np.unique(words().pairs[codes], return_counts=True)
+            columns = [pa.array([doc_id.as_py()], pa.int64()), pa.array([domain.as_py()]), pa.array(sizes), pa.array([features], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["doc_id", "domain", "n_tokens", "features", "counts"])
+
+
 def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Fit on about sample documents of each domain of labelled (doc_id, domain), chosen by their id's hash."""
+    """Fit on the whole texts of about sample documents of each domain of labelled (doc_id, domain), chosen by their id's hash."""
     of = labelled.where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     counts = {r["domain"]: r["n"] for r in of.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     domains = sorted(counts)
@@ -99,13 +108,14 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, id_col: st
         return Classifier(["all"])
     rate = F.coalesce(*[F.when(F.col("domain") == d, F.lit(min(1.0, sample / n))) for d, n in sorted(counts.items())])
     chosen = of.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).substr(1, 20_000).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text").collect()
-    rows.sort(key=lambda r: (r["domain"], r["doc_id"], r["text"]))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text")
+    rows = texts.mapInArrow(_feature_counts, "doc_id bigint, domain string, n_tokens bigint, features array<bigint>, counts array<bigint>").collect()
+    rows.sort(key=lambda r: (r["domain"], r["doc_id"], r["n_tokens"], r["features"], r["counts"]))
     if not rows:
         return Classifier(domains)
     gold = np.array([domains.index(r["domain"]) for r in rows])
     weight = np.array([counts[d] for d in domains]) / np.maximum(1, np.bincount(gold, minlength=len(domains)))
-    return Classifier(domains).fit([r["text"].encode() for r in rows], gold, weight)
+    return Classifier(domains).fit(*[[np.array(r[c], np.int64) for r in rows] for c in ("features", "counts")], np.array([r["n_tokens"] for r in rows]), gold, weight)
 
 
 def rates(posterior: np.ndarray, dual: np.ndarray) -> np.ndarray:

@@ -322,6 +322,15 @@ def test_mixing_meets_targets(spark, monkeypatch, shares):
     assert len(got) == 4000 and (r >= 0).all() and np.abs((n * r) @ p / n.sum() - np.array([0.92, 0.04, 0.04])).max() < 1e-4
 
 
+def test_mixing_learns_from_the_end_of_long_texts(spark):
+    tail = {"clean": "friendly", "toxic": "hateful"}
+    rows = [(i, "same words " * 3000 + f"{tail[d]} " * 300, d) for i, d in enumerate(["clean", "toxic"] * 20)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, domain string")
+    model, known = mixing.train(d, d), mixing.Words()
+    codes, sizes = known.codes([b"friendly " * 50, b"hateful " * 50])
+    assert (model.posteriors(known.pairs, codes, sizes).diagonal() > 0.9).all()
+
+
 def test_pipeline(spark, sf_dir, duck):
     from lectern.llm.common import stored
 
