@@ -14,8 +14,8 @@ from lectern.llm.common import raw_bytes, sliced, text_or_empty
 
 #: Bytes of text looked at at once; words of a repeated window.
 STEP, SPAN = 1 << 20, 8
-#: Labelled documents of each class that the field is fitted on, and lines of each that count.
-SAMPLE, SAMPLE_LINES = 300, 64
+#: Labelled documents of each class that the field is fitted on, and lines of a piece that it is fitted on as one chain.
+SAMPLE, CHAIN = 300, 64
 #: Labels of lines, and the least share of words in content lines that a document needs.
 BOILERPLATE, CONTENT, SHARE = 0, 1, 0.5
 RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -166,7 +166,7 @@ _KINDS = ", ".join(f"{c} bigint" for c in RULES) + ", base_failed boolean, conte
 
 
 def training_lines(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[np.ndarray, int]]:
-    """Line features of about sample documents of each quality, with the quality as the lines' label.
+    """Features of all lines of about sample documents of each quality, in pieces of CHAIN lines, with the quality as the lines' label.
 
     A bounded sample: documents whose id's hash is below the share that the class's count allows.
     """
@@ -174,10 +174,11 @@ def training_lines(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     counts = {r["quality"]: r["n"] for r in of.where("quality in (0, 1)").groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.coalesce(*[F.when(F.col("quality") == q, F.lit(min(1.0, sample / n))) for q, n in counts.items()], F.lit(0.0))
     chosen = of.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30))
-    lines = F.slice(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), 1, SAMPLE_LINES)
+    lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     rows = docs.select("doc_id", lines.alias("lines")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "lines").collect()
     rows.sort(key=lambda r: (r["quality"], r["doc_id"], r["lines"]))
-    return [(line_features([x.encode() for x in r["lines"]])[0], r["quality"]) for r in rows]
+    found = [(line_features([x.encode() for x in r["lines"]])[0], r["quality"]) for r in rows]
+    return [(x[i : i + CHAIN], q) for x, q in found for i in range(0, max(1, len(x)), CHAIN)]
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -286,6 +286,15 @@ def test_quality(docs, none, labels):
     assert quality_rules.quality_rules(docs, labels.where("false")).count() == len(ROWS)
 
 
+def test_quality_trains_on_all_lines(spark):
+    rows = [(i, "\n".join(f"line {j} of many words" if j < 100 else "$$ || ##" for j in range(150)), i % 2) for i in range(8)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    pieces = quality_rules.training_lines(d.select("doc_id", "text"), d.select("doc_id", "quality"))
+    for q in (0, 1):
+        got, want = np.concatenate([x for x, y in pieces if y == q]), quality_rules.line_features([x.encode() for x in rows[q][1].split("\n")])[0]
+        assert len(want) == 150 and np.array_equal(got, np.tile(want, (4, 1)))
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     for n in (1, 2, 6):
