@@ -7,7 +7,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 from itertools import accumulate, chain, repeat
 
@@ -21,27 +21,27 @@ from pyspark.sql import functions as F
 from lectern.llm.common import open_fs, sliced, text_or_empty
 
 #: Bytes of text encoded at once, documents returned at once by the reader.
-STEP, READ_STEP = 2 << 20, 4096
-#: Words whose ids a worker remembers at most between batches, and code points of the longest of them.
-WORDS, LONG = 1_000_000, 64
+STEP, READ_STEP = 1 << 20, 4096
+#: Bytes that a worker's table of words may take, counted as ENTRY for each word and its characters and ids; code points of the longest word in it.
+TABLE, ENTRY, LONG = 100 << 20, 200, 64
 #: The pre-token pattern whose cuts are known below: letters, single digits, English endings, other marks.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ASCII_CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _PLAIN, _PRINTABLE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+"), re.compile(r"(?!.*<\|)[!-@\[-~]+")
-_STOP = re.compile(r"(?<=[a-z])[,.](?= )")
 #: Stands for a null document id in the .doc files.
 NO_ID = -(1 << 63)
 
 
 class WordEncoder:
-    """Encodes texts through the tokenizers library, remembering the ids of words seen most.
+    """Encodes texts through the tokenizers library, remembering the ids of words seen most, within table bytes.
 
     Words are cut at spaces and line feeds, which is exact for tokenizers whose pre-tokens never span them;
     that is tested when it is made. ASCII texts are put in lower case first where the tokenizer does so
     itself, and a comma or stop after a letter stands alone, which fewer distinct words result from.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, table: int = TABLE) -> None:
+        self.table = table
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,8 +59,8 @@ class WordEncoder:
             self.model = self.tokenizer.model
             self.marks: dict[str, list[int]] = {}
         self.known: dict[str, int] = {}
-        self.base: dict[str, int] = {}
-        self.starts, self.sizes, self.seen, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.base, self.held = 0, 0  # number of words that stay, bytes of all words
+        self.starts, self.sizes, self.seen, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -72,7 +72,7 @@ class WordEncoder:
             ids = self.marks.get(mark)
             if ids is None:
                 ids = [x.id for x in self.model.tokenize(mark)]
-                if len(self.marks) < WORDS // 10:
+                if len(mark) <= 4 and len(self.marks) < 50_000:
                     self.marks[mark] = ids
             found += ids
         return found
@@ -82,43 +82,61 @@ class WordEncoder:
         if not self.lower:
             return self._ids(words)
         ids: list = [None] * len(words)
-        rest = []
+        rest, tokenize = [], self.model.tokenize
         for i, word in enumerate(words):
-            if _PLAIN.fullmatch(word):
-                ids[i] = [x.id for x in self.model.tokenize(word if word.isascii() else word.translate(self.letters))]
-            elif _PRINTABLE.fullmatch(word):
-                ids[i] = self._marks(word)
-            else:
-                rest.append(i)
+            if word.isascii():
+                if word.isalpha() and word.islower():
+                    ids[i] = [x.id for x in tokenize(word)]
+                    continue
+                if _PRINTABLE.fullmatch(word):
+                    ids[i] = self._marks(word)
+                    continue
+            elif _PLAIN.fullmatch(word):
+                ids[i] = [x.id for x in tokenize(word.translate(self.letters))]
+                continue
+            rest.append(i)
         for i, found in zip(rest, self._ids([words[i] for i in rest]), strict=True):
             ids[i] = found
         return ids
 
-    def _learn(self, words: list[str]) -> None:
+    def _add(self, words: list[str]) -> None:
+        """Ids of words behind those of the table."""
         ids = self._ids_of_words(words)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+
+    def _cut(self, n: int) -> None:
+        """Only the first n entries stay."""
+        self.starts, self.sizes = self.starts[:n].copy(), self.sizes[:n].copy()
+        self.pool = self.pool[: int(self.sizes.sum(dtype=np.int64))].copy()
+
+    def _cost(self, words: Iterable[str], ids: int) -> int:
+        return sum(map(len, words)) + ENTRY * len(self.known) + 4 * ids
 
     def _forget(self) -> None:
-        """Back to the words that the first WORDS words showed to be frequent, the more seen half of them."""
+        """Back to the words that the first full table showed to be frequent, the more seen half of it."""
+        words = list(self.known)
         if not self.base:
-            words = list(self.known)
-            best = [i for i in np.argsort(-self.seen, kind="stable")[: WORDS // 2].tolist() if len(words[i]) <= LONG]
+            best = np.sort(np.argsort(-self.seen, kind="stable")[: max(1, len(words) // 2)])
             self.pool = self.pool[_ragged(self.starts[best], self.sizes[best])]
             self.sizes = self.sizes[best]
-            self.starts = np.cumsum(self.sizes) - self.sizes
-            self.base = {words[i]: n for n, i in enumerate(best)}
-        self.known = self.base.copy()
-        n = len(self.base)
-        self.starts, self.sizes = self.starts[:n], self.sizes[:n]
-        self.pool = self.pool[: int(self.sizes.sum())]
+            self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+            self.known = {words[i]: n for n, i in enumerate(best.tolist())}
+            self.base, self.seen = len(best), np.zeros(0, np.int32)
+        for word in words[self.base :] if len(words) == len(self.known) else ():
+            del self.known[word]
+        self._cut(self.base)
+        self.held = self._cost(self.known, len(self.pool))
 
     def _words(self, text: str) -> list[str]:
         if self.lower and "<|" not in text and (text.isascii() or _is_latin(text)):
-            text = _STOP.sub(r" \g<0>", text.lower())
+            text = text.lower()
+            for mark in ",.":  # stands alone between a letter or digit and a space
+                parts = text.split(mark + " ")
+                if len(parts) > 1:
+                    text = "".join(f"{x} {mark} " if x[-1:].isalnum() else f"{x}{mark} " for x in parts[:-1]) + parts[-1]
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,23 +145,33 @@ class WordEncoder:
             ids = self._ids(texts)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
-        if len(self.known) > WORDS:
-            self._forget()
         words = [self._words(t) for t in texts]
         flat = list(chain.from_iterable(words))
         codes = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        missed = np.flatnonzero(codes < 0).tolist()
+        missed, stay = np.flatnonzero(codes < 0).tolist(), len(self.known)
         if missed:
             missing = [flat[i] for i in missed]
-            self._learn(list(dict.fromkeys(missing)))
-            codes[missed] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
+            new = sorted(dict.fromkeys(missing), key=lambda w: len(w) > LONG)  # long words are used here only
+            at = dict(zip(new, range(stay, stay + len(new)), strict=True))
+            self._add(new)
+            codes[missed] = np.fromiter(map(at.__getitem__, missing), np.int64, len(missing))
+            short = [w for w in new if len(w) <= LONG]
+            self.known.update((w, at[w]) for w in short)
+            stay += len(short)
         if not self.base:
-            seen = np.bincount(codes, minlength=len(self.known))
+            seen = np.bincount(codes, minlength=len(self.sizes))[:stay].astype(np.int32)
             seen[: len(self.seen)] += self.seen
             self.seen = seen
-        sizes = self.sizes[codes]
+        sizes = self.sizes[codes].astype(np.int64)
         first = np.cumsum([0, *map(len, words)])[:-1]
-        return self.pool[_ragged(self.starts[codes], sizes)], np.add.reduceat(sizes, first)
+        found = self.pool[_ragged(self.starts[codes], sizes)], np.add.reduceat(sizes, first)
+        if missed:
+            if stay < len(self.sizes):
+                self._cut(stay)
+            self.held += sum(map(len, short)) + ENTRY * len(short) + 4 * int(self.sizes[stay - len(short) :].sum())
+            if self.held > self.table:
+                self._forget()
+        return found
 
 
 def _is_latin(text: str) -> bool:
