@@ -3,28 +3,35 @@
 A string of LENGTH bytes is judged by its phrase: of the rolling hashes that start in its first WINDOW bytes
 the smallest is its trigger, so equal strings have triggers at equal places, wherever they stand. Strings
 with one trigger in a row form a phrase: the bytes that they cover. The dictionary is the set of distinct
-phrases, the parse the list of phrase occurrences. Instead of two suffix arrays, whose order no hash
-partition keeps and of which only equality to the depth of LENGTH bytes is needed, dictionary and parse are
-ranked by equality classes:
+phrases, the parse the list of phrase occurrences.
 
 1. parse: key (hash of the bytes from the trigger that all strings of the phrase hold) and phrase hash;
 2. occurrences whose key is alone are dropped: none of their strings repeats;
 3. a phrase that occurs again is repeated as a whole;
-4. distinct phrases with one key can share some of their strings: those dictionary entries, once each, are
-   cut into their strings, and equal strings found.
+4. distinct phrases of one key can share strings, which is found in corpus order. What follows the triggers
+   is sorted (the order of parse suffixes, to the depth of LENGTH bytes), and what stands before them, read
+   backwards (the order of dictionary suffixes). Both are suffix arrays with the longest common prefixes of
+   neighbours. A string with l bytes before its trigger is shared with those phrases that stand in the same
+   interval of the one array to the depth of l and of the other to the depth of LENGTH - l. Intervals hold
+   for ranges of depths, so a phrase has a row for each pair of intervals, not for each of its strings.
+
+The arrays are cut at splitters, as any sort of a distributed table is. A splitter counts as a member of the
+parts on both of its sides, so that intervals that reach across it have one name there.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import delete, raw_bytes, sliced, stored, text_or_empty
@@ -36,8 +43,12 @@ NO_ID = -(1 << 63)
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _PLACE = np.uint64((1 << 24) - 1)
 _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-#: Dictionary entries of a key that are compared with one another; of fuller keys all strings are hashed.
-BLOCK = 64
+_PIECES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("at", pa.int64())]))
+_SHARES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())]))
+#: Sampled rows for each splitter of a sort.
+SAMPLED = 20
+#: A stretch of depths and the name of the interval that holds there.
+Piece = tuple[int, int, int]
 
 
 @cache
@@ -138,20 +149,16 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column("id"), part.column("tag"), pa.array([pack(x.encode()) for x in part.column("text").to_pylist()], pa.binary())], ["id", "tag", "packed"])
 
 
-def _cutter(length: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of the dictionary entries that come with a text, the bytes and the trigger's place if whole, else the hash of each string."""
+def _cutter(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the dictionary entries that come with a text, the bytes before the trigger, read backwards, and those from it on."""
 
     def rows(entries: list[tuple[int, int]], cuts: list[bytes]) -> pa.RecordBatch:
         data = np.frombuffer(b"".join(cuts), np.uint8)
         size = np.array([len(x) for x in cuts])
-        count, first = size - length + 1, np.cumsum(size) - size
-        ids = [np.array([e[i] for e in entries], np.int64) for i in (0, 1)]
-        if whole:
-            trigger = parse(data, first, count, length)["x"] - first
-            return pa.record_batch([*map(pa.array, ids), pa.array(trigger.astype(np.int32)), pa.array(cuts, pa.binary())], ["key", "phrase", "trigger", "cut"])
-        start = _ranges(first, count)
-        hashes = [pa.array(Hashes(data, i).of(start, start + length).view(np.int64)) for i in (0, 1)]
-        return pa.record_batch([*hashes, *(pa.array(np.repeat(x, count)) for x in ids), pa.array(_ranges(np.zeros_like(count), count).astype(np.int32))], ["h1", "h2", "key", "phrase", "place"])
+        first = np.cumsum(size) - size
+        trigger = (parse(data, first, size - length + 1, length)["x"] - first).tolist()
+        ids = [pa.array([e[i] for e in entries], pa.int64()) for i in (0, 1)]
+        return pa.record_batch([*ids, pa.array([c[:t][::-1] for c, t in zip(cuts, trigger, strict=True)], pa.binary()), pa.array([c[t:] for c, t in zip(cuts, trigger, strict=True)], pa.binary())], ["key", "phrase", "before", "after"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -172,56 +179,186 @@ def _cutter(length: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def shared(cuts: list[bytes], triggers: list[int], length: int) -> list[list[tuple[int, int]]]:
-    """Of each dictionary entry, the places (first, last) of strings that another entry holds as well.
+def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings as rows of a table, and their sizes."""
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    table = np.zeros((len(size), int(size.max(initial=0)) + 1), np.uint8)
+    table[np.arange(table.shape[1]) < size[:, None]] = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
+    return table, size
 
-    Two entries share the strings that lie within what agrees before and after their triggers.
+
+def _common(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray | int) -> np.ndarray:
+    """Longest common prefixes of the rows of two tables of one width."""
+    differ = a != b
+    differ[:, -1] = True
+    return np.minimum(differ.argmax(1), np.minimum(size_a, size_b))
+
+
+class Sorted:
+    """One sort order of byte strings by key, cut at splitters, and the intervals in it.
+
+    The interval of a row at a depth holds all rows of its key that agree with it for so many bytes. Its name
+    is the first splitter in it, else its first row.
     """
-    sides = []
-    for part in ([np.frombuffer(c, np.uint8)[:t][::-1] for c, t in zip(cuts, triggers, strict=True)], [np.frombuffer(c, np.uint8)[t:] for c, t in zip(cuts, triggers, strict=True)]):
-        size = np.array([len(x) for x in part])
-        table = np.zeros((len(part), size.max() + 1), np.uint8)
-        for i, x in enumerate(part):
-            table[i, : len(x)] = x
-        sides.append((table, size))
-    found = []
-    for i, (cut, trigger) in enumerate(zip(cuts, triggers, strict=True)):
-        agree = []
-        for table, size in sides:
-            differ = table != table[i]
-            differ[:, -1] = True
-            agree.append(np.minimum(np.minimum(differ.argmax(1), size), size[i]))
-        low, high = np.maximum(0, trigger - agree[0]), np.minimum(len(cut) - length, trigger + agree[1] - length)
-        low[i], high[i] = 1, 0
-        found.append([(int(p), int(q)) for p, q in set(zip(low, high, strict=True)) if p <= q])
+
+    def __init__(self, splitters: list[tuple[int, bytes]]) -> None:
+        self.splitters = splitters
+        self.names: list[list[Piece]] = []
+        stack: list[tuple[int, int]] = []
+        for i, (key, text) in enumerate(splitters):
+            same = -1
+            if i and splitters[i - 1][0] == key:
+                other = splitters[i - 1][1]
+                same = next((n for n, (x, y) in enumerate(zip(text, other)) if x != y), min(len(text), len(other)))
+            stack = [x for x in stack if x[0] < same] + [(same, i)]
+            self.names.append(self._pieces(stack, len(text)))
+
+    @staticmethod
+    def _pieces(stack: list[tuple[int, int]], top: int) -> list[Piece]:
+        """stack: after which depth which name holds, ascending."""
+        ends = [x[0] for x in stack[1:]] + [top]
+        return [(low + 1, high, name) for (low, name), high in zip(stack, ends, strict=True) if low < high]
+
+    def part(self, key: int, text: bytes) -> int:
+        return bisect_right(self.splitters, (key, text))
+
+    def _with(self, splitter: int, key: np.ndarray, table: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """What rows have in common with a splitter; -1 of another key."""
+        found = np.full(len(key), -1)
+        if 0 <= splitter < len(self.splitters):
+            text = self.splitters[splitter][1]
+            at = np.flatnonzero(key == self.splitters[splitter][0])
+            if len(at):
+                wide = np.zeros(table.shape[1], np.uint8)
+                cut = np.frombuffer(text[: len(wide)], np.uint8)
+                wide[: len(cut)] = cut
+                found[at] = _common(table[at], size[at], wide, len(text))
+        return found
+
+    def intervals(self, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[list[Piece]]]]:
+        """Batches (part, key, row, least and the column) sorted by part, key and column, with the intervals of each row.
+
+        They go from depth least of the row on to the last that holds another row; none if that is less.
+        """
+        carry, before = None, -1
+        stack: list[tuple[int, int]] = []
+        for batch in chain((b for b in batches if len(b)), [None]):
+            if batch is None and carry is None:
+                return
+            rows = pa.Table.from_batches([x for x in (carry, batch) if x is not None]).combine_chunks().to_batches()[0]
+            key, part, name = (rows.column(c).to_numpy() for c in ("key", "part", "row"))
+            table, size = _padded(rows.column(column))
+            same = np.full(len(rows) + 1, -1)
+            same[0] = before
+            same[1:-1] = np.where((key[1:] == key[:-1]) & (part[1:] == part[:-1]), _common(table[1:], size[1:], table[:-1], size[:-1]), -1)
+            left, right = np.full(len(rows), -1), np.full(len(rows), -1)
+            for p in np.unique(part).tolist():
+                at = slice(*np.searchsorted(part, (p, p + 1)))
+                left[at], right[at] = self._with(p - 1, key[at], table[at], size[at]), self._with(p, key[at], table[at], size[at])
+            done = len(rows) - (batch is not None)
+            most = np.maximum.reduce([same[:-1], same[1:], left, right])
+            found: list[list[Piece]] = []
+            for at, depth, own, p, low, high, to_left, to_right in zip(range(done), same.tolist(), name.tolist(), part.tolist(), rows.column("least").to_pylist(), most.tolist(), left.tolist(), right.tolist()):
+                while stack and stack[-1][0] >= depth:
+                    stack.pop()
+                stack.append((depth, own))
+                if high < low:
+                    found.append([])
+                    continue
+                pieces: list[Piece] = []
+                low = max(low, 0)
+                for end, held in ((to_left, p - 1), (to_right, p)):
+                    if end >= low:
+                        pieces += [(max(a, low), min(b, end), n) for a, b, n in self.names[held] if a <= end and b >= low]
+                        low = end + 1
+                if high >= low:
+                    pieces += [(max(a, low), b, n) for a, b, n in self._pieces(stack, high) if b >= low]
+                found.append(pieces)
+            yield rows.slice(0, done), found
+            carry, before = (rows.slice(done), int(same[done])) if batch is not None else (None, -1)
+
+
+def crossed(ahead: list[Piece], behind: list[Piece], length: int) -> list[tuple[int, int, int, int]]:
+    """Pairs of intervals (name in behind, name in ahead) with the first and last number of bytes behind for which both hold."""
+    found, i = [], len(ahead) - 1
+    for low, high, name in behind:
+        while i >= 0 and length - ahead[i][0] < low:
+            i -= 1
+        j = i
+        while j >= 0 and length - ahead[j][1] <= high:
+            found.append((name, ahead[j][2], max(low, length - ahead[j][1]), min(high, length - ahead[j][0])))
+            j -= 1
     return found
 
 
-def _matcher(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Compares the entries of each key with one another; rows come sorted by key."""
+def _ahead(order: Sorted, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of entries in the order of what follows their triggers, those that share enough with another, with the intervals."""
 
-    def rows(group: list[dict]) -> list[dict]:
-        places = shared([r["cut"] for r in group], [r["trigger"] for r in group], length)
-        return [{"key": r["key"], "phrase": r["phrase"], "places": [{"a": a, "b": b} for a, b in merged([(a, b + 1) for a, b in p])]} for r, p in zip(group, places, strict=True) if p]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, found in order.intervals(batches, "after"):
+            at = [i for i, x in enumerate(found) if x]
+            kept = rows.take(pa.array(at, pa.int64()))
+            pieces = [[dict(zip(("lo", "hi", "at"), p, strict=True)) for p in found[i]] for i in at]
+            least = pa.array([length - found[i][-1][1] for i in at], pa.int32())
+            yield pa.record_batch([*(kept.column(c) for c in ("key", "phrase", "row", "before")), pa.array(pieces, _PIECES), least], ["key", "phrase", "row", "before", "pieces", "least"])
 
-    schema = pa.schema([("key", pa.int64()), ("phrase", pa.int64()), ("places", _SPANS)])
+    return run
+
+
+def _behind(order: Sorted, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of entries in the order of what stands before their triggers, the pairs of intervals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if group and r["key"] != group[0]["key"]:
-                    out += rows(group)
-                    group = []
-                group.append(r)
-            yield pa.RecordBatch.from_pylist(out, schema)
-        if group:
-            yield pa.RecordBatch.from_pylist(rows(group), schema)
+        for rows, found in order.intervals(batches, "before"):
+            ahead = [[(p["lo"], p["hi"], p["at"]) for p in x] for x in rows.column("pieces").to_pylist()]
+            shares = [[dict(zip(("a", "b", "lo", "hi"), x, strict=True)) for x in crossed(p, q, length)] for p, q in zip(ahead, found, strict=True)]
+            at = pa.array([i for i, x in enumerate(shares) if x], pa.int64())
+            kept = rows.take(at)
+            yield pa.record_batch([kept.column("key"), kept.column("phrase"), pc.binary_length(kept.column("before")).cast(pa.int32()), pa.array([x for x in shares if x], _SHARES)], ["key", "phrase", "trigger", "shares"])
 
     return run
 
 
+def _in_order(rows: DataFrame, column: str, parts: int) -> tuple[Sorted, DataFrame]:
+    """rows (key, row, column and others) sorted by key and column in parts, and the splitters; rows is a stored table.
+
+    Splitters are chosen among SAMPLED rows for each part, as a range exchange chooses its bounds.
+    """
+    every = max(1, rows.count() // (SAMPLED * parts))
+    some = sorted((r["key"], bytes(r["side"])) for r in rows.where(F.pmod("row", F.lit(every)) == 0).select("key", F.col(column).alias("side")).collect())
+    order = Sorted(sorted({some[i * len(some) // parts] for i in range(1, parts)} if some else ()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = [order.part(k, x) for k, x in zip(batch.column("key").to_pylist(), batch.column(column).to_pylist(), strict=True)]
+            yield pa.record_batch([*batch.columns, pa.array(part, pa.int64())], [*batch.schema.names, "part"])
+
+    placed = rows.mapInArrow(run, ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema) + ", part bigint")
+    return order, placed.repartition(parts, "part").sortWithinPartitions("part", "key", column)
+
+
+def shared_places(sides: DataFrame, length: int, parts: int) -> DataFrame:
+    """key, phrase and places (first and last + 1 of the strings that another phrase of the key holds too).
+
+    sides: key, phrase, before and after of each dictionary entry, a stored table.
+    """
+    rows = sides.select("key", "phrase", F.xxhash64("key", "phrase").alias("row"), "before", "after", (F.lit(length) - F.length("before")).cast("int").alias("least"))
+    order, inside = _in_order(rows, "after", parts)
+    ahead = stored(inside.mapInArrow(_ahead(order, length), "key bigint, phrase bigint, row bigint, before binary, pieces array<struct<lo:int,hi:int,at:bigint>>, least int"), "parse-order")
+    order, inside = _in_order(ahead, "before", parts)
+    crossing = inside.mapInArrow(_behind(order, length), "key bigint, phrase bigint, trigger int, shares array<struct<a:bigint,b:bigint,lo:int,hi:int>>")
+    shares = stored(crossing.select("key", "phrase", "trigger", F.inline("shares")), "corpus-order")
+    delete(ahead)
+    # Where the ranges of a pair of intervals overlap, summed before anything of a pair meets in one place.
+    step = lambda pos, n: F.struct(F.col(pos).alias("pos") if n > 0 else (F.col(pos) + 1).alias("pos"), F.lit(n).alias("n"))
+    steps = shares.select("a", "b", F.inline(F.array(step("lo", 1), step("hi", -1)))).groupBy("a", "b", "pos").agg(F.sum("n").alias("n"))
+    along = Window.partitionBy("a", "b").orderBy("pos")
+    twice = steps.select("a", "b", F.col("pos").alias("from"), (F.lead("pos").over(along) - 1).alias("to"), F.sum("n").over(along).alias("n")).where("n > 1").drop("n")
+    twice = stored(twice, "overlaps")  # so that the join splits a pair with many rows
+    met = shares.join(twice, ["a", "b"]).select("key", "phrase", "trigger", F.greatest("lo", "from").alias("lo"), F.least("hi", "to").alias("hi")).where("lo <= hi")
+    return met.groupBy("key", "phrase").agg(F.collect_set(F.struct((F.col("trigger") - F.col("hi")).alias("a"), (F.col("trigger") - F.col("lo") + 1).alias("b"))).alias("places"))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of overlapping or touching spans."""
     runs: list[tuple[int, int]] = []
@@ -254,7 +391,7 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", step: int = STEP) -> DataFrame:
     """What is left of each text without the bytes that strings of length bytes cover which start elsewhere too.
 
-    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (the spans). Texts are UTF-8 bytes
+    Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats (whether any was removed), removed (the spans). Texts are UTF-8 bytes
     (null: empty, shorter than length: whole); strings are judged on the input. Repeated rows repeat each
     other's strings. Null ids stay; an empty table gives no rows; other columns are not read. length is at
     least 2 * GRAM; step is the number of bytes parsed at once.
@@ -263,8 +400,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         raise ValueError(f"length must be {2 * GRAM} or more")
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id"), text_or_empty(text_col).alias("text"))
-    texts = texts.select("id", F.hash("text").alias("tag"), "text")
-    parsed = stored(texts.mapInArrow(_parser(length, step), "id bigint, tag int, lo int, hi int, key bigint, phrase bigint"), "parse")
+    texts = texts.select("id", F.xxhash64("text").alias("tag"), "text")
+    parsed = stored(texts.mapInArrow(_parser(length, step), "id bigint, tag bigint, lo int, hi int, key bigint, phrase bigint"), "parse")
     again = parsed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     again = stored(again, "again")  # here and below: so that a join splits a key with many rows
     alike = stored(parsed.join(again, "key"), "repeated-keys")
@@ -272,22 +409,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     one = F.struct("id", "tag", "lo", "hi")
     entries = stored(alike.groupBy("key", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(one).alias("at")), "dictionary")
     mixed = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("phrases")).where("phrases > 1"), "mixed-keys")
-    cut = entries.join(mixed, "key").select("at.id", "at.tag", F.struct("key", "phrase", "at.lo", "at.hi").alias("entry"), "phrases")
-    few = lambda x: F.collect_list(F.when((F.col("phrases") <= BLOCK) == F.lit(x), F.col("entry")))
-    packed = texts.mapInArrow(_packer, "id bigint, tag int, packed binary")
-    by_text = packed.dropDuplicates(["id", "tag"]).join(cut.groupBy("id", "tag").agg(few(True).alias("few"), few(False).alias("many")), ["id", "tag"])
-    by_text = stored(by_text.select("packed", "few", "many"), "entry-texts")
-    cuts = by_text.where("size(few) > 0").select("packed", F.col("few").alias("entries")).mapInArrow(_cutter(length, True), "key bigint, phrase bigint, trigger int, cut binary")
-    spanned = "key bigint, phrase bigint, places array<struct<a:int,b:int>>"
-    of_few = cuts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInArrow(_matcher(length), spanned)
-    strings = stored(by_text.where("size(many) > 0").select("packed", F.col("many").alias("entries")).mapInArrow(_cutter(length, False), "h1 bigint, h2 bigint, key bigint, phrase bigint, place int"), "strings")
-    twice = stored(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2"), "twice")
-    of_many = strings.join(twice, ["h1", "h2"]).groupBy("key", "phrase").agg(F.collect_set(F.struct(F.col("place").alias("a"), (F.col("place") + 1).alias("b"))).alias("places"))
-    some = stored(of_few.union(of_many), "shared-strings")
-    for done in (by_text, strings):
-        delete(done)
-    gc.collect()
-    spark._jvm.System.gc()  # shuffles of finished steps go from disk
+    cut = entries.join(mixed, "key").select("at.id", "at.tag", F.struct("key", "phrase", "at.lo", "at.hi").alias("entry"))
+    packed = texts.mapInArrow(_packer, "id bigint, tag bigint, packed binary")
+    by_text = packed.dropDuplicates(["id", "tag"]).join(cut.groupBy("id", "tag").agg(F.collect_list("entry").alias("entries")), ["id", "tag"]).select("packed", "entries")
+    sides = stored(by_text.mapInArrow(_cutter(length), "key bigint, phrase bigint, before binary, after binary"), "sides")
+    some = stored(shared_places(sides, length, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shared-strings")
+    delete(sides)
     span = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
     known = entries.join(some, ["key", "phrase"], "left").where("n > 1 or places is not null").select("key", "phrase", (F.col("n") > 1).alias("whole"), "places")
     known = stored(known, "known")
@@ -296,4 +423,4 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     spans = spans.groupBy("id", "tag").agg(F.flatten(F.collect_list("own")).alias("spans"))
     left = packed.join(spans, ["id", "tag"], "left").select("id", "packed", "spans")
     result = left.mapInArrow(_remover, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<a:int,b:int>>")
-    return result.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
+    return result.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"), "removed")

@@ -248,9 +248,21 @@ def test_similar_groups_are_whole(spark, monkeypatch, side):
     assert sorted(r["doc_id"] for r in simhash.without_near_copies(d).collect()) == sorted(set(group.values()))
 
 
-@pytest.mark.parametrize("block", [64, 1])
-def test_substrings(spark, docs, none, monkeypatch, block):
-    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+def test_word_table_is_bounded():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    small, rng = token_files.WordEncoder(path, table=200_000), np.random.default_rng(2)
+    texts = [chr(97 + i % 26) * 1_000_000 for i in range(5)] + [" ".join("".join(rng.choice(list("abcdeé,."), 9)) for _ in range(400)) for _ in range(30)]
+    for text in texts * 2:
+        ids, sizes = small.encode([text, "the end, of 5, it. "])
+        want = [x.ids for x in small.tokenizer.encode_batch_fast([text, "the end, of 5, it. "], add_special_tokens=False)]
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == want[0] + want[1]
+        assert max(map(len, small.known), default=0) <= token_files.LONG
+        assert len(small.known) * token_files.ENTRY <= small.table and len(small.pool) * 4 <= small.table
+        assert len(small.starts) == len(small.sizes) == len(small.known)
+    assert small.base
+
+
+def test_substrings(spark, docs, none):
     rng = np.random.default_rng(4)
     text = lambda n: "".join(rng.choice(list("abé "), n))
     a, b = text(300), text(120)
@@ -264,8 +276,24 @@ def test_substrings(spark, docs, none, monkeypatch, block):
             if sum(o[q : q + 64] == t[p : p + 64] for o in raw for q in range(len(o) - 63)) > 1:
                 gone[p : p + 64] = True
         assert got[i if i else None] == (int(gone.sum()), hashlib.sha256(bytes(x for x, g in zip(t, gone) if not g)).hexdigest())
-    if block == 64:
-        assert substring_dedup.remove_repeats(docs).count() == len(ROWS) and substring_dedup.remove_repeats(none).count() == 0
+    assert substring_dedup.remove_repeats(docs).count() == len(ROWS) and substring_dedup.remove_repeats(none).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_shared_places_across_splitters(spark, parts):
+    rng, length = np.random.default_rng(8), 12
+    side = lambda n: bytes(rng.choice(list(b"aab"), int(n)).tolist())
+    entries = sorted({(int(rng.integers(0, 3)) - 1, b"k" + side(rng.integers(0, 8)), side(rng.integers(5, 12))) for _ in range(150)})
+    entries = [(k, b, a, p) for p, (k, b, a) in enumerate(entries) if len(b) + len(a) >= length]
+    strings = [{(n, b[:n], a[: length - n]) for n in range(len(b) + 1) if length - n <= len(a)} for _, b, a, _ in entries]
+    want = {}
+    for (k, b, _, p), own in zip(entries, strings):
+        others = set().union(*(o for (k2, *_, p2), o in zip(entries, strings) if k2 == k and p2 != p))
+        if places := {len(b) - n for n, *_ in own & others}:
+            want[k, p] = places
+    rows = spark.createDataFrame([(k, p, bytearray(b), bytearray(a)) for k, b, a, p in entries], "key bigint, phrase bigint, before binary, after binary").repartition(3)
+    got = {(r["key"], r["phrase"]): set().union(*(range(x["a"], x["b"]) for x in r["places"])) for r in substring_dedup.shared_places(substring_dedup.stored(rows, "sides"), length, parts).collect()}
+    assert want and got == want
 
 
 def test_very_long_text_in_pieces(spark):
