@@ -79,6 +79,12 @@ def _noted(items: DataFrame, note: Column) -> DataFrame:
     return items.withColumn("note", note).withColumns({"reason": with_note(F.col("reason"), F.col("note")), "error_description": with_supplement(F.col("error_description"), F.col("note"))}).drop("note")
 
 
+def ancestors(section: Column, most: int = 3) -> Column:
+    """Keys above a dotted key, nearest first, null where it has fewer."""
+    parts = F.split(section, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.when(F.size(parts) > i, F.array_join(F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - i)), ".")))
+
+
 def spread_sections(items: DataFrame, sections: DataFrame, parents: int = 3, children: int = 5) -> DataFrame:
     """Items, and copies of those of SPREADING at up to parents ancestors (nearest first) and children direct children.
 
@@ -89,9 +95,7 @@ def spread_sections(items: DataFrame, sections: DataFrame, parents: int = 3, chi
     base = items.withColumn("section", section_key(F.col("section_number")))
     from_ = base.where(F.col("dimension").isin(SPREADING) & (F.coalesce("section", F.lit("")) != ""))
     known = last_section(sections)
-    parts = F.split("section", r"\.")
-    ups = F.transform(F.sequence(F.lit(1), F.lit(parents)), lambda i: F.when(F.size(parts) > i, F.array_join(F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - i)), ".")))
-    up = from_.select("*", F.posexplode(ups).alias("step", "target")).where("target is not null").withColumns({"spread_rank": F.col("step") + 1, "note": F.concat(F.lit("section 扩展父章节 "), "target")}).drop("step")
+    up = from_.select("*", F.posexplode(ancestors(F.col("section"), parents)).alias("step", "target")).where("target is not null").withColumns({"spread_rank": F.col("step") + 1, "note": F.concat(F.lit("section 扩展父章节 "), "target")}).drop("step")
     down = from_.join(parent_keys(sections).where(F.col("child_rank") <= children), ["doc_id"]).where("section = parent")
     down = down.withColumns({"target": F.col("child"), "spread_rank": F.col("child_rank") + parents, "note": F.concat(F.lit("section 扩展子章节 "), "child")}).drop("parent", "child", "child_rank")
     moved = up.unionByName(down).join(known.withColumnRenamed("section", "target"), ["doc_id", "target"], "left")

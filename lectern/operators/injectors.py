@@ -8,7 +8,6 @@ has no annotation. A choice is the candidate of the smallest seeded hash.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial, reduce
@@ -16,9 +15,10 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import INJECTED_REFERENCE, WS, brief, error_text, has_any, injected_ids, is_term_section, replace_first, trimmed
-from lectern.operators.sections import has_text, is_body, top_blocks
-from lectern.taxonomy import ERROR_TYPES, FAKE_STANDARDS, INJECTED_MANDATORY, INJECTED_TITLES, SAFETY, VAGUE
+from lectern.functions.text import INJECTED_REFERENCE, WS, brief, error_text, has_any, injected_ids, replace_first, trimmed
+from lectern.operators.sections import first_match, has_real_text, has_text, top_blocks
+from lectern.operators.storage import stored
+from lectern.taxonomy import ERROR_TYPES, FAKE_STANDARDS, INJECTED_APPENDIX_TITLES, INJECTED_MANDATORY, INJECTED_TITLES, SAFETY, VAGUE
 
 SECTION = ["section_number", "title", "content"]
 DIMENSION_OF = {t: d for d, types in ERROR_TYPES.items() for t in types}
@@ -106,13 +106,21 @@ def swapped_blocks(sections: DataFrame, seed: int) -> Injection:
     return Injection(_annotated(marked, "E-S-02", _own(), _struct(F.col("to"), F.col("title"), F.col("content")), text), out)
 
 
+def _retitled(sections: DataFrame, row: DataFrame, code: str, what: str) -> Injection:
+    """All sections that bear the drawn row's title get its new_title; the row is annotated."""
+    same = sections.join(row.select("doc_id", "title", "new_title"), ["doc_id", "title"], "left").withColumn("title", F.coalesce("new_title", "title"))
+    return Injection(_changed(sections, row, code, what).annotations, same.select("doc_id", "ord", *SECTION))
+
+
 def wrong_title(sections: DataFrame, seed: int) -> Injection:
-    """A standard title becomes one of its wrong forms, in all sections that bear it."""
-    forms = F.create_map(*[x for t, words in INJECTED_TITLES.items() for x in (F.lit(t), F.array(*map(F.lit, words)))])
-    row = pick(sections.where(trimmed(F.col("title")).isin(list(INJECTED_TITLES))), seed, "E-S-03").withColumn("forms", forms[trimmed(F.col("title"))])
-    chosen = row.withColumn("new_title", F.get("forms", F.pmod(_draw(seed, "form"), F.size("forms").cast("bigint")).cast("int")))
-    same = sections.join(chosen.select("doc_id", "title", "new_title"), ["doc_id", "title"], "left").withColumn("title", F.coalesce("new_title", "title"))
-    return Injection(_changed(sections, chosen, "E-S-03", "标题").annotations, same.select("doc_id", "ord", *SECTION))
+    """A title that holds a standard one, or names an appendix's attribute, becomes a wrong form of it, in all sections that bear it."""
+    title = F.coalesce("title", F.lit(""))
+    forms = reduce(lambda w, x: w.when(title.contains(x[0]), F.array(*map(F.lit, x[1]))), list(INJECTED_TITLES.items())[1:], F.when(title.contains(next(iter(INJECTED_TITLES))), F.array(*map(F.lit, next(iter(INJECTED_TITLES.values()))))))
+    letter = F.coalesce(F.nullif(F.regexp_extract(title, f"附录{WS}*([A-Z])", 1), F.lit("")), F.lit("A"))
+    for attribute, words in INJECTED_APPENDIX_TITLES.items():
+        forms = forms.when(title.contains("附录") & title.contains(attribute), F.transform(F.array(*map(F.lit, words)), lambda w: F.replace(w, F.lit("X"), letter)))
+    row = pick(sections.withColumn("forms", forms).where("forms is not null"), seed, "E-S-03")
+    return _retitled(sections, row.withColumn("new_title", F.get("forms", F.pmod(_draw(seed, "form"), F.size("forms").cast("bigint")).cast("int"))), "E-S-03", "标题")
 
 
 def swapped_foreword(sections: DataFrame, seed: int) -> Injection:
@@ -125,11 +133,12 @@ def swapped_foreword(sections: DataFrame, seed: int) -> Injection:
 
 
 def flipped_appendix(sections: DataFrame, seed: int) -> Injection:
-    """A normative appendix is called informative, or the reverse."""
+    """An appendix whose title names one attribute gets the other, in all sections of that title."""
     title = F.coalesce("title", F.lit(""))
-    rows = sections.where((title.contains("附录") | F.coalesce("section_number", F.lit("")).contains("附录")) & (title.contains("规范性") | title.contains("资料性")))
-    flipped = F.when(title.contains("规范性"), F.replace("title", F.lit("规范性"), F.lit("资料性"))).otherwise(F.replace("title", F.lit("资料性"), F.lit("规范性")))
-    return _changed(sections, pick(rows, seed, "E-S-05").withColumn("new_title", flipped), "E-S-05", "附录")
+    normative, informative = title.contains("规范性"), title.contains("资料性")
+    row = pick(sections.where(title.contains("附录") & (normative != informative)), seed, "E-S-05")
+    flipped = F.when(normative, replace_first(F.col("title"), F.lit("规范性"), F.lit("资料性"))).otherwise(replace_first(F.col("title"), F.lit("资料性"), F.lit("规范性")))
+    return _retitled(sections, row.withColumn("new_title", flipped), "E-S-05", "附录")
 
 
 def too_deep(sections: DataFrame, seed: int) -> Injection:
@@ -152,12 +161,17 @@ def replaced_word(sections: DataFrame, seed: int, code: str, pairs: list[tuple[s
     return _changed(sections, pick(rows, seed, code, 1, "option").withColumn("new_content", replace_first(F.col("content"), F.col("old"), F.col("new"))), code, "用词")
 
 
+def term_list(sections: DataFrame) -> DataFrame:
+    """By document the first section on terms with text, with its lines and the places of those that begin an entry."""
+    row = first_match(sections, F.coalesce("title", F.lit("")).contains("术语") & has_real_text(F.col("content"))).withColumn("lines", F.split("content", r"\r\n|[\n\r]"))
+    return row.withColumn("entries", F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: trimmed(F.get("lines", i)).rlike(r"^\d+\.\d+")))
+
+
 def dropped_term_line(sections: DataFrame, seed: int) -> Injection:
-    """A middle line of a term section with three lines or more goes."""
-    parts = F.filter(F.split("content", "\n"), lambda x: trimmed(x) != "")
-    rows = sections.where(is_term_section(F.col("section_number"), F.col("title"))).withColumn("parts", parts).where("size(parts) >= 3")
-    row = pick(rows, seed, "E-TM-05").withColumn("at", F.pmod(_draw(seed, "line"), (F.size("parts") - 2).cast("bigint")).cast("int") + 1)
-    return _changed(sections, row.withColumn("new_content", F.array_join(F.filter("parts", lambda x, i: i != F.col("at")), "\n")), "E-TM-05", "术语")
+    """A middle entry of the term section goes, which leaves a gap in the numbers; it needs three entries."""
+    row = term_list(sections).where("size(entries) >= 3")
+    row = row.withColumn("at", F.get("entries", F.pmod(_draw(seed, "line"), (F.size("entries") - 2).cast("bigint")).cast("int") + 1))
+    return _changed(sections, row.withColumn("new_content", F.array_join(F.filter("lines", lambda x, i: i != F.col("at")), "\n")), "E-TM-05", "术语")
 
 
 def reference_lines(content: Column) -> Column:
@@ -168,8 +182,9 @@ def reference_lines(content: Column) -> Column:
 
 
 def _list_section(sections: DataFrame) -> DataFrame:
-    rows = sections.where(F.coalesce("title", F.lit("")).contains("规范性引用文件") & is_body(F.col("content")))
-    return rows.groupBy("doc_id").agg(F.min(F.struct("ord", *SECTION)).alias("s")).select("doc_id", "s.*").withColumn("parts", reference_lines(F.col("content")))
+    """By document the first list of normative references with text."""
+    found = first_match(sections, F.coalesce("title", F.lit("")).contains("规范性引用") & has_real_text(F.col("content")))
+    return found.withColumn("parts", reference_lines(F.col("content")))
 
 
 def missing_reference(sections: DataFrame, seed: int) -> Injection:
@@ -192,15 +207,21 @@ def fake_references(sections: DataFrame, seed: int) -> Injection:
 
 
 def informative_reference(sections: DataFrame, seed: int) -> Injection:
-    """A line of the bibliography moves to the list, without its [N]; a standard that does not exist where there is none."""
-    books = sections.where(F.coalesce("title", F.lit("")).contains("参考文献")).groupBy("doc_id").agg(F.min(F.struct("ord", "content")).alias("b"))
-    parts = F.filter(F.split(F.coalesce("b.content", F.lit("")), "\n"), lambda x: trimmed(x) != "")
-    row = _list_section(sections).join(books, "doc_id", "left").withColumn("lines", parts)
-    at = F.pmod(_draw(seed, "E-R-03"), F.greatest(F.lit(1), F.size("lines")).cast("bigint")).cast("int")
-    moved = F.coalesce(trimmed(F.regexp_replace(F.get("lines", at), f"^{WS}*\\[\\d+\\]{WS}*", "")), F.lit(FAKE_STANDARDS[0]))
-    row = row.withColumns({"at": at, "new_content": F.concat(F.rtrim("content"), F.lit("\n"), moved)})
+    """An entry of the bibliography moves to the list, without its [N]; a standard that does not exist where there is none.
+
+    Lines are entries if they begin with [N] or a standard; lines equal to the moved one go with it.
+    """
+    books = first_match(sections, F.coalesce("title", F.lit("")).contains("参考文献") & has_real_text(F.col("content"))).select("doc_id", F.struct("ord", "content").alias("b"))
+    lines = F.filter(F.split(F.coalesce("b.content", F.lit("")), r"\r\n|[\n\r]"), lambda x: trimmed(x) != "")
+    row = _list_section(sections).join(books, "doc_id", "left").withColumn("lines", lines)
+    row = row.withColumn("entries", F.filter("lines", lambda x: trimmed(x).rlike(f"^\\[\\d+\\]|^(?:GB(?:/T)?|IEC|ISO|YD/T|JG/T|HJ|QB|SJ|JB|NB){WS}*\\d+")))
+    draw = lambda n: F.pmod(_draw(seed, "E-R-03"), F.greatest(F.lit(1), n).cast("bigint")).cast("int")
+    fakes = F.array(*map(F.lit, FAKE_STANDARDS))
+    row = row.withColumn("moved", F.get("entries", draw(F.size("entries"))))
+    added = F.coalesce(trimmed(F.regexp_replace("moved", f"^\\[\\d+\\]{WS}*", "")), F.get(fakes, draw(F.size(fakes))))
+    row = row.withColumn("new_content", F.concat(F.rtrim("content"), F.lit("\n"), added))
     made = _changed(sections, row, "E-R-03", "引用清单")
-    rest = row.where("size(lines) > 0").select("doc_id", F.col("b.ord").alias("ord"), F.array_join(F.filter("lines", lambda x, i: i != F.col("at")), "\n").alias("left"))
+    rest = row.where("moved is not null").select("doc_id", F.col("b.ord").alias("ord"), F.array_join(F.filter("lines", lambda x: x != F.col("moved")), "\n").alias("left"))
     out = made.sections.join(rest, ["doc_id", "ord"], "left").withColumn("content", F.coalesce("left", "content"))
     return Injection(made.annotations, out.select("doc_id", "ord", *SECTION))
 
@@ -236,9 +257,9 @@ def redundant_section(sections: DataFrame, seed: int, title: str = "编制说明
 
 
 def rewritten(sections: DataFrame, rewrites: DataFrame, code: str) -> Injection:
-    """Errors that a model words: rewrites (doc_id, ord, content) are a table; of E-SC-03, those with more 应 or 宜 count."""
+    """Errors that a model words: rewrites (doc_id, ord, content) are a table; see worded.py for where they come from."""
     row = sections.join(rewrites.select("doc_id", "ord", F.col("content").alias("new_content")), ["doc_id", "ord"]).where("new_content <> content")
-    if code == "E-SC-03":
+    if code == "E-SC-03":  # more requirements than before
         n = lambda c: F.regexp_count(F.col(c), F.lit("应|宜"))
         row = row.where(n("new_content") > n("content"))
     return _changed(sections, row, code, "改写的章节")
@@ -254,39 +275,50 @@ INJECTORS: dict[str, Callable[[DataFrame, int], Injection]] = {
 
 
 def inject(sections: DataFrame, choices: DataFrame, seed: int, types: list[str] | None = None) -> Injection:
-    """One error for each document of choices (doc_id, error_type), of types if named; the others stay as they are."""
+    """One error for each document of choices (doc_id, error_type), of types if named; the others stay as they are.
+
+    The sections are stored by chosen type, so each injector reads its own documents only.
+    """
     types = types or list(INJECTORS)
-    marked = sections.join(choices.select("doc_id", "error_type"), "doc_id", "left")
+    marked = stored(sections.join(choices.select("doc_id", "error_type"), "doc_id", "left"), "chosen", by="error_type")
     done = [INJECTORS[code](marked.where(F.col("error_type") == code).drop("error_type"), seed) for code in types]
     rest = marked.where(~F.coalesce(F.col("error_type").isin(types), F.lit(False))).select("doc_id", "ord", *SECTION)
     parts = [rest, *(d.sections.select("doc_id", F.col("ord").cast("int").alias("ord"), *SECTION) for d in done)]
     return Injection(reduce(DataFrame.unionByName, (d.annotations for d in done)), reduce(DataFrame.unionByName, parts))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df stored in the checkpoint folder; a temporary one where none is set and the session is local."""
-    context = df.sparkSession.sparkContext
-    if not (context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()) and context.master.startswith("local"):
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lectern-"))
-    return df.checkpoint()
-
-
-def inject_balanced(sections: DataFrame, rounds: int, seed: int, types: list[str] | None = None) -> Injection:
-    """rounds errors for each document; over the corpus each type is tried about as often.
+def inject_balanced(sections: DataFrame, rounds: int, seed: int, types: list[str] | None = None, used: dict[str, int] | None = None) -> Injection:
+    """rounds errors for each document where so many fit; the least used types first.
 
-    Documents are ranked by a seeded hash and dealt to the types in turn, from round to round one type on, so
-    the corpus needs no sequential counter. A later error meets the sections that the earlier ones left. Needs a
-    checkpoint folder (spark.checkpoint.dir).
+    In a try each open document takes a type that has not failed it since its last success; a failed try is
+    replaced by another type's. Tries end when every document is done or has no type left, and after
+    max(2 * rounds * types, 12) of them. All annotations of one try are one error (column round counts them).
+    Documents choose at once, so a type's chance falls with its count in used and in the tries before
+    (an exponential race of seeded draws), where a sequential counter would take turns. A later error meets
+    the sections that the earlier ones left. Each try is stored in the checkpoint folder.
     """
     types = types or list(INJECTORS)
-    docs = sections.select("doc_id").distinct()
-    turn = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(len(types))).cast("int")
+    counts = dict.fromkeys(types, 0) | {t: n for t, n in (used or {}).items() if t in types}
+    none = F.array().cast("array<string>")
+    state = stored(sections.select("doc_id").distinct().select("doc_id", F.lit(0).alias("round"), none.alias("failed")), "state")
     notes = []
-    for i in range(rounds):
-        kind = F.element_at(F.array(*map(F.lit, types)), F.pmod(turn + i, F.lit(len(types))).cast("int") + 1)
-        step = inject(sections, docs.select("doc_id", kind.alias("error_type")), seed + i, types)
-        notes.append(step.annotations.withColumn("round", F.lit(i)))
-        sections = cut(step.sections) if i + 1 < rounds else step.sections  # else a round's plan holds all before it, many times
+    for step in range(max(2 * rounds * len(types), 12)):
+        open_ = state.where((F.col("round") < rounds) & (F.size("failed") < len(types)))
+        least = min(counts.values())
+        chance = lambda t: (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "doc_id", F.lit(t)), F.lit(1 << 30)) + 1) / float(1 << 30)  # noqa: B023, E731
+        wait = lambda t: F.when(~F.array_contains("failed", t), F.struct((-F.log(chance(t)) * (1 + counts[t] - least)).alias("wait"), F.lit(t).alias("type")))  # noqa: B023, E731
+        chosen = stored(open_.select("doc_id", "round", F.array_min(F.array_compact(F.array(*map(wait, types))))["type"].alias("error_type")), "tries")
+        if chosen.isEmpty():
+            break
+        made = inject(sections, chosen, seed + step, types)
+        notes.append(stored(made.annotations.join(chosen.select("doc_id", "round"), "doc_id"), "annotations"))
+        sections = stored(made.sections, "injected")
+        hits = notes[-1].select("doc_id", "error_type").distinct()
+        for r in hits.groupBy("error_type").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts[r["error_type"]] += r["n"]
+        tried = state.join(chosen.select("doc_id", F.col("error_type").alias("tried")), "doc_id", "left").join(hits.select("doc_id", F.lit(True).alias("hit")), "doc_id", "left")
+        failed = F.when(F.col("hit"), none).when(F.col("tried").isNotNull(), F.array_append("failed", F.col("tried"))).otherwise(F.col("failed"))
+        state = stored(tried.select("doc_id", (F.col("round") + F.coalesce(F.col("hit").cast("int"), F.lit(0))).alias("round"), failed.alias("failed")), "state")
     return Injection(reduce(DataFrame.unionByName, notes), sections)
 
 

@@ -5,6 +5,8 @@ Ground truth and predictions are rows of doc_id and key columns. Keys are null-s
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +48,19 @@ def bag_difference(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame
     return gt.select("doc_id", *keys).exceptAll(pred.select("doc_id", *keys))
 
 
+def set_union(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    return a.select(*keys).union(b.select(*keys)).distinct()
+
+
+def set_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of a that b lacks; null equals null."""
+    return a.select(*keys).subtract(b.select(*keys))
+
+
+def set_intersection(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    return a.select(*keys).intersect(b.select(*keys))
+
+
 def contains_all(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
     """By document with predictions or ground truth, whether each key is predicted as often as it is there."""
     return bag_counts(gt, pred, keys).groupBy("doc_id").agg(F.bool_and(F.col("p") >= F.col("g")).alias("contained"))
@@ -55,13 +70,12 @@ def best_match(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """For each prediction the item that it marks: the first with its diagnosis, else the first at its section.
 
     Several predictions may mark one item. Columns: doc_id, pred_index, gt_index (null: none), is_diagnosis.
+    Only the first item of a key matters, so items are aggregated by key before they meet predictions.
     """
-    g = gt.select(F.col("doc_id").alias("g_doc"), F.col("section").alias("g_section"), F.col("dimension").alias("g_dim"), F.col("error_type").alias("g_type"), "gt_index")
-    same = (pred["doc_id"] == g["g_doc"]) & pred["section"].eqNullSafe(g["g_section"])
-    diagnosis = pred["dimension"].eqNullSafe(F.col("g_dim")) & pred["error_type"].eqNullSafe(F.col("g_type"))
-    rank = F.when(F.col("gt_index").isNotNull(), F.struct((~diagnosis).alias("other"), F.col("gt_index").alias("gt_index")))
-    found = pred.join(g, same, "left").groupBy("doc_id", "pred_index").agg(F.min(rank).alias("best"))
-    return found.select("doc_id", "pred_index", F.col("best.gt_index").alias("gt_index"), F.coalesce(~F.col("best.other"), F.lit(False)).alias("is_diagnosis"))
+    by = lambda keys, name: gt.groupBy("doc_id", *keys).agg(F.min("gt_index").alias(name)).toDF(*(f"{name}_{c}" for c in ("doc_id", *keys)), name)
+    same = lambda keys, name: reduce(lambda a, c: a & pred[c].eqNullSafe(F.col(f"{name}_{c}")), keys, pred["doc_id"] == F.col(f"{name}_doc_id"))
+    found = pred.join(by(DIAGNOSIS, "exact"), same(DIAGNOSIS, "exact"), "left").join(by(LOCATION, "near"), same(LOCATION, "near"), "left")
+    return found.select(pred["doc_id"], "pred_index", F.coalesce("exact", "near").alias("gt_index"), F.col("exact").isNotNull().alias("is_diagnosis"))
 
 
 def section_lookup(sections: DataFrame, last: bool = False) -> DataFrame:
@@ -76,11 +90,10 @@ def hit_sections(gt: DataFrame, pred: DataFrame, sections: DataFrame) -> DataFra
 
     Ordered within a document by place (10 ** 9 without section) and number in column position.
     """
-    g = gt.select(F.col("doc_id").alias("g_doc"), *[F.col(c).alias(f"g_{c}") for c in DIAGNOSIS], "gt_index")
-    same = pred["doc_id"] == g["g_doc"]
-    for c in DIAGNOSIS:
-        same = same & pred[c].eqNullSafe(g[f"g_{c}"])
-    marks = pred.join(g, same).groupBy("doc_id", *DIAGNOSIS, "gt_index").agg(F.array_sort(F.collect_list("pred_index")).alias("pred_indexes"))
+    names = ["doc_id", *DIAGNOSIS]
+    marking = pred.groupBy(*names).agg(F.array_sort(F.collect_list("pred_index")).alias("pred_indexes")).toDF(*(f"p_{c}" for c in names), "pred_indexes")  # once for each key, not for each pair
+    same = reduce(lambda a, c: a & gt[c].eqNullSafe(marking[f"p_{c}"]), DIAGNOSIS, gt["doc_id"] == marking["p_doc_id"])
+    marks = gt.join(marking, same).select(*[gt[c] for c in names], "gt_index", "pred_indexes")
     known = section_lookup(sections).select(F.col("doc_id").alias("s_doc"), F.col("section").alias("s_key"), "ord", "title")
     placed = marks.join(known, (marks["doc_id"] == known["s_doc"]) & marks["section"].eqNullSafe(known["s_key"]), "left")
     order = Window.partitionBy("doc_id").orderBy(F.coalesce("ord", F.lit(10**9)), F.coalesce("section", F.lit("")), "gt_index")
@@ -94,28 +107,45 @@ def marked_text(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("marked"))
 
 
-def _largest_matching(edges: list[tuple[int, int]], left: int) -> int:
-    """Size of the largest one-to-one choice of edges, by alternating paths searched without recursion."""
-    near: list[list[int]] = [[] for _ in range(left)]
+def _largest_matching(edges: list[tuple[int, int]], have: list[int], give: list[int]) -> int:
+    """Size of the largest one-to-one choice of edges between kinds of which there are have and give.
+
+    A path of kinds carries as many at once as its narrowest step lets pass, so copies are not told apart.
+    """
+    near: list[list[int]] = [[] for _ in have]
     for a, b in edges:
         near[a].append(b)
-    owner: dict[int, int] = {}
-    for start in range(left):
-        came: dict[int, tuple[int, int | None]] = {}
-        open_, end = [(start, None)], None
-        while open_ and end is None:
-            a, via = open_.pop()
-            for b in near[a]:
-                if b not in came:
-                    came[b] = (a, via)
-                    if b not in owner:
-                        end = b
-                        break
-                    open_.append((owner[b], b))
-        while end is not None:
-            a, via = came[end]
-            owner[end], end = a, via
-    return len(owner)
+    taken: dict[int, dict[int, int]] = {}  # by right kind, what each left kind has of it
+    left, right, total = list(have), list(give), 0
+    for start in range(len(have)):
+        while left[start]:
+            came: dict[int, tuple[int, int | None]] = {}
+            open_, end = [(start, None)], None
+            while open_ and end is None:
+                a, via = open_.pop()
+                for b in near[a]:
+                    if b not in came:
+                        came[b] = (a, via)
+                        if right[b]:
+                            end = b
+                            break
+                        open_ += [(o, b) for o, n in taken.get(b, {}).items() if n]
+            if end is None:
+                break
+            steps, b = [], end
+            while b is not None:
+                a, via = came[b]
+                steps.append((a, b, via))
+                b = via
+            flow = min(left[start], right[end], *(taken[via][a] for a, _, via in steps if via is not None))
+            for a, b, via in steps:
+                taken.setdefault(b, {})[a] = taken.get(b, {}).get(a, 0) + flow
+                if via is not None:
+                    taken[via][a] -= flow
+            left[start] -= flow
+            right[end] -= flow
+            total += flow
+    return total
 
 
 def described_matches(gt: DataFrame, pred: DataFrame, judged: DataFrame | None = None) -> DataFrame:
@@ -148,14 +178,9 @@ def described_matches(gt: DataFrame, pred: DataFrame, judged: DataFrame | None =
         right_ = {d: i for i, d in enumerate(sorted(rows["p_description"].unique()))}
         have = rows.drop_duplicates("description").set_index("description")["g"].to_dict()
         give = rows.drop_duplicates("p_description").set_index("p_description")["p"].to_dict()
-        first_g, first_p = {}, {}
-        n = m = 0
-        for d in left:
-            first_g[d], n = n, n + have[d]
-        for d in right_:
-            first_p[d], m = m, m + give[d]
-        links = [(first_g[a] + i, first_p[b] + j) for a, b in zip(rows["description"], rows["p_description"], strict=True) for i in range(have[a]) for j in range(min(give[b], n))]
-        return rows.head(1)[names].assign(matched=_largest_matching(links, n))
+        links = [(left[a], right_[b]) for a, b in zip(rows["description"], rows["p_description"], strict=True)]
+        matched = _largest_matching(links, [have[d] for d in left], [give[d] for d in right_])
+        return rows.head(1)[names].assign(matched=matched)
 
     matched = edges.groupBy(*names).applyInPandas(solve, edges.select(*names).withColumn("matched", F.lit(0).cast("bigint")).schema)
     m = matched.select(*[F.col(c).alias(f"m_{c}") for c in names], "matched")

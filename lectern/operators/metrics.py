@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.numbers import rounded
 from lectern.operators.matching import DIAGNOSIS, DIMENSION, LOCATION, contains_all, described_matches
 from lectern.taxonomy import MISS_DECAY, NOISE_SCALE, NOISE_WEIGHT
 
@@ -15,18 +16,14 @@ def item_recall(docs: DataFrame, gt: DataFrame, pred: DataFrame, by: list[str] |
     """By document of docs (and by columns of the ground truth): items, predictions, and hits of 1, 2 and 3 key fields.
 
     One pass of two aggregations serves all three key sets: the finest key's counts are summed up. With by,
-    the ground truth of each group meets all of its document's predictions.
+    the ground truth of each group meets all of its document's predictions, which are counted by key first.
     """
+    outer = ["doc_id", *(f"by_{c}" for c in by or ())]
+    p = pred.groupBy("doc_id", *DIAGNOSIS).agg(F.count(F.lit(1)).alias("p")).withColumn("g", F.lit(0).cast("bigint"))
+    g = gt.select("*", *[F.col(c).alias(f"by_{c}") for c in by or ()]).groupBy(*outer, *DIAGNOSIS).agg(F.count(F.lit(1)).alias("g")).withColumn("p", F.lit(0).cast("bigint"))
     if by:
-        groups = gt.select("doc_id", *by).distinct()
-        names = [F.col(c).alias(f"by_{c}") for c in by]
-        pred = pred.join(groups.select(F.col("doc_id"), *names), "doc_id")
-        gt = gt.select("*", *names)
-        outer = ["doc_id", *(f"by_{c}" for c in by)]
-    else:
-        outer = ["doc_id"]
-    sides = [df.select(*outer, *DIAGNOSIS, F.lit(a).alias("g"), F.lit(b).alias("p")) for df, a, b in ((gt, 1, 0), (pred, 0, 1))]
-    counts = sides[0].unionAll(sides[1]).groupBy(*outer, *DIAGNOSIS).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+        p = p.join(gt.select("doc_id", *[F.col(c).alias(f"by_{c}") for c in by]).distinct(), "doc_id")
+    counts = g.unionByName(p).groupBy(*outer, *DIAGNOSIS).agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
     least = F.sum(F.least("g", "p"))
     by_dim = counts.groupBy(*outer, *DIMENSION).agg(F.sum("g").alias("g"), F.sum("p").alias("p"), least.alias("h3"))
     by_loc = by_dim.groupBy(*outer, *LOCATION).agg(F.sum("g").alias("g"), F.sum("p").alias("p"), F.sum("h3").alias("h3"), least.alias("h2"))
@@ -58,17 +55,22 @@ def noise_penalty(fp: Column) -> Column:
     return F.when(fp > 0, 1 - NOISE_WEIGHT * fp / (fp + NOISE_SCALE)).otherwise(F.lit(1.0))
 
 
-def derived(recall: DataFrame) -> DataFrame:
-    """Counts with misses, false positives, rates, mcs, penalty and their product."""
+def derived(recall: DataFrame, digits: bool = True) -> DataFrame:
+    """Counts with misses, false positives, rates, mcs, penalty and their product; rates with 4 and metrics with 6 decimals if digits."""
     gt, pred, hits = F.col("gt_count"), F.col("pred_count"), F.col("diagnosis_hits")
     made = recall.withColumns({"miss_count": misses(gt, hits), "fp_count": false_positives(pred, hits), "mcs": mcs(gt, hits)} | {c.replace("hits", "recall"): rate(F.col(c), gt) for c in HITS})
     made = made.withColumn("penalty", noise_penalty(F.col("fp_count")))
-    return made.withColumn("np_mcs", F.col("mcs") * F.col("penalty"))
+    made = made.withColumn("np_mcs", F.col("mcs") * F.col("penalty"))
+    return with_digits(made, {c.replace("hits", "recall"): 4 for c in HITS} | dict.fromkeys(("mcs", "penalty", "np_mcs"), 6)) if digits else made
+
+
+def with_digits(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    return df.withColumns({c: rounded(c, n) for c, n in digits.items()})
 
 
 def corpus_totals(recall: DataFrame) -> DataFrame:
     """Sums over documents, and sums of metrics weighted by ground truth; partial sums add up."""
-    d = derived(recall)
+    d = derived(recall, digits=False)
     w = F.col("gt_count")
     return d.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gt_count", "pred_count", *HITS)], F.coalesce(F.sum(F.col("mcs") * w), F.lit(0.0)).alias("mcs_weight"),
@@ -76,17 +78,19 @@ def corpus_totals(recall: DataFrame) -> DataFrame:
     )
 
 
-def corpus_metrics(recall: DataFrame) -> DataFrame:
-    """Micro metrics of the totals, and document means weighted by ground truth."""
-    mean = lambda c: rate(F.col(c), F.col("gt_count"))
-    return derived(corpus_totals(recall)).withColumns({"doc_weighted_mcs": mean("mcs_weight"), "avg_penalty": mean("penalty_weight"), "doc_weighted_np_mcs": mean("np_mcs_weight")}).drop("mcs_weight", "penalty_weight", "np_mcs_weight")
+def corpus_metrics(recall: DataFrame, digits: bool = True) -> DataFrame:
+    """Micro metrics of the totals, and document means weighted by ground truth, with 6 decimals if digits."""
+    means = {"doc_weighted_mcs": "mcs_weight", "avg_penalty": "penalty_weight", "doc_weighted_np_mcs": "np_mcs_weight"}
+    made = derived(corpus_totals(recall), digits).withColumns({n: rate(F.col(c), F.col("gt_count")) for n, c in means.items()}).drop(*means.values())
+    return with_digits(made, dict.fromkeys(means, 6)) if digits else made
 
 
-def grouped_recall(docs: DataFrame, gt: DataFrame, pred: DataFrame, by: str) -> DataFrame:
-    """Recall by a column of the ground truth, in order of its value; null is <NULL>."""
+def grouped_recall(docs: DataFrame, gt: DataFrame, pred: DataFrame, by: str, digits: bool = True) -> DataFrame:
+    """Recall by a column of the ground truth, in order of its value; null is <NULL>. Rates have 4 decimals if digits."""
     some = item_recall(docs, gt, pred, [by])
     sums = some.groupBy(F.coalesce(by, F.lit("<NULL>")).alias("group")).agg(F.count(F.lit(1)).alias("documents"), *[F.sum(c).alias(c) for c in ("gt_count", *HITS)])
-    return sums.withColumns({c.replace("hits", "recall"): rate(F.col(c), F.col("gt_count")) for c in HITS})
+    made = sums.withColumns({c.replace("hits", "recall"): rate(F.col(c), F.col("gt_count")) for c in HITS})
+    return (with_digits(made, {c.replace("hits", "recall"): 4 for c in HITS}) if digits else made).orderBy("group")
 
 
 def group_dimensions(gt: DataFrame) -> DataFrame:
@@ -108,9 +112,11 @@ def hits_at(recall: DataFrame, most: int = 10) -> DataFrame:
     return recall.select("doc_id", *[(F.col("diagnosis_hits") >= k).alias(f"h{k}") for k in range(1, most + 1)])
 
 
-def corpus_rates(hits: DataFrame) -> DataFrame:
-    share = lambda c: F.coalesce(F.avg(F.col(c).cast("int")), F.lit(0.0)).alias(c.replace("hit", "rate"))
-    return hits.agg(F.count(F.lit(1)).alias("documents"), *map(share, ("precision_hit", "location_hit", "diagnosis_hit")))
+def corpus_rates(hits: DataFrame, digits: bool = True) -> DataFrame:
+    """Shares of documents, with 4 decimals if digits; 0 without documents."""
+    rates = {c: c.replace("hit", "rate") for c in ("precision_hit", "location_hit", "diagnosis_hit")}
+    made = hits.agg(F.count(F.lit(1)).alias("documents"), *[F.coalesce(F.avg(F.col(c).cast("int")), F.lit(0.0)).alias(n) for c, n in rates.items()])
+    return with_digits(made, dict.fromkeys(rates.values(), 4)) if digits else made
 
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:

@@ -62,7 +62,8 @@ def top_k(queries: DataFrame, rules: DataFrame, k: int, space: str = "cosine", g
     q = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(F.col("query_id").alias("id"), F.col("vector").alias("v"))).alias("queries"))
     member = F.struct("id", F.col("embedding").alias("v"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"))
     r = rules.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(member).alias("rules"))
-    met = r.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(q, "block").select("queries", "rules")
+    sent = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))  # the queries travel, as they are fewer than the rules
+    met = r.join(sent, "part").select("queries", "rules")
     found = met.mapInPandas(_nearest(k, space, bool(group)), "query_id bigint, group_value string, id bigint, distance double")
     by = ["query_id", *(["group_value"] if group else [])]
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("distance", "id"))

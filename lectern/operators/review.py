@@ -11,28 +11,37 @@ from pyspark.sql import functions as F
 
 from lectern.functions import replies
 from lectern.operators import candidates, rules, sections
+from lectern.operators.metrics import issue_summary
 
 #: A reviewer takes section rows and gives findings with doc_id and the output columns.
 Reviewer = Callable[[DataFrame], DataFrame]
 
 
-def asked(prompts: DataFrame, client: Callable[[str], str]) -> DataFrame:
-    """Replies of a model to prompts (doc_id, prompt), through a client that the caller brings.
+#: A client answers a prompt, or a prompt and its system text where prompts have a column system.
+Client = Callable[..., str]
 
-    A failing call gives an empty reply, which is scored as no findings.
+
+def asked(prompts: DataFrame, client: Client) -> DataFrame:
+    """Replies of a model to prompts (doc_id, prompt, maybe system, and others), through a client that the caller brings.
+
+    The other columns stay; reply is null and failed is true where the call raised an error.
     """
+    schema, has_system = prompts.drop("prompt", "system").schema, "system" in prompts.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for p in b["prompt"]:
+            out, failed = [], []
+            for at, p in enumerate(b["prompt"]):
                 try:
-                    out.append(client(p))
-                except Exception:  # noqa: BLE001  any failure of a service counts as no answer
-                    out.append("")
-            yield pd.DataFrame({"doc_id": b["doc_id"], "reply": out})
+                    reply = client(p, b["system"].iloc[at]) if has_system else client(p)
+                    out.append(reply)
+                    failed.append(False)
+                except Exception:  # noqa: BLE001  any failure of a service is no answer
+                    out.append(None)
+                    failed.append(True)
+            yield b[schema.names].assign(reply=out, failed=failed)
 
-    return prompts.mapInPandas(run, "doc_id string, reply string")
+    return prompts.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", reply string, failed boolean")
 
 
 def predictions_of(replied: DataFrame) -> DataFrame:
@@ -42,8 +51,8 @@ def predictions_of(replied: DataFrame) -> DataFrame:
 
 
 def review_status(replied: DataFrame) -> DataFrame:
-    """doc_id and whether the reply counts; a literal null does not."""
-    return replied.select("doc_id", (~replies.is_skipped(F.col("reply"))).alias("reviewed"))
+    """doc_id and whether the reply counts; a failed call and a literal null do not."""
+    return replied.select("doc_id", (~F.col("failed") & ~replies.is_skipped(F.col("reply"))).alias("reviewed"))
 
 
 def term_findings(s: DataFrame) -> DataFrame:
@@ -61,6 +70,22 @@ def _worded(found: DataFrame) -> DataFrame:
 RULE_REVIEWERS: dict[str, Reviewer] = {"term_index": lambda s: _worded(term_findings(s)), "reference_rules": lambda s: _worded(rules.reference_findings(s))}
 
 
+class ReviewerBase:
+    """A reviewer with a name: subclasses give review(sections) -> findings; reviewed() also counts its issues by type."""
+
+    reviewer_id = ""
+
+    def review(self, sections_: DataFrame) -> DataFrame:
+        raise NotImplementedError
+
+    def __call__(self, sections_: DataFrame) -> DataFrame:
+        return self.review(sections_)
+
+    def reviewed(self, sections_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = self.review(sections_).withColumn("reviewer_id", F.lit(self.reviewer_id))
+        return found, issue_summary(found.withColumn("issue_type", F.col("error_type")))
+
+
 def high_recall(docs: DataFrame, streams: dict[str, DataFrame], reviewers: list[str] | None = None) -> DataFrame:
     """Final candidates of documents: given streams of findings and those of the rule reviewers, spread and deduplicated.
 
@@ -68,13 +93,28 @@ def high_recall(docs: DataFrame, streams: dict[str, DataFrame], reviewers: list[
     """
     s = sections.parse_sections(docs)
     wanted = RULE_REVIEWERS if reviewers is None else {k: RULE_REVIEWERS[k] for k in reviewers}
-    found = candidates.union_streams({**streams, **{k: f(s) for k, f in wanted.items()}})
+    every = {**streams, **{k: f(s) for k, f in wanted.items()}}
+    if not every:
+        raise ValueError("a review needs a stream or a reviewer")
+    found = candidates.union_streams(every)
     order = ["src_rank", *(c for c in ("pred_index",) if c in found.columns), "section_number", "reason"]
     return candidates.output_columns(candidates.final_candidates(found, s, order), "doc_id", "source_agent")
 
 
 # Rule tools, by name, on JSON
 
+#: What each tool tells.
+TOOL_TEXTS = {"check_mandatory_sections": "缺少的必备章节", "check_section_order": "编号和标准章节的次序", "check_section_names": "标准章节的不规范标题", "check_appendix_types": "附录的性质标注", "check_section_depth": "超过层次上限的编号"}
+
+
+def tool_schemas(dimension: str) -> list[dict]:
+    """The tools that a dimension's reviewer may call, as function schemas; only the structure has any."""
+    if dimension != "C2.1":
+        return []
+    text = {"type": "object", "properties": {"source_text": {"type": "string"}}, "required": ["source_text"]}
+    return [{"type": "function", "function": {"name": name, "description": TOOL_TEXTS[name], "parameters": text}} for name in STRUCTURE_TOOLS]
+
+
 # Names of the tools that a structure review may call.
 STRUCTURE_TOOLS = ["check_mandatory_sections", "check_section_order", "check_section_names", "check_appendix_types", "check_section_depth"]
 

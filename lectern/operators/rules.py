@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import WS, compact, depth, has_any, label, modal_words, reference_base, reference_ids, section_key, section_line, sentences, term_text, is_term_section
+from lectern.operators.sections import batch_number
 from lectern.taxonomy import MANDATORY, MAX_DEPTH, MODALS, RISKY_MODALS, STANDARD_ORDER, TECHNICAL_TITLES, TECHNICAL_WORDS, TERM_WORDS, WRONG_TITLES
 
 
@@ -104,7 +105,7 @@ def modal_sentences(sections: DataFrame, most: int = 220, limit: int = 360) -> D
     once = F.row_number().over(Window.partitionBy("doc_id", "section", "sentence").orderBy("ord", "pos"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "pos"))
     kept = rows.withColumn("once", once).where("once = 1").withColumn("rank", rank).where(F.col("rank") <= most)
-    return kept.select("doc_id", "rank", "section_number", "title", F.substring("sentence", 1, limit).alias("sentence"), modal_words(F.col("sentence")).alias("modal_words"), F.floor((F.col("rank") - 1) / 70).cast("int").alias("batch"))
+    return kept.select("doc_id", "rank", "section_number", "title", F.substring("sentence", 1, limit).alias("sentence"), modal_words(F.col("sentence")).alias("modal_words"), batch_number(F.col("rank"), 70).alias("batch"))
 
 
 def modal_class(content: Column) -> Column:

@@ -117,9 +117,8 @@ def top_blocks(sections: DataFrame) -> DataFrame:
 
 def contents_block(blocks: DataFrame) -> DataFrame:
     """For each body block the latest earlier block of the same number that has no body (an as-of match)."""
-    body, other = blocks.where("is_body"), blocks.where("not is_body").select(F.col("doc_id").alias("o_doc"), F.col("number").alias("o_number"), F.col("first").alias("o_first"))
-    near = body.join(other, (F.col("doc_id") == F.col("o_doc")) & (F.col("number") == F.col("o_number")) & (F.col("o_first") < F.col("first")), "left")
-    return near.groupBy("doc_id", "number", "first").agg(F.max("o_first").alias("contents_first"))
+    before = Window.partitionBy("doc_id", "number").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("contents_first", F.max(F.when(~F.col("is_body"), F.col("first"))).over(before)).where("is_body").select("doc_id", "number", "first", "contents_first")
 
 
 def has_text(content: Column) -> Column:
@@ -128,6 +127,11 @@ def has_text(content: Column) -> Column:
     return (bare != "") & (F.lower(bare) != "none") & (F.regexp_replace(F.replace(bare, F.lit("[续]"), F.lit("")), f"[…．。]|{WS}", "") != "")
 
 
+def has_real_text(content: Column) -> Column:
+    """More than white space around dots and leaders."""
+    return trimmed(F.coalesce(content, F.lit(""))).rlike("[^…．。 \\t\\n]")
+
+
 def is_body(content: Column) -> Column:
     """Text of a body: has_text, and neither leaders nor a page number alone."""
     bare = trimmed(F.coalesce(content, F.lit("")))
@@ -191,11 +195,26 @@ def continued(chunks: DataFrame) -> DataFrame:
     return row.groupBy("doc_id", "sid").agg(F.min_by("section_number", F.struct("chunk", "ord")).alias("section_number"), F.min_by("title", F.struct("chunk", "ord")).alias("title"), text.alias("content")).select("doc_id", (F.col("sid") - 1).cast("int").alias("ord"), "section_number", "title", "content")
 
 
+def ordered_concat(rows: DataFrame, by: str, order: list[str], part: Column, mark: str, name: str) -> DataFrame:
+    """By group its parts in order, joined by mark."""
+    sorted_ = F.array_sort(F.collect_list(F.struct(*order, part.alias("_part"))))
+    return rows.groupBy(by).agg(F.array_join(F.transform(sorted_, lambda r: r["_part"]), mark).alias(name))
+
+
 def section_text(sections: DataFrame) -> DataFrame:
     """By document the text of its sections: heading, content, blank line."""
     part = F.concat(label(F.col("section_number"), F.col("title")), F.lit("\n"), F.when(F.coalesce("content", F.lit("")) != "", F.concat("content", F.lit("\n"))).otherwise(""))
-    rows = F.array_sort(F.collect_list(F.struct("ord", part.alias("part"))))
-    return sections.groupBy("doc_id").agg(F.array_join(F.transform(rows, lambda r: r["part"]), "\n").alias("source_text"))
+    return ordered_concat(sections, "doc_id", ["ord"], part, "\n", "source_text")
+
+
+def batches(rows: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
+    """Rows of each group with rank (from 1, in order) and the batch of size that it falls into."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return rows.withColumn("rank", rank).withColumn("batch", batch_number(F.col("rank"), size))
+
+
+def batch_number(rank: Column, size: int) -> Column:
+    return F.floor((rank - 1) / size).cast("int")
 
 
 def first_match(sections: DataFrame, condition: Column) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import taxonomy
 from lectern.functions import replies, text
-from lectern.operators import allocation, candidates, injectors, matching, metrics, retrieval, review, rules, sections
+from lectern.operators import allocation, candidates, injectors, matching, metrics, retrieval, review, rules, sections, worded
 from lectern.sources import benchmark, config, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -391,20 +393,103 @@ def ce28_allocation(spark):
 INJECTED = "前言\n编制情况说明。\n引言\n背景情况介绍。\n[1] 范围\n本文件适用于甲。\n[2] 规范性引用文件\n下列文件必不可少。\nGB/T 1.1—2020 标准化\nISO 9001 质量\nIEC 60068 环境\n[3] 术语和定义\n甲术语\n乙术语\n丙术语\n[5] 要求\n产品应安全，不应泄漏，宜检查，按 ISO 9001。\n[5.1.2] 细则\n可选用。\n[附录A] 试验方法（规范性）\n步骤。\n参考文献\n[1] GB/T 5—2001"
 
 
-INJECTED_CODES = ["E-S-03", "E-S-04", "E-S-05", "E-S-06", "E-T-01", "E-T-02", "E-T-03", "E-T-04", "E-T-05", "E-T-06", "E-T-07", "E-TM-05", "E-R-01", "E-R-02", "E-R-04"]
-
-
-@golden("error_type VARCHAR, changed BIGINT, annotated BIGINT", [(c, 2, 2) if c == "E-S-04" else (c, 1, 1) for c in INJECTED_CODES])
+#: By error type, section rows (number, title, content), and those that change; marks stand for what is drawn.
+CASES = [
+    ("E-S-03", [("1", "本文件的范围", "甲"), ("2", "其他", "乙"), ("1", "本文件的范围", "丙")], {0: ("1", "<form>", "甲"), 2: ("1", "<form>", "丙")}),
+    ("E-S-03", [("B", "附录 B（资料性）方法", "甲"), ("附录C", "方法（规范性）", "乙")], {0: ("B", "<form>", "甲")}),
+    ("E-S-04", [(None, "前 言", "甲"), (None, "引言", "乙")], {0: (None, "前 言", "乙"), 1: (None, "引言", "甲")}),
+    ("E-S-05", [("附录A", "附录A（规范性）规范性方法", "甲"), ("附录B", "方法（资料性）", "乙"), ("附录C", "附录C 规范性或资料性", "丙"), (None, "附录A（规范性）规范性方法", "丁")], {0: ("附录A", "附录A（资料性）规范性方法", "甲"), 3: (None, "附录A（资料性）规范性方法", "丁")}),
+    ("E-S-06", [("5", "甲", "一"), ("5.1.2", "乙", "二")], {1: ("5.1.2.1.1.1", "乙", "二")}),
+    ("E-T-01", [("5", "甲", "应先，应后")], {0: ("5", "甲", "宜先，应后")}),
+    ("E-T-02", [("5", "甲", "宜先，宜后")], {0: ("5", "甲", "应先，宜后")}),
+    ("E-T-03", [("5", "甲", "应先")], {0: ("5", "甲", "可先")}),
+    ("E-T-04", [("5", "甲", "应先")], {0: ("5", "甲", "须先")}),
+    ("E-T-05", [("5", "甲", "可先")], {0: ("5", "甲", "一般先")}),
+    ("E-T-06", [("5", "甲", "应先，不应后")], {0: ("5", "甲", "应先，不宜后")}),
+    ("E-T-07", [("5", "甲", "应先"), ("6", "乙", "为安全应先")], {1: ("6", "乙", "为安全宜先")}),
+    ("E-TM-05", [("3", "术语和定义", "……\n"), ("3", "术语和定义", "导语\n3.1 甲\n\n3.2 乙\n定义\n3.3 丙"), ("3", "术语", "3.1 a\n3.2 b\n3.3 c")], {1: ("3", "术语和定义", "导语\n3.1 甲\n\n定义\n3.3 丙")}),
+    ("E-R-01", [("2", "规范性引用文件", "……"), ("2", "规范性引用", "下列文件。\nGB/T 1—2020 甲\nISO 2 乙"), ("5", "要求", "按 ISO 2 试验")], {1: ("2", "规范性引用", "下列文件。\nGB/T 1—2020 甲")}),
+    ("E-R-02", [("2", "规范性引用文件", "GB/T 1 甲")], {0: ("2", "规范性引用文件", "GB/T 1 甲<fakes>")}),
+    ("E-R-03", [("2", "规范性引用文件", "GB/T 1 甲"), (None, "参考文献", "说明文字\n[1] GB/T 5—2001 丙\n")], {0: ("2", "规范性引用文件", "GB/T 1 甲\nGB/T 5—2001 丙"), 1: (None, "参考文献", "说明文字")}),
+    ("E-R-03", [("2", "规范性引用文件", "GB/T 1 甲"), (None, "参考文献", "只有说明")], {0: ("2", "规范性引用文件", "GB/T 1 甲<fakes>")}),
+    ("E-R-04", [("2", "规范性引用文件", "下列文件。\nGB/T 1 甲\nISO 2 乙\nIEC 3 丙")], {0: ("2", "规范性引用文件", "<shuffled>")}),
+    ("E-S-05", [("附录A", "方法（规范性）", "甲")], {}),
+    ("E-TM-05", [("3", "术语和定义", "3.1 甲\n3.2 乙")], {}),
+]
+
+
+def _marked(made: DataFrame) -> DataFrame:
+    """What is drawn, as marks."""
+    forms = [w.replace("X", "B") for words in (*taxonomy.INJECTED_TITLES.values(), *taxonomy.INJECTED_APPENDIX_TITLES.values()) for w in words]
+    fakes = "|".join(x.replace("(", "\\(") for x in taxonomy.FAKE_STANDARDS)
+    lines = F.array_sort(F.split("content", "\n"))
+    shuffled = (lines == F.array_sort(F.array(*map(F.lit, ("下列文件。", "GB/T 1 甲", "ISO 2 乙", "IEC 3 丙")))))
+    return made.withColumns({"title": F.when(F.col("title").isin(forms) & ~F.col("title").isin("前言", "引言"), "<form>").otherwise(F.col("title")), "content": F.when(shuffled, "<shuffled>").otherwise(F.regexp_replace("content", f"(\n({fakes}))+$", "<fakes>"))})
+
+
+@golden("case_no INTEGER, error_type VARCHAR, ord INTEGER, section_number VARCHAR, title VARCHAR, content VARCHAR", [(i, code, o, *row) for i, (code, _, changed) in enumerate(CASES) for o, row in changed.items()])
 def ce_injections(spark):
-    """CE3 to CE25: how many sections each injector changes and annotates in one document."""
-    s = _sections(spark, INJECTED)
-    out = None
-    for code in INJECTED_CODES:
-        made = injectors.INJECTORS[code](s, 7)
-        before, after = s.select("ord", "section_number", "title", "content"), made.sections.select("ord", "section_number", "title", "content")
-        row = after.exceptAll(before).agg(F.count(F.lit(1)).alias("changed")).crossJoin(made.annotations.agg(F.count(F.lit(1)).alias("annotated"))).select(F.lit(code).alias("error_type"), "changed", "annotated")
-        out = row if out is None else out.union(row)
-    return out
+    """CE3 to CE25, CE26: the sections that each injector changes, whole, where only one choice fits or what is drawn is marked."""
+    parts = []
+    for i, (code, rows, _) in enumerate(CASES):
+        s = spark.createDataFrame([("d", o, *r) for o, r in enumerate(rows)], "doc_id string, ord int, section_number string, title string, content string")
+        columns = ["ord", "section_number", "title", "content"]
+        parts.append(injectors.INJECTORS[code](s, 7).sections.select(*columns).exceptAll(s.select(*columns)).select(F.lit(i).alias("case_no"), F.lit(code).alias("error_type"), *columns))
+    return _marked(reduce(DataFrame.unionByName, parts))
+
+
+#: Of a case, the drawn section alone is annotated, but for the exchange of two.
+NOTED = {0: [], 1: [0], 2: [0, 1], 4: [1], 12: [1], 13: [1], 14: [0], 15: [0], 16: [0], 17: [0]}
+
+
+@golden("case_no INTEGER, dimension VARCHAR, error_type VARCHAR, original_title VARCHAR, original_content VARCHAR, title VARCHAR, content VARCHAR", [(i, injectors.DIMENSION_OF[CASES[i][0]], CASES[i][0], CASES[i][1][o][1], CASES[i][1][o][2], *CASES[i][2][o][1:]) for i, ords in NOTED.items() for o in ords])
+def ce_annotations(spark):
+    """CE3 to CE26: what injectors note of the section that they drew, before and after."""
+    parts = []
+    for i in [i for i, ords in NOTED.items() if ords]:
+        code, rows, _ = CASES[i]
+        s = spark.createDataFrame([("d", o, *r) for o, r in enumerate(rows)], "doc_id string, ord int, section_number string, title string, content string")
+        a = injectors.INJECTORS[code](s, 7).annotations
+        parts.append(a.select(F.lit(i).alias("case_no"), "dimension", "error_type", F.col("original.title").alias("original_title"), F.col("original.content").alias("original_content"), "corrupted.title", "corrupted.content"))
+    return _marked(reduce(DataFrame.unionByName, parts))
+
+
+@golden("name VARCHAR, ord INTEGER, section_number VARCHAR, title VARCHAR, content VARCHAR", [("year", 0, "2", "规范性引用文件", "GB/T 1—<year> 甲"), ("form", 0, "2", "规范性引用文件", "GB/T 1-2020 甲"), ("more", 1, None, "编制说明", "本文件的编制过程说明。")])
+def cex_unused_injectors(spark):
+    """CEx1 to CEx3: a wrong year, a wrong date form, a section too many."""
+    s = spark.createDataFrame([("d", 0, "2", "规范性引用文件", "GB/T 1—2020 甲")], "doc_id string, ord int, section_number string, title string, content string")
+    columns = ["ord", "section_number", "title", "content"]
+    made = {"year": injectors.wrong_year(s, 1), "form": injectors.wrong_date_form(s, 1), "more": injectors.redundant_section(s, 1)}
+    rows = [m.sections.select(*columns).withColumn("ord", F.col("ord").cast("int")).exceptAll(s.select(*columns)).select(F.lit(n).alias("name"), *columns) for n, m in made.items()]
+    year = F.when(F.col("name") == "year", F.regexp_replace("content", "20(2[1-9]|3[0-5])", "<year>")).otherwise(F.col("content"))
+    return reduce(DataFrame.unionByName, rows).withColumn("content", year)
+
+
+WORDED_ROWS = [("1", "范围", "本文件规定了甲的要求，适用于甲。"), ("3", "术语和定义", "3.1 甲\n装置\n3.2 乙\n部件"), ("5", "要求", "甲的外壳应符合设计图样的规定，并能承受运输过程中的各种振动与冲击。")]
+
+
+def _answer(prompt: str) -> str:
+    """A stub model: answers by what it is asked."""
+    if "最有代表性" in prompt:
+        return " 甲 "
+    if "失败" in prompt:
+        raise TimeoutError
+    if "只返回这一句" in prompt:
+        return "```text\n范围声明：高原用乙\n```"
+    if "新术语条目" in prompt:
+        return prompt[prompt.index("编号为 ") + 4 : prompt.index(" 的新术语")] + " 丙"
+    if "含“应”或“宜”" in prompt:
+        return "本文件规定了甲的要求，适用于甲，使用者应培训。"
+    return "改写后的正文"
+
+
+@golden("error_type VARCHAR, dimension VARCHAR, title VARCHAR, content VARCHAR", [("E-SC-01", "C2.2", "要求", "改写后的正文"), ("E-SC-02", "C2.2", "范围", "本文件规定了甲的要求，适用于甲。\n本文件也适用于高原用乙。"), ("E-SC-03", "C2.2", "范围", "本文件规定了甲的要求，适用于甲，使用者应培训。"), ("E-TM-01", "C3.2", "要求", "改写后的正文"), ("E-TM-02", "C3.2", "术语和定义", "3.1 甲\n装置\n3.2 乙\n部件\n3.3 丙"), ("E-TM-03", "C3.2", "要求", "改写后的正文"), ("E-TM-04", "C3.2", "要求", "改写后的正文")])
+def ce_worded(spark):
+    """CE7 to CE9, CE17 to CE20: errors that a model words, with a stub in its place; a failed call changes nothing."""
+    rows = [("d", o, *r) for o, r in enumerate(WORDED_ROWS)] + [("e", o, n, t, c.replace("甲的", "甲的失败")) for o, (n, t, c) in enumerate(WORDED_ROWS)]
+    s = spark.createDataFrame(rows, "doc_id string, ord int, section_number string, title string, content string")
+    parts = [worded.inject_worded(s, code, 3, _answer).annotations.where("doc_id = 'd' or error_type <> 'E-TM-02'").select("error_type", "dimension", "corrupted.title", "corrupted.content") for code in worded.WORDED]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @golden("doc_id VARCHAR, ord INTEGER, section_number VARCHAR, title VARCHAR, content VARCHAR", [("d1", 1, "2", "换", "新")])
@@ -512,12 +597,20 @@ def ce29_target_counts(spark):
     return n.agg(F.count(F.lit(1)).alias("n"), F.min("n").alias("low"), F.max("n").alias("high"))
 
 
-@golden("round INTEGER, n BIGINT", [(0, 6), (1, 6)])
+@golden("doc_id VARCHAR, round INTEGER, n BIGINT, ours BOOLEAN", [*[(f"d{i}", r, 1, True) for i in range(1, 7) for r in (0, 1)], ("d7", 0, 1, True), ("d7", 1, 1, True)])
 def ce27_balanced_rounds(spark):
-    """CE27: one error for each document in each of two rounds, dealt to types."""
-    s = _sections(spark, *[INJECTED] * 6)
-    made = injectors.inject_balanced(s, 2, 5, ["E-T-01", "E-S-06", "E-R-04"])
-    return made.annotations.groupBy("round").agg(F.countDistinct("doc_id").alias("n"))
+    """CE27: two errors for each document; types that do not fit are replaced, as for d7, which only one of them fits."""
+    s = _sections(spark, *[INJECTED] * 6, "[5] 甲\n应先，应后，应再")
+    made = injectors.inject_balanced(s, 2, 5, ["E-T-01", "E-S-05", "E-R-04"])
+    return made.annotations.groupBy("doc_id", "round").agg(F.countDistinct("error_type").alias("n"), F.bool_and(F.col("error_type").isin("E-T-01", "E-R-04")).alias("ours"))
+
+
+@golden("few BOOLEAN, n BIGINT", [(True, 40)])
+def ce27_least_used_first(spark):
+    """CE27: a type that was used often before is drawn seldom."""
+    s = _sections(spark, *["[5] 甲\n应先，宜后"] * 40)
+    made = injectors.inject_balanced(s, 1, 5, ["E-T-01", "E-T-02"], {"E-T-01": 1000}).annotations
+    return made.agg((F.count_if(F.col("error_type") == "E-T-01") <= 2).alias("few"), F.count(F.lit(1)).alias("n"))
 
 
 @golden("total_files BIGINT, total_examples BIGINT, kinds VARCHAR", [(2, 3, "E-S-01=2,UNKNOWN=1")])

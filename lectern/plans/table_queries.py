@@ -12,7 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import candidates, matching, metrics, retrieval, sections
+from lectern.functions import replies, text
+from lectern.functions.numbers import rounded_sql
+from lectern.operators import allocation, candidates, matching, metrics, retrieval, rules, sections
+from lectern.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,8 +80,8 @@ _RECALL = f"""{_BAGS}, {_hits('section', 'h1')}, {_hits('section, dimension', 'h
         CASE WHEN pred_count > diagnosis_hits THEN 1 - 0.15::DOUBLE * (pred_count - diagnosis_hits) / (pred_count - diagnosis_hits + 100) ELSE 1.0 END AS penalty FROM recall)"""
 
 
-def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def _round(x: str, digits: int) -> str:
+    return rounded_sql(x, digits, "HUGEINT", "//")
 
 
 @query(f"WITH {_BAGS}, {_hits('section, dimension, error_type', 'h3')} SELECT doc_id, h::BIGINT AS hits FROM h3")
@@ -135,12 +138,19 @@ def ag1_item_recall(spark, sf_dir):
     return metrics.item_recall(*bags(spark, sf_dir))
 
 
-@query(f"""WITH {_RECALL} SELECT doc_id, miss_count::BIGINT AS miss_count, fp_count::BIGINT AS fp_count, round(CASE WHEN gt_count > 0 THEN location_hits / gt_count ELSE 0 END, 6)::DOUBLE AS location_recall,
-    round(CASE WHEN gt_count > 0 THEN diagnosis_hits / gt_count ELSE 0 END, 6)::DOUBLE AS diagnosis_recall, round(mcs, 6)::DOUBLE AS mcs, round(penalty, 6)::DOUBLE AS penalty, round(mcs * penalty, 6)::DOUBLE AS np_mcs FROM metric""")
+@query(f"""WITH {_RECALL}, m AS (SELECT *, CASE WHEN gt_count > 0 THEN location_hits / gt_count::DOUBLE ELSE 0.0::DOUBLE END AS l, CASE WHEN gt_count > 0 THEN diagnosis_hits / gt_count::DOUBLE ELSE 0.0::DOUBLE END AS d, mcs::DOUBLE AS a, penalty::DOUBLE AS b, mcs::DOUBLE * penalty::DOUBLE AS c FROM metric)
+    SELECT doc_id, miss_count::BIGINT AS miss_count, fp_count::BIGINT AS fp_count, {_round('l', 4)} AS location_recall, {_round('d', 4)} AS diagnosis_recall, {_round('a', 6)} AS mcs, {_round('b', 6)} AS penalty, {_round('c', 6)} AS np_mcs FROM m""")
 def ag6_derived_metrics(spark, sf_dir):
-    """AG2 to AG6: rates, misses, false positives, MCS, noise penalty and their product by document."""
+    """AG2 to AG6: rates (4 decimals), misses, false positives, MCS, noise penalty and their product (6 decimals) by document."""
     made = metrics.derived(metrics.item_recall(*bags(spark, sf_dir)))
-    return _rounded(made.select("doc_id", F.col("miss_count").cast("bigint"), F.col("fp_count").cast("bigint"), "location_recall", "diagnosis_recall", "mcs", "penalty", "np_mcs"), "location_recall", "diagnosis_recall", "mcs", "penalty", "np_mcs")
+    return made.select("doc_id", F.col("miss_count").cast("bigint"), F.col("fp_count").cast("bigint"), "location_recall", "diagnosis_recall", "mcs", "penalty", "np_mcs")
+
+
+@query(f"""WITH {_RECALL}, m AS (SELECT doc_id, {', '.join(f"CASE WHEN gt_count > 0 THEN {c}_hits / gt_count::DOUBLE ELSE 0.0::DOUBLE END AS {c[0]}" for c in ('location', 'dimension'))}, CASE WHEN gt_count > 0 THEN diagnosis_hits / gt_count::DOUBLE ELSE 0.0::DOUBLE END AS g FROM metric)
+    SELECT doc_id, {_round('l', 4)} AS location_recall, {_round('d', 4)} AS dimension_recall, {_round('g', 4)} AS diagnosis_recall FROM m""")
+def ag2_recall_rates(spark, sf_dir):
+    """AG2: rates of each document with 4 decimals."""
+    return metrics.derived(metrics.item_recall(*bags(spark, sf_dir))).select("doc_id", "location_recall", "dimension_recall", "diagnosis_recall")
 
 
 @query(f"""WITH {_RECALL} SELECT sum(gt_count)::BIGINT AS gt_count, sum(diagnosis_hits)::BIGINT AS diagnosis_hits, count(*) AS documents,
@@ -155,13 +165,12 @@ def ag7_weighted_sums(spark, sf_dir):
       sum(mcs * gt_count) AS a, sum(penalty * gt_count) AS b, sum(mcs * penalty * gt_count) AS c FROM metric),
     u AS (SELECT *, d / g::DOUBLE * exp(-1.0 * (g - d) / g) AS mcs, CASE WHEN p > d THEN 1 - 0.15::DOUBLE * (p - d) / (p - d + 100) ELSE 1.0 END AS penalty FROM t)
     SELECT g AS gt_count, p AS pred_count, l AS location_hits, m AS dimension_hits, d AS diagnosis_hits, documents, (g - d)::BIGINT AS miss_count, greatest(0, p - d)::BIGINT AS fp_count,
-      round(mcs, 6) AS mcs, round(penalty, 6) AS penalty, round(mcs * penalty, 6) AS np_mcs, round(l / g, 6) AS location_recall, round(m / g, 6) AS dimension_recall, round(d / g, 6) AS diagnosis_recall,
-      round(a / g, 6) AS doc_weighted_mcs, round(b / g, 6) AS avg_penalty, round(c / g, 6) AS doc_weighted_np_mcs FROM u""")
+      {_round('mcs', 6)} AS mcs, {_round('penalty::DOUBLE', 6)} AS penalty, {_round('(mcs * penalty::DOUBLE)', 6)} AS np_mcs, {_round('(l / g::DOUBLE)', 4)} AS location_recall, {_round('(m / g::DOUBLE)', 4)} AS dimension_recall, {_round('(d / g::DOUBLE)', 4)} AS diagnosis_recall,
+      {_round('(a / g::DOUBLE)', 6)} AS doc_weighted_mcs, {_round('(b / g::DOUBLE)', 6)} AS avg_penalty, {_round('(c / g::DOUBLE)', 6)} AS doc_weighted_np_mcs FROM u""")
 def ag8_corpus_metrics(spark, sf_dir):
     """AG8: the headline numbers: micro metrics and means of documents weighted by ground truth."""
     m = metrics.corpus_metrics(metrics.item_recall(*bags(spark, sf_dir)))
-    doubles = [c for c, kind in m.dtypes if kind == "double"]
-    return _rounded(m, *doubles).withColumns({c: F.col(c).cast("bigint") for c in ("miss_count", "fp_count")})
+    return m.withColumns({c: F.col(c).cast("bigint") for c in ("miss_count", "fp_count")})
 
 
 def _grouped_sql(by: str) -> str:
@@ -175,12 +184,12 @@ def _grouped_sql(by: str) -> str:
 
     sets = [hits(k, f"x{i}") for i, k in enumerate((matching.LOCATION, matching.DIMENSION, matching.DIAGNOSIS))]
     return f"""WITH {_BAGS}, {', '.join(sets)}
-    SELECT "group", documents, gt_count, x0.h::BIGINT AS location_hits, x1.h::BIGINT AS dimension_hits, x2.h::BIGINT AS diagnosis_hits, round(x0.h / gt_count, 6)::DOUBLE AS location_recall, round(x1.h / gt_count, 6)::DOUBLE AS dimension_recall, round(x2.h / gt_count, 6)::DOUBLE AS diagnosis_recall
+    SELECT "group", documents, gt_count, x0.h::BIGINT AS location_hits, x1.h::BIGINT AS dimension_hits, x2.h::BIGINT AS diagnosis_hits, {_round('(x0.h / gt_count::DOUBLE)', 4)} AS location_recall, {_round('(x1.h / gt_count::DOUBLE)', 4)} AS dimension_recall, {_round('(x2.h / gt_count::DOUBLE)', 4)} AS diagnosis_recall
     FROM (SELECT {by} AS "group", count(DISTINCT doc_id) AS documents, count(*) AS gt_count FROM gt GROUP BY 1) t JOIN x0 ON "group" = x0.grp JOIN x1 ON "group" = x1.grp JOIN x2 ON "group" = x2.grp"""
 
 
 def _grouped_query(spark, sf_dir, by):
-    return _rounded(metrics.grouped_recall(*bags(spark, sf_dir), by), "location_recall", "dimension_recall", "diagnosis_recall")
+    return metrics.grouped_recall(*bags(spark, sf_dir), by)
 
 
 @query(_grouped_sql("dimension"))
@@ -219,10 +228,10 @@ def ag12_hits_at_k(spark, sf_dir):
     return metrics.hits_at(metrics.item_recall(*bags(spark, sf_dir)))
 
 
-@query(f"WITH {_DOC_HITS} SELECT count(*) AS documents, round(avg(precision_hit::INT), 6) AS precision_rate, round(avg(location_hit::INT), 6) AS location_rate, round(avg(diagnosis_hit::INT), 6) AS diagnosis_rate FROM hit")
+@query(f"WITH {_DOC_HITS}, r AS (SELECT count(*) AS documents, avg(precision_hit::INT) AS p, avg(location_hit::INT) AS l, avg(diagnosis_hit::INT) AS d FROM hit) SELECT documents, {_round('p', 4)} AS precision_rate, {_round('l', 4)} AS location_rate, {_round('d', 4)} AS diagnosis_rate FROM r")
 def ag13_corpus_rates(spark, sf_dir):
-    """AG13: shares of documents."""
-    return _rounded(metrics.corpus_rates(metrics.document_hits(*bags(spark, sf_dir))), "precision_rate", "location_rate", "diagnosis_rate")
+    """AG13: shares of documents with 4 decimals."""
+    return metrics.corpus_rates(metrics.document_hits(*bags(spark, sf_dir)))
 
 
 @query("SELECT coalesce(nullif(event_type, ''), 'UNKNOWN') AS value, count(*) AS n FROM events GROUP BY 1")
@@ -258,8 +267,8 @@ def ag17_usage_delta(spark, sf_dir):
 @query("SELECT conv_id, string_agg(role || ':' || length(text), ' ' ORDER BY turn, role, text) AS joined FROM conversations GROUP BY 1")
 def ag19_ordered_concat(spark, sf_dir):
     """AG19: parts of a document joined in order."""
-    rows = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: F.concat_ws(":", r["role"], F.length(r["text"]).cast("string"))), " ").alias("joined"))
+    part = F.concat_ws(":", "role", F.length("text").cast("string"))
+    return sections.ordered_concat(read(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"], part, " ", "joined")
 
 
 @query("WITH c AS (SELECT conv_id AS doc_id, turn AS ord, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS running FROM conversations) SELECT doc_id, ord, running::BIGINT AS running FROM c WHERE running <= 2000")
@@ -269,11 +278,11 @@ def ag20_budgeted_prefix(spark, sf_dir):
     return sections.budgeted(c, 2000).select("doc_id", "ord", F.col("running").cast("bigint").alias("running"))
 
 
-@query("SELECT md5(coalesce(text, '')) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+@query(f"WITH {_BAGS} SELECT doc_id, section, dimension, error_type, min(pred_index)::BIGINT AS pred_index FROM pred GROUP BY ALL")
 def wn2_keep_first(spark, sf_dir):
-    """WN2: the first document of each text."""
-    d = read(spark, sf_dir, "documents").select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "doc_id")
-    return d.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+    """WN2: the first finding of each document, dimension, type and section."""
+    _, _, pred = bags(spark, sf_dir)
+    return candidates.first_of_key(pred, ["pred_index"]).select("doc_id", "section", "dimension", "error_type", F.col("pred_index").cast("bigint").alias("pred_index"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
@@ -286,21 +295,21 @@ def wn1_islands(spark, sf_dir):
     return marked.groupBy("doc_id", "sid").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
-@query("WITH w AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_linenumber, l_suppkey, l_quantity) AS before, l_shipdate FROM lineitem) SELECT doc_id, count(*) AS out_of_order FROM w WHERE n <= before GROUP BY 1")
+@query("""WITH o AS (SELECT l_orderkey AS doc_id, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_linenumber, l_suppkey, l_quantity) AS ord FROM lineitem),
+    w AS (SELECT *, lag(n) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM o) SELECT doc_id, ord, before || ' t' AS prev, n || ' t' AS curr FROM w WHERE n <= before""")
 def wn5_monotone_numbers(spark, sf_dir):
-    """WN5: numbers that do not grow from row to row."""
+    """WN5: top-level numbers that do not grow from heading to heading."""
     w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_partkey", "l_linenumber", "l_suppkey", "l_quantity")
-    rows = read(spark, sf_dir, "lineitem").withColumn("before", F.lag("l_linenumber").over(w)).where("l_linenumber <= before")
-    return rows.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.count(F.lit(1)).alias("out_of_order"))
+    h = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(w).cast("bigint").alias("ord"), F.col("l_linenumber").cast("string").alias("section_number"), F.lit("t").alias("title"))
+    return rules.order_issues(h).where("kind = 'sequence'").select("doc_id", "ord", "prev", "curr")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS doc_id, min(l_linenumber) AS a, max(l_linenumber) AS b, list(DISTINCT l_linenumber) AS have FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1),
-    g AS (SELECT doc_id, unnest(range(a, b + 1)) AS n, have FROM s) SELECT doc_id, string_agg(n::VARCHAR, ',' ORDER BY n) AS missing FROM g WHERE NOT list_contains(have, n::INT) GROUP BY 1""")
+    g AS (SELECT doc_id, unnest(range(a, b + 1)) AS n, have FROM s) SELECT doc_id, string_agg('3.' || n, ', ' ORDER BY n) AS missing FROM g WHERE NOT list_contains(have, n::INT) GROUP BY 1""")
 def wn6_number_gaps(spark, sf_dir):
-    """WN6: numbers missing between the least and the greatest."""
-    have = read(spark, sf_dir, "lineitem").where("l_partkey % 5 <> 0").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_set("l_linenumber").alias("have"))
-    gaps = F.array_sort(F.array_except(F.sequence(F.array_min("have"), F.array_max("have")), "have"))
-    return have.select("doc_id", gaps.alias("gaps")).where("size(gaps) > 0").select("doc_id", F.array_join(F.transform("gaps", lambda n: n.cast("string")), ",").alias("missing"))
+    """WN6: term numbers missing between the least and the greatest."""
+    terms = read(spark, sf_dir, "lineitem").where("l_partkey % 5 <> 0").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("3."), F.col("l_linenumber").cast("string")).alias("section_number"))
+    return rules.number_gaps(terms).select("doc_id", "missing")
 
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_click FROM events")
@@ -322,61 +331,62 @@ def wn10_blocks(spark, sf_dir):
 @query("SELECT conv_id, turn, rank, floor((rank - 1) / 2)::INT AS batch FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS rank FROM conversations)")
 def wn14_batches(spark, sf_dir):
     """WN14: batches of two turns in order."""
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    d = read(spark, sf_dir, "conversations").withColumn("rank", rank)
-    return d.select("conv_id", "turn", F.col("rank").cast("bigint").alias("rank"), F.floor((F.col("rank") - 1) / 2).cast("int").alias("batch"))
+    d = sections.batches(read(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"], 2)
+    return d.select("conv_id", "turn", F.col("rank").cast("bigint").alias("rank"), "batch")
 
 
-@query("""WITH c AS (SELECT c_custkey, (n_regionkey || '.' || n_nationkey || '.' || c_custkey) AS key FROM customer JOIN nation ON c_nationkey = n_nationkey),
-    u AS (SELECT c_custkey, k, array_to_string(string_split(key, '.')[1:3 - k], '.') AS parent FROM c, (VALUES (1), (2)) v(k)) SELECT c_custkey, k, parent FROM u""")
+@query("""WITH c AS (SELECT s_suppkey, s_nationkey || '.' || (s_suppkey % 7) || '.' || s_suppkey AS key FROM supplier),
+    u AS (SELECT s_suppkey, k, array_to_string(string_split(key, '.')[1:3 - k], '.') AS parent FROM c, (VALUES (1), (2)) v(k)) SELECT s_suppkey, k, parent FROM u""")
 def jn12_ancestors(spark, sf_dir):
     """JN12: ancestors of dotted keys, nearest first."""
-    c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    keyed = c.select("c_custkey", F.split(F.concat_ws(".", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"), F.col("c_custkey").cast("string")), r"\.").alias("parts"))
-    return keyed.select("c_custkey", "parts", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k")).where("size(parts) > k").select("c_custkey", "k", F.array_join(F.slice("parts", 1, F.greatest(F.lit(0), F.size("parts") - F.col("k"))), ".").alias("parent"))
+    key = F.concat_ws(".", F.col("s_nationkey").cast("string"), (F.col("s_suppkey") % 7).cast("string"), F.col("s_suppkey").cast("string"))
+    up = read(spark, sf_dir, "supplier").select("s_suppkey", F.posexplode(candidates.ancestors(key)).alias("k", "parent"))
+    return up.where("parent is not null").select("s_suppkey", (F.col("k") + 1).alias("k"), "parent")
 
 
-@query("""WITH c AS (SELECT (n_regionkey || '.' || n_nationkey) AS parent, c_custkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) AS child_rank FROM customer JOIN nation ON c_nationkey = n_nationkey)
-    SELECT parent, parent || '.' || c_custkey AS child, child_rank FROM c WHERE child_rank <= 5""")
+@query("""WITH c AS (SELECT (s_nationkey || '.' || s_suppkey % 3) AS parent, s_suppkey, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 3 ORDER BY s_suppkey) AS child_rank FROM supplier)
+    SELECT parent, parent || '.' || s_suppkey AS child, child_rank FROM c WHERE child_rank <= 5""")
 def jn13_children(spark, sf_dir):
     """JN13: the first five direct children of each dotted key."""
-    c = read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows = c.select(F.lit("d").alias("doc_id"), F.col("c_custkey").alias("ord"), F.concat_ws(".", F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string"), F.col("c_custkey").cast("string")).alias("section_number"))
+    number = F.concat_ws(".", F.col("s_nationkey").cast("string"), (F.col("s_suppkey") % 3).cast("string"), F.col("s_suppkey").cast("string"))
+    rows = read(spark, sf_dir, "supplier").select(F.lit("d").alias("doc_id"), F.col("s_suppkey").alias("ord"), number.alias("section_number"))
     return candidates.parent_keys(rows).where("child_rank <= 5").select("parent", "child", F.col("child_rank").cast("bigint").alias("child_rank"))
 
 
-_REFS = r"regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._]+@[A-Za-z0-9.]+')"
-
+def _cited(spark, sf_dir):
+    """Orders as documents: lines up to number 2 are the list of references, the others cite; parts are the standards."""
+    cited = F.concat(F.lit("GB/T "), (F.col("l_partkey") % 5 + 1).cast("string"))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") <= 2).alias("listed"), "l_linenumber", cited.alias("ref"))
+    part = rows.groupBy("doc_id", "listed").agg(F.array_join(F.array_sort(F.collect_list("ref")), "\n").alias("content"))
+    return part.select("doc_id", F.when(F.col("listed"), 0).otherwise(1).alias("ord"), F.when(F.col("listed"), "2").otherwise("5").alias("section_number"), F.when(F.col("listed"), "规范性引用文件").otherwise("要求").alias("title"), "content")
 
-def _mentions(spark, sf_dir):
-    """E-mail addresses stand for references, sources src0 to src9 for lists of them."""
-    d = read(spark, sf_dir, "documents")
-    refs = d.select(F.regexp_replace("source", "src", "").cast("int").alias("s"), "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z0-9._]+@[A-Za-z0-9.]+"), F.lit(0)))).alias("ref"))
-    return refs.groupBy("ref").agg(F.bool_or(F.col("s") < 10).alias("in_list"), F.bool_or(F.col("s") >= 10).alias("in_body"), F.min(F.when(F.col("s") >= 10, F.col("doc_id"))).alias("first_body"))
 
+_CITED = """WITH r AS (SELECT l_orderkey AS doc_id, 'GB/T' || (l_partkey % 5 + 1) AS name, bool_or(l_linenumber <= 2) AS in_list, bool_or(l_linenumber > 2) AS in_body FROM lineitem GROUP BY 1, 2),
+    h AS (SELECT l_orderkey AS doc_id, bool_or(l_linenumber <= 2) AS has_list FROM lineitem GROUP BY 1)"""
 
-_MENTIONS = f"WITH r AS (SELECT replace(source, 'src', '')::INT AS s, doc_id, unnest({_REFS}) AS ref FROM documents), m AS (SELECT ref, bool_or(s < 10) AS in_list, bool_or(s >= 10) AS in_body, min(CASE WHEN s >= 10 THEN doc_id END) AS first_body FROM r GROUP BY 1)"
 
-
-@query(f"{_MENTIONS} SELECT ref, first_body FROM m WHERE in_body AND NOT in_list")
+@query(f"{_CITED} SELECT doc_id, name, '5' AS section_number FROM r WHERE in_body AND NOT in_list")
 def jn8_missing_references(spark, sf_dir):
-    """JN8: mentioned, not listed; one aggregation in place of an anti join."""
-    return _mentions(spark, sf_dir).where("in_body and not in_list").select("ref", "first_body")
+    """JN8: cited, not listed."""
+    return rules.reference_findings(_cited(spark, sf_dir)).where("error_type = 'E-R-01'").select("doc_id", "name", "section_number")
 
 
-@query(f"{_MENTIONS} SELECT ref FROM m WHERE in_list AND NOT in_body")
+@query(f"{_CITED} SELECT doc_id, name, '2' AS section_number FROM r WHERE in_list AND NOT in_body")
 def jn9_redundant_references(spark, sf_dir):
-    """JN9: listed, not mentioned."""
-    return _mentions(spark, sf_dir).where("in_list and not in_body").select("ref")
+    """JN9: listed, not cited."""
+    return rules.reference_findings(_cited(spark, sf_dir)).where("error_type = 'E-R-02'").select("doc_id", "name", "section_number")
 
 
-@query(r"""WITH t AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS term FROM part), w AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'))) AS term FROM documents)
-    SELECT term, count(doc_id) AS used_count FROM t LEFT JOIN w USING (term) WHERE term <> '' GROUP BY 1""")
+@query(r"""WITH c AS (SELECT conv_id, turn, text FROM conversations), w AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[a-z]{3,5}'))) AS term FROM c WHERE turn = 0),
+    t AS (SELECT * FROM (SELECT conv_id, term, row_number() OVER (PARTITION BY conv_id ORDER BY term) AS rank FROM w) WHERE rank <= 4)
+    SELECT t.conv_id AS doc_id, t.term, count(c.turn) AS used_count FROM t LEFT JOIN c ON c.conv_id = t.conv_id AND contains('t' || chr(10) || coalesce(c.text, ''), t.term) GROUP BY ALL""")
 def jn11_term_usage(spark, sf_dir):
-    """JN11: documents that use each word of the part names, found by words rather than by scanning for each."""
-    terms = read(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("term")).where("term <> ''").distinct()
-    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)))).alias("term"))
-    return terms.join(words, "term", "left").groupBy("term").agg(F.count("doc_id").alias("used_count"))
+    """JN11: turns of a conversation that hold each of four strings of its first turn, anywhere in a word."""
+    c = read(spark, sf_dir, "conversations")
+    words = c.where("turn = 0").select(F.col("conv_id").alias("doc_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{3,5}"), F.lit(0)))).alias("term")).distinct()
+    terms = words.withColumns({"rank": F.row_number().over(Window.partitionBy("doc_id").orderBy("term")), "section_number": F.lit("3.1")}).where("rank <= 4")
+    turns = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ord"), F.lit("5").alias("section_number"), F.lit("t").alias("title"), F.col("text").alias("content"))
+    return rules.term_usage(terms, turns).select("doc_id", "term", "used_count")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
@@ -398,47 +408,57 @@ def tk3_top_k_by_group(spark, sf_dir):
     return retrieval.top_k(e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), e, 2, group="label").select("query_id", "label", "id", "rank")
 
 
-@query("""SELECT o_custkey, o_orderkey, rank FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders WHERE o_totalprice >= 1000) WHERE rank <= 5""")
+@query("""WITH i AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, o_orderstatus AS dimension, o_totalprice / 1000000::DOUBLE AS confidence FROM orders WHERE o_orderkey % 9 <> 0)
+    SELECT doc_id, dimension, ord, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, dimension ORDER BY confidence DESC, ord) AS rank FROM i WHERE confidence >= 0.01) WHERE rank <= 3""")
 def tk1_top_confident(spark, sf_dir):
-    """TK1: the five highest of each group above a bound; ranks are limited before the shuffle."""
-    o = read(spark, sf_dir, "orders").where("o_totalprice >= 1000")
-    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
-    return o.withColumn("rank", rank).where("rank <= 5").select("o_custkey", "o_orderkey", F.col("rank").cast("bigint").alias("rank"))
+    """TK1: the three most confident findings of each document and dimension above a bound, without those found directly."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("dimension"), F.lit("E").alias("error_type"), F.col("o_orderkey").cast("string").alias("section_number"), (F.col("o_totalprice") / 1000000.0).cast("string").alias("confidence"))
+    found = candidates.supplements(o, o.where("ord % 9 = 0"), 3, 0.01)
+    return found.select("doc_id", "dimension", "ord", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+@query("SELECT event_type AS error_type, (json_extract(props, '$.k')::BIGINT % 3)::VARCHAR AS section_number, count(*) AS n FROM events WHERE event_id % 5 <> 0 GROUP BY ALL")
 def fj1_json_members(spark, sf_dir):
-    """FJ1: members of JSON text."""
-    return read(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """FJ1: items of replies in a fence, after a thought, or skipped as null."""
+    k = F.regexp_extract("props", r"\d+", 0).cast("bigint") % 3
+    item = F.to_json(F.struct(F.col("event_type").alias("error_type"), k.cast("string").alias("section_number")))
+    reply = F.when(F.col("event_id") % 5 == 0, "null").when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n[3, "), item, F.lit("]\n```"))).otherwise(F.concat(F.lit("<think>[1]</think>the list: ["), item, F.lit("] done")))
+    return read(spark, sf_dir, "events").select(F.explode(replies.items(reply)).alias("i")).groupBy("i.error_type", "i.section_number").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_brand AS error_type, n, row_number() OVER (ORDER BY n, p_brand) AS rank FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)")
+@query("SELECT n, row_number() OVER (ORDER BY n)::BIGINT AS rank FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)")
 def tk7_least_used(spark, sf_dir):
-    """TK7: types by use, least first (ties by name here)."""
+    """TK7: types by use, least first; ties are drawn, so only counts are compared."""
     n = read(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("error_type")).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy("n", "error_type")).cast("bigint"))
+    return allocation.least_used(n.select("error_type"), n, 3).select("n", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[.;!?' || chr(10) || ']+')) AS raw FROM documents), t AS (SELECT doc_id, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS sentence FROM s)
-    SELECT doc_id, count(*) AS n_sentences, sum(length(sentence))::BIGINT AS n_chars FROM t WHERE length(sentence) >= 6 AND regexp_matches(lower(sentence), '(^|[^a-z])(the|les|der|los)([^a-z]|$)') GROUP BY 1""")
+@query(r"""WITH s AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[。；;！？!?' || chr(10) || ']+')) AS raw FROM documents), t AS (SELECT doc_id, trim(regexp_replace(raw, '[\s\x{3000}\x{00A0}]+', ' ', 'g')) AS sentence FROM s)
+    SELECT doc_id, count(*) AS n_sentences, sum(length(sentence))::BIGINT AS n_chars FROM t WHERE length(sentence) >= 6 AND regexp_matches(lower(sentence), 'the|les|der|los') GROUP BY 1""")
 def wn3_word_sentences(spark, sf_dir):
-    """WN3, FS6: sentences that hold one of a list of words."""
-    parts = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "[.;!?\n]+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: F.length(s) >= 6)
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(parts).alias("sentence")).where(F.lower("sentence").rlike("(^|[^a-z])(the|les|der|los)([^a-z]|$)"))
+    """WN3, FS6: sentences that hold one of a list of strings."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence")).where(text.has_any(F.lower("sentence"), ["the", "les", "der", "los"]))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(F.length("sentence")).alias("n_chars"))
 
 
-@query("SELECT s.lang, s.source, count(*) AS n FROM documents s WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.doc_id AND l.toxic = 0) GROUP BY 1, 2")
+@query("""SELECT doc_id, n FROM (SELECT l_orderkey AS doc_id, count(*) AS n FROM lineitem WHERE l_quantity <= CASE l_linenumber % 5 WHEN 0 THEN 6 WHEN 1 THEN 3 WHEN 2 THEN 7 WHEN 3 THEN 5 ELSE 4 END AND l_quantity >= 1 GROUP BY 1)""")
 def pf5_semi_join(spark, sf_dir):
-    """PF5, JN18: rows that have a partner."""
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(read(spark, sf_dir, "labels").where("toxic = 0"), "doc_id", "left_semi")
-    return d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    """PF5: findings whose type belongs to their dimension."""
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    kind = F.concat(pick("E-S-0", "E-SC-0", "E-T-0", "E-TM-0", "E-R-0"), F.col("l_quantity").cast("int").cast("string"))
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), pick("C2.1", "C2.2", "C3.1", "C3.2", "C3.3").alias("dimension"), kind.alias("error_type"))
+    return candidates.valid(items).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT page_id, length(html) AS n_chars, len(regexp_extract_all(html, '<h[1-6]')) AS n_headings, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages")
+@query(r"""WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(coalesce(text, ''), '[\s#]+', ' ', 'g')) AS text FROM conversations)
+    SELECT conv_id::VARCHAR AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INT AS ord, (turn + 1)::VARCHAR AS section_number, role AS title, text AS content FROM t""")
 def io14_page_headings(spark, sf_dir):
-    """IO14: heading tags of pages."""
-    return read(spark, sf_dir, "pages").select("page_id", F.length("html").cast("bigint").alias("n_chars"), F.size(F.regexp_extract_all("html", F.lit("<h[1-6]"), F.lit(0))).cast("bigint").alias("n_headings"), F.lower(F.regexp_extract("url", "^https?://([^/?#]+)", 1)).alias("host"))
+    """IO14: conversations as Markdown, a numbered heading for each turn, parsed to sections again."""
+    plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s#]+", " "))
+    c = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), "turn", "role", plain.alias("text"))
+    part = F.concat(F.lit("## "), (F.col("turn") + 1).cast("string"), F.lit(" "), F.col("role"), F.lit("\n"), F.col("text"))
+    made = files.sections_of_markdown(sections.ordered_concat(c, "doc_id", ["turn", "role", "text"], part, "\n", "markdown"))
+    return made.select("doc_id", F.col("ord").cast("int").alias("ord"), "section_number", "title", "content")
 
 
 @query("""SELECT source_agent, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT 'clean' AS source_agent, doc_id FROM labels WHERE quality = 1 UNION ALL SELECT 'toxic', doc_id FROM labels WHERE toxic = 1 UNION ALL SELECT 'poor', doc_id FROM labels WHERE quality = 0) GROUP BY 1""")
@@ -449,26 +469,33 @@ def st1_tagged_union(spark, sf_dir):
     return u.groupBy("source_agent").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
+def _keys(spark, sf_dir):
+    return read(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "k"), read(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "k")
+
+
 @query("SELECT DISTINCT c_nationkey AS k FROM customer INTERSECT SELECT DISTINCT s_nationkey FROM supplier")
 def st4_set_intersection(spark, sf_dir):
     """ST4: keys on both sides."""
-    return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).intersect(read(spark, sf_dir, "supplier").select("s_nationkey"))
+    return matching.set_intersection(*_keys(spark, sf_dir), ["k"])
 
 
-@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 20")
+@query("SELECT l_partkey AS k FROM lineitem EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
 def st3_set_difference(spark, sf_dir):
     """ST3: keys of one side only."""
-    return read(spark, sf_dir, "part").select("p_partkey").subtract(read(spark, sf_dir, "lineitem").where("l_quantity > 20").select("l_partkey"))
+    lines = read(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "k")
+    return matching.set_difference(lines, lines.where("l_quantity > 45"), ["k"])
 
 
 @query("SELECT DISTINCT n_nationkey AS k FROM (SELECT c_nationkey AS n_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)")
 def st2_set_union(spark, sf_dir):
     """ST2: keys of either side."""
-    return read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(read(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
+    return matching.set_union(*_keys(spark, sf_dir), ["k"])
 
 
-@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate FROM orders), l AS (SELECT a.o_orderkey, max(b.o_orderdate) AS before FROM o a LEFT JOIN o b ON a.o_custkey = b.o_custkey AND b.o_orderdate < a.o_orderdate GROUP BY 1) SELECT o_orderkey, before FROM l""")
+@query("""WITH o AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS first, o_orderstatus = 'F' AS is_body FROM orders)
+    SELECT a.doc_id, a.first, max(b.first) AS contents_first FROM o a LEFT JOIN o b ON a.doc_id = b.doc_id AND NOT b.is_body AND b.first < a.first WHERE a.is_body GROUP BY 1, 2""")
 def jn19_latest_before(spark, sf_dir):
-    """JN19: the latest earlier row of the same key (as-of), by a range frame in place of an inequality join."""
-    w = Window.partitionBy("o_custkey").orderBy(F.unix_micros(F.col("o_orderdate").cast("timestamp"))).rangeBetween(Window.unboundedPreceding, -1)
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.max("o_orderdate").over(w).alias("before"))
+    """JN19: the latest earlier block of the same number without a body (as-of)."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("bigint")
+    blocks = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit("1").alias("number"), place.alias("first"), (F.col("o_orderstatus") == "F").alias("is_body"))
+    return sections.contents_block(blocks).select("doc_id", "first", "contents_first")
\ No newline at end of file

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.metrics import histogram
+from lectern.operators.storage import numbered
 from lectern.schemas import BENCHMARK
 
 
@@ -34,7 +37,8 @@ def scored_documents(docs: DataFrame, status: DataFrame) -> DataFrame:
 
 def with_stats(records: DataFrame) -> DataFrame:
     """Records with record_index (from 1, by pos) and example_count."""
-    return records.withColumns({"record_index": F.row_number().over(Window.orderBy("pos")), "example_count": F.size(F.coalesce("examples", F.array().cast(records.schema["examples"].dataType)))})
+    counted = records.withColumn("example_count", F.size(F.coalesce("examples", F.array().cast(records.schema["examples"].dataType))))
+    return numbered(counted.drop("record_index"), ["pos"], "record_index")
 
 
 def source_records(sections: DataFrame, texts: DataFrame, usage: DataFrame | None = None) -> DataFrame:
@@ -49,6 +53,15 @@ def write_records(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
+def record_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """A writer for foreachBatch, or for batches by hand: each batch is flushed to its own folder, a repeated one replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").json(f"{path}/batch={batch_id}")
+
+    return write
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """A summary of few rows as one file."""
     summary.coalesce(1).write.mode("overwrite").json(path)
@@ -88,5 +101,9 @@ def example_json(annotations: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def write_texts(texts: DataFrame, path: str) -> None:
-    """The source_text of each document as text files."""
-    texts.select("source_text").write.mode("overwrite").text(path)
+    """The source_text of each document as a text file in a folder named by its doc_id (read_texts reads them back)."""
+    texts.select("doc_id", "source_text").write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("doc_id").cast("string"), F.regexp_replace("value", "\n$", "").alias("source_text"))

@@ -60,14 +60,13 @@ INJECTED_TITLES = {
     "术语和定义": ["定义与术语", "定义", "术语", "术语定义", "名词解释", "缩略语和术语", "定义与缩略语"],
     "参考文献": ["参考资料", "文献参考", "引用文献", "参考标准列表", "Bibliography"],
 }
+INJECTED_APPENDIX_TITLES = {
+    "规范性": ["附录X（参考性）", "附录X（强制性）", "规范性附录X", "附录X", "附件X（规范性）"],
+    "资料性": ["附录X（参考性）", "附录X（信息性）", "资料性附录X", "附录X（说明性）", "附件X（资料性）"],
+}
 VAGUE = [("应", "尽量"), ("应", "最好"), ("应", "一般"), ("宜", "尽量"), ("宜", "最好"), ("可", "一般")]
 SAFETY = ["安全", "防护", "禁止", "危险", "保护", "故障", "泄漏", "爆炸"]
-FAKE_STANDARDS = [
-    "GB/T 99999—2020 电工产品虚拟测试方法",
-    "GB/T 88888—2019 高原设备通用规范",
-    "IEC 00001:2021 Dummy standard for testing",
-    "GB/T 77777—2022 通用电气装置安全规范",
-    "GB 66666—2018 工业用电设备安装规程",
-]
+# Standards that do not exist.
+FAKE_STANDARDS = ["GB/T 91001—2031 虚构仪表 校准导则", "GB/T 91002—2032 虚构管件 尺寸", "ISO 91003:2033 Invented vessels", "GB 91004—2034 虚构涂层 试验条件"]
 # Metric constants.
 MISS_DECAY, NOISE_WEIGHT, NOISE_SCALE = 1.0, 0.15, 100.0
