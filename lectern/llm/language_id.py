@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import raw_bytes, sliced
 
-#: Units of each direction; bytes of a window, whose first state is zero; windows and text bytes read at once.
-UNITS, WINDOW, WINDOWS, STEP = 8, 128, 4096, 2 << 20
-#: Training: documents of each language, windows of each of them, bytes of a window, windows of a step, steps.
-SAMPLE, PER_DOC, TRAIN_WINDOW, BATCH, STEPS = 300, 6, 64, 192, 300
+#: Units of each direction; bytes of a window, and of the text before and behind it that lead the states in; windows and text bytes read at once.
+UNITS, WINDOW, LEAD, WINDOWS, STEP = 8, 512, 64, 1024, 2 << 20
+#: Training: documents of each language, bytes of a window, windows of a step, steps.
+SAMPLE, TRAIN_WINDOW, BATCH, STEPS = 300, 64, 192, 300
 NO_LANGUAGE = "und"
 
 
@@ -27,10 +27,11 @@ def _windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     return offsets[of] + within * width, np.minimum(width, size[of] - within * width), of
 
 
-def _cut(data: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
-    """Bytes of windows, a row each; zero after a text's end."""
-    at = np.arange(width)
-    return np.where(at < size[:, None], data[np.minimum(first[:, None] + at, len(data) - 1)], 0)
+def _cut(data: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, lead: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of windows with lead bytes more on each side, a row each, and which of them are in the text (low to high)."""
+    at = first[:, None] + np.arange(-lead, width + lead)
+    inside = (at >= low[:, None]) & (at < high[:, None])
+    return np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0), inside
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -47,11 +48,12 @@ class Network:
         self.p |= {"o": rng.normal(0, 0.4, (2 * h, len(languages))), "c": np.zeros(len(languages))}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def states(self, bytes_: np.ndarray, way: str, keep: bool = False):
-        """States of one direction (steps x windows x units), and what backpropagation needs if keep."""
+    def states(self, bytes_: np.ndarray, way: str, inside: np.ndarray, keep: bool = False):
+        """States of one direction (steps x windows x units), zero outside a text, and what backpropagation needs if keep."""
         h, (n, steps) = UNITS, bytes_.shape
         table, u = self.p["x" + way], self.p["u" + way]
         state, out, kept = np.zeros((n, h), np.float32), np.empty((steps, n, h), np.float32), []
+        mask = inside.T[..., None].astype(np.float32)
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
             x, r = table[bytes_[:, t]], state @ u
             gates = _sigmoid(x[:, : 2 * h] + r[:, : 2 * h])
@@ -59,7 +61,7 @@ class Network:
             new = np.tanh(x[:, 2 * h :] + reset * r[:, 2 * h :])
             if keep:
                 kept.append((t, state, reset, update, new, r[:, 2 * h :]))
-            state = new + update * (state - new)
+            state = (new + update * (state - new)) * mask[t]
             out[t] = state
         return out, kept
 
@@ -68,14 +70,15 @@ class Network:
         score = np.exp(score - score.max(-1, keepdims=True))
         return score / score.sum(-1, keepdims=True)
 
-    def label(self, bytes_: np.ndarray) -> np.ndarray:
-        """Probabilities of each language at each position: steps x windows x languages."""
-        return self.probabilities(np.concatenate([self.states(bytes_, "f")[0], self.states(bytes_, "b")[0]], -1))
+    def label(self, bytes_: np.ndarray, inside: np.ndarray, lead: int = 0) -> np.ndarray:
+        """Probabilities of each language at each position but the lead on both sides: steps x windows x languages."""
+        own = slice(lead, bytes_.shape[1] - lead)
+        return self.probabilities(np.concatenate([self.states(bytes_, d, inside)[0][own] for d in "fb"], -1))
 
     def gradients(self, bytes_: np.ndarray, mask: np.ndarray, gold: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross entropy of all positions, by backpropagation through time."""
         h, g = UNITS, {k: np.zeros_like(v) for k, v in self.p.items()}
-        runs = {d: self.states(bytes_, d, keep=True) for d in "fb"}
+        runs = {d: self.states(bytes_, d, mask, keep=True) for d in "fb"}
         both = np.concatenate([runs["f"][0], runs["b"][0]], -1)
         error = self.probabilities(both)
         error[:, np.arange(len(gold)), gold] -= 1
@@ -85,7 +88,7 @@ class Network:
         for i, d in enumerate("fb"):
             u, later = self.p["u" + d], np.zeros((len(gold), h), np.float32)
             for t, before, reset, update, new, r_new in reversed(runs[d][1]):
-                now = down[t, :, i * h : (i + 1) * h] + later
+                now = (down[t, :, i * h : (i + 1) * h] + later) * mask[:, t, None]
                 d_new = now * (1 - update) * (1 - new * new)
                 d_update = now * (before - new) * update * (1 - update)
                 d_reset = d_new * r_new * reset * (1 - reset)
@@ -95,14 +98,16 @@ class Network:
                 later = now * update + inner @ u.T
         return g
 
-    def fit(self, windows: np.ndarray, mask: np.ndarray, gold: np.ndarray, steps: int = STEPS, rate: float = 0.03) -> Network:
-        """Adam steps on batches in which each language has equal weight."""
+    def fit(self, windows: np.ndarray, mask: np.ndarray, gold: np.ndarray, of: np.ndarray | None = None, steps: int = STEPS, rate: float = 0.03) -> Network:
+        """Adam steps on batches in which each language has equal weight, and each text (of: in order) within it."""
         rng = np.random.default_rng(11)
-        groups = [np.flatnonzero(gold == i) for i in range(len(self.languages))]
+        _, begin, count = np.unique(np.arange(len(gold)) if of is None else of, return_index=True, return_counts=True)
+        groups = [np.flatnonzero(gold[begin] == i) for i in range(len(self.languages))]
         groups = [x for x in groups if len(x)]
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(x, max(1, BATCH // len(groups))) for x in groups])
+            text = np.concatenate([rng.choice(x, max(1, BATCH // len(groups))) for x in groups])
+            pick = begin[text] + rng.integers(0, count[text])
             for k, g in self.gradients(windows[pick], mask[pick], gold[pick]).items():
                 first[k] += 0.1 * (g - first[k])
                 second[k] += 0.01 * (g * g - second[k])
@@ -118,8 +123,8 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Network | None:
     """A network learned from about sample labelled documents of each language, none of them held out.
 
-    The sample is those whose id's hash is below the share that the language's count allows; of each,
-    PER_DOC windows at even distances. None without labelled text.
+    The sample is those whose id's hash is below the share that the language's count allows; their whole
+    texts are cut into windows, and a step draws texts and windows of these. None without labelled text.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -127,17 +132,15 @@ def train(docs: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_co
         return None
     rate = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in sorted(counts.items())])
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < rate * (1 << 30))
-    cut = TRAIN_WINDOW * 2
-    place = lambda i: F.expr(f"cast(greatest(length(text) - {cut}, 0) * {i} / {max(1, PER_DOC - 1)} as int) + 1")
-    rows = picked.select("lang", "id", F.array_distinct(F.array(*[F.col("text").substr(place(i), F.lit(cut)) for i in range(PER_DOC)])).alias("cuts")).collect()
-    languages = sorted(counts)
-    pairs = [(c.encode()[:TRAIN_WINDOW], languages.index(r["lang"])) for r in sorted(rows, key=lambda r: (r["lang"], r["id"], r["cuts"])) for c in r["cuts"] if c]
-    if not pairs:
+    rows = sorted(picked.select("lang", "id", "text").where("text <> ''").collect(), key=lambda r: (r["lang"], r["id"], r["text"]))
+    if not rows:
         return None
-    windows, mask = np.zeros((len(pairs), TRAIN_WINDOW), np.uint8), np.zeros((len(pairs), TRAIN_WINDOW), bool)
-    for i, (c, _) in enumerate(pairs):
-        windows[i, : len(c)], mask[i, : len(c)] = np.frombuffer(c, np.uint8), True
-    return Network(languages).fit(windows, mask, np.array([y for _, y in pairs]))
+    languages = sorted(counts)
+    raw = [r["text"].encode() for r in rows]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    first, size, of = _windows(data, offsets, TRAIN_WINDOW)
+    windows, mask = _cut(data, first, first, first + size, TRAIN_WINDOW)
+    return Network(languages).fit(windows.astype(np.uint8), mask, np.array([languages.index(r["lang"]) for r in rows])[of], of)
 
 
 def _predictor(network: Network) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -147,11 +150,13 @@ def _predictor(network: Network) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 data, offsets = raw_bytes(part.column("text"))
                 first, size, of = _windows(data, offsets, WINDOW)
                 pooled = np.zeros((len(part), len(network.languages)))
+                order = np.argsort(size, kind="stable")  # short windows together
                 for at in range(0, len(first), WINDOWS):
-                    n = size[at : at + WINDOWS]
-                    chance = network.label(_cut(data, first[at : at + WINDOWS], n, WINDOW))
-                    chance *= (np.arange(WINDOW)[:, None] < n)[..., None]
-                    np.add.at(pooled, of[at : at + WINDOWS], chance.sum(0, dtype=np.float64))
+                    some = order[at : at + WINDOWS]
+                    n, width = size[some], int(size[some].max())
+                    chance = network.label(*_cut(data, first[some], offsets[of[some]], offsets[of[some] + 1], width, LEAD), LEAD)
+                    chance *= (np.arange(width)[:, None] < n)[..., None]
+                    np.add.at(pooled, of[some], chance.sum(0, dtype=np.float64))
                 pooled /= np.maximum(1, np.diff(offsets))[:, None]
                 best = pooled.argmax(1)
                 columns = [part.column("id"), part.column("fold"), part.column("letters"), pa.array([network.languages[i] for i in best], pa.string()), pa.array(np.minimum(1.0, pooled[np.arange(len(best)), best]))]
@@ -163,7 +168,9 @@ def _predictor(network: Network) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 def predict_language(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred and score (the mean of that language's probability over all positions).
 
-    All windows of a whole text are read. Null text, and text without a letter, is "und" with score 0, as is
+    All of a whole text is read, in windows whose states are led in by LEAD bytes of the text before and behind
+    them, so a position's label depends on the text around its window too. Ties go to the first language in
+    alphabetical order. Null text, and text without a letter, is "und" with score 0, as is
     all text without a network. Null ids and repeated rows stay; an empty table gives no rows; only id and
     text are read.
     """
