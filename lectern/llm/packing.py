@@ -85,7 +85,7 @@ def pack(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity:
 
 def _shard_packer(capacity: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["size", "id", "row_id"], ascending=[False, True, True]).reset_index(drop=True)
+        rows = rows.sort_values(["size", "id", "source", "cluster", "copy"], ascending=[False, True, True, True, True]).reset_index(drop=True)
         clusters = pd.factorize(rows["cluster"])[0]
         clusters[~rows["cluster"].duplicated(keep=False).to_numpy()] = -1  # alone here: no conflict
         found = pd.DataFrame(pack(rows["size"].to_numpy(), pd.factorize(rows["source"])[0], pd.factorize(clusters)[0] - (clusters < 0) * len(rows), capacity), columns=["i", "piece", "start", "n_tokens", "bin", "bin_offset"])
@@ -100,13 +100,15 @@ def best_fit_packing(docs: DataFrame, capacity: int = 8192, id_col: str = "doc_i
 
     A document's tokens are the bytes of its whole text and one end token. No bin holds two documents of one
     source, or of one duplicate cluster (texts equal without case and white space). Rows are dealt by a hash
-    of themselves into shards of about SHARD_ROWS, whatever their source, and each shard is packed best-fit,
-    longest first. Null text is the end token alone; a null source conflicts with none; null ids and repeated
-    rows stay; an empty table gives no rows; other columns are not read.
+    of their values into shards of about SHARD_ROWS, so the result does not depend on how files are split, and
+    each shard is packed best-fit, longest first, ties by id, source and cluster. Null text is the end token
+    alone; a null source conflicts with none; null ids and repeated rows stay (numbered, so that many equal
+    rows spread over the shards); an empty table gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.xxhash64(F.lower(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""))).alias("cluster"))
-    slim = stored(slim.withColumn("row_id", F.monotonically_increasing_id()), "packing")
+    counted = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("rows"))
+    slim = stored(counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "rows"))).drop("rows"), "packing")
     shards = max(1, -(-slim.count() // SHARD_ROWS))
-    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("id", "row_id"), F.lit(shards)))
+    dealt = slim.withColumn("shard", F.pmod(F.xxhash64("id", "source", "size", "cluster", "copy"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_shard_packer(capacity), "doc_id bigint, piece bigint, start bigint, n_tokens bigint, bin_id bigint, bin_offset bigint")
