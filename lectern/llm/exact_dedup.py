@@ -1,4 +1,4 @@
-"""Exact deduplication by a tree merge of sorted digest runs, in DataFrame operations only."""
+"""Exact deduplication by a binomial tree merge of sorted digest runs, in DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import SPACE, stored, text_or_empty
 
-#: Runs that meet in one merge, and rounds of merging; FAN ** ROUNDS runs begin.
-FAN, ROUNDS = 8, 2
 KEY = ["digest", "size", "check"]
 #: Stands for a null id while rows are joined.
 NO_ID = -(1 << 63)
@@ -20,7 +18,7 @@ def normalised(text: Column) -> Column:
 
 
 def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One slim row per row of docs, dealt into FAN ** ROUNDS runs, stored for all later rounds.
+    """One slim row per row of docs, stored for all later rounds; each partition of docs is a run.
 
     A text's key is the SHA-256 digest of its normalised form, verified by that form's length and an
     independent 64-bit hash. row_id tells repeated rows apart.
@@ -28,22 +26,28 @@ def digest_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     short = docs.select(F.col(id_col).cast("bigint").alias("id"), normalised(F.col(text_col)).alias("t"), F.length(text_or_empty(text_col)).alias("points"))
     slim = short.select(
         "id", "points", F.unhex(F.sha2("t", 256)).alias("digest"), F.octet_length("t").alias("size"), F.xxhash64("t").alias("check"), F.monotonically_increasing_id().alias("row_id"),
+        F.spark_partition_id().alias("run"),
     )
-    return stored(slim.withColumn("run", F.pmod(F.xxhash64("id", "row_id"), F.lit(FAN**ROUNDS)).cast("int")), "digest-runs")
+    return stored(slim, "digest-runs")
 
 
 def tree_merge(runs: DataFrame) -> DataFrame:
-    """The winner and size of each group of equal keys.
+    """The winner and size of each group of equal keys, by a binomial tree of exchanges between runs.
 
-    First each run is sorted by key and reduced to one entry per key. Then, in each round, FAN runs whose
-    numbers share all but their lowest digits exchange entries and merge, keeping the best entry per key:
-    most code points, then smallest id. A group of any size so reaches a task as FAN entries at most.
+    First each run is sorted by key and reduced to one entry per key. In each round run 2 i and run 2 i + 1
+    exchange entries: of each part of the digests one of two tasks gets both runs' entries and merges them,
+    the other the next part, so that runs halve, parts double, and as many tasks are busy as before. A merge
+    keeps the best entry of equal keys (digest, length and second hash): most code points, then smallest id.
+    There are log2(runs) rounds; a group of any size reaches a task as one entry per run.
     """
     best = F.struct((-F.col("points")).alias("points"), F.col("id").isNull().alias("no_id"), "id", "row_id")
-    level = runs.groupBy("run", *KEY).agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n"))
-    for _ in range(ROUNDS):
-        level = level.withColumn("run", F.shiftright("run", FAN.bit_length() - 1)).groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-    return level.drop("run")
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    level = runs.select("run", F.lit(0).cast("bigint").alias("part"), *KEY, best.alias("best"), F.lit(1).cast("bigint").alias("n"))
+    merge = lambda df: df.repartition(parts, "run", "part").groupBy("run", "part", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    level, last = merge(level), runs.agg(F.max("run")).first()[0] or 0
+    for bits in range(1, last.bit_length() + 1):
+        level = merge(level.withColumns({"run": F.shiftright("run", 1), "part": F.shiftrightunsigned("check", 64 - bits)}))
+    return level.drop("run", "part")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,7 +65,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup drops, with all their columns."""
+    """docs without the rows that exact_dedup drops, with all their columns; nulls, repeated rows and empty tables as there."""
     own = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own.alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
     kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_sha256").alias("sha"))
