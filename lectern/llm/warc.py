@@ -7,22 +7,23 @@ import hashlib
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from datetime import UTC, datetime, timedelta
-from itertools import accumulate, islice, takewhile
+from itertools import islice, takewhile
 from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import open_fs, stored
+from lectern.operators.storage import numbered
 
 #: Runs that one merge reads; keys that a run names to divide the key space; entries per Arrow batch.
 FAN, NAMED, ENTRIES = 64, 16, 2000
 #: Bytes of a run that are read at once.
 BLOCK = 1 << 16
 #: Capture time of page 0; a page's own is page_id seconds later, within EPOCH_SECONDS.
-EPOCH, EPOCH_SECONDS = datetime(2020, 1, 1, tzinfo=UTC), 10**9
+EPOCH, EPOCH_SECONDS = datetime(2020, 1, 1, tzinfo=UTC), 250 * 10**9
 _INDEX = "key string, ts string, page bigint, file string, at bigint, size bigint"
 
 
@@ -205,8 +206,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> None:
 
     Of rows whose payloads (html in UTF-8; null: empty) are equal and least bytes or longer, those with the
     smallest page_id are responses, the others revisit it. Runs are merged FAN at a time by loser trees, each
-    merge over one part of the key space, until one run is left for each part; index.txt names these in order
-    with the number of entries before them.
+    merge over one part of the key space, until one run is left for each part; the table index names these with
+    the number of entries before them. Runs, keys that divide the key space and merges are tables throughout.
     """
     spark = pages.sparkSession
     body = F.coalesce(F.col("html"), F.lit(""))
@@ -214,36 +215,33 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> None:
     first = stored(rows.groupBy("sha").agg(F.min("page_id").alias("first")), "first-captures")  # so that the join splits a payload with many rows
     revisit = ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least)
     marked = rows.join(first, "sha").select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("first_id"))
-    named = marked.mapInArrow(_writer(folder), "run string, key string, ts string, page bigint").collect()
-    keys = sorted({(r["key"], r["ts"], r["page"]) for r in named})
-    own = [[(None, r)] for r in sorted({r["run"] for r in named})]  # runs, each of segments with the key where they begin
-    level = 0
-    while len(own) > 1 or not level:
-        groups = max(1, -(-len(own) // FAN))
-        parts = max(1, min(len(keys), FAN**level if groups > 1 else max(FAN**level, len(own))))  # as many merges on each level as runs go in
-        cuts = [None, *(keys[i * len(keys) // parts] for i in range(1, parts)), None]
-        meet = lambda o, low, high: [n for (a, n), b in zip(o, [*(x for x, _ in o[1:]), None]) if (high is None or a is None or a < high) and (low is None or b is None or b > low)]
-        jobs = [(level, g, p, [n for o in own[g * FAN : g * FAN + FAN] for n in meet(o, cuts[p], cuts[p + 1])], cuts[p], cuts[p + 1]) for g in range(groups) for p in range(parts)]
-        triple = "struct<key:string,ts:string,page:bigint>"
-        work = spark.createDataFrame(jobs, f"level int, group bigint, part bigint, runs array<string>, low {triple}, high {triple}").repartition(len(jobs))
-        made = work.mapInArrow(_merger(folder), "group bigint, part bigint, run string, n bigint").collect()
-        names = {(r["group"], r["part"]): r["run"] for r in made}
-        own = [[(cuts[p], names[g, p]) for p in range(parts)] for g in range(groups)]
-        level += 1
-    counts = {r["part"]: r["n"] for r in made}
-    bases = accumulate((counts[p] for p in range(parts)), initial=0)
-    system, path = open_fs(folder)
-    system.create_dir(path, recursive=True)
-    with system.open_output_stream(f"{path}/index.txt") as f:
-        f.write("".join(f"{own[0][p][1]}\t{b}\n" for p, b in zip(range(parts), bases)).encode())
+    named = stored(marked.mapInArrow(_writer(folder), "run string, key string, ts string, page bigint"), "named-keys")
+    keys = numbered(named.select("key", "ts", "page").distinct(), ["key", "ts", "page"], "rank")
+    archives = numbered(named.select("run").distinct(), ["run"], "at")
+    n_keys, total = keys.count(), archives.count()
+    edge = keys.select("rank", F.struct("key", "ts", "page").alias("edge"))
+    # Runs of a level: grp (their place among those of their part), part (of the key space) and the file.
+    made = archives.select((F.col("at") - 1).cast("bigint").alias("grp"), F.lit(0).cast("bigint").alias("part"), "run", F.lit(0).cast("bigint").alias("n"))
+    n_runs, parts, level = total, 1, 0
+    while n_runs > 1 or not level:
+        n_runs = max(1, -(-n_runs // FAN))
+        # As many merges on each level as archives at most: fewer runs, more parts of the key space.
+        split = max(1, min((FAN if level else 1) if n_runs > 1 else -(-total // parts), n_keys // parts))
+        parts *= split
+        cuts = spark.range(parts).select(F.col("id").alias("part"), F.expr(f"id * {n_keys} div {parts} + 1").alias("from"), F.expr(f"(id + 1) * {n_keys} div {parts} + 1").alias("to"))
+        cuts = cuts.join(edge.toDF("from", "low"), "from", "left").join(edge.toDF("to", "high"), "to", "left")
+        cuts = cuts.select("part", F.when(F.col("part") > 0, F.col("low")).alias("low"), F.when(F.col("part") < parts - 1, F.col("high")).alias("high"))
+        own = made.groupBy(F.floor(F.col("grp") / FAN).cast("bigint").alias("group"), "part").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+        work = own.select("group", "runs", F.explode(F.sequence(F.col("part") * split, F.col("part") * split + split - 1)).alias("part")).join(cuts, "part")
+        jobs = work.select(F.lit(level).alias("level"), "group", "part", "runs", "low", "high").repartition(max(1, n_runs * parts), "group", "part")
+        done = stored(jobs.mapInArrow(_merger(folder), "group bigint, part bigint, run string, n bigint"), "merged-runs")
+        made, level = done.withColumnRenamed("group", "grp"), level + 1
+    along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    made.select("part", "run", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("base")).write.parquet(f"{folder}/index")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """Merged index entries with their global rank: key, ts, page, file, at, size, rank."""
-    system, path = open_fs(folder)
-    with system.open_input_stream(f"{path}/index.txt") as f:
-        segments = [(a, int(b)) for a, b in (line.split("\t") for line in f.read().decode().splitlines())]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, root = open_fs(folder)
         for job in (x for b in batches for x in b.to_pylist()):
@@ -257,8 +255,8 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
             if held:
                 yield pa.record_batch([pa.array(c) for c in zip(*held, strict=True)], ["key", "ts", "page", "file", "at", "size", "rank"])
 
-    work = spark.createDataFrame(segments, "run string, base bigint").repartition(max(1, len(segments)))
-    return work.mapInArrow(run, f"{_INDEX}, rank bigint")
+    segments = spark.read.parquet(f"{folder}/index").select("run", "base")
+    return segments.repartition(max(1, segments.count())).mapInArrow(run, f"{_INDEX}, rank bigint")
 
 
 def _record_reader(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
