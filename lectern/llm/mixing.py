@@ -233,9 +233,14 @@ def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_
 
 
 def mixed_rows(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each row as often as mixture() says, with all columns; no shuffle of texts."""
+    """docs with each row as often as mixture() says, with all columns; no shuffle of texts.
+
+    Null and empty texts have the classifier's prior; repeated rows get equal copies; null ids stay; an empty table gives no rows.
+    """
     model = train(docs, labelled, id_col=id_col, text_col=text_col)
-    key = "__row_key"
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
     slim = docs.select(F.lit(0).cast("bigint").alias("id"), _uniform(id_col, text_col), text_or_empty(text_col).alias("text"))
     members = stored(slim.mapInArrow(_classifier_stage(model), "id bigint, row_key double, n_tokens bigint, posterior array<double>"), "posteriors")
     dual, _ = fit_rates(members, len(model.domains), _shares(model.domains, targets))

@@ -61,8 +61,8 @@ def test_language(docs, none):
 def test_gradients_by_difference():
     net, rng = language_id.Network(["a", "b"]), np.random.default_rng(0)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    data, mask, gold = rng.integers(0, 256, (3, 5)), np.ones((3, 5), bool), np.array([0, 1, 0])
-    loss = lambda: -np.log(np.take_along_axis(net.label(data), gold[None, :, None], 2)).mean()
+    data, mask, gold = rng.integers(0, 256, (3, 5)), np.arange(5) < np.array([[5], [3], [5]]), np.array([0, 1, 0])
+    loss = lambda: -np.log(np.take_along_axis(net.label(data, mask), gold[None, :, None], 2))[..., 0][mask.T].mean()
     grads = net.gradients(data, mask, gold)
     for k in net.p:
         at = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
@@ -75,6 +75,23 @@ def test_gradients_by_difference():
         assert abs((up - down) / (2 * step) - grads[k][at]) < 1e-3
 
 
+def test_windows_are_led_in(spark):
+    rng, lead = np.random.default_rng(1), language_id.LEAD
+    net = language_id.Network(["a", "b"])
+    data = rng.integers(0, 256, 1500)
+    whole = net.label(data[None], np.ones((1, 1500), bool))[:, 0]
+    first = np.array([0, 512, 1024])
+    cut, inside = language_id._cut(data, first, np.zeros(3, int), np.full(3, 1500), 512, lead)
+    parts = net.label(cut, inside, lead)
+    assert np.abs(np.concatenate([parts[:, i] for i in range(3)])[:1500] - whole).max() < 0.01
+
+
+def test_packing_ignores_partitions(spark):
+    rows = [(i, "x" * (i % 37 + 1), f"s{i % 5}") for i in range(300)] + [(7, "y" * 20, "s1")] * 4
+    pack = lambda n: sorted(map(str, packing.best_fit_packing(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(n), 100).collect()))
+    assert pack(1) == pack(5)
+
+
 def test_packing(docs, none):
     rows = packing.best_fit_packing(docs, 1000).collect()
     assert sum(r["n_tokens"] for r in rows) == sum(len((r[1] or "").encode()) + 1 for r in ROWS)
