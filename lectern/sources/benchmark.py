@@ -106,4 +106,4 @@ def write_texts(texts: DataFrame, path: str) -> None:
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("doc_id").cast("string"), F.regexp_replace("value", "\n$", "").alias("source_text"))
+    return spark.read.text(path, wholetext=True).select(F.col("doc_id").cast("string"), F.regexp_replace("value", r"\n\z", "").alias("source_text"))

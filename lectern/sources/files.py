@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import io
+import struct
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.sections import NUMBERED_HEADING, PLAIN_HEADING, carried, is_noise, islands, preprocessed, split_nested, without_contents_table
+from lectern.functions import replies
+from lectern.operators import review
+from lectern.operators.sections import NUMBERED_HEADING, PLAIN_HEADING, carried, continued, is_noise, islands, preprocessed, split_nested, without_contents_table
+from lectern.operators.storage import stored
 
 # Words of which a readable first part of a standard holds one.
 READABLE = ["前言", "引言", "范围", "规范性", "标准", "要求", "术语"]
@@ -113,6 +120,11 @@ def _by_file(files: DataFrame, read: Callable[[bytes], list[tuple]], columns: st
 def docx_paragraphs(files: DataFrame) -> DataFrame:
     """Paragraphs of DOCX files, each with the number and title of the section it stands in."""
     rows = _by_file(files, _paragraphs, "index int, text string, style string, font_name string, font_size double, is_bold boolean, is_italic boolean")
+    return in_sections(rows)
+
+
+def in_sections(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, index, text) with the number and title of the last numbered heading up to each."""
     number, title = (F.nullif(F.regexp_extract("text", r"^(\d+(?:\.\d+)*)\s+(.+)$", i), F.lit("")) for i in (1, 2))
     marked = rows.withColumns({"n": number, "t": F.when(number.isNotNull(), title)})
     return marked.withColumns({"section": F.coalesce(carried("n", ["doc_id"], ["index"]), F.lit("")), "section_title": F.coalesce(carried("t", ["doc_id"], ["index"]), F.lit(""))}).drop("n", "t")
@@ -123,19 +135,57 @@ def docx_cells(files: DataFrame) -> DataFrame:
     return _by_file(files, _cells, "table int, row int, col int, text string")
 
 
-def stitched(pages: list[bytes]) -> bytes:
-    """Page images one below the other as one PNG; needs Pillow."""
-    from PIL import Image
+def _pixels(png: bytes) -> np.ndarray:
+    """Rows, columns and channels of an 8-bit PNG without interlacing."""
+    at, data, head, palette = 8, b"", b"", None
+    while at < len(png):
+        size, kind = struct.unpack(">I4s", png[at : at + 8])
+        body = png[at + 8 : at + 8 + size]
+        head, data, palette = (body if kind == b"IHDR" else head), data + body * (kind == b"IDAT"), (body if kind == b"PLTE" else palette)
+        at += size + 12
+    width, height, depth, color, _, _, interlaced = struct.unpack(">IIBBBBB", head)
+    if depth != 8 or interlaced:
+        raise ValueError("only 8-bit PNG without interlacing")
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * channels)
+    out = np.zeros((height + 1, width + 1, channels), np.int64)  # a row above and a column before, as filters ask for
+    for y in range(height):
+        kind, line = int(raw[y, 0]), raw[y, 1:].reshape(width, channels).astype(np.int64)
+        up = out[y, 1:]
+        if kind in (0, 2):
+            out[y + 1, 1:] = (line + (up if kind else 0)) & 255
+        elif kind == 1:
+            out[y + 1, 1:] = np.cumsum(line, 0) & 255
+        else:
+            for x in range(width):
+                left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+                guess = (left + above) // 2
+                if kind == 4:
+                    base = left + above - corner
+                    a, b, c = np.abs(base - left), np.abs(base - above), np.abs(base - corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
+                out[y + 1, x + 1] = (line[x] + guess) & 255
+    image = out[1:, 1:].astype(np.uint8)
+    if color == 3:
+        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[image[..., 0]]
+    return np.repeat(image[..., :1], 3, 2) if channels < 3 else image[..., :3]
+
+
+def _png(image: np.ndarray) -> bytes:
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    lines = np.concatenate([np.zeros((len(image), 1), np.uint8), image.reshape(len(image), -1)], 1)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + part(b"IEND", b"")
+
 
-    images = [Image.open(io.BytesIO(p)).convert("RGB") for p in pages]
-    whole = Image.new("RGB", (max(i.width for i in images), sum(i.height for i in images)), "white")
+def stitched(pages: list[bytes]) -> bytes:
+    """Page images (PNG) one below the other, on white, as one PNG."""
+    images = [_pixels(p) for p in pages]
+    whole = np.full((sum(len(x) for x in images), max(x.shape[1] for x in images), 3), 255, np.uint8)
     y = 0
-    for image in images:
-        whole.paste(image, (0, y))
-        y += image.height
-    out = io.BytesIO()
-    whole.save(out, "PNG")
-    return out.getvalue()
+    for x in images:
+        whole[y : y + len(x), : x.shape[1]] = x
+        y += len(x)
+    return _png(whole)
 
 
 def page_chunks(pages: DataFrame, size: int) -> DataFrame:
@@ -143,3 +193,96 @@ def page_chunks(pages: DataFrame, size: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page")) - 1
     rows = pages.withColumn("chunk", F.floor(nth / size).cast("int"))
     return rows.groupBy("doc_id", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda r: r["text"]), "\n").alias("text"))
+
+
+def sections_of_pdfs(files: DataFrame, extract: Callable[[bytes], list[str]], client: Callable[..., str] | None = None, look: Callable[[str, list[bytes]], str] | None = None, render: Callable[[bytes], list[bytes]] | None = None, ocr: Callable[[bytes], str] | None = None, chunk: int = 5) -> DataFrame:
+    """Sections of PDF files (path, content) by the route that fits each: doc_id, ord, section_number, title, content.
+
+    extract gives a file's page texts. Without client: patterns. With one, readable text goes to it, chunk
+    pages at a time; the pages of unreadable files are rendered to images for look, or read by ocr and parsed
+    by patterns where there is no look. Repeated sections at chunk borders merge; files whose calls all fail
+    have no rows.
+    """
+    pages = page_texts(files, extract)
+    sample = pages.where("page < 3").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda r: r["text"]), "\n").alias("sample"))
+    route = stored(sample.select("doc_id", strategy(F.col("sample"), client is not None).alias("route")), "routes")
+    by = lambda name: pages.join(route.where(F.col("route") == name).select("doc_id"), "doc_id", "left_semi")
+    made = [sections_of_pages(by("regex"))]
+    if client is not None:
+        made.append(sections_of_chunks(page_chunks(by("text"), chunk), client))
+        unread = files.join(route.where("route = 'vision'").select(F.col("doc_id").alias("path")), "path", "left_semi")
+        if render is not None and look is not None:
+            made.append(sections_of_images(unread, render, look, chunk))
+        elif render is not None and ocr is not None:
+            made.append(sections_of_pages(page_texts(unread, lambda content: [ocr(image) for image in render(content)])))
+    return reduce(DataFrame.unionByName, [m.select("doc_id", F.col("ord").cast("int").alias("ord"), "section_number", "title", "content") for m in made])
+
+
+_SPLIT = "把下面的标准文本按章节切分，只返回 JSON 数组，元素含 section_number（无编号为 null）、title、content，正文保持原样。\n"
+
+
+def _of_replies(replied: DataFrame) -> DataFrame:
+    rows = replied.where(~F.col("failed")).select("doc_id", "chunk", F.posexplode(replies.section_rows(F.col("reply"))).alias("ord", "s"))
+    return continued(rows.select("doc_id", "chunk", "ord", "s.*"))
+
+
+def sections_of_chunks(chunks: DataFrame, client: Callable[..., str]) -> DataFrame:
+    """Sections that a model finds in chunks (doc_id, chunk, text), merged at chunk borders."""
+    return _of_replies(stored(review.asked(chunks.select("doc_id", "chunk", F.concat(F.lit(_SPLIT), "text").alias("prompt")), client), "parsed-chunks"))
+
+
+def sections_of_images(files: DataFrame, render: Callable[[bytes], list[bytes]], look: Callable[[str, list[bytes]], str], chunk: int) -> DataFrame:
+    """Sections that a model reads off page images, chunk pages at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                images = render(bytes(content))
+                for n, at in enumerate(range(0, len(images), chunk)):
+                    try:
+                        reply, failed = look(_SPLIT, images[at : at + chunk]), False
+                    except Exception:  # noqa: BLE001  any failure of a service is no answer
+                        reply, failed = None, True
+                    yield pd.DataFrame({"doc_id": [path], "chunk": [n], "reply": [reply], "failed": [failed]})
+
+    return _of_replies(stored(files.mapInPandas(run, "doc_id string, chunk int, reply string, failed boolean"), "read-images"))
+
+
+def pdf_blocks(files: DataFrame, blocks: Callable[[bytes], list[tuple]]) -> DataFrame:
+    """Text blocks of PDF files, each with the section it stands in.
+
+    blocks gives a file's (page, text, x0, y0, x1, y1, font_name, font_size) in reading order. Blank blocks fall away.
+    """
+    rows = _by_file(files, lambda content: [(i, *x) for i, x in enumerate(y for y in blocks(content) if (y[1] or "").strip())], "index int, page int, text string, x0 double, y0 double, x1 double, y1 double, font_name string, font_size double")
+    return in_sections(rows.withColumn("text", F.trim("text")))
+
+
+def _properties(content: bytes) -> list[tuple]:
+    """(name, value) of a DOCX file's core properties and the number of its paragraphs and tables."""
+    found = {"paragraphs": str(len(_paragraphs(content)))}
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ET.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        found["tables"] = str(len(body.findall(f"{_W}tbl")))
+        if "docProps/core.xml" in z.namelist():
+            found |= {x.tag.rpartition("}")[2]: (x.text or "").strip() for x in ET.fromstring(z.read("docProps/core.xml"))}
+    return sorted(found.items())
+
+
+def docx_properties(files: DataFrame) -> DataFrame:
+    """Core properties of DOCX files in long form: doc_id, name, value."""
+    return _by_file(files, _properties, "name string, value string")
+
+
+def load(spark: SparkSession, path: str, blocks: Callable[[bytes], list[tuple]] | None = None) -> DataFrame:
+    """Paragraphs or blocks of all files of a folder by their suffix: doc_id, index, text, section, section_title.
+
+    .docx and .pdf in any case; others fail the query. PDF needs blocks (see pdf_blocks).
+    """
+    found = scan(spark, path, "*").withColumn("format", file_format(F.col("path")))
+    docs = stored(found, "loaded", by="format")
+    columns = ["doc_id", "index", "text", "section", "section_title"]
+    made = docx_paragraphs(docs.where("format = 'docx'")).select(*columns)
+    pdf = docs.where("format = 'pdf'")
+    if blocks is None:
+        return made.unionByName(pdf.select(F.raise_error(F.lit("PDF files need a function of their blocks")).cast("string").alias("doc_id"), F.lit(0).alias("index"), F.lit("").alias("text"), F.lit("").alias("section"), F.lit("").alias("section_title")))
+    return made.unionByName(pdf_blocks(pdf, blocks).select(*columns))
