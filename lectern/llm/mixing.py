@@ -238,18 +238,19 @@ def mixed_rows(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     Null and empty texts have the classifier's prior; repeated rows get equal copies; null ids stay; an empty table gives no rows.
     """
     model = train(docs, labelled, id_col=id_col, text_col=text_col)
-    key = "row_key"
-    while key in docs.columns:
-        key += "_"
+    names = [f"c{i}" for i in range(len(docs.columns))]  # so that no name of docs clashes or has dots
+    of = dict(zip(docs.columns, names, strict=True))
+    text, key = of[text_col], "row_key"
     slim = docs.select(F.lit(0).cast("bigint").alias("id"), _uniform(id_col, text_col), text_or_empty(text_col).alias("text"))
     members = stored(slim.mapInArrow(_classifier_stage(model), "id bigint, row_key double, n_tokens bigint, posterior array<double>"), "posteriors")
     dual, _ = fit_rates(members, len(model.domains), _shares(model.domains, targets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, text_col, STEP):
-                codes, sizes = words().codes([(x or "").encode() for x in part.column(text_col).to_pylist()])
+            for part in sliced(batch, text, STEP):
+                codes, sizes = words().codes([(x or "").encode() for x in part.column(text).to_pylist()])
                 copies = copies_of(rates(model.posteriors(words().pairs, codes, sizes), dual), np.array(part.column(key)))
                 yield part.take(pa.array(np.repeat(np.arange(len(part)), copies))).drop_columns([key])
 
-    return docs.withColumn(key, _uniform(id_col, text_col)).mapInArrow(run, docs.schema)
+    plain = docs.toDF(*names)
+    return plain.withColumn(key, _uniform(of[id_col], text)).mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -402,3 +402,44 @@ def test_pipeline(spark, sf_dir, duck):
             assert docs.agg(F.sum("n_tokens")).first()[0] == sizes
     good = [d for d, in duck.sql("SELECT doc_id FROM labels WHERE quality = 1").fetchall()]
     assert good and corpus_pipeline.run(spark, sf_dir).columns == docs.columns
+
+
+def test_rates_are_the_least_squares_solution(spark, monkeypatch):
+    """Against a dense solution by projected gradient: rates nearest to 1 among those that meet the targets."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.4, 0.4, 0.4], 60)
+    n, target = rng.integers(1, 50, 60).astype(np.float64), np.array([0.6, 0.3, 0.1])
+    members = spark.createDataFrame([(i, 0.5, int(a), b.tolist()) for i, (a, b) in enumerate(zip(n, p))], "id bigint, row_key double, n_tokens bigint, posterior array<double>")
+    assert np.abs(mixing.fit_rates(members, 3, target)[1]).max() < 1e-4
+    monkeypatch.setattr(mixing, "RIDGE", ridge := 1e-3)
+    r = mixing.rates(p, mixing.fit_rates(members, 3, target)[0])
+    a, w, x = (n[:, None] * p / n.sum()).T, n / n.sum(), np.ones(60)
+    step = 1 / (np.linalg.norm(a, 2) ** 2 + ridge * w.max())
+    for _ in range(200_000):
+        x = np.maximum(0, x - step * (a.T @ (a @ x - target) + ridge * w * (x - 1)))
+    assert np.abs(x - r).max() < 1e-3
+
+
+def test_clashing_and_dotted_columns(spark, labels):
+    from lectern.llm.queries import TARGETS, domains
+
+    d = spark.createDataFrame([(1, "ein Satz mit Worten", 1, 2.0, "k"), (6, "kurz", 3, 4.0, "k"), (8, None, 5, 6.0, None)], "doc_id bigint, text string, row_key int, `a.b` double, tag string")
+    mixed = mixing.mixed_rows(d, domains(labels), TARGETS)
+    assert mixed.columns == d.columns and {r["row_key"] for r in mixed.collect()} <= {1, 3, 5}
+    assert sorted(r["a.b"] for r in simhash.without_near_copies(d).collect()) == [2.0, 4.0, 6.0]
+    assert sorted(r["a.b"] for r in exact_dedup.without_copies(d).collect()) == [2.0, 4.0, 6.0]
+
+
+def test_near_copies_by_families(spark):
+    """Groups whose keys overlap are compared as one, others key by key; either way as brute force does."""
+    rng, members = np.random.default_rng(9), []
+    for key in range(40):
+        members += [(key, int(x)) for x in rng.choice(30 if key < 30 else 3000, 12, replace=False)]
+    groups = simhash._families(simhash.stored(spark.createDataFrame(members, "key bigint, node bigint").distinct(), "members")).collect()
+    met, want = set(), set()
+    for rows, pairs in ((groups, met), (members, want)):
+        held = {}
+        for key, node in rows:
+            held.setdefault(key, set()).add(node)
+        pairs.update((a, b) for x in held.values() for a in x for b in x if a < b)
+    assert want <= met and len(groups) < len(set(members))
