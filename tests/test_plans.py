@@ -1,7 +1,8 @@
 """Plans: columns and filters reach the scan, ranks are limited early, small tables are broadcast."""
 
-from lectern.operators import candidates
+from lectern.operators import candidates, matching, metrics
 from lectern.plans.registry import QUERIES
+from lectern.plans.table_queries import bags
 
 
 def plan(df):
@@ -13,8 +14,15 @@ def test_scan_reads_one_column(spark, sf_dir):
 
 
 def test_filter_and_rank_are_pushed(spark, sf_dir):
-    p = plan(QUERIES["tk1_top_confident"](spark, sf_dir))
-    assert "GreaterThanOrEqual(o_totalprice,1000.0)" in p and "WindowGroupLimit" in p
+    assert "GreaterThan(l_quantity,45.0)" in plan(QUERIES["st3_set_difference"](spark, sf_dir))
+    assert "WindowGroupLimit" in plan(QUERIES["tk1_top_confident"](spark, sf_dir))
+
+
+def test_items_are_aggregated_before_predictions_meet_them(spark, sf_dir):
+    _, gt, pred = bags(spark, sf_dir)
+    for made in (matching.best_match(gt, pred), metrics.item_recall(*bags(spark, sf_dir), ["dimension"])):
+        p = plan(made)
+        assert p.count("HashAggregate") >= 2 and "NestedLoop" not in p and "Cartesian" not in p
 
 
 def test_no_join_in_bag_matching(spark, sf_dir):

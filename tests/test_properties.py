@@ -1,9 +1,12 @@
 """Properties of metrics, candidates and injections."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.operators import allocation, candidates, injectors, metrics, review, sections
+from lectern.functions import numbers
+from lectern.operators import allocation, candidates, injectors, matching, metrics, review, sections
 from lectern.plans.fixture_queries import INJECTED, TREE, _documents, _items, _sections
 from lectern.plans.table_queries import bags
 from lectern.taxonomy import ERROR_TYPES
@@ -109,7 +112,7 @@ def test_model_reviews(spark):
 
     replied = review.asked(prompts, client)
     assert [r["error_type"] for r in review.predictions_of(replied).collect()] == ["E-T-01"]
-    assert {r["doc_id"]: r["reviewed"] for r in review.review_status(replied).collect()} == {"a": True, "b": False, "c": True}
+    assert {r["doc_id"]: r["reviewed"] for r in review.review_status(replied).collect()} == {"a": True, "b": False, "c": False}
 
 
 def test_tools(spark):
@@ -121,3 +124,37 @@ def test_tools(spark):
 
 def test_readable_lines(spark):
     assert spark.range(1).select(sections.is_noise(F.lit("GB/T 1.1—2020"))).first()[0]
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.floats(0, 7.9), min_size=1, max_size=50))
+def test_rounding_is_exact(spark, values):
+    values += [0.03125, 0.00125, 1 / 800, 3 / 800, 5 / 32, 0.00005, 0.5, 1.0, 0.0, 1 / 200_000]
+    d = spark.createDataFrame([(x,) for x in values], "x double").select("x", *[numbers.rounded("x", n).alias(f"r{n}") for n in (4, 6)])
+    for r in d.collect():
+        assert r["r4"] == round(r["x"], 4) and r["r6"] == round(r["x"], 6)
+
+
+def test_groups_are_in_order(spark):
+    gt = spark.createDataFrame([("d", 0, "5", c, "E") for c in "cab"] + [("d", 1, "5", None, "E")], "doc_id string, gt_index int, section string, dimension string, error_type string")
+    found = metrics.grouped_recall(gt.select("doc_id").distinct(), gt, gt.withColumnRenamed("gt_index", "pred_index"), "dimension").collect()
+    assert [r["group"] for r in found] == ["<NULL>", "a", "b", "c"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 3)), max_size=10), st.lists(st.integers(0, 3), min_size=4, max_size=4), st.lists(st.integers(0, 3), min_size=4, max_size=4))
+def test_largest_matching_of_kinds(edges, have, give):
+    left, right = [i for i, n in enumerate(have) for _ in range(n)], [i for i, n in enumerate(give) for _ in range(n)]
+    owner: dict[int, int] = {}
+
+    def placed(a: int, seen: set[int]) -> bool:
+        for b, kind in enumerate(right):
+            if (left[a], kind) in edges and b not in seen:
+                seen.add(b)
+                if b not in owner or placed(owner[b], seen):
+                    owner[b] = a
+                    return True
+        return False
+
+    want = sum(placed(a, set()) for a in range(len(left)))
+    assert matching._largest_matching(list(set(edges)), have, give) == want

@@ -108,3 +108,43 @@ def test_running_metrics(spark, tmp_path):
     w.processAllAvailable()
     w.stop()
     assert spark.read.parquet(str(tmp_path / "out")).first()["gt_count"] == 4
+
+
+def test_windowed_counts_drop_late_findings(spark, tmp_path):
+    src, schema = str(tmp_path / "in"), "at timestamp, error_type string"
+    put = lambda *rows: spark.createDataFrame([(t, "E") for t in rows], "at string, error_type string").selectExpr("cast(at as timestamp) as at", "error_type").write.mode("append").json(src)
+    put("2024-01-01 00:01:00", "2024-01-01 00:02:00")
+    counts = leaderboard.windowed_counts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).json(src), "at", "10 minutes", "5 minutes", "error_type")
+    q = counts.writeStream.outputMode("append").format("memory").queryName("windows").start()
+    q.processAllAvailable()
+    put("2024-01-01 01:00:00")
+    q.processAllAvailable()
+    put("2024-01-01 00:03:00", "2024-01-01 02:00:00")  # the first comes after its window's end and lateness
+    q.processAllAvailable()
+    q.stop()
+    assert [(str(r["start"]), r["n"]) for r in spark.table("windows").orderBy("start").collect()] == [("2024-01-01 00:00:00", 2), ("2024-01-01 01:00:00", 1)]
+
+
+def test_http_client(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from lectern.sources import clients
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            said = json.dumps({"choices": [{"message": {"content": body["messages"][-1]["content"] + self.headers["Authorization"]}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(said)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        assert clients.chat(f"http://127.0.0.1:{server.server_port}", "m", "k")("甲") == "甲Bearer k"
+    finally:
+        server.shutdown()
