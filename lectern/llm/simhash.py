@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import sliced, stored, text_or_empty
+from lectern.llm.common import delete, sliced, stored, text_or_empty
 from lectern.llm.components import components
 
 SEED = 42
@@ -38,8 +38,10 @@ def majority(hashes: np.ndarray) -> int:
     """Bits that are set in over half of the hashes, as a signed 64-bit integer; 0 of none."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<i8")[0])
+    seen = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        seen += np.unpackbits(hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * seen > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def _fingerprinter(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -94,7 +96,10 @@ def links(classes: DataFrame, max_bits: int) -> DataFrame:
     embeddings is a lower bound. Each class enters the grid cells up to half of max_bits steps from its own;
     two classes within the bound meet in a cell. There their bits are compared: in pairs up to BLOCK classes;
     in fuller cells each class names all fingerprints up to half of max_bits flips away, and those that name
-    the same one are linked to its smallest, which is the same test without pairs.
+    the same one are linked to its smallest, which is the same test without pairs. Proof: two fingerprints at
+    distance d <= max_bits have a midpoint, the first with half of the differing bits flipped, at most
+    max_bits / 2 from both, so both name it; two that name one fingerprint are within max_bits by the triangle
+    inequality. So either way connects exactly the classes of a cell that pairs of max_bits or fewer bits do.
     """
     if max_bits % 2:
         raise ValueError("max_bits must be even")
@@ -138,6 +143,8 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 2, id_col: str
 ORDERED, COMMON = 4000, 1 << 16
 #: Members of a key that are compared in pairs; members of fuller keys are compared SIDE by SIDE at once.
 PAIRED, SIDE = 16, 256
+#: Segments of the hash range in which a text's shingles are counted.
+SPOTS = 256
 
 
 def _distinct_shingles(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -159,7 +166,7 @@ def _common(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shingle_sets(k: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each text with words: a hash of its shingle set, the set, and the prefix of it in an order that is the same for all texts, rare shingles first.
+    """Of each text with words: a hash of its shingle set, the set's size, its counts by segment, and the prefix of it in an order that is the same for all texts, rare shingles first.
 
     Sets of that similarity share so many shingles that their prefixes have one in common.
     """
@@ -168,34 +175,96 @@ def _shingle_sets(k: int, similarity: float, common: tuple[np.ndarray, np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, "text", 1 << 20):
-                ids, nodes, sizes, prefixes, sets = [], [], [], [], []
-                for i, x in zip(part.column("id").to_pylist(), part.column("text"), strict=True):
+                at, nodes, sizes, prefixes, spots = [], [], [], [], []
+                for i, x in enumerate(part.column("text")):
                     own = np.unique(shingle_hashes(x.as_py(), k))
                     if not len(own):
                         continue
                     rank = np.zeros(len(own), np.int64)
                     if len(names):
-                        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
-                        rank = np.where(names[at] == own, counts[at], 0)
+                        place = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                        rank = np.where(names[place] == own, counts[place], 0)
                     least = int(np.ceil(similarity * len(own) - 1e-6))  # shingles that a similar set shares
-                    ids.append(i)
+                    at.append(i)
                     nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                     prefixes.append(own[np.lexsort((own, rank))][: len(own) - max(1, least) + 1].view(np.int64))
-                    small = np.unique((own >> np.uint64(32)).astype("<u4"))
-                    sizes.append(len(small))
-                    sets.append(small.tobytes())
-                columns = [pa.array(ids, pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(sets, pa.binary())]
-                yield pa.record_batch(columns, ["id", "node", "size", "prefix", "shingles"])
+                    sizes.append(len(own))
+                    spots.append(np.minimum(np.bincount((own >> np.uint64(32)) % np.uint64(SPOTS), minlength=SPOTS), 255).astype(np.uint8).tobytes())
+                kept = part.take(pa.array(at, pa.int64()))
+                columns = [kept.column("id"), kept.column("tag"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(spots, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.record_batch(columns, ["id", "tag", "node", "size", "spots", "prefix"])
 
     return run
 
 
-def _alike(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _spots(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SPOTS).astype(np.int16)
+
+
+def possible(size_a: np.ndarray, spots_a: np.ndarray, size_b: np.ndarray, spots_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two sets can be that similar, from their counts by segment.
+
+    The Manhattan distance of the counts is a lower bound on the size of the sets' symmetric difference
+    (counts above 255 only lower it), and that size is at most (1 - s) / (1 + s) of both sizes together
+    where the similarity is s or more.
+    """
+    most = (1 - similarity) / (1 + similarity) * (size_a + size_b) + 1e-6
+    return np.abs(spots_a - spots_b).sum(-1, dtype=np.int64) <= most
+
+
+def _pairs(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of members of one key that can be similar; rows come sorted by key, a key has few members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in chain((b for b in batches if len(b)), [None]):
+            held = [x for x in (rest, batch) if x is not None]
+            if not held:
+                return
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            key = rows.column("key").to_numpy()
+            end = len(rows) if batch is None else int(np.searchsorted(key, key[-1]))
+            rows, rest, key = rows.slice(0, end), rows.slice(end), key[:end]
+            if not end:
+                continue
+            node, size, spots = rows.column("node").to_numpy(), rows.column("size").to_numpy(), _spots(rows.column("spots"))
+            found = [np.zeros((0, 2), np.int64)]
+            for step in range(1, end):
+                at = np.flatnonzero(key[step:] == key[:-step])
+                if not len(at):
+                    break
+                at = at[node[at] != node[at + step]]
+                at = at[possible(size[at], spots[at], size[at + step], spots[at + step], similarity)]
+                found.append(np.sort(np.stack([node[at], node[at + step]], 1), axis=1))
+            u, v = np.unique(np.concatenate(found), axis=0).T
+            yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
+
+
+def _with_centre(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of members and a centre of their key, the pairs that can be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            u, v = rows.column("node").to_numpy(), rows.column("centre").to_numpy()
+            ok = possible(rows.column("size").to_numpy(), _spots(rows.column("spots")), rows.column("centre_size").to_numpy(), _spots(rows.column("centre_spots")), similarity) & (u != v)
+            yield pa.record_batch([pa.array(np.minimum(u, v)[ok]), pa.array(np.maximum(u, v)[ok])], ["u", "v"])
+
+    return run
+
+
+def _alike(k: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of texts whose sets of shingles are that similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("su"), batch.column("sv"), strict=True):
-                a, b = np.frombuffer(a.as_py(), "<u4"), np.frombuffer(b.as_py(), "<u4")
+            last, mine = None, np.zeros(0, np.uint64)
+            for u, a, b in zip(batch.column("u").to_pylist(), batch.column("tu"), batch.column("tv"), strict=True):
+                if u != last:
+                    last, mine = u, np.unique(shingle_hashes(a.as_py(), k))
+                a, b = mine, np.unique(shingle_hashes(b.as_py(), k))
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(shared >= similarity * (len(a) + len(b) - shared))
             yield pa.record_batch([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
@@ -203,12 +272,23 @@ def _alike(similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
-def _side_by_side(similarity: float) -> Callable[[pa.Table], pa.Table]:
-    """Compares all sets of a group with one another and returns only a forest of the links, no pairs."""
+def _doubtful(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Members of a square that can be similar to one of another component."""
+
+    def run(table: pa.Table) -> pa.Table:
+        size, part, spots = table.column("size").to_numpy(), table.column("component").to_numpy(), _spots(table.column("spots"))
+        some = [bool((possible(size[i], spots[i], size, spots, similarity) & (part != part[i])).any()) for i in range(len(size))]
+        return table.select(["key", "node"]).filter(pa.array(some, pa.bool_()))
+
+    return run
+
+
+def _side_by_side(k: int, similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Compares all texts of a square with one another and returns only a forest of the links, no pairs."""
 
     def run(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_numpy()
-        sets = [np.frombuffer(x.as_py(), "<u4") for x in table.column("shingles")]
+        sets = [np.unique(shingle_hashes(x.as_py(), k)) for x in table.column("text")]
         size = np.array([len(x) for x in sets])
         _, codes, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         number = np.cumsum(seen > 1) - 1
@@ -237,57 +317,88 @@ def _side_by_side(similarity: float) -> Callable[[pa.Table], pa.Table]:
 
 
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of members whose key has nodes that links do not connect yet."""
+    """Rows of members whose key has nodes that links do not connect yet, with the node's component."""
     linked = components(links)
-    of = members.join(linked, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    of = stored(members.drop("component").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")), "members-of-components")
     keys = stored(of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "open-keys")
-    return stored(members.join(keys, "key", "left_semi"), "open-members")
+    found = stored(of.join(keys, "key", "left_semi"), "open-members")
+    delete(of)
+    return found
+
+
+def _squares(members: DataFrame, *columns: str) -> DataFrame:
+    """Rows of members dealt into squares (key, a, b) of SIDE by SIDE, so that any two of a key meet in one."""
+    counts = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("held")), "held")
+    last = F.ceil(F.col("held") / SIDE) - 1  # number of the last side
+    sided = members.join(counts, "key").select("key", "node", *columns, last.alias("last"), F.pmod(F.xxhash64("node", F.lit(3)), last + 1).alias("side"))
+    squares = sided.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")))
+    return squares.select("key", "node", *columns, F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"))
+
 
+def _merged_groups(groups: DataFrame, into: DataFrame, salt: str) -> DataFrame:
+    """groups (key, node) with those of one super (into: key, super) as one where fewer rows then go to squares.
 
-def _linked_sets(classes: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    A group of n nodes goes n * ceil(n / SIDE) rows to squares, whatever is in them, so that is its cost.
+    """
+    cost = lambda c: F.col(c) * F.ceil(F.col(c) / SIDE)
+    of = stored(groups.join(into, "key"), "grouped")
+    whole = of.select("super", "node").distinct().groupBy("super").agg(F.count(F.lit(1)).alias("n")).select("super", cost("n").alias("whole"))
+    apart = of.groupBy("super", "key").agg(F.count(F.lit(1)).alias("n")).groupBy("super").agg(F.sum(cost("n")).alias("apart"))
+    choice = stored(whole.join(apart, "super").select("super", (F.col("whole") <= F.col("apart")).alias("one")), "choices")
+    chosen = of.join(choice, "super").select(F.when(F.col("one"), F.xxhash64("super", F.lit(salt))).otherwise(F.col("key")).alias("key"), "node")
+    return stored(chosen.distinct(), "groups")
+
+
+def _families(members: DataFrame) -> DataFrame:
+    """Groups (key, node) in which any two nodes of a key of members meet too, with fewer texts to move.
+
+    Keys of one group of similar texts hold much the same nodes. Those with the same first node are one group
+    where that is cheaper, and so are then the groups that share nodes.
+    """
+    first = lambda df: df.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("order"), "node"))["node"].alias("super"))
+    groups = _merged_groups(members, stored(first(members), "firsts"), "first")
+    heads = stored(first(groups), "firsts")
+    found = components(groups.join(heads, "key").select(F.col("node").alias("u"), F.col("super").alias("v")))
+    families = heads.withColumnRenamed("super", "node").join(found, "node").select("key", F.col("component").alias("super"))
+    alone = heads.join(families, "key", "left_anti")
+    return _merged_groups(groups, stored(families.union(alone), "families"), "family")
+
+
+def _linked_sets(classes: DataFrame, rows: DataFrame, k: int, similarity: float) -> DataFrame:
     """Links (u, v) of nodes that connect the same sets as all pairs of that similarity do.
 
-    Similar sets share a key of their prefixes; keys with equal members are taken once. The members of a key
-    are compared in pairs up to PAIRED. In fuller keys all are first compared with one member. Keys whose
-    members that leaves unconnected are then compared as a whole, in squares of SIDE by SIDE: each node's
-    fullest key first, as it often connects the group of many keys, and in the end all that are left.
+    Similar sets share a key of their prefixes; keys with equal members are taken once. Members meet with
+    their counts by segment only, and texts are compared just where those leave it possible: in pairs in keys
+    of up to PAIRED members; in fuller keys first with one member. Of keys whose members that leaves
+    unconnected, squares of SIDE by SIDE tell the members that can be similar to one of another component, and
+    the texts of these are compared in squares of their families, which return links only.
     """
-    keyed = classes.select("node", "size", F.explode("prefix").alias("key"))
-    stats = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), F.min("node").alias("z")).where("n > 1")
-    keys = stored(stats.groupBy("n", "x", "y", "z").agg(F.min("key").alias("key")).select("key", "n"), "keys")
-    members = stored(keyed.join(keys, "key"), "members")
-    small = F.col("n") <= PAIRED
-    few, many = members.where(small), members.where(~small)
-    sets = stored(shingles.join(members.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "member-sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        near = pairs.where(F.least("nu", "nv") >= F.greatest("nu", "nv") * (similarity - 0.01)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        near = stored(near.distinct(), "candidates")
-        with_u = near.join(sets.toDF("u", "su"), "u")
-        return stored(with_u.join(sets.toDF("v", "sv"), "v").select("u", "v", "su", "sv").mapInArrow(_alike(similarity), "u bigint, v bigint"), "similar")
-
-    a, b = few.select("key", F.col("node").alias("u"), F.col("size").alias("nu")), few.select("key", F.col("node").alias("v"), F.col("size").alias("nv"))
-    links = verified(a.join(b, "key").where("u < v"))
-    if many.isEmpty():
-        return links
-    rank = F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("node"), F.col("size").alias("size"))
-    centres = stored(many.groupBy("key").agg(F.min(rank).alias("centre")).select("key", F.col("centre.node").alias("v"), F.col("centre.size").alias("nv")), "centres")
-    links = links.union(verified(many.join(centres, "key").where("node <> v").select(F.col("node").alias("u"), "v", F.col("size").alias("nu"), "nv")))
-    left = many.select("key", "n", "node")
-    for fullest in (True, True, False):
-        left = _open(left, links)
-        if left.isEmpty():
-            break
-        now = left
-        if fullest:
-            chosen = stored(left.groupBy("node").agg(F.max(F.struct("n", "key")).alias("top")).select(F.col("top.key").alias("key")).distinct(), "fullest-keys")
-            now, left = left.join(chosen, "key", "left_semi"), left.join(chosen, "key", "left_anti")
-        last = F.ceil(F.col("n") / SIDE) - 1  # number of the last side
-        sided = now.select("key", "node", last.alias("last"), F.pmod(F.xxhash64("node", F.lit(3)), last + 1).alias("side"))
-        squares = sided.select("key", "node", "side", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("other"))
-        squares = stored(squares.select("key", "node", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b")), "squares")
-        full = squares.join(sets, "node").select("key", "a", "b", "node", "shingles")
-        links = links.union(stored(full.groupBy("key", "a", "b").applyInArrow(_side_by_side(similarity), "u bigint, v bigint").distinct(), "similar"))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = classes.select("node", F.explode("prefix").alias("key"))
+    stats = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("node").alias("x"), F.min("node").alias("z")).where("n > 1")
+    keys = stored(stats.groupBy("n", "x", "z").agg(F.min("key").alias("key")).select("key", "n"), "keys")
+    slim = stored(keyed.join(keys.hint("merge"), "key"), "key-members")  # here and below: the same plan at every size
+    members = stored(slim.join(classes.select("node", "size", "spots"), "node"), "members")
+    delete(slim)
+    few, many = members.where(F.col("n") <= PAIRED), members.where(F.col("n") > PAIRED)
+    pair = "u bigint, v bigint"
+
+    sorted_few = few.select("key", "node", "size", "spots").repartition(parts, "key").sortWithinPartitions("key")
+    rank = F.struct(F.xxhash64("node").alias("order"), "node", "size", "spots")
+    centres = stored(many.groupBy("key").agg(F.min(rank).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.spots").alias("centre_spots")), "centres")
+    near = stored(sorted_few.mapInArrow(_pairs(similarity), pair).union(many.join(centres, "key").mapInArrow(_with_centre(similarity), pair)).distinct(), "candidates")
+    named = near.select(F.col("u").alias("node")).union(near.select("v")).union(many.select("node")).distinct()
+    wanted = stored(named.join(classes.select("node", "rep.id", "rep.tag"), "node"), "wanted")
+    own = stored(rows.join(wanted.hint("merge"), ["id", "tag"]).select("node", "text"), "texts")  # all that is compared, in one exchange
+    with_v = near.join(own.toDF("v", "tv"), "v")
+    links = stored(with_v.join(own.toDF("u", "tu"), "u").select("u", "v", "tu", "tv").mapInArrow(_alike(k, similarity), pair), "similar")
+    left = _open(many, links)
+    doubtful = _squares(left, "size", "spots", "component").groupBy("key", "a", "b").applyInArrow(_doubtful(similarity), "key bigint, node bigint")
+    doubtful = stored(doubtful.distinct(), "doubtful")
+    if not doubtful.isEmpty():
+        full = _squares(_families(doubtful)).join(own, "node")
+        links = links.union(stored(full.groupBy("key", "a", "b").applyInArrow(_side_by_side(k, similarity), pair).distinct(), "similar"))
+    delete(own)
     return links
 
 
@@ -295,20 +406,26 @@ def similar_pairs(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col:
     """Links (u, v) that connect the same documents as all pairs whose sets of k-word shingles have that Jaccard similarity or more.
 
     At this similarity whole fingerprints differ in up to a quarter of their bits, too many for any bound on
-    bit counts to prune, so candidates come from an exact prefix filter on the shingles. Documents of equal
-    sets are one node.
+    bit counts to prune, so candidates come from an exact prefix filter on the shingles, and the segment
+    counts and the Manhattan bound are those of the shingle sets, not of their fingerprints. Shingles are
+    their XXH64. Documents of equal sets are one node. Null and empty texts, null ids: no links. Repeated
+    rows are one node; rows of one id with other texts link that id. An empty table gives no rows.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
-    schema = "id bigint, node bigint, size bigint, prefix array<bigint>, shingles binary"
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text")).withColumn("tag", F.xxhash64("text"))
+    schema = "id bigint, tag bigint, node bigint, size bigint, spots binary, prefix array<bigint>"
     sets = stored(rows.mapInArrow(_shingle_sets(k, similarity, _common(rows, k)), schema), "shingle-sets")
-    classes = stored(sets.groupBy("node").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("size", "prefix")]), "set-classes")
-    named = classes.select("node", "rep")
-    links = _linked_sets(classes, sets.select("node", "shingles"), similarity).join(named.toDF("u", "ru"), "u").join(named.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
-    equal = sets.select("id", "node").join(named, "node").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    return stored(links.union(equal).distinct(), "similar-documents")
+    classes = stored(sets.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "spots", "prefix")]), "set-classes")
+    named = classes.select("node", F.col("rep.id").alias("rep"))
+    equal = stored(sets.select("id", "node").join(named, "node").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v")), "equal-sets")
+    delete(sets)
+    links = _linked_sets(classes, rows, k, similarity).join(named.toDF("u", "ru"), "u").join(named.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
+    return stored(links.union(equal).where("u <> v").distinct(), "similar-documents")
 
 
 def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document, that of the smallest id, of each component of similar_pairs; all columns."""
+    """docs with one document, that of the smallest id, of each component of similar_pairs; all columns.
+
+    Rows without words, null ids and repeated rows of an id that stays are kept; an empty table gives none.
+    """
     dropped = components(similar_pairs(docs, k, similarity, id_col, text_col)).where("node <> component").select(F.col("node").alias(id_col))
-    return docs.join(dropped.hint("merge"), id_col, "left_anti").select(*docs.columns)
+    return docs.join(dropped.hint("merge"), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
