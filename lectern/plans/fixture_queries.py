@@ -390,7 +390,7 @@ def ce28_allocation(spark):
     return spark.createDataFrame(rows, "dims string, num int, counts string")
 
 
-INJECTED = "前言\n编制情况说明。\n引言\n背景情况介绍。\n[1] 范围\n本文件适用于甲。\n[2] 规范性引用文件\n下列文件必不可少。\nGB/T 1.1—2020 标准化\nISO 9001 质量\nIEC 60068 环境\n[3] 术语和定义\n甲术语\n乙术语\n丙术语\n[5] 要求\n产品应安全，不应泄漏，宜检查，按 ISO 9001。\n[5.1.2] 细则\n可选用。\n[附录A] 附录A 试验方法（规范性）\n步骤。\n参考文献\n[1] GB/T 5—2001"
+INJECTED = "前言\n编制情况说明。\n引言\n背景情况介绍。\n[1] 范围\n本文件适用于甲。\n[2] 规范性引用文件\n下列文件必不可少。\nGB/T 1.1—2020 标准化\nISO 9001 质量\nIEC 60068 环境\n[3] 术语和定义\n3.1 甲术语\n3.2 乙术语\n3.3 丙术语\n[5] 要求\n产品应安全，不应泄漏，宜检查，按 ISO 9001。\n[5.1.2] 细则\n可选用。\n[附录A] 附录A 试验方法（规范性）\n步骤。\n参考文献\n[1] GB/T 5—2001"
 
 
 #: By error type, section rows (number, title, content), and those that change; marks stand for what is drawn.
