@@ -420,7 +420,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     known = stored(known, "known")
     parts = F.transform("places", lambda p: span(F.col("lo") + p["a"], F.col("lo") + p["b"] + (length - 1)))
     spans = alike.join(known, ["key", "phrase"]).select("id", "tag", F.when(F.col("whole"), F.array(span(F.col("lo"), F.col("hi") + length))).otherwise(parts).alias("own"))
-    spans = spans.groupBy("id", "tag").agg(F.flatten(F.collect_list("own")).alias("spans"))
+    spans = spans.groupBy("id", "tag").agg(F.flatten(F.collect_set("own")).alias("spans"))  # a set: repeated rows have equal spans
     left = packed.join(spans, ["id", "tag"], "left").select("id", "packed", "spans")
     result = left.mapInArrow(_remover, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<a:int,b:int>>")
     return result.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("repeats"), "removed")
