@@ -87,3 +87,18 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data = column.buffers()[2]
     every = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return every[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+# Each byte of a text as a byte of a word (A-Z in lower case) or as a space between words.
+_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def word_pieces(text: str, step: int) -> Iterator[list[bytes]]:
+    """The words [0-9a-z] and above ASCII of a text with A-Z in lower case, a list for each step bytes; no word is cut."""
+    data = text.encode().translate(_WORD_BYTES)
+    at = 0
+    while at < len(data):
+        to = len(data) if len(data) - at <= step else data.find(b" ", at + step)
+        to = to if to >= 0 else len(data)
+        yield data[at:to].split()
+        at = to
