@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import exact_dedup, language_id, mixing, packing, quality_rules, resampling, simhash, spelling, substring_dedup, token_counts, token_files, warc
+from lectern.llm import exact_dedup, language_id, license_scan, mixing, packing, quality_rules, resampling, simhash, spelling, substring_dedup, token_counts, token_files, warc
 from lectern.llm.common import scratch_path
 
 
@@ -68,6 +68,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_read(spark, sf_dir, "documents"), domains(_read(spark, sf_dir, "labels")), TARGETS)
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -76,7 +80,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_packing, op4_token_files, op5_exact_dedup, op6_warc, op7_simhash, op8_substring_dedup, op9_quality_rules, op10_mixing, op12_importance_resampling, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_packing, op4_token_files, op5_exact_dedup, op6_warc, op7_simhash, op8_substring_dedup, op9_quality_rules, op10_mixing, op11_license_scan, op12_importance_resampling, op13_spelling_variants)}
 
 ORACLES = {
     "op5_exact_dedup": r"""
