@@ -20,8 +20,8 @@ from lectern.llm.common import sliced, stored, text_or_empty
 FEATURES, WORDS, STEP = 1 << 14, 150_000, 1 << 20
 #: Labelled documents of each domain that the classifier is fitted on, and steps of fitting.
 SAMPLE, EPOCHS = 800, 80
-#: Weight of staying near rate 1, which only breaks ties; most Newton steps; miss of an optimal share that is small enough; tried lengths of a step.
-RIDGE, ROUNDS, ENOUGH, LENGTHS = 1e-6, 60, 1e-7, 0.5 ** np.arange(12)
+#: Greatest rate of a document; most gradient rounds; move of all expected shares in a round at which they end; miss of a share that is warned of.
+MOST, ROUNDS, ENOUGH, WARN = 16.0, 300, 1e-7, 2e-3
 _log = logging.getLogger(__name__)
 _EDGES = b".,;:!?()\"'"
 _LETTER = re.compile(rb"[A-Za-z\x80-\xff]+")
@@ -109,7 +109,9 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, id_col: st
     rate = F.coalesce(*[F.when(F.col("domain") == d, F.lit(min(1.0, sample / n))) for d, n in sorted(counts.items())])
     chosen = of.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text")
-    rows = texts.mapInArrow(_feature_counts, "doc_id bigint, domain string, n_tokens bigint, features array<bigint>, counts array<bigint>").collect()
+    rows = texts.mapInArrow(_feature_counts, "doc_id bigint, domain string, n_tokens bigint, features array<bigint>, counts array<bigint>")
+    # One row of each id, however often it is repeated: as many as the sample has, of bounded size.
+    rows = rows.groupBy("doc_id", "domain").agg(F.min(F.struct("n_tokens", "features", "counts")).alias("x")).select("doc_id", "domain", "x.*").collect()
     rows.sort(key=lambda r: (r["domain"], r["doc_id"], r["n_tokens"], r["features"], r["counts"]))
     if not rows:
         return Classifier(domains)
@@ -118,12 +120,22 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, id_col: st
     return Classifier(domains).fit(*[[np.array(r[c], np.int64) for r in rows] for c in ("features", "counts")], np.array([r["n_tokens"] for r in rows]), gold, weight)
 
 
-def rates(posterior: np.ndarray, dual: np.ndarray) -> np.ndarray:
-    """Rates nearest to 1 under the domains' prices in dual.
+class Steps:
+    """Gradient rounds so far: what each took from the rates by domain, and how far it then ran on (momentum).
 
-    A document's rate depends on its own posteriors and the prices only, so any task can redo it.
+    A document's rate depends on its own posteriors and these few numbers only, so any task can redo all rounds.
     """
-    return np.maximum(0.0, 1.0 - posterior @ dual)
+
+    def __init__(self, most: float = MOST) -> None:
+        self.most, self.taken, self.momentum = most, [], []
+
+    def rates(self, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates after all rounds, within 0 and most, and the point that the next round starts from."""
+        rate = ahead = np.ones(len(posterior))
+        for step, on in zip(self.taken, self.momentum, strict=True):
+            before, rate = rate, np.clip(ahead - posterior @ step, 0.0, self.most)
+            ahead = rate + on * (rate - before)
+        return rate, ahead
 
 
 @cache
@@ -143,56 +155,75 @@ def _classifier_stage(model: Classifier) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _sums(duals: list[np.ndarray], size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each task and each of duals: the tokens, expected ones of each domain, half the squared rates' tokens, and the Gram matrix of rows with a rate above 0."""
+def _sums(steps: Steps, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of each task: its tokens, and by domain those expected at the rates and at the next round's start; before the first round the second moments of its posteriors too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(duals), size * size + size + 2))
+        total = np.zeros(1 + 2 * size + size * size)
         for batch in batches:
             p, n = np.array(batch.column("posterior").flatten()).reshape(-1, size), np.array(batch.column("n_tokens"))
-            for i, dual in enumerate(duals):
-                r = rates(p, dual)
-                total[i] += np.concatenate([[n.sum(), n @ (r * r) / 2], (n * r) @ p, ((p * (n * (r > 0))[:, None]).T @ p).ravel()])
-        yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "value"])
+            rate, ahead = steps.rates(p)
+            moments = np.zeros(size * size) if steps.taken else ((p * n[:, None]).T @ p).ravel()
+            total += np.concatenate([[n.sum()], (n * rate) @ p, (n * ahead) @ p, moments])
+        yield pa.record_batch([pa.array(np.arange(total.size)), pa.array(total)], ["place", "value"])
 
     return run
 
 
-def fit_rates(members: DataFrame, size: int, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prices of the domains, and by how much the expected shares of tokens then miss the targets, over all rows of members.
+def reachable(targets: np.ndarray, now: np.ndarray, gram: np.ndarray, most: float) -> np.ndarray:
+    """Targets with none higher than nine tenths of the rise that the domain's own rows give at the greatest rate; the others share what that leaves.
 
-    Minimises the squared misses of the targets (token shares) plus RIDGE times the token-weighted squared
-    distance of the rates from 1, by Newton steps on the dual, which has one number per domain. A round is one
-    pass over the stored posteriors, for all LENGTHS of a step; only a few numbers per length come back.
+    A row's part in that rise is its posterior, so a domain to which hardly any row belongs is not made up
+    of many copies of others' rows.
+    """
+    limit, aim, held = now + 0.9 * (most - 1) * np.diag(gram), targets.copy(), np.zeros(len(targets), bool)
+    while (over := ~held & (aim > limit)).any():
+        held |= over
+        aim[held] = limit[held]
+        rest = targets * ~held
+        if not rest.sum():
+            return now
+        aim = np.where(held, aim, rest / rest.sum() * (1 - aim[held].sum()))
+    return aim
+
+
+def fit_rates(members: DataFrame, size: int, targets: np.ndarray, most: float = MOST) -> tuple[Steps, np.ndarray]:
+    """Gradient rounds to the rates, and by how much the expected shares of tokens then miss the targets, over all rows of members.
+
+    Minimises the squared misses by projected gradient with momentum (dropped where it points uphill), starting
+    from rates of 1, each round projected to 0..most. Misses are measured in the metric of the posteriors' own second
+    moments, so that a full step is stable and a domain of few tokens moves as fast as others. A round
+    is one pass over the stored posteriors and brings back a few numbers.
+
+    Targets are those of reachable().
     """
 
-    def tried(duals: list[np.ndarray]) -> list[tuple]:
-        width = size * size + size + 2
-        got = members.mapInArrow(_sums(duals, size), "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value")).collect()
-        total = np.zeros(len(duals) * width)
-        for r in got:
+    def summed(steps: Steps) -> np.ndarray:
+        total = np.zeros(1 + 2 * size + size * size)
+        for r in members.mapInArrow(_sums(steps, size), "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value")).collect():
             total[r["place"]] = r["value"]
-        found = []
-        for dual, x in zip(duals, total.reshape(-1, width), strict=True):
-            whole = max(1.0, x[0])
-            miss, gram = x[2 : size + 2] / whole - targets, x[size + 2 :].reshape(size, size) / whole
-            found.append((x[1] / whole + targets @ dual + RIDGE / 2 * dual @ dual, dual, miss, gram, x[0]))
-        return found
-
-    value, dual, miss, gram, whole = tried([np.zeros(size)])[0]
-    if not whole:
-        return dual, np.zeros(size)
+        return total
+
+    steps, first = Steps(most), summed(Steps(most))
+    if not first[0]:
+        return steps, np.zeros(size)
+    now, gram = first[1 : size + 1] / first[0], first[2 * size + 1 :].reshape(size, size) / first[0]
+    metric = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
+    aim = reachable(targets, now, gram, most)
+    ahead, t = now, 1.0
     for _ in range(ROUNDS):
-        slope = RIDGE * dual - miss
-        if np.abs(slope).max() < ENOUGH:
+        steps.taken.append(metric @ (ahead - aim))
+        grown = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        steps.momentum.append((t - 1) / grown)
+        x = summed(steps)
+        before, now, ahead, t = now, x[1 : size + 1] / x[0], x[size + 1 : 2 * size + 1] / x[0], grown
+        if (now - aim) @ metric @ (now - aim) > (before - aim) @ metric @ (before - aim):
+            ahead, t, steps.momentum[-1] = now, 1.0, 0.0
+        if np.abs(now - before).max() < ENOUGH or np.abs(now - aim).max() < ENOUGH:
             break
-        way = np.linalg.solve(gram + RIDGE * np.eye(size), -slope)
-        best = min(tried([dual + x * way for x in LENGTHS]), key=lambda x: x[0])
-        if best[0] > value:
-            break  # no length improves beyond rounding
-        value, dual, miss, gram, _ = best
-    (_log.warning if np.abs(miss).max() > 1e-3 else _log.info)("expected shares miss the targets by %s", miss.tolist())
-    return dual, miss
+    miss = now - targets
+    (_log.warning if np.abs(miss).max() > WARN else _log.info)("expected shares miss the targets by %s", miss.tolist())
+    return steps, miss
 
 
 def copies_of(rate: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -209,31 +240,33 @@ def _shares(domains: list[str], targets: dict[str, float]) -> np.ndarray:
     return values / values.sum() if values.sum() else np.full(len(domains), 1 / len(domains))
 
 
-def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: float = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Domain posteriors, fitted rate and copies of each row of docs.
 
-    Columns: doc_id, n_tokens (words), posterior (by domain, in alphabetical order), rate, copies. targets are
+    Columns: doc_id, n_tokens (words), posterior (by domain, in alphabetical order), rate, copies, miss. targets are
     the wanted shares of the corpus's tokens by domain; a domain without one has target 0. Null text is empty
     and has the classifier's prior; repeated rows get equal rates; null ids stay; an empty table gives no
-    rows; other columns are not read. Without labels there is one domain, and all rates are 1. Targets that no
-    rates reach are missed as little as can be, which is logged as a warning.
+    rows; other columns are not read. Without labels there is one domain, and all rates are 1. No rate is above
+    most. miss is by how much the expected shares of tokens miss the targets at worst, the same in all rows;
+    above WARN it is also logged.
     """
     model = train(docs, labelled, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), _uniform(id_col, text_col), text_or_empty(text_col).alias("text"))
     members = stored(rows.mapInArrow(_classifier_stage(model), "id bigint, row_key double, n_tokens bigint, posterior array<double>"), "posteriors")
-    dual, _ = fit_rates(members, len(model.domains), _shares(model.domains, targets))
+    steps, miss = fit_rates(members, len(model.domains), _shares(model.domains, targets), most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rate = rates(np.array(batch.column("posterior").flatten()).reshape(-1, len(model.domains)), dual)
+            rate, _ = steps.rates(np.array(batch.column("posterior").flatten()).reshape(-1, len(model.domains)))
             columns = [batch.column(c) for c in ("id", "n_tokens", "posterior")]
             yield pa.record_batch([*columns, pa.array(rate), pa.array(copies_of(rate, np.array(batch.column("row_key"))))], ["doc_id", "n_tokens", "posterior", "rate", "copies"])
 
-    return members.mapInArrow(run, "doc_id bigint, n_tokens bigint, posterior array<double>, rate double, copies bigint")
+    mixed = members.mapInArrow(run, "doc_id bigint, n_tokens bigint, posterior array<double>, rate double, copies bigint")
+    return mixed.withColumn("miss", F.lit(float(np.abs(miss).max(initial=0.0))))
 
 
-def mixed_rows(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with each row as often as mixture() says, with all columns; no shuffle of texts.
+def mixed_rows(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: float = MOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with each row as often as mixture() says (so most times at most), with all columns; no shuffle of texts.
 
     Null and empty texts have the classifier's prior; repeated rows get equal copies; null ids stay; an empty table gives no rows.
     """
@@ -243,13 +276,13 @@ def mixed_rows(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     text, key = of[text_col], "row_key"
     slim = docs.select(F.lit(0).cast("bigint").alias("id"), _uniform(id_col, text_col), text_or_empty(text_col).alias("text"))
     members = stored(slim.mapInArrow(_classifier_stage(model), "id bigint, row_key double, n_tokens bigint, posterior array<double>"), "posteriors")
-    dual, _ = fit_rates(members, len(model.domains), _shares(model.domains, targets))
+    steps, _ = fit_rates(members, len(model.domains), _shares(model.domains, targets), most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, text, STEP):
                 codes, sizes = words().codes([(x or "").encode() for x in part.column(text).to_pylist()])
-                copies = copies_of(rates(model.posteriors(words().pairs, codes, sizes), dual), np.array(part.column(key)))
+                copies = copies_of(steps.rates(model.posteriors(words().pairs, codes, sizes))[0], np.array(part.column(key)))
                 yield part.take(pa.array(np.repeat(np.arange(len(part)), copies))).drop_columns([key])
 
     plain = docs.toDF(*names)

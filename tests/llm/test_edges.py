@@ -404,20 +404,52 @@ def test_pipeline(spark, sf_dir, duck):
     assert good and corpus_pipeline.run(spark, sf_dir).columns == docs.columns
 
 
-def test_rates_are_the_least_squares_solution(spark, monkeypatch):
-    """Against a dense solution by projected gradient: rates nearest to 1 among those that meet the targets."""
+@pytest.mark.parametrize("target, alpha, most", [((0.6, 0.3, 0.1), 0.4, 4.0), ((0.6, 0.3, 0.1), 0.05, 4.0), ((0.98, 0.01, 0.01), 0.3, 1.7), ((0.1, 0.1, 0.8), 0.2, 1.5)])
+def test_rates_are_the_least_squares_solution(spark, target, alpha, most):
+    """The misses against those of a dense solver of the same bounded least squares; they are unique, also where the targets are out of reach."""
     rng = np.random.default_rng(3)
-    p = rng.dirichlet([0.4, 0.4, 0.4], 60)
-    n, target = rng.integers(1, 50, 60).astype(np.float64), np.array([0.6, 0.3, 0.1])
+    p = rng.dirichlet([alpha] * 3, 60)
+    n, target = rng.integers(1, 50, 60).astype(np.float64), np.array(target)
     members = spark.createDataFrame([(i, 0.5, int(a), b.tolist()) for i, (a, b) in enumerate(zip(n, p))], "id bigint, row_key double, n_tokens bigint, posterior array<double>")
-    assert np.abs(mixing.fit_rates(members, 3, target)[1]).max() < 1e-4
-    monkeypatch.setattr(mixing, "RIDGE", ridge := 1e-3)
-    r = mixing.rates(p, mixing.fit_rates(members, 3, target)[0])
+    steps, miss = mixing.fit_rates(members, 3, target, most)
+    rate, _ = steps.rates(p)
     a, w, x = (n[:, None] * p / n.sum()).T, n / n.sum(), np.ones(60)
-    step = 1 / (np.linalg.norm(a, 2) ** 2 + ridge * w.max())
-    for _ in range(200_000):
-        x = np.maximum(0, x - step * (a.T @ (a @ x - target) + ridge * w * (x - 1)))
-    assert np.abs(x - r).max() < 1e-3
+    assert rate.min() >= 0 and rate.max() <= most and np.abs(a @ rate - target - miss).max() < 1e-9
+    gram = np.einsum("i,ij,ik->jk", w, p, p)
+    aim = mixing.reachable(target, a @ x, gram, most)
+    assert abs(aim.sum() - 1) < 1e-9 and (aim <= a @ x + (most - 1) * np.diag(gram)).all()
+    for _ in range(20_000):
+        x = np.clip(x - p @ np.linalg.solve(gram, a @ x - aim), 0, most)
+    assert np.abs(a @ x - a @ rate).max() < 1e-4
+
+
+def test_targets_out_of_reach_move_little(spark):
+    """Hardly a row of a domain that has a target: others are not repeated in its stead."""
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet([8, 0.05, 0.4], 3000)
+    n = rng.integers(1, 500, 3000)
+    members = spark.createDataFrame([(i, 0.5, int(a), b.tolist()) for i, (a, b) in enumerate(zip(n, p))], "id bigint, row_key double, n_tokens bigint, posterior array<double>")
+    steps, miss = mixing.fit_rates(members, 3, np.array([0.92, 0.04, 0.04]), 4)
+    rate, _ = steps.rates(p)
+    assert np.abs(miss).max() > mixing.WARN and rate.max() <= 4 and (mixing.copies_of(rate, rng.random(3000)) > 0).mean() > 0.9
+
+
+def test_pipeline_keeps_documents_in_mixing(spark, duck):
+    """At a size with a few hundred labels: no document more often than the bound, nine in ten still there, targets met."""
+    import corpus_pipeline
+    from lectern.llm.queries import domains
+
+    sf_dir = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = corpus_pipeline.exact_stage(spark, corpus_pipeline.quality_stage(spark, docs, sf_dir), sf_dir).cache()
+    mixed = corpus_pipeline.mixing_stage(spark, docs, sf_dir).groupBy("doc_id").count().collect()
+    assert max(r["count"] for r in mixed) <= corpus_pipeline.COPIES and len(mixed) >= 0.9 * docs.count()
+    labelled = domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = mixing.mixture(docs, labelled.where("domain <> 'poor'"), corpus_pipeline.TARGETS, corpus_pipeline.COPIES).collect()
+    assert rows[0]["miss"] < mixing.WARN
+    clean = {d for d, in duck.sql(f"SELECT doc_id FROM '{sf_dir}/labels.parquet' WHERE quality = 1 AND toxic = 0").fetchall()}
+    assert clean & {r["doc_id"] for r in rows} <= {r["doc_id"] for r in mixed}
+    docs.unpersist()
 
 
 def test_clashing_and_dotted_columns(spark, labels):
