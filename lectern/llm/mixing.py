@@ -19,7 +19,7 @@ from lectern.llm.common import sliced, stored, text_or_empty
 #: Hashed word features; words a task remembers; bytes of text at once.
 FEATURES, WORDS, STEP = 1 << 14, 150_000, 1 << 20
 #: Labelled documents of each domain that the classifier is fitted on, and steps of fitting.
-SAMPLE, EPOCHS = 800, 80
+SAMPLE, EPOCHS = 2000, 300
 #: Greatest rate of a document; most gradient rounds; move of all expected shares in a round at which they end; miss of a share that is warned of.
 MOST, ROUNDS, ENOUGH, WARN = 16.0, 300, 1e-7, 2e-3
 _log = logging.getLogger(__name__)
@@ -90,12 +90,12 @@ class Classifier:
 
 
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each whole text, its number of words, its features and how often each occurs: no more than FEATURES of them."""
+    """Of each whole text, its number of words, its features and how often each occurs, as 32-bit integers: no more than FEATURES of them."""
     for batch in batches:
         for text, doc_id, domain in zip(*[batch.column(c) for c in ("text", "doc_id", "domain")], strict=True):
             codes, sizes = words().codes([text.as_py().encode()])
             features, counts = np.unique(words().pairs[codes], return_counts=True)
-            columns = [pa.array([doc_id.as_py()], pa.int64()), pa.array([domain.as_py()]), pa.array(sizes), pa.array([features], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))]
+            columns = [pa.array([doc_id.as_py()], pa.int64()), pa.array([domain.as_py()]), pa.array(sizes), *(pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (features, counts))]
             yield pa.record_batch(columns, ["doc_id", "domain", "n_tokens", "features", "counts"])
 
 
@@ -109,7 +109,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, id_col: st
     rate = F.coalesce(*[F.when(F.col("domain") == d, F.lit(min(1.0, sample / n))) for d, n in sorted(counts.items())])
     chosen = of.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate * (1 << 30))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "domain", "text")
-    rows = texts.mapInArrow(_feature_counts, "doc_id bigint, domain string, n_tokens bigint, features array<bigint>, counts array<bigint>")
+    rows = texts.mapInArrow(_feature_counts, "doc_id bigint, domain string, n_tokens bigint, features binary, counts binary")
     # One row of each id, however often it is repeated: as many as the sample has, of bounded size.
     rows = rows.groupBy("doc_id", "domain").agg(F.min(F.struct("n_tokens", "features", "counts")).alias("x")).select("doc_id", "domain", "x.*").collect()
     rows.sort(key=lambda r: (r["domain"], r["doc_id"], r["n_tokens"], r["features"], r["counts"]))
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, id_col: st
         return Classifier(domains)
     gold = np.array([domains.index(r["domain"]) for r in rows])
     weight = np.array([counts[d] for d in domains]) / np.maximum(1, np.bincount(gold, minlength=len(domains)))
-    return Classifier(domains).fit(*[[np.array(r[c], np.int64) for r in rows] for c in ("features", "counts")], np.array([r["n_tokens"] for r in rows]), gold, weight)
+    return Classifier(domains).fit(*[[np.frombuffer(r[c], "<i4") for r in rows] for c in ("features", "counts")], np.array([r["n_tokens"] for r in rows]), gold, weight)
 
 
 class Steps:
