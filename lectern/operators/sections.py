@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import WS, joined_numbers, label, trimmed
+from lectern.operators.scans import ADDED, LATEST, in_parts, scanned
 from lectern.taxonomy import PLAIN_HEADINGS, TOOL_HEADINGS
 
 #: Line ends as text tools see them.
@@ -22,12 +23,14 @@ CONTENTS_LINE = r"[…\.]{3,}" + WS + r"*\d+" + WS + r"*$"
 
 
 def lines(docs: DataFrame, text: str = "source_text") -> DataFrame:
-    """doc_id, pos and line of each line of a text."""
-    return docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), LINE_END)).alias("pos", "line"))
+    """doc_id, pos and line of each line of a text, in parts that scans can take one by one."""
+    return in_parts(docs, text, LINE_END)
 
 
 def islands(rows: DataFrame, is_start: Column, order: str = "pos") -> DataFrame:
-    """Rows from the first start on, with the number of their start (sid)."""
+    """Rows from the first start on, with the number of their start (sid); a document in parts is scanned in parts."""
+    if "_part" in rows.columns:
+        return scanned(rows, order, sid=(ADDED, is_start.cast("int"))).where("sid > 0")
     sid = F.sum(is_start.cast("int")).over(Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("sid", sid).where("sid > 0")
 
@@ -37,7 +40,8 @@ def parse_sections(docs: DataFrame, text: str = "source_text") -> DataFrame:
 
     A heading opens a section; lines before the first fall away; content is joined and trimmed.
     """
-    row = lines(docs, text).withColumn("bare", trimmed(F.col("line")))
+    row = lines(docs, text)
+    row = row.withColumn("bare", trimmed(F.col("line")))
     numbered, plain = F.col("bare").rlike(NUMBERED), F.col("bare").isin(PLAIN_HEADINGS)
     marked = islands(row.withColumn("head", numbered | plain), F.col("head"))
     head = F.max_by("bare", F.col("head").cast("int"))
@@ -99,13 +103,12 @@ def heading_kind(line: Column) -> Column:
 
 
 def without_contents_table(rows: DataFrame) -> DataFrame:
-    """Lines without those that lead to a page, and those from a contents heading up to the next other heading."""
+    """Lines (of lines()) without those that lead to a page, and those from a contents heading up to the next other heading."""
     bare = trimmed(F.col("line"))
-    upto = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     starts, leads = bare.rlike(f"^目{WS}*次$"), bare.rlike(CONTENTS_LINE)
     heads = (bare.rlike(NUMBERED_HEADING) | bare.rlike(PLAIN_HEADING)) & ~leads
-    opened, closed = (F.coalesce(F.max(F.when(x, F.col("pos"))).over(upto), F.lit(-1)) for x in (starts, heads))
-    return rows.withColumn("skipped", starts | leads | (opened > closed)).where("not skipped").drop("skipped")
+    state = scanned(rows, "pos", skipping=(LATEST, F.when(starts, True).when(heads, False)))
+    return state.where(~(starts | leads | F.coalesce("skipping", F.lit(False)))).drop("skipping")
 
 
 def top_blocks(sections: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import replies, text
 from lectern.functions.numbers import rounded_sql
-from lectern.operators import allocation, candidates, matching, metrics, retrieval, rules, sections
+from lectern.operators import allocation, candidates, matching, metrics, retrieval, rules, scans, sections
 from lectern.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -290,7 +290,7 @@ def wn2_keep_first(spark, sf_dir):
     SELECT doc_id, sid::BIGINT AS sid, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM h WHERE sid > 0 GROUP BY 1, 2""")
 def wn1_islands(spark, sf_dir):
     """WN1: lines attached to the short line before them."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    rows = scans.in_parts(read(spark, sf_dir, "documents"), "text", "\n")
     marked = sections.islands(rows, F.length(F.trim("line")).between(1, 40))
     return marked.groupBy("doc_id", "sid").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
@@ -312,6 +312,29 @@ def wn6_number_gaps(spark, sf_dir):
     return rules.number_gaps(terms).select("doc_id", "missing")
 
 
+_LINES = "l AS (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents))"
+
+
+@query(f"""WITH {_LINES}, c AS (SELECT doc_id, pos, last_value(CASE WHEN length(trim(line)) BETWEEN 1 AND 40 THEN trim(line) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS head FROM l)
+    SELECT doc_id, head, count(*) AS n_lines, min(pos)::BIGINT AS first_line, max(pos)::BIGINT AS last_line FROM c GROUP BY 1, 2""")
+def wn7_running_heads(spark, sf_dir):
+    """WN7: the last short line above each line, over documents in parts."""
+    rows = scans.in_parts(read(spark, sf_dir, "documents"), "text", "\n")
+    head = F.when(F.length(F.trim("line")).between(1, 40), F.trim("line"))
+    run = scans.scanned(rows, "pos", head=(scans.LATEST, head))
+    return run.groupBy("doc_id", "head").agg(F.count(F.lit(1)).alias("n_lines"), F.min("pos").cast("bigint").alias("first_line"), F.max("pos").cast("bigint").alias("last_line"))
+
+
+@query(f"""WITH {_LINES}, s AS (SELECT doc_id, pos, CASE WHEN length(line) < 40 THEN true WHEN length(line) >= 60 THEN false END AS on_, line FROM l),
+    c AS (SELECT *, coalesce(last_value(on_ IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING), false) AS skipping FROM s)
+    SELECT doc_id, count(*) AS kept, sum(pos)::BIGINT AS places FROM c WHERE NOT skipping GROUP BY 1""")
+def wn12_contents_skip(spark, sf_dir):
+    """WN12: lines outside contents tables, where short lines stand for a contents heading and long ones for the next heading."""
+    rows = scans.in_parts(read(spark, sf_dir, "documents"), "text", "\n")
+    marked = rows.withColumn("line", F.when(F.length("line") < 40, "目次").when(F.length("line") >= 60, "1 范围").otherwise("行"))
+    return sections.without_contents_table(marked).groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"), F.sum("pos").alias("places"))
+
+
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_click FROM events")
 def wn7_carry_forward(spark, sf_dir):
     """WN7: the last value so far."""

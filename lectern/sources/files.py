@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import replies
 from lectern.operators import review
+from lectern.operators.scans import in_parts
 from lectern.operators.sections import NUMBERED_HEADING, PLAIN_HEADING, carried, continued, is_noise, islands, preprocessed, split_nested, without_contents_table
 from lectern.operators.storage import stored
 
@@ -63,7 +64,7 @@ def sections_of_pages(pages: DataFrame) -> DataFrame:
     """Sections of page texts by patterns: furniture and contents table dropped, cut at headings."""
     rows = F.array_sort(F.collect_list(F.struct("page", "text")))
     docs = pages.groupBy("doc_id").agg(preprocessed(F.array_join(F.transform(rows, lambda r: r["text"]), "\n")).alias("text"))
-    line = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(~is_noise(F.col("line")))
+    line = in_parts(docs, "text", "\n").where(~is_noise(F.col("line")))
     line = without_contents_table(line)
     number, title = (F.regexp_extract("line", NUMBERED_HEADING, i) for i in (1, 2))
     row = line.withColumns({"number": number, "title": F.trim(title), "head": (number != "") | F.col("line").rlike(PLAIN_HEADING)})
@@ -77,7 +78,7 @@ def sections_of_pages(pages: DataFrame) -> DataFrame:
 
 def sections_of_markdown(docs: DataFrame, text: str = "markdown") -> DataFrame:
     """Sections of Markdown: # headings, with a leading number as the section number; nested numbers split."""
-    line = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
+    line = in_parts(docs, text, "\n")
     row = islands(line.withColumn("head", F.col("line").rlike(r"^#{1,6}\s+\S")), F.col("head"))
     title = F.trim(F.regexp_replace(F.max(F.when(F.col("head"), F.col("line"))), r"^#{1,6}\s+", ""))
     body = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line"))))
