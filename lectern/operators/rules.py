@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import WS, compact, depth, has_any, label, modal_words, reference_base, reference_ids, section_key, section_line, sentences, term_text, is_term_section
+from lectern.operators.patterns import own_hits
 from lectern.operators.sections import batch_number
 from lectern.taxonomy import MANDATORY, MAX_DEPTH, MODALS, RISKY_MODALS, STANDARD_ORDER, TECHNICAL_TITLES, TECHNICAL_WORDS, TERM_WORDS, WRONG_TITLES
 
@@ -66,13 +67,18 @@ def term_entries(sections: DataFrame, most: int = 120) -> DataFrame:
 def term_usage(terms: DataFrame, sections: DataFrame, most: int = 12) -> DataFrame:
     """For each term of two code points or more, the sections outside the term section that hold it.
 
-    Terms are at most 120 of a document, and meet only their own document's sections.
+    A document's terms (120 at most) go to its sections as one list; each section's text passes once through the
+    automaton of the list, however many terms there are.
     """
-    body = sections.where(~is_term_section(F.col("section_number"), F.col("title"))).select(F.col("doc_id").alias("b_doc"), F.col("ord").alias("b_ord"), F.col("section_number").alias("b_number"), _whole().alias("text"))
-    t = terms.where(F.length("term") >= 2)
-    used = t.join(body, (F.col("doc_id") == F.col("b_doc")) & F.contains("text", "term"), "left")
-    found = F.array_sort(F.collect_list(F.when(F.col("b_ord").isNotNull(), F.struct("b_ord", "b_number"))))
-    return used.groupBy("doc_id", "rank", "term", "section_number").agg(F.count("b_ord").alias("used_count"), F.slice(F.transform(found, lambda s: F.coalesce(s["b_number"], F.lit(""))), 1, most).alias("used_sections"))
+    t = terms.where(F.length("term") >= 2).select(F.struct("doc_id").alias("doc"), "doc_id", "rank", "term", "section_number")
+    listed = t.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("own"))
+    body = sections.where(~is_term_section(F.col("section_number"), F.col("title"))).select(F.struct("doc_id").alias("doc"), F.col("ord").alias("b_ord"), F.col("section_number").alias("b_number"), _whole().alias("text"))
+    rows = body.join(listed, "doc").select("doc", "b_ord", "b_number", "text", F.transform("own", lambda x: x["rank"]).alias("ranks"), F.transform("own", lambda x: x["term"]).alias("words"))
+    hits = own_hits(rows, "text", "words").select("doc", F.get("ranks", F.col("i")).alias("rank"), "b_ord", "b_number")
+    found = F.array_sort(F.collect_list(F.struct("b_ord", "b_number")))
+    used = hits.groupBy("doc", "rank").agg(F.count(F.lit(1)).alias("used_count"), F.slice(F.transform(found, lambda s: F.coalesce(s["b_number"], F.lit(""))), 1, most).alias("used_sections"))
+    none = F.array().cast("array<string>")
+    return t.join(used, ["doc", "rank"], "left").select("doc_id", "rank", "term", "section_number", F.coalesce("used_count", F.lit(0)).alias("used_count"), F.coalesce("used_sections", none).alias("used_sections"))
 
 
 def unused_terms(usage: DataFrame, most: int = 30) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import replies, text
 from lectern.functions.numbers import rounded_sql
-from lectern.operators import allocation, candidates, matching, metrics, retrieval, rules, scans, sections
+from lectern.operators import allocation, candidates, matching, metrics, patterns, retrieval, rules, scans, sections
 from lectern.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,6 +400,15 @@ def jn9_redundant_references(spark, sf_dir):
     return rules.reference_findings(_cited(spark, sf_dir)).where("error_type = 'E-R-02'").select("doc_id", "name", "section_number")
 
 
+@query("""WITH p AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS pattern FROM benchmark), w AS (SELECT * FROM p WHERE length(pattern) >= 12)
+    SELECT d.doc_id, w.pattern AS phrase, instr(d.text, w.pattern) AS first FROM documents d JOIN w ON contains(d.text, w.pattern)""")
+def jn11_benchmark_phrases(spark, sf_dir):
+    """JN11: every line of the benchmark texts in every document, by one automaton."""
+    lines = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("pattern")).where(F.length("pattern") >= 12).distinct()
+    hits = patterns.pattern_hits(read(spark, sf_dir, "documents"), lines.withColumn("pattern_id", F.col("pattern")))
+    return hits.select("doc_id", F.col("pattern_id").alias("phrase"), "first")
+
+
 @query(r"""WITH c AS (SELECT conv_id, turn, text FROM conversations), w AS (SELECT conv_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[a-z]{3,5}'))) AS term FROM c WHERE turn = 0),
     t AS (SELECT * FROM (SELECT conv_id, term, row_number() OVER (PARTITION BY conv_id ORDER BY term) AS rank FROM w) WHERE rank <= 4)
     SELECT t.conv_id AS doc_id, t.term, count(c.turn) AS used_count FROM t LEFT JOIN c ON c.conv_id = t.conv_id AND contains('t' || chr(10) || coalesce(c.text, ''), t.term) GROUP BY ALL""")
