@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import INJECTED_REFERENCE, WS, brief, error_text, has_any, injected_ids, replace_first, trimmed
 from lectern.operators.sections import first_match, has_real_text, has_text, top_blocks
+from lectern.operators.allocation import balanced_choices
 from lectern.operators.storage import stored
 from lectern.taxonomy import ERROR_TYPES, FAKE_STANDARDS, INJECTED_APPENDIX_TITLES, INJECTED_MANDATORY, INJECTED_TITLES, SAFETY, VAGUE
 
@@ -287,38 +288,31 @@ def inject(sections: DataFrame, choices: DataFrame, seed: int, types: list[str]
     return Injection(reduce(DataFrame.unionByName, (d.annotations for d in done)), reduce(DataFrame.unionByName, parts))
 
 
+def fitting_types(sections: DataFrame, seed: int, types: list[str] | None = None) -> DataFrame:
+    """doc_id and the types that can be injected into each document, with the draws of seed; documents without any are left out."""
+    found = [INJECTORS[t](sections, seed).annotations.select("doc_id", F.lit(t).alias("type")).distinct() for t in types or list(INJECTORS)]
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id").agg(F.collect_list("type").alias("types"))
+
+
 def inject_balanced(sections: DataFrame, rounds: int, seed: int, types: list[str] | None = None, used: dict[str, int] | None = None) -> Injection:
     """rounds errors for each document where so many fit; the least used types first.
 
-    In a try each open document takes a type that has not failed it since its last success; a failed try is
-    replaced by another type's. Tries end when every document is done or has no type left, and after
-    max(2 * rounds * types, 12) of them. All annotations of one try are one error (column round counts them).
-    Documents choose at once, so a type's chance falls with its count in used and in the tries before
-    (an exponential race of seeded draws), where a sequential counter would take turns. A later error meets
-    the sections that the earlier ones left. Each try is stored in the checkpoint folder.
+    In each round every document that some type fits takes one: exactly the least used of those that fit it, as if
+    documents came one after another (balanced_choices gives the order). Counts of used and of earlier
+    rounds go on. All annotations of one round are one error (column round counts them from 0), and the next round
+    meets the sections that it left. A round is two passes over the sections, whatever the number of types
+    that fail; its results are stored in the checkpoint folder.
     """
     types = types or list(INJECTORS)
     counts = dict.fromkeys(types, 0) | {t: n for t, n in (used or {}).items() if t in types}
-    none = F.array().cast("array<string>")
-    state = stored(sections.select("doc_id").distinct().select("doc_id", F.lit(0).alias("round"), none.alias("failed")), "state")
-    notes = []
-    for step in range(max(2 * rounds * len(types), 12)):
-        open_ = state.where((F.col("round") < rounds) & (F.size("failed") < len(types)))
-        least = min(counts.values())
-        chance = lambda t: (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "doc_id", F.lit(t)), F.lit(1 << 30)) + 1) / float(1 << 30)  # noqa: B023, E731
-        wait = lambda t: F.when(~F.array_contains("failed", t), F.struct((-F.log(chance(t)) * (1 + counts[t] - least)).alias("wait"), F.lit(t).alias("type")))  # noqa: B023, E731
-        chosen = stored(open_.select("doc_id", "round", F.array_min(F.array_compact(F.array(*map(wait, types))))["type"].alias("error_type")), "tries")
-        if chosen.isEmpty():
-            break
+    sections, notes = stored(sections.select("doc_id", "ord", *SECTION), "sections"), []
+    for step in range(rounds):
+        chosen = stored(balanced_choices(fitting_types(sections, seed + step, types), counts, seed), "choices")
         made = inject(sections, chosen, seed + step, types)
-        notes.append(stored(made.annotations.join(chosen.select("doc_id", "round"), "doc_id"), "annotations"))
+        notes.append(stored(made.annotations.withColumn("round", F.lit(step)), "annotations"))
         sections = stored(made.sections, "injected")
-        hits = notes[-1].select("doc_id", "error_type").distinct()
-        for r in hits.groupBy("error_type").agg(F.count(F.lit(1)).alias("n")).collect():
+        for r in chosen.groupBy("error_type").agg(F.count(F.lit(1)).alias("n")).collect():
             counts[r["error_type"]] += r["n"]
-        tried = state.join(chosen.select("doc_id", F.col("error_type").alias("tried")), "doc_id", "left").join(hits.select("doc_id", F.lit(True).alias("hit")), "doc_id", "left")
-        failed = F.when(F.col("hit"), none).when(F.col("tried").isNotNull(), F.array_append("failed", F.col("tried"))).otherwise(F.col("failed"))
-        state = stored(tried.select("doc_id", (F.col("round") + F.coalesce(F.col("hit").cast("int"), F.lit(0))).alias("round"), failed.alias("failed")), "state")
     return Injection(reduce(DataFrame.unionByName, notes), sections)
 
 

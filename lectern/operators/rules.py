@@ -111,7 +111,8 @@ def modal_sentences(sections: DataFrame, most: int = 220, limit: int = 360) -> D
     once = F.row_number().over(Window.partitionBy("doc_id", "section", "sentence").orderBy("ord", "pos"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "pos"))
     kept = rows.withColumn("once", once).where("once = 1").withColumn("rank", rank).where(F.col("rank") <= most)
-    return kept.select("doc_id", "rank", "section_number", "title", F.substring("sentence", 1, limit).alias("sentence"), modal_words(F.col("sentence")).alias("modal_words"), batch_number(F.col("rank"), 70).alias("batch"))
+    kept = kept.withColumn("modal_words", modal_words(F.col("sentence")))  # of the whole sentence: in one select, the lambda would see the cut one
+    return kept.select("doc_id", "rank", "section_number", "title", F.substring("sentence", 1, limit).alias("sentence"), "modal_words", batch_number(F.col("rank"), 70).alias("batch"))
 
 
 def modal_class(content: Column) -> Column:

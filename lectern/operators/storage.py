@@ -32,10 +32,10 @@ def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], name: str, kind: str = "int") -> DataFrame:
     """df with its rows numbered from 1 in order, in parts: each part's count moves the numbers of those behind it."""
     parts = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "numbered")
     counts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # as many rows as parts
     before = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.join(before, "_part").withColumn(name, (own + F.col("_before")).cast("int")).drop("_part", "_before")
+    return parts.join(before, "_part").withColumn(name, (own + F.col("_before")).cast(kind)).drop("_part", "_before")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import file_queries, fixture_queries, table_queries
+from lectern.plans import corpus_queries, file_queries, fixture_queries, table_queries
 
-QUERIES: dict = {**table_queries.QUERIES, **fixture_queries.QUERIES}
-ORACLES: dict = {**table_queries.ORACLES, **fixture_queries.ORACLES}
+QUERIES: dict = {**corpus_queries.QUERIES, **fixture_queries.QUERIES}
+ORACLES: dict = {**corpus_queries.ORACLES, **fixture_queries.ORACLES}

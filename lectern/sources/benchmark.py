@@ -101,9 +101,10 @@ def example_json(annotations: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def write_texts(texts: DataFrame, path: str) -> None:
-    """The source_text of each document as a text file in a folder named by its doc_id (read_texts reads them back)."""
-    texts.select("doc_id", "source_text").write.mode("overwrite").partitionBy("doc_id").text(path)
+    """doc_id and source_text of each document as JSON lines, in as many files as texts has partitions (read_texts, or format review_sections, reads them)."""
+    texts.select("doc_id", "source_text").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("doc_id").cast("string"), F.regexp_replace("value", r"\n\z", "").alias("source_text"))
+    """What write_texts wrote; ids are strings, so "007" is not "7"."""
+    return spark.read.schema("doc_id string, source_text string").json(path)
