@@ -14,6 +14,8 @@ from lectern.llm.common import stored
 
 #: Documents that are packed together; bins whose bitmaps are compared at once.
 SHARD_ROWS, LOOK = 8192, 512
+#: Repeats of one row that a task numbers.
+BLOCK = 8192
 
 
 class Bins:
@@ -108,7 +110,10 @@ def best_fit_packing(docs: DataFrame, capacity: int = 8192, id_col: str = "doc_i
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(source_col).cast("string").alias("source"), (F.octet_length(text) + 1).cast("bigint").alias("size"), F.xxhash64(F.lower(F.regexp_replace(text, r"[\x20\x09-\x0D]", ""))).alias("cluster"))
     counted = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("rows"))
-    slim = stored(counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "rows"))).drop("rows"), "packing")
+    # Numbered in blocks that tasks share, so that no array grows with a row's repeats.
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("rows") - 1) / BLOCK)))).repartition(*slim.columns, "block")
+    first = F.col("block") * BLOCK + 1
+    slim = stored(blocks.withColumn("copy", F.explode(F.sequence(first, F.least(first + BLOCK - 1, "rows")))).drop("rows", "block"), "packing")
     shards = max(1, -(-slim.count() // SHARD_ROWS))
     dealt = slim.withColumn("shard", F.pmod(F.xxhash64("id", "source", "size", "cluster", "copy"), F.lit(shards)))
     return dealt.groupBy("shard").applyInPandas(_shard_packer(capacity), "doc_id bigint, piece bigint, start bigint, n_tokens bigint, bin_id bigint, bin_offset bigint")

@@ -92,6 +92,14 @@ def test_packing_ignores_partitions(spark):
     assert pack(1) == pack(5)
 
 
+def test_packing_numbers_repeats_in_blocks(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "ab", "s")] * 50 + [(None, None, None)] * 23, "doc_id bigint, text string, source string")
+    pack = lambda: sorted(map(str, packing.best_fit_packing(d, 100).collect()))
+    whole = pack()
+    monkeypatch.setattr(packing, "BLOCK", 7)
+    assert pack() == whole and len(whole) == 73
+
+
 def test_packing(docs, none):
     rows = packing.best_fit_packing(docs, 1000).collect()
     assert sum(r["n_tokens"] for r in rows) == sum(len((r[1] or "").encode()) + 1 for r in ROWS)
