@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import replies
 from lectern.operators import candidates, rules, sections
 from lectern.operators.metrics import issue_summary
+from lectern.operators.storage import open_store, stored
 
 #: A reviewer takes section rows and gives findings with doc_id and the output columns.
 Reviewer = Callable[[DataFrame], DataFrame]
@@ -44,6 +50,70 @@ def asked(prompts: DataFrame, client: Client) -> DataFrame:
     return prompts.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", reply string, failed boolean")
 
 
+#: Calls of one task that run at once; tries of a call; seconds before the second try, which double.
+CALLS, TRIES, PAUSE = 8, 3, 1.0
+
+
+def _answered(client: Client, prompt: str, system: str | None, tries: int, pause: float) -> tuple[str | None, bool]:
+    """Reply and failure of a call, tried again after growing pauses."""
+    for n in range(tries):
+        try:
+            return (client(prompt) if system is None else client(prompt, system)), False
+        except Exception:  # noqa: BLE001  any failure of a service is no answer
+            if n + 1 < tries:
+                time.sleep(pause * 2**n)
+    return None, True
+
+
+def _journal(client: Client, path: str, calls: int, tries: int, pause: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Asks a task's prompts, `calls` at a time; each group's replies are a file named by its digests before the next group is asked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, folder = open_store(path)
+        store.create_dir(folder, recursive=True)
+        with ThreadPoolExecutor(calls) as pool:
+            for b in batches:
+                for at in range(0, len(b), calls):
+                    part = b.iloc[at : at + calls]
+                    name = f"{folder}/{hashlib.sha256(''.join(part['digest']).encode()).hexdigest()}.json"
+                    if store.get_file_info(name).type == pafs.FileType.NotFound:  # a task that runs again finds what it asked before
+                        said = list(pool.map(lambda r: _answered(client, r.prompt, r.system, tries, pause), part.itertuples()))
+                        lines = [json.dumps({"digest": d, "reply": r, "failed": f}) + "\n" for d, (r, f) in zip(part["digest"], said, strict=True)]
+                        half = f"{folder}/_{uuid.uuid4().hex}"
+                        with store.open_output_stream(half) as out:
+                            out.write("".join(lines).encode())
+                        store.move(half, name)
+                    yield part[["digest"]]
+
+    return run
+
+
+def asked_once(prompts: DataFrame, client: Client, path: str, calls: int = CALLS, tries: int = TRIES, pause: float = PAUSE) -> DataFrame:
+    """As asked(), through a folder of replies keyed by the digest of prompt and system text; a prompt with a reply there is not asked.
+
+    Distinct prompts are dealt by digest and sorted, so a task that runs again, or a job after it, goes through the
+    same groups and reads those that are there: at most the `calls` calls under way in a lost task are made
+    twice. Failed calls are tried again with growing pauses, and asked anew by the next job. Prompts are not collected.
+    """
+    spark, has_system = prompts.sparkSession, "system" in prompts.columns
+    system = F.col("system") if has_system else F.lit(None).cast("string")
+    digest = F.sha2(F.concat(F.coalesce(F.concat(F.lit("s"), system, F.lit("\0")), F.lit("")), F.coalesce("prompt", F.lit(""))), 256)
+    keyed = prompts.withColumn("_digest", digest)
+
+    def known() -> DataFrame:
+        found = spark.read.schema("digest string, reply string, failed boolean").option("recursiveFileLookup", True).json(path).groupBy("digest").agg(F.min(F.struct("failed", "reply")).alias("x"))  # an answer before a failure
+        return found.select(F.col("digest").alias("_digest"), "x.reply", "x.failed")
+
+    store, folder = open_store(path)
+    store.create_dir(folder, recursive=True)
+    asks = keyed.groupBy(F.col("_digest").alias("digest")).agg(F.first("prompt").alias("prompt"), F.first(system).alias("system"))
+    left = asks.join(known().where("not failed").withColumnRenamed("_digest", "digest"), "digest", "left_anti")
+    dealt = stored(left, "asks").repartition("digest").sortWithinPartitions("digest")
+    round_ = uuid.uuid4().hex  # failures of earlier jobs are asked again
+    dealt.mapInPandas(_journal(client, f"{path}/{round_}", calls, tries, pause), "digest string").write.format("noop").mode("overwrite").save()
+    return keyed.join(stored(known(), "replies"), "_digest").drop("_digest", "prompt", "system")
+
+
 def predictions_of(replied: DataFrame) -> DataFrame:
     """Items of replies in order: doc_id, pred_index and the item's fields."""
     rows = replied.select("doc_id", F.posexplode(replies.items(F.col("reply"))).alias("pred_index", "i"))

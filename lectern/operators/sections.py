@@ -18,6 +18,7 @@ NUMBERED = r"^\[([^\]]+)\]" + WS + r"*(.*)$"
 # Lines that are page furniture, and forms of headings.
 NOISE = r"^\d{1,4}$|^(?:GB/?T\s*\d+(?:\.\d+)?(?:[-—]\d{4})?|ICS\s+\S+|CCS\s+.+)\s*$|版权|©|All rights reserved"
 NUMBERED_HEADING = r"^(\d{1,2}(?:\.\d{1,2})*)" + WS + r"+([\x{4e00}-\x{9fff}A-Za-z].{0,60})$"
+NESTED_HEADING = r"^(\d{1,2}(?:\.\d{1,2})+)" + WS + r"+[\x{4e00}-\x{9fff}A-Za-z（(].{0,80}$"
 PLAIN_HEADING = f"^(前{WS}*言|引{WS}*言|参{WS}*考{WS}*文{WS}*献|索{WS}*引|附{WS}*录{WS}*[A-Z].{{0,30}})$"
 CONTENTS_LINE = r"[…\.]{3,}" + WS + r"*\d+" + WS + r"*$"
 
@@ -67,12 +68,14 @@ def tool_headings(docs: DataFrame, text: str = "source_text") -> DataFrame:
 def split_nested(sections: DataFrame) -> DataFrame:
     """Sections with the subsections that stand in their content cut out as sections of their own.
 
-    A line "5.1 Title" opens one if its number lies under the section's own.
+    A line "5.1 Title" opens one if its number lies under the section's own, any number where that has none. The
+    section itself stays with what stands before the first, which may be nothing.
     """
-    start = F.concat(F.coalesce("section_number", F.lit("\0")), F.lit("."))
-    row = sections.select("doc_id", "ord", "section_number", "title", F.posexplode(F.split(F.coalesce("content", F.lit("")), "\n")).alias("pos", "line"))
-    number = F.regexp_extract("line", f"^{WS}*(\\d+(?:\\.\\d+)+){WS}+\\S", 1)
-    row = row.withColumn("sub", F.when((number != "") & number.startswith(start), number))
+    under = F.coalesce("section_number", F.lit(""))
+    rows = F.concat(F.array(F.lit("")), F.split(F.coalesce("content", F.lit("")), "\n"))  # an empty line keeps a section whose content begins with a subsection
+    row = sections.select("doc_id", "ord", "section_number", "title", F.posexplode(rows).alias("pos", "line"))
+    number = F.regexp_extract(trimmed(F.col("line")), NESTED_HEADING, 1)
+    row = row.withColumn("sub", F.when((number != "") & ((under == "") | number.startswith(F.concat(under, F.lit(".")))), number))
     sid = F.sum(F.col("sub").isNotNull().cast("int")).over(Window.partitionBy("doc_id", "ord").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
     parts = row.withColumn("sid", sid).groupBy("doc_id", "ord", "sid", "section_number", "title").agg(
         F.max("sub").alias("sub"), F.min_by("line", "pos").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("sub").isNull(), F.struct("pos", "line")))), lambda r: r["line"]), "\n").alias("content")

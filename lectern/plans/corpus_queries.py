@@ -31,8 +31,8 @@ CONTENT = """CASE (doc_id + {k}) % 12 WHEN 1 THEN concat('GB/T ', {n} % 30 + 1,
 
 _NAMES = {"k": "k", "n": "n", "own": "own"}
 _S = rf"""l AS (SELECT doc_id, unnest(range(len(x))) AS p, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
-    m AS (SELECT doc_id, p, length(line) AS n, regexp_replace(line, '[^\p{{L}} ]', '', 'g') AS own, p // 4 + 1 AS k FROM l),
-    t AS (SELECT *, {TITLE.format(**_NAMES)} AS title, {NUMBER.format(**_NAMES)} AS section_number FROM m),
+    m AS (SELECT doc_id, p, line, length(line) AS n, regexp_replace(line, '[^\p{{L}} ]', '', 'g') AS own, p // 4 + 1 AS k FROM l),
+    t AS (SELECT * EXCLUDE (line), {TITLE.format(**_NAMES)} AS title, {NUMBER.format(**_NAMES)} AS section_number FROM m),
     c AS (SELECT doc_id, k - 1 AS ord, p, n, title, section_number, (doc_id + k) % 12 AS kind, {CONTENT.format(**_NAMES)} AS line FROM t WHERE p % 4 > 0),
     s AS (SELECT h.doc_id, (h.k - 1)::INT AS ord, h.section_number, h.title, coalesce(string_agg(c.line, chr(10) ORDER BY c.p), '') AS content
           FROM (SELECT * FROM t WHERE p % 4 = 0) h LEFT JOIN c ON h.doc_id = c.doc_id AND h.k - 1 = c.ord GROUP BY ALL)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import corpus_queries, file_queries, fixture_queries, table_queries
+from lectern.plans import corpus_queries, file_queries, fixture_queries, review_queries
 
-QUERIES: dict = {**corpus_queries.QUERIES, **fixture_queries.QUERIES}
-ORACLES: dict = {**corpus_queries.ORACLES, **fixture_queries.ORACLES}
+QUERIES: dict = {**review_queries.QUERIES, **fixture_queries.QUERIES}
+ORACLES: dict = {**review_queries.ORACLES, **fixture_queries.ORACLES}

@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from pyspark.sql.types import StructType
 
 from lectern.functions.outline import outline
+from lectern.operators.storage import open_store
 
 #: Bytes of files that one task reads, where no option bytes_per_task says otherwise.
 TASK_BYTES = 32 << 20
@@ -28,15 +29,9 @@ class Files(InputPartition):
     numbers: list[str] | None = None
 
 
-def _store(uri: str) -> tuple[pafs.FileSystem, str]:
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return pafs.FileSystem.from_uri(uri) if "://" in uri else (pafs.LocalFileSystem(), uri)
-
-
 def _listed(uri: str) -> list[pafs.FileInfo]:
     """JSON files below a folder, oldest first; those that a writer has not finished begin with _ or a dot."""
-    store, path = _store(uri)
+    store, path = open_store(uri)
     found = store.get_file_info(pafs.FileSelector(path, recursive=True))
     shown = [f for f in found if f.is_file and f.extension == "json" and not any(p[:1] in "_." for p in f.path[len(path) :].split("/") if p)]
     return sorted(shown, key=lambda f: (f.mtime_ns, f.path))
@@ -55,7 +50,7 @@ def _dealt(files: list[pafs.FileInfo], most: int) -> list[list[str]]:
 
 
 def _read(uri: str, part: Files) -> Iterator[tuple]:
-    store, _ = _store(uri)
+    store, _ = open_store(uri)
     for path in part.paths:
         with store.open_input_stream(path) as file:
             rest = b""

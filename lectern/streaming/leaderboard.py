@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,3 +29,19 @@ def append_totals(recall: DataFrame, path: str, checkpoint: str) -> StreamingQue
         corpus_totals(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return recall.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def windowed_updates(findings: DataFrame, time: str, length: str, lateness: str, by: str, path: str, checkpoint: str) -> StreamingQuery:
+    """windowed_counts over all that is there, each batch's changed windows under its id; a batch run again replaces its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    made = windowed_counts(findings, time, length, lateness, by)
+    return made.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_windows(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """The last count of each window that windowed_updates wrote: start, by, n."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("start", by).agg(F.max_by("n", "batch").alias("n"))
