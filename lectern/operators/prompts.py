@@ -164,10 +164,11 @@ def found_by(replied: DataFrame) -> DataFrame:
     return kept.withColumn("pred_index", rank).drop("own_dimension", "own_type", "place")
 
 
-def agentic_review(docs: DataFrame, client: Callable[..., str], direct: bool = True, specialists: bool = True, type_agents: bool = True, local: bool = True) -> DataFrame:
+def agentic_review(docs: DataFrame, client: Callable[..., str], direct: bool = True, specialists: bool = True, type_agents: bool = True, local: bool = True, replies: str | None = None) -> DataFrame:
     """Final candidates of documents (doc_id, source_text) by the high-recall review, with a client that the caller brings.
 
-    All prompts are put in one pass over the cluster; the replies are stored, so a retry asks no model twice.
+    All prompts are put in one pass over the cluster, several at once in a task. With a folder of replies, prompts that
+    have one there are not asked again, by retries or later reviews (review.asked_once); else replies are stored for this review.
     A failed call adds no findings and is told apart from an empty answer in the stored replies (failed).
     """
     s = parse_sections(docs)
@@ -184,6 +185,6 @@ def agentic_review(docs: DataFrame, client: Callable[..., str], direct: bool = T
     if not made:
         return review.high_recall(docs, {}, **local_only)
     asked = reduce(DataFrame.unionByName, made).withColumn("part", F.row_number().over(Window.partitionBy("doc_id", "source_agent").orderBy("prompt")))
-    found = found_by(stored(review.asked(asked, client), "replies"))
+    found = found_by(stored(review.asked_once(asked, client, replies) if replies else review.asked(asked, client), "replies"))
     order = [*(["direct"] if direct else []), *([f"specialist_{d}" for d in GUIDES] if specialists else []), *([f"type_{t}" for _, t in TYPE_AGENTS] if type_agents else []), *(["sentences", "term_index_model"] if local else [])]
     return review.high_recall(docs, {a: found.where(F.col("source_agent") == a).drop("source_agent") for a in order}, **local_only)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lectern.plans import corpus_queries, file_queries, fixture_queries, review_queries
+from lectern.plans import corpus_queries, file_queries, review_queries, table_queries
 
-QUERIES: dict = {**review_queries.QUERIES, **fixture_queries.QUERIES}
-ORACLES: dict = {**review_queries.ORACLES, **fixture_queries.ORACLES}
+QUERIES: dict = {**table_queries.QUERIES, **corpus_queries.QUERIES, **review_queries.QUERIES, **file_queries.QUERIES}
+ORACLES: dict = {**table_queries.ORACLES, **corpus_queries.ORACLES, **review_queries.ORACLES, **file_queries.ORACLES}

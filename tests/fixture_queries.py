@@ -1,4 +1,4 @@
-"""Queries over small inline documents in the reviewed language; their SQL states the rows worked out by hand."""
+"""Cases over small inline documents in the reviewed language; their SQL states the rows worked out by hand."""
 
 from __future__ import annotations
 
@@ -35,7 +35,7 @@ def rows_sql(columns: str, rows: list[tuple]) -> str:
 
 
 def golden(columns: str, rows: list[tuple]):
-    """Register a query whose result is stated."""
+    """Register a case whose result is stated."""
 
     def add(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(spark)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.outline import outline
-from lectern.operators import allocation, rules, sections, tables
+from lectern.operators import allocation, prompts, review, rules, sections, tables
 from lectern.sources import benchmark, review_source
 
 TEXTS = ["封面\n前言\n甲\n[1] 范围\n本文件\x85续\n [ 附录A ]（规范性）\n\n乙　\n参考文献\n[1] GB/T 1", None, "", "[5.1.1.1.1.1] 适用范围\r\n[3] x\r[3] 术语\n[2]y", "没有标题"]
@@ -107,3 +107,73 @@ def test_balanced_choices_are_a_counter_in_order(spark, used):
 def test_turns_take_no_room():
     used = {"a": 5, "b": 0, "c": 10**12}
     assert len(allocation.least_used_turns(["a", "b", "c"], used, 10**12)) <= 3 and sum(used.values()) == 2 * 10**12 + 5 and abs(used["a"] - used["b"]) <= 1
+
+
+def counting(folder, dies=False):
+    """A client that leaves a file for each call; with dies, the process ends at the seventh prompt, once."""
+
+    def client(prompt, system=None):
+        open(f"{folder}/{prompt}-{time.time_ns()}", "w").close()
+        if prompt == "p6" and dies and not os.path.exists(f"{folder}/died"):
+            open(f"{folder}/died", "w").close()
+            os._exit(1)
+        if prompt == "bad":
+            raise TimeoutError
+        return f"{prompt}{system or ''}!"
+
+    return client
+
+
+def calls(folder):
+    return sorted(x.rsplit("-", 1)[0] for x in os.listdir(folder) if x != "died")
+
+
+def test_a_prompt_is_asked_once(spark, tmp_path):
+    said, folder = str(tmp_path / "said"), str(tmp_path / "calls")
+    os.makedirs(folder)
+    rows = [(i, f"p{i % 20}") for i in range(60)]
+    asks = spark.createDataFrame(rows, "doc_id int, prompt string").coalesce(1)
+    with pytest.raises(Exception):  # noqa: B017  the worker's end fails the job, as local mode does not repeat tasks
+        review.asked_once(asks, counting(folder, True), said, calls=1, tries=1).collect()
+    assert 1 <= len(calls(folder)) < 20
+    for _ in range(2):
+        got = review.asked_once(asks, counting(folder, True), said, calls=1, tries=1)
+        assert sorted(map(tuple, got.collect())) == sorted((i, f"{p}!", False) for i, p in rows)
+    asked = calls(folder)
+    assert sorted(set(asked)) == sorted({p for _, p in rows}) and len(asked) == 21  # p6 was under way when its process ended
+
+
+def test_failed_calls_are_tried_again(spark, tmp_path):
+    said, folder = str(tmp_path / "said"), str(tmp_path / "calls")
+    os.makedirs(folder)
+    asks = spark.createDataFrame([(1, "bad", "s"), (2, "a", "s"), (3, "a", "t")], "doc_id int, prompt string, system string")
+    ask = lambda: sorted(map(tuple, review.asked_once(asks, counting(folder), said, tries=3, pause=0.01).collect()))
+    assert ask() == [(1, None, True), (2, "as!", False), (3, "at!", False)]
+    assert calls(folder) == ["a", "a", "bad", "bad", "bad"]
+    ask()
+    assert calls(folder) == ["a", "a"] + ["bad"] * 6  # answers stay, a failure is asked anew
+    assert review.asked_once(asks.where("false"), counting(folder), str(tmp_path / "none")).count() == 0
+
+
+def test_calls_run_at_once(spark, tmp_path):
+    def slow(prompt):
+        time.sleep(0.3)
+        return prompt
+
+    asks = spark.createDataFrame([(i, f"q{i}") for i in range(32)], "doc_id int, prompt string").coalesce(1)
+    began = time.time()
+    assert review.asked_once(asks, slow, str(tmp_path / "said"), calls=16).count() == 32
+    assert time.time() - began < 0.3 * 32
+
+
+def test_a_review_again_asks_nothing(spark, tmp_path):
+    folder, docs = str(tmp_path / "calls"), spark.createDataFrame([("d", "[5] 要求\n产品宜检查，应干燥")], "doc_id string, source_text string")
+    os.makedirs(folder)
+
+    def client(prompt, system):
+        open(f"{folder}/{time.time_ns()}-{os.getpid()}", "w").close()
+        return "[]"
+
+    first = prompts.agentic_review(docs, client, replies=str(tmp_path / "said")).collect()
+    n = len(os.listdir(folder))
+    assert prompts.agentic_review(docs, client, replies=str(tmp_path / "said")).collect() == first and len(os.listdir(folder)) == n > 5

@@ -1,13 +1,13 @@
 """Properties of metrics, candidates and injections."""
 
 import pytest
+from fixture_queries import INJECTED, TREE, _documents, _items, _sections
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lectern.functions import numbers
 from lectern.operators import allocation, candidates, injectors, matching, metrics, review, sections
-from lectern.plans.fixture_queries import INJECTED, TREE, _documents, _items, _sections
 from lectern.plans.table_queries import bags
 from lectern.taxonomy import ERROR_TYPES
 
