@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions import replies, text
 from lectern.functions.numbers import rounded_sql
-from lectern.operators import allocation, candidates, matching, metrics, patterns, retrieval, rules, scans, sections
+from lectern.operators import allocation, candidates, matching, metrics, patterns, retrieval, rules, scans, sections, vector_index
+from lectern.operators.storage import stored
 from lectern.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -421,6 +422,17 @@ def jn11_term_usage(spark, sf_dir):
     return rules.term_usage(terms, turns).select("doc_id", "term", "used_count")
 
 
+@query("SELECT count(*) AS queries, 5 * count(*) AS answers, true AS recall_met FROM embeddings WHERE vec_id % 20 = 0")
+def tk2_indexed_top_k(spark, sf_dir):
+    """TK2: the five nearest vectors of each query through the index of every row; at least nine tenths of tk2_vector_top_k's are among them."""
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    queries = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    quantiser = vector_index.fit(e)
+    found = stored(vector_index.search(vector_index.build(e, quantiser), e, quantiser, queries, 5, probes=len(quantiser.centres) // 2, rerank=20), "found")
+    met = vector_index.recall(found, retrieval.top_k(queries, e, 5)) >= 0.9
+    return found.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("answers")).withColumn("recall_met", F.lit(met))
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
     d AS (SELECT query_id, vec_id AS id, label, 1 - list_dot_product(embedding::DOUBLE[], v::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(v::DOUBLE[], v::DOUBLE[]))) AS distance FROM embeddings, q)
     SELECT query_id, id, round(distance, 6) + 0.0 AS distance, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 5""")
