@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import delete, sliced, stored, text_or_empty, word_pieces
+from lectern.llm.common import sliced, stored, text_or_empty, word_pieces
 
 #: Longest n-grams; bits of a word's number, so that those of N fit one integer; words that a task remembers.
 N, BITS, WORDS = 3, 21, 400_000
