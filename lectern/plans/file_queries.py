@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import reduce
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,6 +125,26 @@ def io9_document_routes(spark, sf_dir):
     return _ids(found)
 
 
+def _pages_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Turns of a conversation as pages, a row of points for each line and a point for each word of its first, stitched."""
+    for b in batches:
+        found = []
+        for texts in b["texts"]:
+            pages = [np.full((t.count("\n") + 1, len(t.split("\n")[0].split(" ")), 3), i % 200, np.uint8) for i, t in enumerate(texts)]
+            whole = files.stitched(pages)
+            found.append((*whole.shape[:2], int(whole[-1, 0, 0]), int((whole[..., 0] == 255).sum())))
+        yield pd.concat([b[["conv_id"]].reset_index(drop=True), pd.DataFrame(found, columns=["height", "width", "last", "white"])], axis=1)
+
+
+@query("""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS i, len(string_split(text, chr(10))) AS h, len(string_split(string_split(text, chr(10))[1], ' ')) AS w FROM (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations))
+    SELECT conv_id, sum(h)::BIGINT AS height, max(w)::BIGINT AS width, arg_max(i % 200, i)::BIGINT AS last, (sum(h) * max(w) - sum(h * w))::BIGINT AS white FROM t GROUP BY 1""")
+def io13_stitched_turns(spark, sf_dir):
+    """IO13: page images one below the other on white, one for each turn of all conversations."""
+    turn = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    pages = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["text"]).alias("texts"))
+    return pages.mapInPandas(_pages_of, "conv_id bigint, height bigint, width bigint, last bigint, white bigint")
+
+
 @query("SELECT CASE WHEN item_id % 3 = 0 THEN 'rule_' || (item_id + 1) ELSE 'b' || item_id END AS id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text, CASE WHEN item_id % 2 = 0 THEN 'C3.1' END AS dimension FROM benchmark")
 def io18_benchmark_rules(spark, sf_dir):
     """IO18: the benchmark texts as a file of rules; those without an id are named after their line."""

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import replies, text
-from lectern.operators import allocation, candidates, injectors, matching, metrics, retrieval, review, rules, sections
+from lectern.operators import allocation, candidates, injectors, matching, retrieval, review, rules, sections
 from lectern.operators.storage import scratch, stored
 from lectern.plans.corpus_queries import _S, parsed, standards
-from lectern.plans.table_queries import ORACLES, QUERIES, bags, query, read
+from lectern.plans.table_queries import ORACLES, QUERIES, query, read
 from lectern.sources import benchmark, files
 from lectern.streaming import leaderboard
 from lectern.taxonomy import RISKY_MODALS

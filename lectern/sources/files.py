@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import io
-import struct
 import xml.etree.ElementTree as ET
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -136,57 +134,14 @@ def docx_cells(files: DataFrame) -> DataFrame:
     return _by_file(files, _cells, "table int, row int, col int, text string")
 
 
-def _pixels(png: bytes) -> np.ndarray:
-    """Rows, columns and channels of an 8-bit PNG without interlacing."""
-    at, data, head, palette = 8, b"", b"", None
-    while at < len(png):
-        size, kind = struct.unpack(">I4s", png[at : at + 8])
-        body = png[at + 8 : at + 8 + size]
-        head, data, palette = (body if kind == b"IHDR" else head), data + body * (kind == b"IDAT"), (body if kind == b"PLTE" else palette)
-        at += size + 12
-    width, height, depth, color, _, _, interlaced = struct.unpack(">IIBBBBB", head)
-    if depth != 8 or interlaced:
-        raise ValueError("only 8-bit PNG without interlacing")
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(height, 1 + width * channels)
-    out = np.zeros((height + 1, width + 1, channels), np.int64)  # a row above and a column before, as filters ask for
-    for y in range(height):
-        kind, line = int(raw[y, 0]), raw[y, 1:].reshape(width, channels).astype(np.int64)
-        up = out[y, 1:]
-        if kind in (0, 2):
-            out[y + 1, 1:] = (line + (up if kind else 0)) & 255
-        elif kind == 1:
-            out[y + 1, 1:] = np.cumsum(line, 0) & 255
-        else:
-            for x in range(width):
-                left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
-                guess = (left + above) // 2
-                if kind == 4:
-                    base = left + above - corner
-                    a, b, c = np.abs(base - left), np.abs(base - above), np.abs(base - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
-                out[y + 1, x + 1] = (line[x] + guess) & 255
-    image = out[1:, 1:].astype(np.uint8)
-    if color == 3:
-        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[image[..., 0]]
-    return np.repeat(image[..., :1], 3, 2) if channels < 3 else image[..., :3]
-
-
-def _png(image: np.ndarray) -> bytes:
-    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    lines = np.concatenate([np.zeros((len(image), 1), np.uint8), image.reshape(len(image), -1)], 1)
-    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + part(b"IEND", b"")
-
-
-def stitched(pages: list[bytes]) -> bytes:
-    """Page images (PNG) one below the other, on white, as one PNG."""
-    images = [_pixels(p) for p in pages]
-    whole = np.full((sum(len(x) for x in images), max(x.shape[1] for x in images), 3), 255, np.uint8)
+def stitched(pages: list[np.ndarray]) -> np.ndarray:
+    """Page images (height, width, 3; bytes) one below the other, on white; a single white point for none."""
+    whole = np.full((max(1, sum(len(x) for x in pages)), max([1, *(x.shape[1] for x in pages)]), 3), 255, np.uint8)
     y = 0
-    for x in images:
+    for x in pages:
         whole[y : y + len(x), : x.shape[1]] = x
         y += len(x)
-    return _png(whole)
+    return whole
 
 
 def page_chunks(pages: DataFrame, size: int) -> DataFrame:

@@ -142,7 +142,7 @@ def io11_chunk_replies(spark):
 def io13_stitched_pages(spark):
     """IO13: page images one below the other on white."""
     a, b = np.full((2, 4, 3), (10, 20, 30), np.uint8), np.full((3, 2, 3), (1, 2, 3), np.uint8)
-    whole = files._pixels(files.stitched([files._png(a), files._png(b)]))
+    whole = files.stitched([a, b])
     shown = lambda x: ",".join(map(str, x.tolist()))
     return spark.createDataFrame([(whole.shape[0], whole.shape[1], shown(whole[0, 0]), shown(whole[-1, -1]))], "height int, width int, first string, last string")
 
