@@ -11,7 +11,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import WS, same_description, section_key
+from lectern.functions.text import WS, section_key
+from lectern.operators.components import components
+from lectern.operators.storage import stored
 
 LOCATION, DIMENSION, DIAGNOSIS = ["section"], ["section", "dimension"], ["section", "dimension", "error_type"]
 
@@ -110,49 +112,72 @@ def marked_text(hits: DataFrame) -> DataFrame:
 def _largest_matching(edges: list[tuple[int, int]], have: list[int], give: list[int]) -> int:
     """Size of the largest one-to-one choice of edges between kinds of which there are have and give.
 
-    A path of kinds carries as many at once as its narrowest step lets pass, so copies are not told apart.
+    Blocking flows: each phase finds the distances from the kinds that are left, and then sends as much as fits
+    along shortest ways, trying no edge twice. Copies of a kind go together; phases grow with the root of the kinds.
     """
     near: list[list[int]] = [[] for _ in have]
-    for a, b in edges:
+    for a, b in sorted(set(edges)):
         near[a].append(b)
-    taken: dict[int, dict[int, int]] = {}  # by right kind, what each left kind has of it
-    left, right, total = list(have), list(give), 0
-    for start in range(len(have)):
-        while left[start]:
-            came: dict[int, tuple[int, int | None]] = {}
-            open_, end = [(start, None)], None
-            while open_ and end is None:
-                a, via = open_.pop()
-                for b in near[a]:
-                    if b not in came:
-                        came[b] = (a, via)
-                        if right[b]:
-                            end = b
+    left, right, taken, total = list(have), list(give), [{} for _ in give], 0  # taken: by right kind, what each left kind has of it
+    while True:
+        depth, queue, reached = {a: 0 for a in range(len(have)) if left[a]}, [a for a in range(len(have)) if left[a]], False
+        seen: set[int] = set()
+        for a in queue:
+            for b in near[a]:
+                if b not in seen:
+                    seen.add(b)
+                    reached = reached or right[b] > 0
+                    for o, n in taken[b].items():
+                        if n and o not in depth:
+                            depth[o] = depth[a] + 1
+                            queue.append(o)
+        if not reached:
+            return total
+        todo = [[*x] for x in near]
+        back: list[dict[int, list[int]]] = [{} for _ in give]
+        for start in [a for a in queue if not depth[a]]:
+            while left[start]:
+                way, a = [], start  # pairs of a left kind and the right kind it goes on by
+                while True:
+                    if not todo[a]:
+                        if not way:
                             break
-                        open_ += [(o, b) for o, n in taken.get(b, {}).items() if n]
-            if end is None:
-                break
-            steps, b = [], end
-            while b is not None:
-                a, via = came[b]
-                steps.append((a, b, via))
-                b = via
-            flow = min(left[start], right[end], *(taken[via][a] for a, _, via in steps if via is not None))
-            for a, b, via in steps:
-                taken.setdefault(b, {})[a] = taken.get(b, {}).get(a, 0) + flow
-                if via is not None:
-                    taken[via][a] -= flow
-            left[start] -= flow
-            right[end] -= flow
-            total += flow
-    return total
+                        a = way.pop()[0]  # nothing behind: the owner is given up there
+                        back[todo[a][-1]][a].pop()
+                        if not back[todo[a][-1]][a]:
+                            todo[a].pop()
+                        continue
+                    b = todo[a][-1]
+                    if right[b]:
+                        way.append((a, b))
+                        break
+                    owners = back[b].setdefault(a, [o for o, n in taken[b].items() if n and depth.get(o) == depth[a] + 1])
+                    while owners and not taken[b].get(owners[-1]):
+                        owners.pop()
+                    if not owners:
+                        todo[a].pop()
+                        continue
+                    way.append((a, b))
+                    a = owners[-1]
+                if not way or not right[way[-1][1]]:
+                    break
+                owners_of = [way[i + 1][0] for i in range(len(way) - 1)]
+                flow = min(left[start], right[way[-1][1]], *(taken[b][o] for (_, b), o in zip(way, owners_of, strict=False)))
+                for (x, b), o in zip(way, [*owners_of, None], strict=True):
+                    taken[b][x] = taken[b].get(x, 0) + flow
+                    if o is not None:
+                        taken[b][o] -= flow
+                left[start] -= flow
+                right[way[-1][1]] -= flow
+                total += flow
 
 
 def described_matches(gt: DataFrame, pred: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """By document and diagnosis key, items, predictions and the largest one-to-one match of equal descriptions.
 
     Descriptions are equal without white space, or where judged (gt_text, pred_text) lists them. Without
-    judged the relation is an equivalence, and the match is a bag intersection; else alternating paths find it.
+    judged the relation is an equivalence, and the match is a bag intersection; else blocking flows find it, in
+    each connected component of the edges by itself. Components are told apart by 64-bit hashes.
     """
     names = ["doc_id", *DIAGNOSIS]
     if judged is None:
@@ -160,18 +185,17 @@ def described_matches(gt: DataFrame, pred: DataFrame, judged: DataFrame | None =
         counts = bag_counts(gt.select(*names, plain), pred.select(*names, plain), [*DIAGNOSIS, "description"])
         shared = F.when(F.col("description") != "", F.least("g", "p")).otherwise(0)
         return counts.groupBy(*names).agg(F.sum("g").alias("items"), F.sum(shared).alias("matched")).where("items > 0")
-    bag = lambda df, n: df.groupBy(*names, "description").agg(F.count(F.lit(1)).alias(n))
-    g, p = bag(gt, "g"), bag(pred, "p")
-    total = g.groupBy(*names).agg(F.sum("g").alias("items"))
-    right = p.select(*[F.col(c).alias(f"p_{c}") for c in names], F.col("description").alias("p_description"), "p")
-    meet = g["doc_id"] == right["p_doc_id"]
-    for c in DIAGNOSIS:
-        meet = meet & g[c].eqNullSafe(right[f"p_{c}"])
-    paired = g.join(right, meet)
-    listed = judged.select(F.col("gt_text").alias("description"), F.col("pred_text").alias("p_description"), F.lit(True).alias("judged")).distinct()
-    paired = paired.join(listed, ["description", "p_description"], "left")
-    equal = same_description(F.col("description"), F.col("p_description")) | F.coalesce("judged", F.lit(False))
-    edges = paired.where(equal).select(*names, "description", "p_description", "g", "p")
+    bag = lambda df, n: df.groupBy(F.struct(*names).alias("key"), "description").agg(F.count(F.lit(1)).alias(n))
+    g, p = stored(bag(gt, "g"), "items"), stored(bag(pred, "p").withColumnRenamed("description", "p_description"), "marks")
+    total = g.groupBy("key").agg(F.sum("g").alias("items"))
+    plain = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), f"{WS}+", "")
+    # Edges by equal keys only: the pairs of a key never meet.
+    equal = g.withColumn("text", plain("description")).where("text <> ''").join(p.withColumn("text", plain("p_description")), ["key", "text"]).select("key", "description", "p_description")
+    listed = judged.select(F.col("gt_text").alias("description"), F.col("pred_text").alias("p_description")).distinct()
+    told = g.join(listed, "description").join(p, ["key", "p_description"]).select("key", "description", "p_description")
+    edges = stored(equal.unionByName(told).distinct().withColumns({"u": F.xxhash64("key", F.lit("g"), "description"), "v": F.xxhash64("key", F.lit("p"), "p_description")}), "edges")
+    parts = edges.join(components(edges), edges["u"] == F.col("node")).select("key", "component", "description", "p_description")
+    sized = parts.join(g, ["key", "description"]).join(p, ["key", "p_description"]).select("component", "key", "description", "p_description", "g", "p")
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         left = {d: i for i, d in enumerate(sorted(rows["description"].unique()))}
@@ -180,11 +204,8 @@ def described_matches(gt: DataFrame, pred: DataFrame, judged: DataFrame | None =
         give = rows.drop_duplicates("p_description").set_index("p_description")["p"].to_dict()
         links = [(left[a], right_[b]) for a, b in zip(rows["description"], rows["p_description"], strict=True)]
         matched = _largest_matching(links, [have[d] for d in left], [give[d] for d in right_])
-        return rows.head(1)[names].assign(matched=matched)
-
-    matched = edges.groupBy(*names).applyInPandas(solve, edges.select(*names).withColumn("matched", F.lit(0).cast("bigint")).schema)
-    m = matched.select(*[F.col(c).alias(f"m_{c}") for c in names], "matched")
-    back = total["doc_id"] == m["m_doc_id"]
-    for c in DIAGNOSIS:
-        back = back & total[c].eqNullSafe(m[f"m_{c}"])
-    return total.join(m, back, "left").select(*names, "items", F.coalesce("matched", F.lit(0)).cast("bigint").alias("matched"))
+        return pd.DataFrame({"component": rows["component"].iloc[:1], "matched": [matched]})
+
+    owner = sized.select("component", "key").distinct()
+    solved = sized.groupBy("component").applyInPandas(solve, "component bigint, matched bigint").join(owner, "component").groupBy("key").agg(F.sum("matched").alias("matched"))
+    return total.join(solved, "key", "left").select("key.*", "items", F.coalesce("matched", F.lit(0)).cast("bigint").alias("matched"))
