@@ -6,6 +6,7 @@ import math
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,9 @@ def _shifts() -> np.ndarray:
 
 def joined(left: np.ndarray, right: np.ndarray, size: np.ndarray) -> np.ndarray:
     """CRC-32 of texts whose parts have the CRCs left and right; the right part has size bytes, SHORT + 1 at most."""
-    table = _shifts()
-    out = right.copy()
+    table, row, out = _shifts().ravel(), size * 1024, right.copy()
     for byte in range(4):
-        out ^= table[size, byte, (left >> np.uint32(8 * byte)) & 255]
+        out ^= table[row + (256 * byte + ((left >> np.uint32(8 * byte)) & 255))]
     return out
 
 
@@ -50,7 +50,7 @@ class Words:
         self.text, self.alone, self.behind, self.size = [b""], np.zeros(1, np.uint32), np.zeros(1, np.uint32), np.zeros(1, np.int64)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        found = np.fromiter((self.known.get(w, 0) for w in words), np.int64, len(words))
+        found = np.fromiter(map(self.known.get, words, repeat(0)), np.int64, len(words))
         missed = np.flatnonzero(found == 0).tolist()
         if missed:
             new = list(dict.fromkeys(words[i] for i in missed))
@@ -79,7 +79,7 @@ def suffix_runs(words: Words, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.
     key = np.zeros(last, np.int64)
     for n in range(N):
         key |= ids[n : last + n] << (BITS * (N - 1 - n))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     hashes = before = None
     for n in range(1, N + 1):
@@ -114,12 +114,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa
             words = worker_words()
             if len(words.text) > WORDS:
                 words.__init__()
-            ids, sizes = [], []
-            for text in part.column(column).to_pylist():
-                found = [words.numbers(piece) for piece in word_pieces(text, STEP)]
-                sizes.append(sum(map(len, found)))
-                ids += [*found, np.zeros(1, np.int64)]
-            yield part, np.concatenate(ids), np.array(sizes, np.int64)
+            pieces = [list(word_pieces(text, STEP)) for text in part.column(column).to_pylist()] if len(part) > 1 else [word_pieces(part.column(column)[0].as_py(), STEP)]
+            if len(part) == 1:  # maybe a long text: a piece at a time
+                found = [words.numbers(piece) for piece in pieces[0]]
+                yield part, np.concatenate([*found, np.zeros(1, np.int64)]), np.array([sum(map(len, found))], np.int64)
+                continue
+            sizes = np.array([sum(map(len, x)) for x in pieces], np.int64)
+            flat = list(chain.from_iterable(chain.from_iterable(pieces)))
+            ids = np.zeros(len(flat) + len(sizes), np.int64)
+            ids[np.arange(len(flat)) + np.repeat(np.arange(len(sizes)), sizes)] = words.numbers(flat)
+            yield part, ids, sizes
 
 
 def _stretches(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -169,9 +173,9 @@ def _weigher(gain: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 added = np.zeros(len(order), np.int64)
                 for hashes, at, ends in runs:
                     value = gain[hashes % len(gain)]
-                    step = np.zeros(len(order) + 1, np.int64)  # the value on from at, gone at ends
-                    np.add.at(step, at, value)
-                    np.subtract.at(step, ends, value)
+                    step = np.zeros(len(order) + 1, np.int64)  # the value on from at, gone at ends; each place is one of either once
+                    step[at] += value
+                    step[ends] -= value
                     added += np.cumsum(step[:-1])
                 of_place[start + order] = added
             first = np.cumsum(sizes + 1) - sizes - 1
