@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from lectern.llm.common import sliced, stored, text_or_empty
 
 #: Hashed word features; words a task remembers; bytes of text at once.
-FEATURES, WORDS, STEP = 1 << 14, 150_000, 1 << 20
+FEATURES, WORDS, STEP = 1 << 17, 150_000, 1 << 20
 #: Labelled documents of each domain that the classifier is fitted on, and steps of fitting.
-SAMPLE, EPOCHS = 2000, 300
+SAMPLE, EPOCHS = 2000, 1500
+#: Documents of the sample that a feature must be in to count, and chi-square of its counts by domain above which it tells domains apart.
+SEEN, TELLING = 5, 25.0
 #: Greatest rate of a document; most gradient rounds; move of all expected shares in a round at which they end; miss of a share that is warned of.
 MOST, ROUNDS, ENOUGH, WARN = 16.0, 300, 1e-7, 2e-3
 _log = logging.getLogger(__name__)
@@ -28,11 +30,11 @@ _LETTER = re.compile(rb"[A-Za-z\x80-\xff]+")
 
 
 class Words:
-    """Words by number, each with two features: the hash of the word in lower case without edge marks, and of what is left of it without letters."""
+    """Words by number, each with three features: the hash of the word in lower case without edge marks, of its first five bytes, and of what is left of it without letters."""
 
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.pairs = np.zeros((0, 2), np.int64)
+        self.pairs = np.zeros((0, 3), np.int64)
 
     def codes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of all texts in a row, and how many each text has."""
@@ -46,7 +48,8 @@ class Words:
             missing = [flat[i] for i in missed]
             new = list(dict.fromkeys(missing))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            made = [(zlib.crc32(w.strip(_EDGES).lower()) % FEATURES, zlib.crc32(b"\0" + _LETTER.sub(b"a", w)[:8]) % FEATURES) for w in new]
+            bare = [w.strip(_EDGES).lower() for w in new]
+            made = [(zlib.crc32(b) % FEATURES, zlib.crc32(b"\1" + b[:5]) % FEATURES, zlib.crc32(b"\0" + _LETTER.sub(b"a", w)[:8]) % FEATURES) for w, b in zip(new, bare, strict=True)]
             self.pairs = np.concatenate([self.pairs, np.array(made, np.int64)])
             codes[missed] = np.fromiter(map(self.known.__getitem__, missing), np.int64, len(missing))
         return codes, np.fromiter(map(len, words), np.int64, len(words))
@@ -64,28 +67,41 @@ class Classifier:
         full = np.flatnonzero(sizes)
         if len(full):
             start = (np.cumsum(sizes) - sizes)[full]
-            table = self.weights[pairs[:, 0]] + self.weights[pairs[:, 1]]
-            sums[full] = np.add.reduceat(table[codes], start, axis=0) / np.sqrt(2 * sizes[full, None])
+            table = self.weights[pairs].sum(1)
+            sums[full] = np.add.reduceat(table[codes], start, axis=0) / np.sqrt(pairs.shape[1] * sizes[full, None])
         score = np.exp((z := sums + self.bias) - z.max(1, keepdims=True))
         return score / score.sum(1, keepdims=True)
 
-    def fit(self, features: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rate: float = 0.2, decay: float = 1e-4) -> Classifier:
-        """Adaptive gradient steps on the weighted mean cross entropy of texts given by their features, how often each occurs, and their numbers of words; weight (by domain) undoes the sampling."""
-        of, flat, domains = np.repeat(np.arange(len(features)), [len(f) for f in features]), np.concatenate(features), range(len(self.domains))
-        share = np.concatenate(counts) / np.sqrt(2 * np.maximum(1, sizes))[of]
+    def fit(self, features: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rate: float = 0.5, decay: float = 1e-4) -> Classifier:
+        """Adaptive gradient steps on the weighted mean cross entropy of texts given by their features, how often each occurs, and their numbers of words; weight (by domain) undoes the sampling.
+
+        Only features that tell domains apart get a weight: others would be learnt by heart and move the
+        posteriors of texts outside the sample.
+        """
+        of, flat, domains = np.repeat(np.arange(len(features)), [len(f) for f in features]), np.concatenate(features).astype(np.int64), range(len(self.domains))
+        share = np.concatenate(counts) / np.sqrt(3 * np.maximum(1, sizes))[of]
+        seen = np.bincount(flat * len(self.domains) + gold[of], minlength=FEATURES * len(self.domains)).reshape(FEATURES, -1)
+        expected = seen.sum(1, keepdims=True) * np.bincount(gold, minlength=len(self.domains)) / len(gold)
+        telling = ((seen - expected) ** 2 / np.maximum(expected, 1e-9)).sum(1) > TELLING
+        kept = (telling & (seen.sum(1) >= SEEN))[flat]
+        kept = kept if kept.any() else ~kept  # a handful of labelled texts tells nothing yet, so all count
+        of, share = of[kept], share[kept]
+        used, flat = np.unique(flat[kept], return_inverse=True)
+        weights = self.weights[used]
         own = weight[gold] / weight[gold].sum()
-        squares, square = np.full_like(self.weights, 1e-8), np.full_like(self.bias, 1e-8)
+        squares, square = np.full_like(weights, 1e-8), np.full_like(self.bias, 1e-8)
         for _ in range(EPOCHS):
-            sums = np.stack([np.bincount(of, self.weights[flat, k] * share, len(gold)) for k in domains], 1) + self.bias
+            sums = np.stack([np.bincount(of, weights[flat, k] * share, len(gold)) for k in domains], 1) + self.bias
             error = np.exp(sums - sums.max(1, keepdims=True))
             error /= error.sum(1, keepdims=True)
             error[np.arange(len(gold)), gold] -= 1
             error *= own[:, None]
-            step = np.stack([np.bincount(flat, error[of, k] * share, FEATURES) for k in domains], 1) + decay * self.weights / FEATURES
+            step = np.stack([np.bincount(flat, error[of, k] * share, len(used)) for k in domains], 1) + decay * weights / FEATURES
             squares += step * step
-            self.weights -= rate * step / np.sqrt(squares)
+            weights -= rate * step / np.sqrt(squares)
             square += error.sum(0) ** 2
             self.bias -= rate * error.sum(0) / np.sqrt(square)
+        self.weights[used] = weights
         return self
 
 
