@@ -21,7 +21,7 @@ FEATURES, WORDS, STEP = 1 << 17, 150_000, 1 << 20
 #: Labelled documents of each domain that the classifier is fitted on, and steps of fitting.
 SAMPLE, EPOCHS = 2000, 1500
 #: Documents of the sample that a feature must be in to count, and chi-square of its counts by domain above which it tells domains apart.
-SEEN, TELLING = 5, 25.0
+SEEN, TELLING = 4, 12.0
 #: Greatest rate of a document; most gradient rounds; move of all expected shares in a round at which they end; miss of a share that is warned of.
 MOST, ROUNDS, ENOUGH, WARN = 16.0, 300, 1e-7, 2e-3
 _log = logging.getLogger(__name__)
