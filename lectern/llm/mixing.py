@@ -19,7 +19,7 @@ from lectern.llm.common import sliced, stored, text_or_empty
 #: Hashed word features; words a task remembers; bytes of text at once.
 FEATURES, WORDS, STEP = 1 << 17, 150_000, 1 << 20
 #: Labelled documents of each domain that the classifier is fitted on, and steps of fitting.
-SAMPLE, EPOCHS = 2000, 1500
+SAMPLE, EPOCHS = 2000, 500
 #: Documents of the sample that a feature must be in to count, and chi-square of its counts by domain above which it tells domains apart.
 SEEN, TELLING = 4, 12.0
 #: Greatest rate of a document; most gradient rounds; move of all expected shares in a round at which they end; miss of a share that is warned of.
@@ -72,7 +72,7 @@ class Classifier:
         score = np.exp((z := sums + self.bias) - z.max(1, keepdims=True))
         return score / score.sum(1, keepdims=True)
 
-    def fit(self, features: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rate: float = 0.5, decay: float = 1e-4) -> Classifier:
+    def fit(self, features: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rate: float = 1.0, decay: float = 1e-4) -> Classifier:
         """Adaptive gradient steps on the weighted mean cross entropy of texts given by their features, how often each occurs, and their numbers of words; weight (by domain) undoes the sampling.
 
         Only features that tell domains apart get a weight: others would be learnt by heart and move the
