@@ -20,8 +20,8 @@ from lectern.llm.common import sliced, stored, text_or_empty
 FEATURES, WORDS, STEP = 1 << 17, 150_000, 1 << 20
 #: Labelled documents of each domain that the classifier is fitted on, and steps of fitting.
 SAMPLE, EPOCHS = 2000, 500
-#: Documents of the sample that a feature must be in to count, and chi-square of its counts by domain above which it tells domains apart.
-SEEN, TELLING = 4, 12.0
+#: Features that get a weight: those whose counts by domain have the greatest chi-square.
+TELLING = 1024
 #: Greatest rate of a document; most gradient rounds; move of all expected shares in a round at which they end; miss of a share that is warned of.
 MOST, ROUNDS, ENOUGH, WARN = 16.0, 300, 1e-7, 2e-3
 _log = logging.getLogger(__name__)
@@ -75,16 +75,17 @@ class Classifier:
     def fit(self, features: list[np.ndarray], counts: list[np.ndarray], sizes: np.ndarray, gold: np.ndarray, weight: np.ndarray, rate: float = 1.0, decay: float = 1e-4) -> Classifier:
         """Adaptive gradient steps on the weighted mean cross entropy of texts given by their features, how often each occurs, and their numbers of words; weight (by domain) undoes the sampling.
 
-        Only features that tell domains apart get a weight: others would be learnt by heart and move the
+        Only the features that tell domains apart best get a weight: others would be learnt by heart and move the
         posteriors of texts outside the sample.
         """
         of, flat, domains = np.repeat(np.arange(len(features)), [len(f) for f in features]), np.concatenate(features).astype(np.int64), range(len(self.domains))
         share = np.concatenate(counts) / np.sqrt(3 * np.maximum(1, sizes))[of]
         seen = np.bincount(flat * len(self.domains) + gold[of], minlength=FEATURES * len(self.domains)).reshape(FEATURES, -1)
         expected = seen.sum(1, keepdims=True) * np.bincount(gold, minlength=len(self.domains)) / len(gold)
-        telling = ((seen - expected) ** 2 / np.maximum(expected, 1e-9)).sum(1) > TELLING
-        kept = (telling & (seen.sum(1) >= SEEN))[flat]
-        kept = kept if kept.any() else ~kept  # a handful of labelled texts tells nothing yet, so all count
+        score = ((seen - expected) ** 2 / np.maximum(expected, 1e-9)).sum(1)
+        telling = np.zeros(FEATURES, bool)
+        telling[np.argsort(-score, kind="stable")[:TELLING]] = True
+        kept = telling[flat]
         of, share = of[kept], share[kept]
         used, flat = np.unique(flat[kept], return_inverse=True)
         weights = self.weights[used]
