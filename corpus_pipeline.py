@@ -25,8 +25,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts: five-word shingles, similarity 0.8."""
-    return simhash.without_near_copies(docs, k=5, similarity=0.8)
+    """One document of each group of near copies.
+
+    Those are linked by fingerprints that differ in two bits or fewer, as op7 finds them through its grid. Copies whose
+    fingerprints are further apart are linked by what an exact comparison adds: five-word shingles, similarity 0.8.
+    """
+    pairs = simhash.fingerprint_pairs(docs, k=3, max_bits=2).union(simhash.similar_pairs(docs, k=5, similarity=0.8))
+    return simhash.without_linked(docs, pairs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

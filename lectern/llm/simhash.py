@@ -120,6 +120,22 @@ def links(classes: DataFrame, max_bits: int) -> DataFrame:
     return pairs.union(named.join(first, "name").select("u", F.col("rep").alias("v"))).where("u <> v").distinct()
 
 
+def _classes(docs: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of docs (id, fp), and each fingerprint with its smallest id (rep)."""
+    prints = stored(fingerprints(docs, k, id_col, text_col), "fingerprints")
+    return prints, stored(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+
+
+def fingerprint_pairs(docs: DataFrame, k: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (u, v) that connect the same documents as all pairs whose fingerprints differ in max_bits or fewer bits do.
+
+    Documents of equal fingerprints are linked to the smallest of them, and these through the grid (links). Null ids: no links.
+    """
+    prints, classes = _classes(docs, k, id_col, text_col)
+    equal = prints.join(classes, "fp").where("id <> rep").select(F.col("id").alias("u"), F.col("rep").alias("v"))
+    return links(classes, max_bits).union(equal).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint and component of each row: doc_id, fingerprint (16 hex digits), component_id, n_links.
 
@@ -129,8 +145,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, max_bits: int = 2, id_col: str
     rows stay; a class of null ids only has a null component. An empty table gives no rows; other columns
     are not read.
     """
-    prints = stored(fingerprints(docs, k, id_col, text_col), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
+    prints, classes = _classes(docs, k, id_col, text_col)
     edges = stored(links(classes, max_bits), "links")
     found = components(edges)
     degree = edges.select("u").union(edges.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
@@ -427,5 +442,10 @@ def without_near_copies(docs: DataFrame, k: int = 5, similarity: float = 0.8, id
 
     Rows without words, null ids and repeated rows of an id that stays are kept; an empty table gives none.
     """
-    dropped = components(similar_pairs(docs, k, similarity, id_col, text_col)).where("node <> component").select(F.col("node").alias(id_col))
+    return without_linked(docs, similar_pairs(docs, k, similarity, id_col, text_col), id_col)
+
+
+def without_linked(docs: DataFrame, pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs with one document, that of the smallest id, of each component of pairs (u, v); all columns."""
+    dropped = components(pairs).where("node <> component").select(F.col("node").alias(id_col))
     return docs.join(dropped.hint("merge"), id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
