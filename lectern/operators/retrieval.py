@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import compact
 
-#: Rows of a block of queries and of a part of the rules.
-QUERIES, RULES = 1024, 4096
+#: Rows of a block of queries and of a part of the rules; queries of a matrix product.
+QUERIES, RULES, STEP = 1024, 8192, 128
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -28,23 +29,63 @@ def distance(a: Column, b: Column, space: str = "cosine") -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def _nearest(k: int, space: str, by_group: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """The k nearest rules of a part for each query of a block (and group)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for queries, rules in zip(batch["queries"], batch["rules"], strict=True):
-                q, r = (np.array([np.asarray(x["v"], np.float64) for x in rows]) for rows in (queries, rules))
-                ids, groups = np.array([x["id"] for x in rules]), np.array([str(x["g"]) for x in rules])
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block of rows (block, id, v, g; sorted by block) as one row: the bytes of its ids and vectors, and its groups."""
+    rest = None
+    for batch in chain((b for b in batches if len(b)), [None]):
+        held = [x for x in (rest, batch) if x is not None]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        block = rows.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        done = len(cuts) - (1 if batch is None else 2)  # the last block may go on in the next batch
+        for start, end in zip(cuts[:done], cuts[1:], strict=False):
+            part = rows.slice(start, end - start)
+            columns = [int(block[start]), part.column("id").to_numpy().tobytes(), part.column("v").flatten().to_numpy().tobytes(), part.column("g").to_pylist()]
+            yield pa.record_batch([pa.array([x], t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string())), strict=True)], ["block", "ids", "vectors", "groups"])
+        rest = rows.slice(cuts[done]) if cuts[done] < len(block) else None
+
+
+def _least(far: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k least of each row of far, by value (NaN last) and the column's id."""
+    key = np.where(np.isnan(far), np.inf, far)
+    bound = np.partition(key, k - 1, axis=1)[:, k - 1 : k] if key.shape[1] > k else np.full((len(key), 1), np.inf)
+    row, column = np.nonzero(key <= bound)  # ties at the bound too
+    order = np.lexsort((ids[column], key[row, column], row))
+    row, column = row[order], column[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[first], column[first]
+
+
+def _nearest(k: int, space: str, kinds: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k nearest rules of a part for each query (and group); a part's rules come first, then one block of queries after another."""
+
+    def unpacked(row: dict, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(row["ids"], np.int64)
+        return ids, np.frombuffer(row["vectors"], kind).astype(np.float64).reshape(len(ids), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = None
+        for row in (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(len(batch))):
+            if row["groups"] is not None:
+                part, (ids, r) = row["part"], unpacked(row, kinds[1])
+                places: dict[str | None, list[int]] = {}
+                for i, g in enumerate(row["groups"]):
+                    places.setdefault(g, []).append(i)
+                own = {g: np.array(at) for g, at in places.items()}
+            if row["groups"] is not None or row["part"] != part:  # a part without rules
+                continue
+            asks, all_q = unpacked(row, kinds[0])
+            for at in range(0, len(asks), STEP):
+                q = all_q[at : at + STEP]
                 if space == "l2":
                     far = np.stack([((r - x) ** 2).sum(1) for x in q])
                 else:
                     far = 1 - q @ r.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1) if space == "cosine" else 1)
-                for x, d in zip(queries, far, strict=True):
-                    for g in sorted(set(groups)) if by_group else [None]:
-                        own = np.flatnonzero(groups == g) if by_group else np.arange(len(ids))
-                        best = own[np.lexsort((ids[own], d[own]))[:k]]
-                        yield pd.DataFrame({"query_id": x["id"], "group_value": g, "id": ids[best], "distance": d[best]})
+                for g, of in own.items():
+                    ask, near = _least(far[:, of], ids[of], k)
+                    yield pa.record_batch([pa.array(asks[at + ask]), pa.array([g] * len(ask), pa.string()), pa.array(ids[of][near]), pa.array(far[ask, of[near]])], ["query_id", "group_value", "id", "distance"])
 
     return run
 
@@ -52,19 +93,24 @@ def _nearest(k: int, space: str, by_group: bool) -> Callable[[Iterator[pd.DataFr
 def top_k(queries: DataFrame, rules: DataFrame, k: int, space: str = "cosine", group: str | None = None) -> DataFrame:
     """For each query (query_id, vector) its k nearest rules (id, embedding), by distance and id; by group if named.
 
-    Exact: the stated queries go against all rules in blocks of about QUERIES by RULES rows, each one matrix
-    product whose k best by query are kept before anything is shuffled. None for k below 1.
+    Exact: the stated queries go against all rules in blocks of about QUERIES by RULES rows, STEP queries a matrix
+    product, whose k best by query are kept before anything is shuffled. A block travels as the bytes of its vectors;
+    a task holds one part of the rules and one block of queries. Rows without a vector stay out. None for k below 1.
     """
     spark, kind = rules.sparkSession, f", {group} string" if group else ""
     if k < 1:
         return spark.createDataFrame([], f"query_id bigint{kind}, id bigint, distance double, rank int")
-    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((queries, QUERIES), (rules, RULES)))
-    q = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(F.col("query_id").alias("id"), F.col("vector").alias("v"))).alias("queries"))
-    member = F.struct("id", F.col("embedding").alias("v"), (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"))
-    r = rules.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(member).alias("rules"))
-    sent = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))  # the queries travel, as they are fewer than the rules
-    met = r.join(sent, "part").select("queries", "rules")
-    found = met.mapInPandas(_nearest(k, space, bool(group)), "query_id bigint, group_value string, id bigint, distance double")
+    q, r = queries.where("vector is not null"), rules.where("embedding is not null")
+    kinds = tuple("<f4" if c.dataType.simpleString() == "array<float>" else "<f8" for c in (q.schema["vector"], r.schema["embedding"]))
+    blocks, parts = (max(1, -(-df.count() // n)) for df, n in ((q, QUERIES), (r, RULES)))
+    none = F.lit(None).cast("string").alias("g")
+    dealt = lambda rows, n: rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))).repartition("block").sortWithinPartitions("block").select("block", F.col("id").cast("bigint"), "v", "g").mapInArrow(_packed, "block bigint, ids binary, vectors binary, groups array<string>")
+    asked = dealt(q.select(F.col("query_id").alias("id"), F.col("vector").cast("array<float>" if kinds[0] == "<f4" else "array<double>").alias("v"), none), blocks)
+    held = dealt(r.select("id", F.col("embedding").cast("array<float>" if kinds[1] == "<f4" else "array<double>").alias("v"), F.col(group).cast("string").alias("g") if group else none), parts)
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))
+    sent = asked.select(F.explode(every).alias("part"), "ids", "vectors", F.lit(None).cast("array<string>").alias("groups"))  # the queries travel, as they are fewer than the rules
+    met = held.select(F.col("block").alias("part"), "ids", "vectors", "groups").union(sent).repartition("part").sortWithinPartitions("part", F.col("groups").isNull())
+    found = met.mapInArrow(_nearest(k, space, kinds), "query_id bigint, group_value string, id bigint, distance double")
     by = ["query_id", *(["group_value"] if group else [])]
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("distance", "id"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
