@@ -428,7 +428,7 @@ def tk2_indexed_top_k(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     queries = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     quantiser = vector_index.fit(e)
-    found = stored(vector_index.search(vector_index.build(e, quantiser), e, quantiser, queries, 5, probes=len(quantiser.centres) // 2, rerank=20), "found")
+    found = stored(vector_index.search(vector_index.build(e, quantiser), e, quantiser, queries, 5, probes=quantiser.probes(0.95), rerank=20), "found")
     met = vector_index.recall(found, retrieval.top_k(queries, e, 5)) >= 0.9
     return found.agg(F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("answers")).withColumn("recall_met", F.lit(met))
 
