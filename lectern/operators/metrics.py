@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.numbers import rounded
@@ -34,6 +34,21 @@ def item_recall(docs: DataFrame, gt: DataFrame, pred: DataFrame, by: list[str] |
     return docs.select("doc_id").join(totals, "doc_id", "left").select("doc_id", *map(zero, ("gt_count", "pred_count", *HITS)))
 
 
+def _group_hits(gt: DataFrame, pred: DataFrame, by: str) -> DataFrame:
+    """By document and group (by) of the ground truth: items, and hits of 1, 2 and 3 key fields, as item_recall counts them.
+
+    Items and predictions travel once, to the task of their document and section; there the predictions of each
+    key are summed beside the items of every group, and the counts rolled up. Only sums of sections travel on.
+    """
+    both = gt.select("doc_id", *DIAGNOSIS, F.col(by).alias("by"), F.lit(1).alias("g"), F.lit(0).alias("p")).unionAll(pred.select("doc_id", *DIAGNOSIS, F.lit(None).cast(gt.schema[by].dataType), F.lit(0), F.lit(1)))
+    counts = both.repartition("doc_id", *LOCATION).groupBy("doc_id", *DIAGNOSIS, "by").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    all_p = lambda keys: F.sum("p").over(Window.partitionBy("doc_id", *keys))
+    items = counts.withColumn("p3", all_p(DIAGNOSIS)).withColumn("p2", all_p(DIMENSION)).withColumn("p1", all_p(LOCATION)).where("g > 0")
+    by_dim = items.groupBy("doc_id", *DIMENSION, "by").agg(F.sum("g").alias("g"), F.max("p1").alias("p1"), F.max("p2").alias("p2"), F.sum(F.least("g", "p3")).alias("h3"))
+    by_loc = by_dim.groupBy("doc_id", *LOCATION, "by").agg(F.sum("g").alias("g"), F.max("p1").alias("p1"), F.sum(F.least("g", "p2")).alias("h2"), F.sum("h3").alias("h3"))
+    return by_loc.groupBy("doc_id", "by").agg(F.sum("g").alias("gt_count"), F.sum(F.least("g", "p1")).alias("location_hits"), F.sum("h2").alias("dimension_hits"), F.sum("h3").alias("diagnosis_hits"))
+
+
 def rate(hits: Column, of: Column) -> Column:
     return F.when(of > 0, hits / of).otherwise(F.lit(0.0))
 
@@ -87,8 +102,7 @@ def corpus_metrics(recall: DataFrame, digits: bool = True) -> DataFrame:
 
 def grouped_recall(docs: DataFrame, gt: DataFrame, pred: DataFrame, by: str, digits: bool = True) -> DataFrame:
     """Recall by a column of the ground truth, in order of its value; null is <NULL>. Rates have 4 decimals if digits."""
-    some = item_recall(docs, gt, pred, [by])
-    sums = some.groupBy(F.coalesce(by, F.lit("<NULL>")).alias("group")).agg(F.count(F.lit(1)).alias("documents"), *[F.sum(c).alias(c) for c in ("gt_count", *HITS)])
+    sums = _group_hits(gt, pred, by).groupBy(F.coalesce("by", F.lit("<NULL>")).alias("group")).agg(F.count(F.lit(1)).alias("documents"), *[F.sum(c).alias(c) for c in ("gt_count", *HITS)])
     made = sums.withColumns({c.replace("hits", "recall"): rate(F.col(c), F.col("gt_count")) for c in HITS})
     return (with_digits(made, {c.replace("hits", "recall"): 4 for c in HITS}) if digits else made).orderBy("group")
 
