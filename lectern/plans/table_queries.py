@@ -381,7 +381,7 @@ def _cited(spark, sf_dir):
     """Orders as documents: lines up to number 2 are the list of references, the others cite; parts are the standards."""
     cited = F.concat(F.lit("GB/T "), (F.col("l_partkey") % 5 + 1).cast("string"))
     rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") <= 2).alias("listed"), "l_linenumber", cited.alias("ref"))
-    part = rows.groupBy("doc_id", "listed").agg(F.array_join(F.array_sort(F.collect_list("ref")), "\n").alias("content"))
+    part = rows.repartition("doc_id").groupBy("doc_id", "listed").agg(F.array_join(F.array_sort(F.collect_list("ref")), "\n").alias("content"))
     return part.select("doc_id", F.when(F.col("listed"), 0).otherwise(1).alias("ord"), F.when(F.col("listed"), "2").otherwise("5").alias("section_number"), F.when(F.col("listed"), "规范性引用文件").otherwise("要求").alias("title"), "content")
 
 
