@@ -10,7 +10,7 @@ import json
 import urllib.request
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,16 +69,16 @@ def look(base_url: str, model: str, key: str = "", post: Post = http) -> Callabl
 def embedded(texts: DataFrame, base_url: str, model: str, key: str = "", post: Post = http, size: int = 64, text_col: str = "text") -> DataFrame:
     """texts with their embedding, asked for size texts at a time; a failed call fails the task, which Spark repeats."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list = []
             for at in range(0, len(b), size):
-                reply = _call(post, f"{base_url}/embeddings", key, {"model": model, "input": b[text_col].iloc[at : at + size].fillna("").tolist()})
-                found += [x["embedding"] for x in sorted(reply["data"], key=lambda x: x["index"])]
-            yield b.assign(embedding=found)
+                asked = b.slice(at, size)  # leaves the task before the next call
+                reply = _call(post, f"{base_url}/embeddings", key, {"model": model, "input": [x or "" for x in asked.column(text_col).to_pylist()]})
+                found = [x["embedding"] for x in sorted(reply["data"], key=lambda x: x["index"])]
+                yield pa.record_batch([*asked.columns, pa.array(found, pa.list_(pa.float32()))], [*asked.schema.names, "embedding"])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
-    return texts.mapInPandas(run, f"{columns}, embedding array<float>")
+    return texts.mapInArrow(run, f"{columns}, embedding array<float>")
 
 
 def listed_models(spark: SparkSession, backends: dict[str, tuple[str, str]], post: Post = http) -> DataFrame:
