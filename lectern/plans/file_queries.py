@@ -15,6 +15,7 @@ from xml.sax.saxutils import escape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,14 +79,17 @@ def _docx(paragraphs: list[str], cell: str) -> bytes:
     return out.getvalue()
 
 
-def _word_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _word_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        yield pd.DataFrame({"path": b["path"], "content": [_docx(t.split("\n"), f"格{i}") for i, t in zip(b["path"], b["text"], strict=True)]})
+        for at in range(0, len(b), files.FILES):
+            part = b.slice(at, files.FILES)
+            made = [_docx(t.as_py().split("\n"), f"格{i}") for i, t in zip(part.column("path"), part.column("text"), strict=True)]
+            yield pa.record_batch([part.column("path"), pa.array(made, pa.binary())], ["path", "content"])
 
 
 def _documents_as_docx(spark, sf_dir) -> DataFrame:
     rows = printed(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "text")
-    return stored(rows.mapInPandas(_word_files, "path string, content binary"), "docx")
+    return stored(rows.mapInArrow(_word_files, "path string, content binary"), "docx")
 
 
 @query(f"WITH {_P} SELECT doc_id, p::INT AS index, CASE WHEN p % 4 = 0 THEN number || ' ' || title ELSE line END AS text, number AS section FROM q")

@@ -10,6 +10,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from lectern.operators.storage import stored
 
 # Words of which a readable first part of a standard holds one.
 READABLE = ["前言", "引言", "范围", "规范性", "标准", "要求", "术语"]
+#: Files whose rows leave a task at once.
+FILES = 32
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -107,13 +110,19 @@ def _cells(content: bytes) -> list[tuple]:
 
 
 def _by_file(files: DataFrame, read: Callable[[bytes], list[tuple]], columns: str) -> DataFrame:
-    names = [c.split()[0] for c in columns.split(", ")]
+    """Rows that read finds in each file (path, content), with its path as doc_id; those of FILES files leave at once."""
+    fields = [("doc_id", "string"), *(c.split() for c in columns.split(", "))]
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in fields])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame([(p, *r) for p, c in zip(b["path"], b["content"], strict=True) for r in read(bytes(c))], columns=["doc_id", *names])
+            for at in range(0, len(b), FILES):
+                part = b.slice(at, FILES)
+                rows = [(p.as_py(), *r) for p, c in zip(part.column("path"), part.column("content"), strict=True) for r in read(c.as_py())]
+                yield pa.record_batch([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return files.mapInPandas(run, f"doc_id string, {columns}")
+    return files.select("path", "content").mapInArrow(run, f"doc_id string, {columns}")
 
 
 def docx_paragraphs(files: DataFrame) -> DataFrame:
