@@ -151,13 +151,17 @@ _SHARD = 200
 
 def records(spark, sf_dir) -> DataFrame:
     """Orders as records of a construction: shard, place in it, file name, text, and an example for each line."""
-    part = lambda c: F.struct(F.col("l_linenumber").cast("string").alias("section_number"), F.concat(F.lit("甲"), F.col(c).cast("string")).alias("title"), F.lit("乙\t丙").alias("content"))
-    gone = F.when(F.col("l_partkey") % 4 != 0, part("l_suppkey"))
-    example = F.struct(F.col("l_returnflag").alias("dimension"), F.nullif("l_linestatus", F.lit("F")).alias("error_type"), part("l_partkey").alias("original"), gone.alias("corrupted"), F.lit("述").alias("error_description"))
-    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate").alias("at"), example.alias("e"))
-    listed = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "e"))), lambda x: x["e"]).alias("examples"))
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".pdf")).alias("file_name"), F.when(F.col("o_orderkey") % 9 == 0, " ").otherwise(F.concat("o_orderpriority", F.lit("\t文"))).alias("source_text"))
-    return orders.join(listed, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.floor(F.col("o_orderkey") / _SHARD).alias("shard"), (F.col("o_orderkey") % _SHARD).cast("int").alias("pos"), "file_name", "source_text", F.coalesce("examples", F.array().cast(listed.schema["examples"].dataType)).alias("examples"))
+    part = lambda x, c: F.struct(x["l_linenumber"].cast("string").alias("section_number"), F.concat(F.lit("甲"), x[c].cast("string")).alias("title"), F.lit("乙\t丙").alias("content"))
+    example = lambda x: F.struct(x["l_returnflag"].alias("dimension"), F.nullif(x["l_linestatus"], F.lit("F")).alias("error_type"), part(x, "l_partkey").alias("original"), F.when(x["l_partkey"] % 4 != 0, part(x, "l_suppkey")).alias("corrupted"), F.lit("述").alias("error_description"))
+    columns = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus"]  # these travel; examples are made of them where they arrive
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.struct(*columns).alias("line"), F.lit(None).cast("string").alias("priority"), F.lit(False).alias("own"))
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.lit(None).cast(lines.schema["line"].dataType).alias("line"), F.col("o_orderpriority").alias("priority"), F.lit(True).alias("own"))
+    shard = F.floor(F.col("key") / _SHARD)
+    dealt = orders.unionAll(lines).withColumn("shard", shard).repartition("shard")  # the only exchange: orders, their lines and the shard's file meet
+    of = F.collect_list(F.when(F.col("own"), F.struct("priority")))
+    listed = dealt.groupBy("shard", "key").agg(of.alias("orders"), F.transform(F.array_sort(F.collect_list("line")), example).alias("examples"))
+    text = F.when(F.col("key") % 9 == 0, " ").otherwise(F.concat("o.priority", F.lit("\t文")))
+    return listed.select("shard", "key", "examples", F.explode("orders").alias("o")).select("shard", (F.col("key") % _SHARD).cast("int").alias("pos"), F.concat(F.lit("o"), F.col("key").cast("string"), F.lit(".pdf")).alias("file_name"), text.alias("source_text"), "examples")
 
 
 def _written(spark, sf_dir) -> str:
@@ -165,7 +169,7 @@ def _written(spark, sf_dir) -> str:
     path = scratch(spark, "benchmark")
     docs = F.array_sort(F.collect_list(F.struct("pos", "file_name", "source_text", "examples")))
     shards = records(spark, sf_dir).groupBy("shard").agg(F.to_json(F.struct(F.count(F.lit(1)).alias("total_files"), docs.alias("documents"))).alias("value"))
-    shards.select("shard", F.replace("value", F.lit("\\t"), F.lit("\t")).alias("value")).repartition("shard").write.partitionBy("shard").text(path)
+    shards.select("shard", F.replace("value", F.lit("\\t"), F.lit("\t")).alias("value")).write.partitionBy("shard").option("compression", "gzip").text(path)  # a row is a file
     return f"{path}/*/*"
 
 
