@@ -34,10 +34,6 @@ def _cut(data: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray,
     return np.where(inside, data[np.clip(at, 0, len(data) - 1)], 0), inside
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Network:
     """Per direction: inputs by byte (256 x 3 units), recurrent weights (units x 3 units); one output layer."""
 
@@ -48,54 +44,73 @@ class Network:
         self.p |= {"o": rng.normal(0, 0.4, (2 * h, len(languages))), "c": np.zeros(len(languages))}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
-    def states(self, bytes_: np.ndarray, way: str, inside: np.ndarray, keep: bool = False):
-        """States of one direction (steps x windows x units), zero outside a text, and what backpropagation needs if keep."""
+    def states(self, bytes_: np.ndarray, inside: np.ndarray, keep: bool = False) -> tuple[np.ndarray, dict[str, list]]:
+        """States of both directions (steps x 2 units x windows), zero outside a text, and what backpropagation needs if keep.
+
+        Units come before windows, so that each operation of a step runs along many windows in a row.
+        """
         h, (n, steps) = UNITS, bytes_.shape
-        table, u = self.p["x" + way], self.p["u" + way]
-        state, out, kept = np.zeros((n, h), np.float32), np.empty((steps, n, h), np.float32), []
-        mask = inside.T[..., None].astype(np.float32)
-        for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
-            x, r = table[bytes_[:, t]], state @ u
-            gates = _sigmoid(x[:, : 2 * h] + r[:, : 2 * h])
-            reset, update = gates[:, :h], gates[:, h:]
-            new = np.tanh(x[:, 2 * h :] + reset * r[:, 2 * h :])
-            if keep:
-                kept.append((t, state, reset, update, new, r[:, 2 * h :]))
-            state = (new + update * (state - new)) * mask[t]
-            out[t] = state
+        at, mask, whole = np.ascontiguousarray(bytes_.T, np.intp), np.ascontiguousarray(inside.T), inside.all(0)
+        out, kept = np.empty((steps, 2 * h, n), self.p["o"].dtype), {"f": [], "b": []}
+        for i, d in enumerate("fb"):
+            table, u = (np.array(self.p[k + d].T, order="C") for k in "xu")
+            for w in table, u:
+                w[: 2 * h] *= 0.5  # sigmoid(x) is 0.5 * tanh(0.5 * x) + 0.5
+            state = np.zeros((h, n), out.dtype)
+            for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+                x, r = table.take(at[t], 1, mode="clip"), u @ state  # no byte is outside the table
+                gates, new = x[: 2 * h], x[2 * h :]
+                gates += r[: 2 * h]
+                np.tanh(gates, out=gates)
+                gates *= 0.5
+                gates += 0.5
+                reset, update = gates[:h], gates[h:]
+                new += reset * r[2 * h :]
+                np.tanh(new, out=new)
+                if keep:
+                    kept[d].append((t, state, reset, update, new, r[2 * h :]))
+                state = state - new
+                state *= update
+                state += new
+                if not whole[t]:
+                    state *= mask[t]
+                out[t, i * h : (i + 1) * h] = state
         return out, kept
 
-    def probabilities(self, both: np.ndarray) -> np.ndarray:
-        score = both @ self.p["o"] + self.p["c"]
-        score = np.exp(score - score.max(-1, keepdims=True))
-        return score / score.sum(-1, keepdims=True)
+    def probabilities(self, states: np.ndarray) -> np.ndarray:
+        """Of each language at each position: steps x languages x windows."""
+        score = self.p["o"].T @ states
+        score += self.p["c"][:, None]
+        score -= score.max(1, keepdims=True)
+        np.exp(score, out=score)
+        score /= score.sum(1, keepdims=True)
+        return score
 
     def label(self, bytes_: np.ndarray, inside: np.ndarray, lead: int = 0) -> np.ndarray:
         """Probabilities of each language at each position but the lead on both sides: steps x windows x languages."""
         own = slice(lead, bytes_.shape[1] - lead)
-        return self.probabilities(np.concatenate([self.states(bytes_, d, inside)[0][own] for d in "fb"], -1))
+        return self.probabilities(self.states(bytes_, inside)[0][own]).swapaxes(1, 2)
 
     def gradients(self, bytes_: np.ndarray, mask: np.ndarray, gold: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross entropy of all positions, by backpropagation through time."""
         h, g = UNITS, {k: np.zeros_like(v) for k, v in self.p.items()}
-        runs = {d: self.states(bytes_, d, mask, keep=True) for d in "fb"}
-        both = np.concatenate([runs["f"][0], runs["b"][0]], -1)
+        both, kept = self.states(bytes_, mask, keep=True)
         error = self.probabilities(both)
-        error[:, np.arange(len(gold)), gold] -= 1
-        error *= (mask.T / mask.sum())[..., None].astype(np.float32)
-        g["o"], g["c"] = np.einsum("tni,tnj->ij", both, error), error.sum((0, 1))
-        down = error @ self.p["o"].T
+        error[:, gold, np.arange(len(gold))] -= 1
+        error *= (mask.T / mask.sum())[:, None].astype(np.float32)
+        g["o"], g["c"] = np.einsum("tin,tjn->ij", both, error), error.sum((0, 2))
+        down = self.p["o"] @ error
         for i, d in enumerate("fb"):
-            u, later = self.p["u" + d], np.zeros((len(gold), h), np.float32)
-            for t, before, reset, update, new, r_new in reversed(runs[d][1]):
-                now = (down[t, :, i * h : (i + 1) * h] + later) * mask[:, t, None]
+            u, later = self.p["u" + d], np.zeros((h, len(gold)), np.float32)
+            for t, before, reset, update, new, r_new in reversed(kept[d]):
+                now = (down[t, i * h : (i + 1) * h] + later) * mask[:, t]
                 d_new = now * (1 - update) * (1 - new * new)
                 d_update = now * (before - new) * update * (1 - update)
                 d_reset = d_new * r_new * reset * (1 - reset)
-                inner = np.concatenate([d_reset, d_update, d_new * reset], 1)
-                g["u" + d] += before.T @ inner
-                np.add.at(g["x" + d], bytes_[:, t], np.concatenate([d_reset, d_update, d_new], 1))
-                later = now * update + inner @ u.T
+                inner = np.concatenate([d_reset, d_update, d_new * reset])
+                g["u" + d] += before @ inner.T
+                np.add.at(g["x" + d], bytes_[:, t], np.concatenate([d_reset, d_update, d_new]).T)
+                later = now * update + u @ inner
         return g
 
     def fit(self, windows: np.ndarray, mask: np.ndarray, gold: np.ndarray, of: np.ndarray | None = None, steps: int = STEPS, rate: float = 0.03) -> Network:
